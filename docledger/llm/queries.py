@@ -1,9 +1,13 @@
 """The queries of this subpackage over the given tables, and their SQL where DuckDB can express them."""
 
 from .embedding_dedup import op1_embedding_dedup
+from .line_dedup import OP6_SQL, op6_line_dedup
 from .lm_scoring import op8_lm_score
+from .metric_search import OP2_SQL, op2_mtree_topk
+from .mixing import OP7_SQL, op7_mix_sources
+from .packing import op5_best_fit_packing
 from .simhash_dedup import op3_simhash
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op3_simhash, op8_lm_score)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_mtree_topk, op3_simhash, op5_best_fit_packing, op6_line_dedup, op7_mix_sources, op8_lm_score)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_mtree_topk": OP2_SQL, "op6_line_dedup": OP6_SQL, "op7_mix_sources": OP7_SQL}
