@@ -199,8 +199,8 @@ def top_levels(rows) -> list[tuple[np.ndarray, ...]]:
     return [(fold(zeros), fold(ones), weighted(kt_log(fold(zeros), fold(ones)), fold(total))[1]), (zeros, ones, stop)]
 
 
-def gram_scores(depth: int, top):
-    """Per task: log10 probability of each gram's byte after its context."""
+def gram_scores(depth: int, top, tables: int):
+    """Per task: log10 probability of each gram's byte after its context, as packed columns for each of the tables."""
 
     def run(frames):
         import pandas as pd
@@ -232,8 +232,10 @@ def gram_scores(depth: int, top):
                 p[alive] += mass[alive] * stop[at] * last[alive]
                 mass[alive] *= 1 - stop[at]
             total += np.log10(p + mass * last)
-        for i in range(0, len(codes), 1 << 18):
-            yield pd.DataFrame({"key": signed(codes[i : i + (1 << 18)]), "p": total[i : i + (1 << 18)]})
+        part = mixed(codes) % np.uint64(tables)
+        for i in range(tables):
+            mine = part == i
+            yield pd.DataFrame({"part": [i], "keys": [codes[mine].tobytes()], "p": [total[mine].astype(np.float32).tobytes()]})
 
     return run
 
@@ -295,25 +297,27 @@ def score_documents(docs: DataFrame, train: Column, depth: int = 5, table_rows:
     grams, words = counts.where("kind = 0").select("key", "n"), counts.where("kind = 1").select("key", "n")
     seen = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     denominator = float(seen["n"] + seen["v"] + 1)
-    hot = words.orderBy(F.desc("n"), "key").limit(HOT_WORDS).toPandas()
-    order = np.argsort(hot["key"].to_numpy().view(np.uint64))
-    hot_table = sc.broadcast((hot["key"].to_numpy().view(np.uint64)[order], hot["n"].to_numpy(dtype=float)[order]))
+    hot = words.orderBy(F.desc("n"), "key").limit(HOT_WORDS).toArrow()
+    hot_keys, hot_n = hot["key"].to_numpy().view(np.uint64), hot["n"].to_numpy().astype(float)
+    order = np.argsort(hot_keys)
+    hot_table = sc.broadcast((hot_keys[order], hot_n[order]))
 
     rows = grams.count()
     suffix = F.expr("shiftright(key, 8) & 65535")
     spread = grams.repartition(max(partitions(spark), -(-rows // 400_000)), suffix)
     sums = spread.mapInPandas(upper_sums(depth), "node int, zeros double, ones double, logs double")
-    top = sc.broadcast(top_levels(sums.groupBy("node").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "logs"))).toPandas()))
+    top = sc.broadcast(top_levels(sums.groupBy("node").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "logs"))).toArrow().to_pandas()))
     tables = max(1, -(-rows // table_rows))
-    scores = spread.mapInPandas(gram_scores(depth, top), "key long, p double").withColumn("part", F.pmod(F.xxhash64("key"), F.lit(tables)))
+    scores = spread.mapInPandas(gram_scores(depth, top, tables), "part int, keys binary, p binary")
     scores = durable(scores) if tables > 1 else scores
 
     columns = ("score", "base", "known", "tokens", "bytes")
     passes = None
     for i in range(tables):
-        part = scores.where(F.col("part") == i).select("key", F.col("p").cast("float")).toPandas()
-        order = np.argsort(part["key"].to_numpy().view(np.uint64))
-        model = sc.broadcast((part["key"].to_numpy().view(np.uint64)[order], part["p"].to_numpy()[order]))
+        packed = scores.where(F.col("part") == i).collect()
+        keys, p = (np.concatenate([np.zeros(0, kind), *(np.frombuffer(r[c], kind) for r in packed)]) for c, kind in (("keys", np.uint64), ("p", np.float32)))
+        order = np.argsort(keys)
+        model = sc.broadcast((keys[order], p[order]))
         one = texts.mapInPandas(scored(depth, model, hot_table, denominator, i == 0), "uid long, word long, tf long, doc_id long, train boolean, " + ", ".join(f"{c} double" for c in columns))
         passes = one if passes is None else passes.unionByName(one)
     known = words.select(F.col("key").alias("word"), F.col("n").alias("c"))
