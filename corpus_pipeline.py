@@ -1,10 +1,56 @@
-"""Training-corpus pipeline."""
+"""Training-corpus pipeline: language, repeated lines, near-duplicates, source mix and packing, over the whole documents table.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next one's docs.
+All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docledger.llm.language_id import drop_rejected, teaches
+from docledger.llm.line_dedup import dedup_lines
+from docledger.llm.mixing import mix
+from docledger.llm.packing import pack
+from docledger.llm.simhash_dedup import keep_one
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the character models tell; the rejected ones go."""
+    return drop_rejected(docs, teaches())
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated long lines stay in one document only; n_chars follows the text."""
+    return dedup_lines(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates. Shingles of five words."""
+    return keep_one(docs, words=5).select(*docs.columns)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it, a fraction of a repetition rounded."""
+    copies = F.round(F.col("taken") / F.greatest("size", F.lit(1))).cast("int")
+    return mix(docs).withColumn("__copies", copies).where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of every document and their places in sequences of 1,024 tokens."""
+    import public_tokenizers
+
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("language_id", language), ("line_dedup", lines), ("simhash_dedup", near_duplicates), ("source_mix", source_mix), ("packing", packing)]
+
+#: Character models, fingerprints and token ids are beyond SQL; tests hold the pipeline against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
