@@ -9,7 +9,7 @@ at the deepest context that training has seen. The code length per byte is the s
 Spark counts (context, byte) grams and words of all training texts; context subtrees are built where their last two context bytes
 hash to, and only the two uppermost levels (at most 65,536 nodes) meet in the driver. The scored grams are broadcast in tables of
 at most ``table_rows`` rows each; where the corpus has more, the texts are read once for each table and the parts are added, so
-nothing is capped. Words: counts of the 65,536 most frequent are broadcast, all others are joined by their hash. Words are told
+nothing is capped. Tables reach the driver as packed columns, one row per task, not as rows of grams. Words: counts of the 65,536 most frequent are broadcast, all others are joined by their hash. Words are told
 apart by a 64-bit hash.
 
 Defined results: null text counts as empty (one end token); null training flag counts as not training; repeated rows are scored
