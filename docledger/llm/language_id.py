@@ -157,23 +157,29 @@ def entropies(model: dict, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return -total / np.maximum(n, 1)[:, None], n, letters
 
 
-def predictions(model, names: list[str], limits, spread: float):
-    def run(frames):
-        import pandas as pd
+PART_CHARS = 1 << 20
 
-        for frame in frames:
-            texts = frame["text"].tolist()
-            for a, b in in_parts(texts, 8 << 20):
-                h, n, letters = entropies(model.value, texts[a:b])
-                best = h.argmin(axis=1)
-                low = h[np.arange(b - a), best]
-                share = 1 / np.exp(-np.minimum(n, 100)[:, None] * (h - low[:, None])).sum(axis=1)
-                mean, document, character = (np.array([limits.get(i, (np.inf, 0, 0))[j] for i in range(len(names))])[best] for j in range(3))
-                over = low > mean + spread * (document + character / np.sqrt(np.maximum(n, 1)))
-                out = {"lang_pred": np.where(letters, np.array(names, object)[best], "und"), "score": np.where(letters, share, 0.0), "rejected": over | ~letters, "entropy": low}
-                yield pd.DataFrame({c: frame[c].iloc[a:b].to_numpy() for c in frame.columns if c != "text"} | out)
 
-    return run
+def predictor(model, names: list[str], limits, spread: float):
+    """Vectorised: a text's (lang_pred, score, rejected, entropy). Only texts reach Python, a bounded part of a batch at a time."""
+    import pandas as pd
+
+    bounds = np.array([limits.get(i, (np.inf, 0, 0)) for i in range(len(names))])
+
+    @F.pandas_udf("lang_pred string, score double, rejected boolean, entropy double")
+    def predict(column: pd.Series) -> pd.DataFrame:
+        texts, out = column.tolist(), []
+        for a, b in in_parts(texts, PART_CHARS):
+            h, n, letters = entropies(model.value, texts[a:b])
+            best = h.argmin(axis=1)
+            low = h[np.arange(b - a), best]
+            share = 1 / np.exp(-np.minimum(n, 100)[:, None] * (h - low[:, None])).sum(axis=1)
+            mean, document, character = bounds[best].T
+            over = low > mean + spread * (document + character / np.sqrt(np.maximum(n, 1)))
+            out.append(pd.DataFrame({"lang_pred": np.where(letters, np.array(names, object)[best], "und"), "score": np.where(letters, share, 0.0), "rejected": over | ~letters, "entropy": low}))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"lang_pred": [], "score": [], "rejected": [], "entropy": []})
+
+    return predict
 
 
 def fit_models(docs: DataFrame, learn: Column, sample_chars: int, spread: float):
@@ -213,7 +219,7 @@ def fit_models(docs: DataFrame, learn: Column, sample_chars: int, spread: float)
 
 
 def identify(docs: DataFrame, learn: Column, sample_chars: int = 4_000_000, spread: float = 6.0) -> DataFrame:
-    """Rows of ``docs`` without text, with lang_pred, score, rejected and entropy (columns of these names are replaced).
+    """Rows of ``docs`` with lang_pred, score, rejected and entropy (columns of these names are replaced).
 
     ``learn`` tells the rows that may teach; docs has doc_id, lang and text.
     """
@@ -221,19 +227,15 @@ def identify(docs: DataFrame, learn: Column, sample_chars: int = 4_000_000, spre
     fitted = fit_models(docs, F.coalesce(learn, F.lit(False)), sample_chars, spread)
     kept = docs.drop(*results)
     if fitted is None:
-        return kept.drop("text").withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0), "rejected": F.lit(True), "entropy": F.lit(0.0)})
-    # rows stay in the JVM's types: only a row number goes through Python with the text
-    model, names, limits = fitted
-    fields = [f for f in kept.schema.fields if f.name != "text"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return kept.select(*(F.col(f"`{f.name}`") for f in fields), "text").mapInPandas(predictions(model, names, limits, spread), schema + (", " if schema else "") + "lang_pred string, score double, rejected boolean, entropy double")
+        return kept.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0), "rejected": F.lit(True), "entropy": F.lit(0.0)})
+    predict = predictor(*fitted, spread)
+    return kept.withColumn("__found", predict("text")).select(*(F.col(f"`{c}`") for c in kept.columns), *(F.col(f"__found.{c}") for c in results))
 
 
-def drop_rejected(docs: DataFrame, learn: Column) -> DataFrame:
+def drop_rejected(docs: DataFrame, learn: Column, sample_chars: int = 4_000_000, spread: float = 6.0) -> DataFrame:
     """The rows of ``docs`` whose language is told, unchanged."""
-    names = docs.columns
-    found = identify(docs.withColumns({"__whole": F.struct(*(F.col(f"`{c}`") for c in names))}), learn)
-    return found.where(~F.col("rejected")).select("__whole.*")
+    fitted = fit_models(docs, F.coalesce(learn, F.lit(False)), sample_chars, spread)
+    return docs.where(F.lit(False)) if fitted is None else docs.where(~predictor(*fitted, spread)(F.col("text"))["rejected"])
 
 
 def teaches() -> Column:

@@ -3,13 +3,47 @@
 Byte-level BPE merges only inside pre-tokens, and a single space before a non-space opens one. So the ids of a text are those of its
 pieces, each with its leading space, wherever no two spaces meet; other texts, and those with a marker of a special token, are
 encoded whole. Natural text repeats its pieces, so most are found in the worker's cache, which is emptied when it is full.
+
+Where a file's merges stand in the order of their ids and its pre-tokens are the byte-level ones, which is checked on loading, pieces
+that the cache does not hold are merged by rank with tiktoken over the file's own vocabulary: the same ids in a third of the time.
 """
 
 from __future__ import annotations
 
+import json
 import os
+from array import array
+
+CACHE_ROWS, CACHE_PIECE = 600_000, 64
+#: Fixed value: the pre-token pattern of byte-level BPE.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def printable_bytes() -> dict[str, int]:
+    """The character that stands for each byte in byte-level vocabularies: itself if it is printable, else the next from U+0100."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
-CACHE_ROWS, CACHE_PIECE = 300_000, 64
+
+def ranked(path: str):
+    """A tiktoken encoding of a tokenizers file, or None where its merges don't follow their ids."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    vocab, merges = model["vocab"], [m if isinstance(m, list) else m.split(" ") for m in model.get("merges", [])]
+    ids = [vocab.get(a + b, -1) for a, b in merges]
+    plain = spec.get("normalizer") is None and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+    if model.get("type") != "BPE" or not plain or model.get("end_of_word_suffix") or ids != sorted(ids) or min(ids, default=-1) < 0:
+        return None
+    special = {t["content"] for t in spec.get("added_tokens", [])}
+    byte = printable_bytes()
+    ranks = {bytes(byte[ch] for ch in token): i for token, i in vocab.items() if token not in special}
+    if sorted(ranks.values()) != list(range(len(ranks))):
+        return None
+    return tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 class PieceEncoder:
@@ -21,6 +55,13 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {}
+        self.ranks = ranked(path)
+
+    def fresh(self, pieces: list[str]) -> list[bytes]:
+        if self.ranks is None:
+            return self.whole(pieces)
+        one = self.ranks.encode_ordinary
+        return [array("I", one(p)).tobytes() for p in pieces]
 
     def whole(self, texts: list[str]) -> list[bytes]:
         import numpy as np
@@ -47,7 +88,7 @@ class PieceEncoder:
                 if p not in self.cache:
                     new[p] = None
         fresh = list(new)
-        found = dict(zip(fresh, self.whole(fresh), strict=True)) if fresh else {}
+        found = dict(zip(fresh, self.fresh(fresh), strict=True)) if fresh else {}
         self.cache.update((p, v) for p, v in found.items() if len(p) <= CACHE_PIECE)
         get = self.cache.get
         return [o if p is None else b"".join([get(x) or found[x] for x in p]) for o, p in zip(out, split, strict=True)]
