@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from .text import text
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once for a row, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def find_all(c: Column | str, pattern: str, index: int = 0) -> Column:
     """array<struct<pos, value>> of every match (positions from 0); value is the given group.
 
@@ -16,25 +21,27 @@ def find_all(c: Column | str, pattern: str, index: int = 0) -> Column:
     x = text(c)
     whole = F.regexp_extract_all(x, F.lit(pattern), F.lit(0))
     value = whole if index == 0 else F.regexp_extract_all(x, F.lit(pattern), F.lit(index))
-    between = F.transform(F.split(x, pattern, -1), F.length)
-    lengths = F.transform(whole, F.length)
+    parts = F.struct(value.alias("v"), F.transform(F.split(x, pattern, -1), F.length).alias("between"), F.transform(whole, F.length).alias("own"))
 
-    def one(v: Column, i: Column) -> Column:
-        before = F.aggregate(F.slice(between, F.lit(1), i + 1), F.lit(0), lambda a, n: a + n) + F.aggregate(F.slice(lengths, F.lit(1), i), F.lit(0), lambda a, n: a + n)
-        return F.struct(before.alias("pos"), v.alias("value"))
+    def total(a: Column, n: Column) -> Column:
+        return F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda t, k: t + k)
 
-    return F.transform(value, one)
+    return let(parts, lambda p: F.transform(p["v"], lambda v, i: F.struct((total(p["between"], i + 1) + total(p["own"], i)).alias("pos"), v.alias("value"))))
 
 
 def keyword_positions(c: Column | str, words: list[str]) -> Column:
     """Positions (from 0) of every occurrence of every word, case ignored, overlaps included."""
-    x = F.lower(text(c))
-    found = [F.transform(find_all(x, "(?=" + "".join("\\" + ch if not ch.isalnum() and ord(ch) < 128 else ch for ch in w.lower()) + ")"), lambda m: m["pos"]) for w in words]
-    return F.array_sort(F.array_distinct(F.concat(*found))) if found else F.array().cast("array<int>")
+    quoted = ("".join("\\" + ch if not ch.isalnum() and ord(ch) < 128 else ch for ch in w.lower()) for w in words)
+    x = F.concat(F.lit("\u0001"), F.lower(text(c)))  # splitting leaves out an empty part before a match of no width at the start
+    return F.transform(find_all(x, f"(?={'|'.join(quoted)})"), lambda m: m["pos"] - 1)
 
 
 def nearest(candidates: Column, anchors: Column, value) -> Column:
     """The candidate nearest to an anchor; equal distances go to the largest ``value(candidate)``; no anchor: all equally far."""
     far = F.lit(10_000_000)
-    scored = F.transform(candidates, lambda c: F.struct(F.coalesce(F.array_min(F.transform(anchors, lambda a: F.abs(c["pos"] - a))), far).alias("gap"), (-value(c)).alias("less"), c["value"].alias("value")))
-    return F.array_min(scored)["value"]
+
+    def best(s: Column) -> Column:
+        gap = lambda c: F.coalesce(F.array_min(F.transform(s["a"], lambda a: F.abs(c["pos"] - a))), far)
+        return F.array_min(F.transform(s["c"], lambda c: F.struct(gap(c).alias("gap"), (-value(c)).alias("less"), c["value"].alias("value"))))
+
+    return let(F.struct(candidates.alias("c"), anchors.alias("a")), best)["value"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import basename, normalize_token, text
@@ -47,8 +47,8 @@ def has_foreign_tax_id(x: Column, own: Column) -> Column:
     return F.size(F.array_except(F.regexp_extract_all(x, F.lit("\\b(\\d{13})\\b"), F.lit(1)), own)) > 0
 
 
-def scores(body: Column | str, filename: Column | str, own: Column) -> Column:
-    """struct of the seven scores. own: array of our own tax ids."""
+def raw_scores(body: Column | str, filename: Column | str, own: Column) -> dict[str, Column]:
+    """Sum of the weights of the rules that hit, by platform. own: array of our own tax ids."""
     x, f = F.lower(text(body)), F.lower(text(filename))
     tokens = normalize_token(F.regexp_replace(basename(filename), "\\.[A-Za-z]{2,4}$", ""))
     total = {p: F.lit(0) for p in PLATFORMS}
@@ -68,10 +68,22 @@ def scores(body: Column | str, filename: Column | str, own: Column) -> Column:
     for pattern, w in THAI_RULES:
         add("THAI_TAX", x.rlike(f"(?i){pattern}"), w)
     add("THAI_TAX", has_foreign_tax_id(x, own), 70)
+    return total
+
+
+def weighed(total: dict[str, Column]) -> Column:
+    """struct of the scores; tax invoices count less beside a strong platform."""
     strong = F.greatest(total["META"], total["GOOGLE"], total["SPX"]) >= 70
     market = F.greatest(total["SHOPEE"], total["LAZADA"], total["TIKTOK"]) >= 55
-    total["THAI_TAX"] = F.floor(total["THAI_TAX"] * F.when(strong, 0.25).when(market, 0.45).otherwise(1.0)).cast("int")
-    return F.struct(*(v.cast("int").alias(p) for p, v in total.items()))
+    thai = F.floor(total["THAI_TAX"] * F.when(strong, 0.25).when(market, 0.45).otherwise(1.0))
+    return F.struct(*((thai if p == "THAI_TAX" else v).cast("int").alias(p) for p, v in total.items()))
+
+
+def with_scores(df: DataFrame, body: str, filename: Column | str, own: Column, out: str, unless: Column | None = None) -> DataFrame:
+    """The scores as a struct column. Each platform's sum is a column of its own first, so that none is computed twice; they are
+    left null where ``unless`` holds."""
+    raw = {f"__s_{p}": (v if unless is None else F.when(~unless, v)) for p, v in raw_scores(body, filename, own).items()}
+    return df.withColumns(raw).withColumn(out, weighed({p: F.col(f"__s_{p}") for p in PLATFORMS})).drop(*raw)
 
 
 def argmax_label(score: Column) -> Column:
@@ -85,12 +97,14 @@ def fast_path(body: Column | str, filename: Column | str) -> Column:
     return F.coalesce(*(F.when(x.rlike(f"(?i){p}") | f.rlike(f"(?i){p}"), label) for label, p in FAST))
 
 
-def classify(body: Column | str, filename: Column | str, own: Column) -> Column:
-    """The platform of a document. Scores are built only where no strong id decides."""
-    x, score = F.lower(text(body)), scores(body, filename, own)
-    best = argmax_label(score)
-    by_score = F.coalesce(*(F.when(score[p] >= t, p) for p, t in THRESHOLDS), F.when(best["score"] >= 28, best["label"]), F.when(x.rlike(INVOICE_WORDS) & has_foreign_tax_id(x, own), "THAI_TAX"), F.lit("UNKNOWN"))
-    return F.coalesce(fast_path(body, filename), by_score)
+def with_platform(df: DataFrame, body: str, filename: Column | str, own: Column, out: str = "_platform") -> DataFrame:
+    """The platform of every document: a strong id decides, else the scores, which are built for the rest only."""
+    x = F.lower(text(body))
+    df = with_scores(df.withColumn("__fast", fast_path(body, filename)), body, filename, own, "__scores", F.col("__fast").isNotNull())
+    score = F.col("__scores")
+    df = df.withColumn("__best", argmax_label(score))
+    by_score = F.coalesce(*(F.when(score[p] >= t, p) for p, t in THRESHOLDS), F.when(F.col("__best.score") >= 28, F.col("__best.label")), F.when(x.rlike(INVOICE_WORDS) & has_foreign_tax_id(x, own), "THAI_TAX"), F.lit("UNKNOWN"))
+    return df.withColumn(out, F.coalesce("__fast", by_score)).drop("__fast", "__scores", "__best")
 
 
 def detect_vendor(body: Column | str) -> Column:
@@ -129,7 +143,7 @@ def platform_hint(body: Column | str, filename: Column | str) -> Column:
 
 def refine_hint(body: Column | str, hint: Column) -> Column:
     """An UNKNOWN hint gives way to the best text score; a known one only to a clear winner (40 or more) of another platform."""
-    best = argmax_label(scores(body, F.lit(""), F.array().cast("array<string>")))
+    best = argmax_label(weighed(raw_scores(body, F.lit(""), F.array().cast("array<string>"))))
     return F.when((hint == "UNKNOWN") & (best["score"] > 0), best["label"]).when((hint != "UNKNOWN") & (best["score"] >= 40), best["label"]).otherwise(hint)
 
 

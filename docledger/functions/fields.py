@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .candidates import find_all, keyword_positions, nearest
+from .candidates import find_all, keyword_positions, let, nearest
 from .text import group, normalize_reference, reference_core, squash_ws, text
 from .values import branch5, derive_amounts, parse_date, parse_en_date, parse_money
 
@@ -47,9 +47,12 @@ def amounts(c: Column | str) -> Column:
         found = F.filter(find_all(x, pattern, 1), lambda m: ~F.substring(x, F.greatest(m["pos"] - 79, F.lit(1)), F.lit(80)).rlike(WHT_HINT) & (F.coalesce(parse_money(m["value"]), F.lit(0)) > 0))
         return parse_money(nearest(found, keyword_positions(x, anchors), lambda m: parse_money(m["value"])))
 
-    wht_rate, wht_amount = group(x, WHT, 1), parse_money(group(x, WHT, 2))
-    parts = derive_amounts(pick(TOTAL_EX, ["subtotal", "excluding", "ก่อน", "ไม่รวม"]), pick(VAT_AMOUNT, ["vat", "ภาษีมูลค่าเพิ่ม", "total vat"]), pick(TOTAL_INC, TOTAL_ANCHORS), wht_amount)
-    return F.struct(parts["subtotal"].alias("subtotal"), parts["vat"].alias("vat"), parts["total"].alias("total"), F.concat(wht_rate, F.lit("%")).alias("wht_rate"), wht_amount.alias("wht_amount"))
+    picked = F.struct(
+        pick(TOTAL_EX, ["subtotal", "excluding", "ก่อน", "ไม่รวม"]).alias("s"), pick(VAT_AMOUNT, ["vat", "ภาษีมูลค่าเพิ่ม", "total vat"]).alias("v"), pick(TOTAL_INC, TOTAL_ANCHORS).alias("t"),
+        group(x, WHT, 1).alias("r"), parse_money(group(x, WHT, 2)).alias("w"),
+    )
+    known = let(picked, lambda p: F.struct(derive_amounts(p["s"], p["v"], p["t"], p["w"]).alias("d"), p["r"].alias("r"), p["w"].alias("w")))
+    return let(known, lambda p: F.struct(p["d"]["subtotal"].alias("subtotal"), p["d"]["vat"].alias("vat"), p["d"]["total"].alias("total"), F.concat(p["r"], F.lit("%")).alias("wht_rate"), p["w"].alias("wht_amount")))
 
 
 def total_amount(c: Column | str) -> Column:
@@ -136,7 +139,11 @@ def best_date(c: Column | str) -> Column:
         ("(?i)\\b((?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\\s+\\d{1,2},?\\s+\\d{4})\\b", parse_en_date),
         ("\\b(\\d{4}[-/.]\\d{1,2}[-/.]\\d{1,2})\\b", parse_date), ("\\b(\\d{1,2}[-/.]\\d{1,2}[-/.]\\d{4})\\b", parse_date), ("\\b(\\d{8})\\b", parse_date),
     )
-    dated = F.concat(*(F.transform(find_all(x, p, 1), lambda m, read=read: F.struct(m["pos"].alias("pos"), read(m["value"]).alias("value"))) for p, read in forms))
+
+    def dates(pattern: str, read) -> Column:
+        return F.transform(find_all(x, pattern, 1), lambda m: F.struct(m["pos"].alias("pos"), read(m["value"]).alias("value")))
+
+    dated = F.concat(*(dates(p, read) for p, read in forms))
     return nearest(F.filter(dated, lambda m: m["value"].isNotNull()), keyword_positions(x, DATE_ANCHORS), lambda m: F.unix_date(m["value"]))
 
 

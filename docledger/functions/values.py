@@ -124,11 +124,14 @@ def compute_wht(paid: Column, vat_rate: Column, rate: Column, enabled: bool = Tr
 
 def derive_amounts(subtotal: Column, vat: Column, total: Column, wht: Column | None = None) -> Column:
     """struct(subtotal, vat, total): a total equal to the withheld amount is none; then what the others give; else VAT is 7 %."""
-    total = F.when(total == wht, F.lit(None)).otherwise(total).cast(MONEY) if wht is not None else total
-    total = F.coalesce(total, subtotal + vat).cast(MONEY)
-    subtotal = F.coalesce(subtotal, F.when(total >= vat, total - vat)).cast(MONEY)
-    vat = F.coalesce(vat, F.bround(subtotal * F.lit("0.07").cast("decimal(3,2)"), 2)).cast(MONEY)
-    return F.struct(subtotal.alias("subtotal"), vat.alias("vat"), F.coalesce(total, subtotal + vat).cast(MONEY).alias("total"))
+    from .candidates import let
+
+    none = F.lit(None).cast(MONEY)
+    given = F.struct(subtotal.cast(MONEY).alias("s"), vat.cast(MONEY).alias("v"), total.cast(MONEY).alias("t"), (wht if wht is not None else none).cast(MONEY).alias("w"))
+    given = let(given, lambda g: F.struct(g["s"].alias("s"), g["v"].alias("v"), F.coalesce(F.when(g["t"].eqNullSafe(g["w"]), none).otherwise(g["t"]), g["s"] + g["v"]).cast(MONEY).alias("t")))
+    given = let(given, lambda g: F.struct(F.coalesce(g["s"], F.when(g["t"] >= g["v"], g["t"] - g["v"])).cast(MONEY).alias("s"), g["v"].alias("v"), g["t"].alias("t")))
+    given = let(given, lambda g: F.struct(g["s"].alias("s"), F.coalesce(g["v"], F.bround(g["s"] * F.lit("0.07").cast("decimal(3,2)"), 2)).cast(MONEY).alias("v"), g["t"].alias("t")))
+    return let(given, lambda g: F.struct(g["s"].alias("subtotal"), g["v"].alias("vat"), F.coalesce(g["t"], g["s"] + g["v"]).cast(MONEY).alias("total")))
 
 
 def clamp_confidence(c: Column | str) -> Column:
