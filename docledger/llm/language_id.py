@@ -167,7 +167,7 @@ def predictor(model, names: list[str], limits, spread: float):
     bounds = np.array([limits.get(i, (np.inf, 0, 0)) for i in range(len(names))])
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean, entropy double")
-    def predict(column: pd.Series) -> pd.DataFrame:
+    def predict(column):
         texts, out = column.tolist(), []
         for a, b in in_parts(texts, PART_CHARS):
             h, n, letters = entropies(model.value, texts[a:b])
