@@ -553,3 +553,50 @@ def job_enrich(spark, d):
     rows = fx.load(spark, d, fx.LEDGER).withColumns({c: F.lit("") for c in ("H_invoice_date", "I_tax_purchase_date")})
     answer = F.when(F.col("doc_id") % 3 == 1, 'text {"R_paid_amount": "9.50", "L_description": "from model", "T_note": "x", "confidence": "0.9"} end').otherwise("{broken")
     return apply_enrichment(rows, rows.select("doc_id", answer.alias("response"))).select("doc_id", F.col("R_paid_amount").alias("paid"), F.col("L_description").alias("description"))
+
+
+# --- streaming and sinks --------------------------------------------------------------------------------------------
+def work_folder(spark) -> str:
+    """A new folder in the shared checkpoint folder; a local one only where none is set, as in tests."""
+    import tempfile
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="docledger-")
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def st_windows(spark, d):
+    """A stream over the events' files appended to a table, then counted by window as a batch."""
+    from .streaming.jobs import windowed_counts
+
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    to = work_folder(spark)
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    stream.writeStream.format("parquet").option("path", f"{to}/out").option("checkpointLocation", f"{to}/state").trigger(availableNow=True).start().awaitTermination()
+    return windowed_counts(spark.read.parquet(f"{to}/out"))
+
+
+@query(f"SELECT job_id, 'UNKNOWN' AS platform, 'unknown' AS method, count(*) AS rows FROM {RAW} GROUP BY job_id")
+def st_progress(spark, d):
+    from .streaming.jobs import progress_counts
+
+    return progress_counts(fx.load(spark, d, fx.LEDGER_RAW).select("job_id", F.lit("").alias("_platform"), F.lit("").alias("_extraction_method")))
+
+
+@query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-05 00:00:00'")
+def st_expire(spark, d):
+    from .streaming.jobs import expire_jobs
+
+    e = spark.read.parquet(f"{d}/events.parquet").withColumnRenamed("ts", "updated_at")
+    return expire_jobs(e, "2024-01-06 00:00:00", 86_400).select("event_id")
+
+
+@query(f"SELECT 'desc ' || CAST(doc_id % 10 AS VARCHAR) AS description, count(*) AS rows FROM {ROWS} WHERE doc_id % 2 = 0 GROUP BY ALL")
+def snk_csv(spark, d):
+    """The import file written and read back."""
+    from .sources.sinks import write_ledger_csv
+
+    to = work_folder(spark)
+    write_ledger_csv(fx.load(spark, d, fx.LEDGER).where("doc_id % 2 = 0"), to)
+    return spark.read.option("header", True).option("escape", '"').csv(to).groupBy(F.col("Description").alias("description")).agg(F.count("*").alias("rows"))
