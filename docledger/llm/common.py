@@ -40,6 +40,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_REGEX)), F.lit(0)).cast("long")
 
 
+def strings(series) -> list:
+    """A column's strings as a list, null as None, however pandas stores them."""
+    return [x if isinstance(x, str) else None for x in series]
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective mixing of unsigned 64-bit values, so that their low bits can pick partitions."""
     with np.errstate(over="ignore"):

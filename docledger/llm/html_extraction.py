@@ -21,7 +21,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import strings, table
 
 # The element and role names of HTML, and class words that mark page furniture.
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']+|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
@@ -177,9 +177,10 @@ def votes(frames):
     import pandas as pd
 
     for frame in frames:
-        best = [best_container(blocks_of(h)) for h in frame["html"]]
+        best = [best_container(blocks_of(h)) for h in strings(frame["html"])]
         there = [i for i, b in enumerate(best) if b]
-        yield pd.DataFrame({"host": frame["host"].iloc[there].to_numpy(), "path": [best[i][2] for i in there], "points": [best[i][1] for i in there]})
+        if there:
+            yield pd.DataFrame({"host": strings(frame["host"].iloc[there]), "path": [best[i][2] for i in there], "points": [best[i][1] for i in there]})
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
@@ -201,8 +202,8 @@ def extract(pages: DataFrame, salts: int = 16) -> DataFrame:
         import pandas as pd
 
         for frame in frames:
-            texts = [text_under(blocks_of(h), p if isinstance(p, str) else None) for h, p in zip(frame["html"], frame["__path"], strict=True)]
-            own = {f.name: frame[f.name] for f in fields}
+            texts = [text_under(blocks_of(h), p if isinstance(p, str) else None) for h, p in zip(strings(frame["html"]), frame["__path"], strict=True)]
+            own = {f.name: strings(frame[f.name]) if f.dataType.simpleString() == "string" else frame[f.name] for f in fields}
             yield pd.DataFrame(own | {"text": [t for t, _ in texts], "n_chars": [len(t) for t, _ in texts], "path": [p for _, p in texts]}, index=frame.index)
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields)

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, find, mixed, table
+from .common import durable, find, mixed, strings, table
 from .tokens import in_parts
 
 ORDER, BASE = 4, np.uint64(0x9E3779B97F4A7C15)
@@ -79,7 +79,7 @@ def gram_counts(frames):
 
     for frame in frames:
         for lang, part in frame.groupby("lang"):
-            texts = part["text"].tolist()
+            texts = strings(part["text"])
             for a, b in in_parts(texts):
                 x, owner = symbols(texts[a:b])
                 at = np.flatnonzero(owner >= 0)
@@ -168,7 +168,7 @@ def predictor(model, names: list[str], limits, spread: float):
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean, entropy double")
     def predict(column):
-        texts, out = column.tolist(), []
+        texts, out = strings(column), []
         for a, b in in_parts(texts, PART_CHARS):
             h, n, letters = entropies(model.value, texts[a:b])
             best = h.argmin(axis=1)
@@ -177,7 +177,7 @@ def predictor(model, names: list[str], limits, spread: float):
             mean, document, character = bounds[best].T
             over = low > mean + spread * (document + character / np.sqrt(np.maximum(n, 1)))
             out.append(pd.DataFrame({"lang_pred": np.where(letters, np.array(names, object)[best], "und"), "score": np.where(letters, share, 0.0), "rejected": over | ~letters, "entropy": low}))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"lang_pred": [], "score": [], "rejected": [], "entropy": []})
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"lang_pred": np.array([], object), "score": np.zeros(0), "rejected": np.zeros(0, bool), "entropy": np.zeros(0)})
 
     return predict
 
@@ -204,7 +204,7 @@ def fit_models(docs: DataFrame, learn: Column, sample_chars: int, spread: float)
         import pandas as pd
 
         for frame in frames:
-            texts = frame["text"].tolist()
+            texts = strings(frame["text"])
             for a, b in in_parts(texts):
                 h, n, letters = entropies(model.value, texts[a:b])
                 lang = frame["lang"].iloc[a:b].map(at).to_numpy()

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, find, mixed, partitions, summed_by, table
+from .common import durable, find, mixed, partitions, strings, summed_by, table
 
 END, CHUNK, HOT_WORDS = 10, 2 << 20, 65_536
 END_HASH, BASE = np.uint64(0x1234567), np.uint64(0x9E3779B97F4A7C15)
@@ -103,7 +103,7 @@ def counted(depth: int):
 
         for frame in frames:
             train = frame["train"].to_numpy(dtype=bool)
-            for blob, owner in segments(frame["text"], depth):
+            for blob, owner in segments(strings(frame["text"]), depth):
                 x = np.frombuffer(blob, np.uint8)
                 codes, own = gram_codes(x, owner, depth)
                 at, keys = pd.factorize(codes)
@@ -252,7 +252,7 @@ def scored(depth: int, model, hot, denominator: float, first: bool):
             docs = len(frame)
             out = {c: np.zeros(docs) for c in ("score", "base", "known", "tokens", "bytes")}
             rare_rows = []
-            for blob, owner in segments(frame["text"], depth):
+            for blob, owner in segments(strings(frame["text"]), depth):
                 x = np.frombuffer(blob, np.uint8)
                 codes, own = gram_codes(x, owner, depth)
                 at, distinct = pd.factorize(codes)

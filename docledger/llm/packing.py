@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import strings, table
 from .tokens import encoder, in_parts
 
 
@@ -33,7 +33,7 @@ def pieces(docs: DataFrame, path: str, end_id: int, tokens: int, with_ids: bool
 
         end = np.array([end_id], "<u4").tobytes()
         for frame in frames:
-            texts, ids = frame["text"].tolist(), frame["doc_id"].astype("Int64")
+            texts, ids = strings(frame["text"]), frame["doc_id"].astype("Int64")
             for a, b in in_parts(texts):
                 rows, columns = [], ("at", "piece", "start", "length", "ids_crc32", "ids")
                 for i, blob in enumerate(encoder(path).encode(texts[a:b]), a):

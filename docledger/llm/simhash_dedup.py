@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, durable, table
+from .common import components, durable, strings, table
 
 RADIUS = 3
 
@@ -52,7 +52,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
         import pandas as pd
 
         for frame in frames:
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "fp": [fingerprint(t, words) for t in frame["text"]]})
+            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "fp": [fingerprint(t, words) for t in strings(frame["text"])]})
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, fp long")
 

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, table, word_count
+from .common import durable, strings, table, word_count
 from .tokens import encoder, in_parts
 
 GROUP = ("source", "lang", "version")
@@ -34,11 +34,11 @@ def counted(docs: DataFrame, path: str, version: str) -> DataFrame:
         import pandas as pd
 
         for frame in frames:
-            texts = frame["text"].tolist()
+            texts = strings(frame["text"])
             n = np.zeros(len(texts), np.int64)
             for a, b in in_parts(texts):
                 n[a:b] = [len(x) // 4 for x in encoder(path).encode(texts[a:b])]
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "source": frame["source"], "lang": frame["lang"], "version": version, "tokens": n, "chars": [len(t or "") for t in texts]})
+            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "source": strings(frame["source"]), "lang": strings(frame["lang"]), "version": version, "tokens": n, "chars": [len(t or "") for t in texts]})
 
     return docs.select("doc_id", "source", "lang", "text").mapInPandas(run, "doc_id long, source string, lang string, version string, tokens long, chars long")
 
