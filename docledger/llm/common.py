@@ -107,6 +107,19 @@ def forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return root
 
 
+def join_counted(rows: DataFrame, facts: DataFrame, key: str, most: int = 1024) -> DataFrame:
+    """Inner join of ``rows`` with ``facts``, which holds each key once, with ``__rows``: how many of the rows have it.
+
+    Keys of more than one in ``most`` of those rows are fewer than ``most``: they are broadcast, so that no task gathers their rows.
+    The others are joined by a shuffle. Both inputs are read more than once and should be durable; null keys join nothing.
+    """
+    total = facts.agg(F.coalesce(F.sum("__rows"), F.lit(0))).first()[0]
+    hot = F.col("__rows") * most > total
+    few, rest = facts.where(hot).drop("__rows"), facts.where(~hot).drop("__rows")
+    others = rows.join(F.broadcast(few.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(few), key).unionByName(others.hint("merge").join(rest.hint("merge"), key))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of links (a, b), as rows (node, root): every node that has a link, root the smallest node reachable.
 
@@ -132,5 +145,5 @@ def components(edges: DataFrame) -> DataFrame:
     for step in steps[1:]:
         label = label.hint("merge").join(step.selectExpr("node as root", "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
     label = durable(label)
-    least = label.groupBy("root").agg(F.min("node").alias("least"))
-    return label.hint("merge").join(least, "root").select("node", F.col("least").alias("root"))
+    least = durable(label.groupBy("root").agg(F.min("node").alias("least"), F.count("*").alias("__rows")))
+    return join_counted(label, least, "root").select("node", F.col("least").alias("root"))

@@ -5,7 +5,8 @@ differ in at most one bit (half the radius, rounded down) of one of their two 32
 for each half, all variants within that half radius; the shuffle brings a variant to the fingerprints that have it for their half,
 and colliding pairs are deduplicated and verified on all 64 bits. Exact copies collapse before anything is emitted: 66 rows for a
 distinct fingerprint, whatever the number of its documents. A distinct fingerprint has a bounded number of others within three
-bits, so verified pairs do not grow with the square of a group of copies.
+bits, so verified pairs do not grow with the square of a group of copies. Fingerprints and components that hold more than one in
+1,024 rows get their component by a broadcast of at most as many rows, so a large group of copies is no single task.
 
 Defined results: null or empty texts, and texts without words, have fingerprint zero and link like any other; a text with fewer
 words than a shingle is one shingle; repeated rows link with each other; a null doc_id is never a component's id unless no member
@@ -18,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, durable, strings, table
+from .common import components, durable, join_counted, strings, table
 
 RADIUS = 3
 
@@ -68,18 +69,19 @@ def linked(distinct: DataFrame) -> DataFrame:
 
 
 def grouped(prints: DataFrame) -> DataFrame:
-    """(fp, component_id, n) for every distinct fingerprint of (doc_id, fp)."""
+    """(fp, component_id, n) for every distinct fingerprint of (doc_id, fp), n its number of rows."""
     classes = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
     roots = components(linked(classes.select("fp"))).withColumnRenamed("node", "fp")
-    rooted = classes.hint("merge").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rooted.hint("merge").join(least, "root").select("fp", "component_id", "n")
+    rooted = durable(classes.hint("merge").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    least = durable(rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("__rows")))
+    return join_counted(rooted, least, "root").select("fp", "component_id", "n")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``."""
     prints = durable(fingerprints(docs, words))
-    return prints.hint("merge").join(grouped(prints), "fp").select("doc_id", "fp", "component_id")
+    groups = durable(grouped(prints)).withColumnRenamed("n", "__rows")
+    return join_counted(prints, groups, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = 3) -> DataFrame:
