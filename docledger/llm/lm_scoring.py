@@ -284,10 +284,10 @@ def scored(depth: int, model, hot, denominator: float, first: bool):
 def score_documents(docs: DataFrame, train: Column, depth: int = 5, table_rows: int = 4_000_000) -> DataFrame:
     """One row per document: doc_id, train, n_tokens, n_known, train_tokens, base_score, score (log10), n_bytes, bits_per_byte.
 
-    ``train`` tells the rows to learn from. depth: context bytes, 2 to 6. table_rows: rows of one broadcast table (12 bytes each).
+    ``train`` tells the rows to learn from. depth: context bytes, 2 to 7. table_rows: rows of one broadcast table (12 bytes each).
     """
-    if not 2 <= depth <= 6:
-        raise ValueError("depth is 2 to 6")
+    if not 2 <= depth <= 7:
+        raise ValueError("depth is 2 to 7")
     spark = docs.sparkSession
     sc = spark.sparkContext
     # rows get a number in file order, which a task that is run again gives alike; two passes read the same plan
