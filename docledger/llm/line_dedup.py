@@ -4,7 +4,8 @@ A line's key is the line stripped and lower-cased (A-Z). Keys of at least ``leas
 documents hold lose all their lines except in the largest doc_id that holds them. A first pass over the key hashes, distinct inside
 a document, fills two Bloom filters in every task: hashes seen once, and hashes seen again. Filters of tasks merge bit by bit: what
 two "once" filters share counts as seen again, so no repeated key is ever missed. Only lines that the "again" filter suspects are
-shuffled, for an exact count on the key itself and the choice of the document that keeps it.
+shuffled, for an exact count on the key itself and the choice of the document that keeps it. The choice goes back to the lines by
+the key's SHA-256; keys of more than one in 1,024 repeated lines (so fewer than 1,024 keys) get it by a broadcast, without a shuffle.
 
 The filters have 64 bits for a document, at most ``max_bits`` (2^27: 16 MB), which bounds what is merged and broadcast; beyond the
 bound more lines are suspected and shuffled, with the same results.
@@ -21,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, durable, lower_ascii, table
+from .common import SPACE_CHARS, durable, join_counted, lower_ascii, table
 
 CHUNK_BITS = 1 << 19
 
@@ -39,6 +40,10 @@ def keys_of(text: Column, least_chars: int) -> Column:
     return F.array_distinct(F.transform(long_lines, lower_ascii))
 
 
+def digest(key: str) -> Column:
+    return F.unhex(F.sha2(key, 256))
+
+
 def positions(hashes: np.ndarray, bits: int) -> np.ndarray:
     h = hashes.view(np.uint64)
     return np.stack([h & np.uint64(bits - 1), (h >> np.uint64(33)) & np.uint64(bits - 1)]).astype(np.int64)
@@ -118,8 +123,9 @@ def suspects(docs: DataFrame, least_chars: int, max_bits: int) -> DataFrame:
 def drop_lists(docs: DataFrame, least_chars: int, least_docs: int, max_bits: int) -> DataFrame:
     """(doc_id, drop): the keys whose lines a document loses."""
     found = durable(suspects(docs, least_chars, max_bits))
-    known = found.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= least_docs).select("key", "keeper")
-    lost = found.hint("merge").join(known.hint("merge"), "key").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    known = found.groupBy("key").agg(F.count("*").alias("__rows"), F.max("doc_id").alias("keeper")).where(F.col("__rows") >= least_docs)
+    lines = found.withColumn("digest", digest("key"))
+    lost = join_counted(lines, durable(known.select(digest("key").alias("digest"), "keeper", "__rows")), "digest").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     return lost.groupBy("doc_id").agg(F.collect_set("key").alias("drop"))
 
 
