@@ -24,22 +24,28 @@ from .common import components, durable, join_counted, strings, table
 RADIUS = 3
 
 
-def fingerprint(text, words: int) -> int:
-    """The fingerprint as a signed 64-bit integer."""
+def shingle_hashes(text, words: int) -> np.ndarray:
+    """XXH64 of each word shingle, repeated ones too; none for a text without words, one for a text shorter than a shingle."""
     import xxhash
 
     tokens = (text or "").encode("utf-8", "replace").lower().split()
     if not tokens:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(tokens)
     if len(tokens) <= words:
-        hashes = np.array([xxhash.xxh64_intdigest(joined, 42)], np.uint64)
-    else:
-        sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
-        ends = np.cumsum(sizes + 1) - 1
-        starts = (ends - sizes)[: len(tokens) - words + 1].tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, ends[words - 1 :].tolist(), strict=True)), np.uint64, len(starts))
+        return np.array([xxhash.xxh64_intdigest(joined, 42)], np.uint64)
+    sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    ends = np.cumsum(sizes + 1) - 1
+    starts = (ends - sizes)[: len(tokens) - words + 1].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, ends[words - 1 :].tolist(), strict=True)), np.uint64, len(starts))
+
+
+def fingerprint(text, words: int) -> int:
+    """The fingerprint as a signed 64-bit integer."""
+    hashes = shingle_hashes(text, words)
+    if not len(hashes):
+        return 0
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
