@@ -25,7 +25,7 @@ from .common import strings, table
 
 # The element and role names of HTML, and class words that mark page furniture.
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']+|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=][^\s>/=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 SKIPPED = {"head", "script", "style", "noscript", "template", "iframe", "svg", "math", "canvas", "object", "audio", "video", "map", "nav", "footer", "aside", "menu", "form", "button", "select", "textarea", "input", "fieldset", "dialog", "title", "xmp", "noembed", "noframes"}
@@ -45,6 +45,14 @@ def step_name(tag: str, classes: str, ident: str) -> str:
     return ".".join([tag, *marks])
 
 
+def attributes_of(source: str) -> dict[str, str]:
+    """A tag's attributes by lower-cased name, read one after another; the first of a repeated name holds."""
+    found: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(source):
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return found
+
+
 def is_furniture(tag: str, attributes: dict[str, str], within_article: bool) -> bool:
     if tag in SKIPPED or tag == "header" and not within_article:
         return True
@@ -126,7 +134,7 @@ def blocks_of(html: str | None) -> list[tuple[str, tuple[tuple[int, str, str], .
             if tag == "br" and not inside:
                 pieces.append(" ")
             continue
-        attributes = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(found[3] or found[6] or "")} if (found[3] or found[6]) else {}
+        attributes = attributes_of(found[3] or found[6] or "")
         inside = inside or is_furniture(tag, attributes, any(s[0] == "article" for s in stack))
         if tag in CONTAINERS and not inside:
             made += 1

@@ -1,0 +1,15 @@
+"""Attributes of tags are read by exact name."""
+
+from docledger.llm.html_extraction import attributes_of, blocks_of
+
+
+def test_attributes_by_exact_name():
+    assert attributes_of(' href="/the-hidden-valley" title="the hidden id"') == {"href": "/the-hidden-valley", "title": "the hidden id"}
+    assert attributes_of(' class="story" data-class="sidebar" CLASS=menu') == {"class": "story", "data-class": "sidebar"}
+    assert attributes_of(" href=/w?id=ads&x=1 hidden id = 'a' aria-hidden=true/") == {"href": "/w?id=ads&x=1", "hidden": "", "id": "a", "aria-hidden": "true/"}
+    assert attributes_of('class="a"id="b"') == {"class": "a", "id": "b"}
+
+
+def test_no_words_are_lost_to_other_attributes():
+    page = '<div class="story" data-class="sidebar"><p>Go to <a href="/the-hidden-valley">the valley</a> or <a href="/w?id=ads&x=1">the shop</a> or <a title="the hidden id">home</a> <span hidden>gone</span>.</p></div>'
+    assert [t for t, _, _ in blocks_of(page)] == ["Go to the valley or the shop or home ."]
