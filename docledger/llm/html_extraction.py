@@ -1,180 +1,317 @@
 """Main-text extraction from web pages by consensus host paths.
 
-Every page is read into blocks of text, each under its chain of containers (body, div, section, article, main, ...). A container's
-path is its tags and classes from the body down, without digits. The page scores its containers by the blocks that they hold
-(length, commas, share of link text) and votes for the path of the best. Spark counts the votes of each host; the winning path of
-the host, if the page has it, else the page's own best, tells the containers whose blocks are the text. Menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles and reader comments are left out wherever they stand, by element, role, class
-or id. Votes are summed before they shuffle, and a host's winner is joined under salted keys, so a host with a third of all pages
-is no single task.
+Every page is read once from left to right into blocks of text, each under its chain of containers (body, div, section, article,
+main, ...). A container's path is its tags and classes from the body down, without digits. The page scores its containers by the
+text that they hold outside links and votes for the path of the best: the main or article element that holds half of it, else the
+smallest container with nine tenths of it, widened to its parent while prose of the parent would be left out. Spark counts the votes
+of each host; the winning path of the host, if the page has it, else the page's own best, tells the containers whose blocks are the
+text, with the headline and the prose that stand before them in their parent.
+
+Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out wherever they stand: by
+element, role and hiding for certain, by class and id on evidence. A class counts as a whole: one of the furniture words itself, or a
+compound of furniture words and neutral ones (``comment-list``, ``site-footer``), so ``has-sidebar`` and ``post-header`` are no
+furniture. What is so marked stays if an article or main element is inside, and if nothing else on the page has text.
+
+The votes are small rows and are summed before they shuffle; the winners are broadcast if they are at most ``broadcast_hosts``.
+Beyond that, hosts with more than one in 1,024 pages are broadcast and only the pages of the others move, to be joined by host. Pages
+do not move otherwise.
 
 Defined results: null, empty or text-less html gives an empty text; a page with null or host-less url has no consensus and uses its
-own best container; unclosed and misnested elements close as browsers close them, an unknown character reference stays as it is;
-repeated rows vote and are extracted each; the input's other columns are kept by ``extract`` unless they clash with a result.
+own best container; of equal votes the path with more text wins, then the smaller one; unclosed and misnested elements close as
+browsers close them, a ``<`` that opens no element and an unknown character reference stay as they are; repeated rows vote and are
+extracted each; the input's other columns are kept by ``extract``, those named html, text, n_chars or path are replaced, and names
+that begin with two underscores are safe. An empty table gives no rows. Time and memory grow with the page's length, whatever it holds.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_right
+from itertools import accumulate
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import strings, table
+from .common import durable, strings, table
 
-# The element and role names of HTML, and class words that mark page furniture.
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']+|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
-ATTRIBUTE = re.compile(r"""([^\s"'>/=][^\s>/=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
+# The element and role names of HTML, and class words that mark page furniture or say nothing.
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-SKIPPED = {"head", "script", "style", "noscript", "template", "iframe", "svg", "math", "canvas", "object", "audio", "video", "map", "nav", "footer", "aside", "menu", "form", "button", "select", "textarea", "input", "fieldset", "dialog", "title", "xmp", "noembed", "noframes"}
+SKIPPED = {"head", "script", "style", "noscript", "template", "iframe", "svg", "math", "canvas", "object", "audio", "video", "map", "nav", "footer", "aside", "menu", "button", "select", "textarea", "input", "dialog", "title", "xmp", "noembed", "noframes"}
+FORMS = {"form", "fieldset"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 FURNITURE = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "banner", "banners", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "consent", "cookie", "cookies", "disqus", "footer", "gdpr", "header", "login", "masthead", "menu", "menus", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pager", "pagination", "popup", "promo", "promos", "promotion", "recommended", "related", "replies", "respond", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget", "widgets"}
-BLOCKS = {"address", "article", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "legend", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"} | SKIPPED
-CONTAINERS = {"article", "body", "center", "div", "main", "section", "td"}
+NEUTRAL = {"area", "articles", "bar", "block", "bottom", "box", "button", "buttons", "container", "form", "global", "group", "icons", "inner", "item", "items", "left", "links", "list", "main", "outer", "page", "panel", "posts", "primary", "right", "secondary", "section", "site", "slot", "stories", "thread", "top", "unit", "wrap", "wrapper"}
+HEADERS = {"header", "masthead", "banner"}
+BLOCKS = {"address", "article", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "legend", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"} | SKIPPED | FORMS
+INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "datalist", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "meter", "output", "option", "optgroup", "picture", "progress", "q", "rp", "rt", "ruby", "s", "samp", "slot", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
+ELEMENTS = BLOCKS | INLINE | VOID
+CONTAINERS = {"article", "body", "center", "div", "main", "section", "td"} | FORMS
 CLOSES_P = BLOCKS - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "body", "html", "head", "button", "select", "input", "svg", "math", "legend"}
 #: Elements that end an open one of the same kinds, and where the search for it stops.
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-PREFERRED = {"article": 3.0, "main": 2.0}
+
+NAME = re.compile(r"[a-zA-Z][^\s/><]*")
+GAP = re.compile(r"[\s/]*")
+ATTRIBUTE = re.compile(r"""([^\s/><][^\s/><=]*)(?:\s*=\s*(?:"([^"]*+)"|'([^']*+)'|([^\s"'><][^\s><]*))?)?""")
+ENDING = {tag: re.compile(f"</{tag}[\\s/>]|</{tag}\\Z", re.I) for tag in RAW}
+PROSE_CHARS, PROSE_LINKS = 80, 0.3
+
+
+def is_prose(text: str, links: int) -> bool:
+    return len(text) >= PROSE_CHARS and links < PROSE_LINKS * len(text)
 
 
 def step_name(tag: str, classes: str, ident: str) -> str:
     """An element's part of a path: tag and classes (or id) without digits."""
-    marks = sorted({c for c in re.sub(r"\d+", "", (classes or ident or "").lower()).split() if c})
+    marks = sorted(set(re.sub(r"[\d/]+", "", (classes or ident or "").lower()).split()))
     return ".".join([tag, *marks])
 
 
-def attributes_of(source: str) -> dict[str, str]:
-    """A tag's attributes by lower-cased name, read one after another; the first of a repeated name holds."""
+def read_tag(html: str, at: int) -> tuple[dict[str, str], int, bool]:
+    """A tag's attributes by lower-cased name (the first of a repeated one), where the tag ends, and whether a ``>`` ends it."""
     found: dict[str, str] = {}
-    for m in ATTRIBUTE.finditer(source):
+    while True:
+        at = GAP.match(html, at).end()
+        if at >= len(html) or html[at] == "<":
+            return found, at, False
+        if html[at] == ">":
+            return found, at + 1, True
+        m = ATTRIBUTE.match(html, at)
         found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
-    return found
+        at = m.end()
+
+
+def attributes_of(source: str) -> dict[str, str]:
+    return read_tag(source, 0)[0]
 
 
-def is_furniture(tag: str, attributes: dict[str, str], within_article: bool) -> bool:
-    if tag in SKIPPED or tag == "header" and not within_article:
+def skipped(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
+    """Furniture for certain: by element, role or hiding."""
+    if tag in SKIPPED or tag == "header" and not in_article:
         return True
     if attributes.get("role", "").lower() in ROLES or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true":
         return True
-    if re.search(r"display\s*:\s*none", attributes.get("style", ""), re.I):
-        return True
-    words = re.split(r"[^a-z]+", (attributes.get("class", "") + " " + attributes.get("id", "")).lower())
-    return tag not in ("html", "body", "article", "main") and not FURNITURE.isdisjoint(words)
+    return re.search(r"display\s*:\s*none", attributes.get("style", ""), re.I) is not None
+
+
+def marked(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
+    """Furniture by a whole class or id; headers only outside articles."""
+    if tag in ("html", "body", "article", "main"):
+        return False
+    for token in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split():
+        words = {w for w in re.split(r"[-_\d]+", token) if w}
+        kinds = words & FURNITURE
+        if kinds and words <= FURNITURE | NEUTRAL and not (in_article and kinds <= HEADERS):
+            return True
+    return tag in FORMS
+
+
+class Node(NamedTuple):
+    """A container or marked element: its parent's number, tag, path step, and whether it is marked as furniture. Number 0 is the page."""
+
+    parent: int
+    tag: str
+    step: str
+    marked: bool
+
 
+class Block(NamedTuple):
+    """A block's pieces of text as (node, text, in a link), the container that holds it, and whether it is a headline."""
 
-def blocks_of(html: str | None) -> list[tuple[str, tuple[tuple[int, str, str], ...], int]]:
-    """Blocks in page order: text, containers from the body down as (number, tag, path), characters inside links."""
-    html, out, pieces = html or "", [], []
-    stack: list[tuple[str, bool, tuple]] = []  # tag, inside furniture, containers
-    links = made = at = 0
+    node: int
+    pieces: list[tuple[int, str, bool]]
+    headline: bool
 
-    def flush(containers):
-        nonlocal links
-        text = " ".join("".join(pieces).split())
-        if text:
-            out.append((text, containers, min(links, len(text))))
-        pieces.clear()
-        links = 0
 
-    def top():
-        return stack[-1] if stack else ("", False, ())
+def read(html: str | None) -> tuple[list[Node], list[Block]]:
+    """The page's nodes, parents first, and its blocks in page order. Every character is looked at a bounded number of times."""
+    html, nodes, blocks, pieces = html or "", [Node(-1, "", "", False)], [], []
+    stack: list[tuple[str, bool, int]] = []  # tag, skipped, node
+    places: dict[str, list[int]] = {}  # where in the stack each tag is open
+    at = 0
+
+    def nearest(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=-1)
+
+    def flush():
+        if pieces:
+            blocks.append(Block(stack[-1][2] if stack else 0, pieces.copy(), bool(places.get("h1"))))
+            pieces.clear()
 
     def add(raw: str):
-        nonlocal links
-        if raw and not top()[1]:
-            text = entities.unescape(raw)
-            pieces.append(text)
-            if any(s[0] == "a" for s in stack):
-                links += len(text.strip())
+        if raw and not (stack and stack[-1][1]):
+            pieces.append((stack[-1][2] if stack else 0, entities.unescape(raw), bool(places.get("a"))))
 
     def close(index: int):
         while len(stack) > index:
             if stack[-1][0] in BLOCKS:
-                flush(stack[-1][2])
-            stack.pop()
+                flush()
+            places[stack.pop()[0]].pop()
 
     while at < len(html):
-        found = TAG.search(html, at)
-        if not found:
+        sign = html.find("<", at)
+        if sign < 0:
             add(html[at:])
             break
-        add(html[at : found.start()])
-        at = found.end()
-        tag = (found[2] or found[5] or "").lower()
-        if not tag:
-            if found[0].startswith("<![CDATA["):
-                add(entities.escape(found[0][9:].removesuffix("]]>"), quote=False))
+        add(html[at:sign])
+        at = sign + 1
+        if html.startswith(("!", "?"), at):
+            opening, ending = next((p for p in (("!--", "-->"), ("![CDATA[", "]]>")) if html.startswith(p[0], at)), ("", ">"))
+            end = html.find(ending, at + len(opening))
+            if opening == "![CDATA[":
+                add(entities.escape(html[at + 8 : end if end >= 0 else len(html)], quote=False))
+            at = end + len(ending) if end >= 0 else len(html)
+            continue
+        ends = html.startswith("/", at)
+        name = NAME.match(html, at + ends)
+        if not name:
+            add("<")
+            continue
+        tag = name[0].lower()
+        attributes, end, whole = read_tag(html, name.end())
+        if not whole and tag not in ELEMENTS:
+            add("<")
             continue
-        if found[1] or found[4]:
-            where = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+        at = end
+        if ends:
             if tag == "br":
-                pieces.append(" ")
-            elif where is not None:
-                close(where)
+                add(" ")
+            elif places.get(tag):
+                close(places[tag][-1])
             continue
-        if tag in ("html", "body") and any(s[0] == tag for s in stack):
+        if tag in ("html", "body") and places.get(tag):
             continue
-        if tag == "body":
-            close(next((i for i, s in enumerate(stack) if s[0] == "head"), len(stack)))
+        if tag == "body" and places.get("head"):
+            close(places["head"][-1])
         if tag in CLOSES_P:
-            open_p = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in ("p", "td", "th", "button")), None)
-            if open_p is not None and stack[open_p][0] == "p":
+            open_p = nearest(("p", "td", "th", "button"))
+            if open_p >= 0 and stack[open_p][0] == "p":
                 close(open_p)
         if tag in IMPLIED:
-            ends, stops = IMPLIED[tag]
-            same = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in ends | stops), None)
-            if same is not None and stack[same][0] in ends:
+            kinds, stops = IMPLIED[tag]
+            same = nearest(kinds | stops)
+            if same >= 0 and stack[same][0] in kinds:
                 close(same)
-        inside, containers = top()[1:]
         if tag in BLOCKS:
-            flush(containers)
+            flush()
         if tag in VOID:
-            if tag == "br" and not inside:
-                pieces.append(" ")
+            if tag == "br":
+                add(" ")
             continue
-        attributes = attributes_of(found[3] or found[6] or "")
-        inside = inside or is_furniture(tag, attributes, any(s[0] == "article" for s in stack))
-        if tag in CONTAINERS and not inside:
-            made += 1
-            name = step_name(tag, attributes.get("class", ""), attributes.get("id", ""))
-            containers = (*containers, (made, tag, f"{containers[-1][2]}/{name}" if containers else name))
+        _, inside, node = stack[-1] if stack else ("", False, 0)
+        in_article = bool(places.get("article") or places.get("main"))
+        inside = inside or skipped(tag, attributes, in_article)
+        if not inside:
+            mark = marked(tag, attributes, in_article)
+            if mark or tag in CONTAINERS:
+                nodes.append(Node(node, tag, step_name(tag, attributes.get("class", ""), attributes.get("id", "")), mark))
+                node = len(nodes) - 1
         if tag in RAW:
-            ending = re.compile(f"</{tag}[\\s/>]|</{tag}\\Z", re.I).search(html, at)
-            at = html.find(">", ending.start()) + 1 or len(html) if ending else len(html)
+            found = ENDING[tag].search(html, at)
+            at = html.find(">", found.start()) + 1 or len(html) if found else len(html)
             continue
-        if not (found[3] or found[6] or "").rstrip().endswith("/") or tag in BLOCKS:
-            stack.append((tag, inside, containers))
-    flush(top()[2])
-    return out
-
-
-def container_scores(blocks) -> dict[int, tuple[float, str]]:
-    """Score and path of every container that holds text."""
-    scores: dict[int, list] = {}
-    for text, containers, links in blocks:
-        points = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - links / len(text))
-        for share, (number, tag, path) in zip((1.0, 0.5), reversed(containers), strict=False):
-            held = scores.setdefault(number, [0.0, path, PREFERRED.get(tag, 1.0)])
-            held[0] += share * points
-    return {n: (s * bonus, path) for n, (s, path, bonus) in scores.items()}
-
-
-def best_container(blocks) -> tuple[int, float, str] | None:
-    scores = container_scores(blocks)
-    return max(((n, s, p) for n, (s, p) in scores.items()), key=lambda x: (x[1], -x[0]), default=None)
-
-
-def text_under(blocks, path: str | None) -> tuple[str, str | None]:
-    """The text of the containers of this path, or of the page's best container; and the path used."""
-    chosen = [t for t, containers, _ in blocks if any(p == path for _, _, p in containers)] if path else []
-    if chosen:
-        return "\n\n".join(chosen), path
-    best = best_container(blocks)
-    if best is None:
-        return "\n\n".join(t for t, _, _ in blocks), None
-    return "\n\n".join(t for t, containers, _ in blocks if any(n == best[0] for n, _, _ in containers)), best[2]
+        if html[end - 2 : end] != "/>" or tag in BLOCKS or tag in INLINE:
+            places.setdefault(tag, []).append(len(stack))
+            stack.append((tag, inside, node))
+    flush()
+    return nodes, blocks
+
+
+class Page:
+    """A page's text by container, without furniture. Containers are numbered in page order, so each holds a range of numbers."""
+
+    def __init__(self, html: str | None):
+        self.nodes, read_blocks = read(html)
+        size = len(self.nodes)
+        up = [n.parent for n in self.nodes]
+        holds = [n.tag in ("article", "main") for n in self.nodes]
+        self.last = list(range(size))
+        for i in range(size - 1, 0, -1):
+            holds[up[i]] |= holds[i]
+            self.last[up[i]] = max(self.last[up[i]], self.last[i])
+        self.blocks = self.without([n.marked and not h for n, h in zip(self.nodes, holds, strict=True)], read_blocks) or self.without([False] * size, read_blocks)
+        self.keys, self.paths = [0] * size, {}
+        for i in range(1, size):
+            self.keys[i] = self.paths.setdefault((self.keys[up[i]], self.nodes[i].step), len(self.paths) + 1)
+        own, prose, heads = [0.0] * size, [0] * size, [0] * size
+        for node, text, links, headline in self.blocks:
+            own[node] += len(text) - links + 1e-6 * len(text)
+            prose[node] += is_prose(text, links)
+            heads[node] += headline and links < len(text)
+        sums = [list(accumulate(x, initial=0)) for x in (own, prose, heads)]
+        self.weights, self.prose, self.heads = ([x[self.last[i] + 1] - x[i] for i in range(size)] for x in sums)
+
+    def without(self, drop: list[bool], read_blocks: list[Block]) -> list[tuple[int, str, int, bool]]:
+        """(container, text, characters in links, headline) of the blocks that have text outside the dropped nodes."""
+        for i in range(1, len(drop)):
+            drop[i] = drop[i] or drop[self.nodes[i].parent]
+        found = []
+        for node, pieces, headline in read_blocks:
+            kept = [(t, link) for n, t, link in pieces if not drop[n]]
+            text = " ".join("".join(t for t, _ in kept).split())
+            if text:
+                found.append((node, text, min(len(text), sum(len(t.strip()) for t, link in kept if link)), headline))
+        return found
+
+    def inside(self, node: int, root: int) -> bool:
+        return root <= node <= self.last[root]
+
+    def best(self) -> int | None:
+        """The page's own main container; None without text."""
+        if not self.blocks:
+            return None
+        root = 0
+        for tag in ("main", "article"):
+            outer: list[int] = []
+            for i in range(root, self.last[root] + 1):
+                if self.nodes[i].tag == tag and 2 * self.weights[i] >= self.weights[root] and not (outer and self.inside(i, outer[-1])):
+                    outer.append(i)
+            if len(outer) == 1:
+                root = outer[0]
+        if root == 0:
+            root = min((i for i, w in enumerate(self.weights) if w >= 0.9 * self.weights[0]), key=lambda i: (self.weights[i], -i))
+            while root:
+                parent = self.nodes[root].parent
+                if self.prose[parent] == self.prose[root] and (self.heads[root] or not self.heads[parent]):
+                    break
+                root = parent
+        return root
+
+    def path(self, node: int) -> str:
+        steps = []
+        while node >= 0:
+            steps.append(self.nodes[node].step)
+            node = self.nodes[node].parent
+        return "/".join(reversed(steps))
+
+    def at_path(self, path: str) -> list[int]:
+        """The containers of this path that hold text."""
+        key = 0
+        for step in path.split("/")[1:]:
+            key = self.paths.get((key, step), -1)
+        return [i for i, k in enumerate(self.keys) if k == key and self.weights[i]]
+
+    def text(self, path: str | None) -> tuple[str, str | None]:
+        """The text of the containers of this path, or of the page's best container; and the path used."""
+        if not self.blocks:
+            return "", None
+        roots = self.at_path(path) if path is not None else []
+        if not roots:
+            best = self.best()
+            roots, path = [best], self.path(best)
+        parent, trusted, headed = self.nodes[roots[0]].parent, self.nodes[roots[0]].tag in ("article", "main"), self.heads[roots[0]]
+        held, begun = [], False
+        for node, text, links, headline in self.blocks:
+            at = roots[max(0, bisect_right(roots, node) - 1)]
+            if self.inside(node, at):
+                begun = True
+                held.append(text)
+            elif not begun and parent >= 0 and self.inside(node, parent) and (headline and not headed and links < len(text) or not trusted and is_prose(text, links)):
+                held.append(text)
+        return "\n\n".join(held), path
 
 
 def host_of(url):
@@ -185,37 +322,55 @@ def votes(frames):
     import pandas as pd
 
     for frame in frames:
-        best = [best_container(blocks_of(h)) for h in strings(frame["html"])]
-        there = [i for i, b in enumerate(best) if b]
-        if there:
-            yield pd.DataFrame({"host": strings(frame["host"].iloc[there]), "path": [best[i][2] for i in there], "points": [best[i][1] for i in there]})
+        rows = []
+        for host, html in zip(strings(frame["host"]), strings(frame["html"]), strict=True):
+            page = Page(html)
+            best = page.best()
+            if best is not None:
+                rows.append((host, page.path(best), page.weights[best]))
+        if rows:
+            yield pd.DataFrame(rows, columns=["host", "path", "points"]).groupby(["host", "path"], as_index=False).agg(n=("points", "size"), points=("points", "sum"))
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """(host, path): the path that most of the host's pages vote for; ties go to the higher score, then the smaller path."""
-    ballots = pages.select(host_of(F.col("url")).alias("host"), "html").where("host is not null").mapInPandas(votes, "host string, path string, points double")
-    counted = ballots.groupBy("host", "path").agg(F.count("*").alias("n"), F.round(F.sum("points"), 3).alias("points"))
-    return counted.groupBy("host").agg(F.min_by("path", F.struct(-F.col("n"), -F.col("points"), "path")).alias("path"))
-
-
-def extract(pages: DataFrame, salts: int = 16) -> DataFrame:
-    """Rows of ``pages`` without html, with text, n_chars and path (columns of these names are replaced)."""
-    kept = [F.col(f"`{c}`") for c in pages.columns if c not in ("html", "text", "n_chars", "path")]
+    """(host, path, __rows): the path that most of the host's pages vote for, and how many pages voted."""
+    ballots = pages.select(host_of(F.col("url")).alias("host"), "html").where("host is not null").mapInPandas(votes, "host string, path string, n long, points double")
+    counted = ballots.groupBy("host", "path").agg(F.sum("n").alias("n"), F.round(F.sum("points"), 3).alias("points"))
+    return counted.groupBy("host").agg(F.min_by("path", F.struct(-F.col("n"), -F.col("points"), "path")).alias("path"), F.sum("n").alias("__rows"))
+
+
+def with_host_path(pages: DataFrame, broadcast_hosts: int) -> DataFrame:
+    """``pages`` with __path, null where the page's host has none."""
+    paths = durable(host_paths(pages)).withColumnsRenamed({"host": "__host", "path": "__path"})
+    keyed = pages.withColumn("__page_host", host_of(F.col("url")))
+    here = F.col("__page_host") == F.col("__host")
+    if paths.limit(broadcast_hosts + 1).count() <= broadcast_hosts:
+        found = keyed.join(F.broadcast(paths.drop("__rows")), here, "left")
+    else:
+        total = paths.agg(F.sum("__rows")).first()[0]
+        hot = F.col("__rows") * 1024 > total
+        few, rest = paths.where(hot).drop("__rows"), paths.where(~hot).drop("__rows")
+        stay = keyed.join(F.broadcast(few), here, "left").where("__page_host is null or __host is not null")
+        move = keyed.where("__page_host is not null").join(F.broadcast(few.select("__host")), here, "left_anti")
+        found = stay.unionByName(move.hint("merge").join(rest.hint("merge"), here, "left"))
+    return found.drop("__page_host", "__host")
+
+
+def extract(pages: DataFrame, broadcast_hosts: int = 200_000) -> DataFrame:
+    """Rows of ``pages`` (url, html, ...) without html, with text, n_chars and path (columns of these names are replaced)."""
     fields = [f for f in pages.schema.fields if f.name not in ("html", "text", "n_chars", "path")]
-    salted = host_paths(pages).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumnsRenamed({"host": "__host", "path": "__path"})
-    keyed = pages.withColumns({"__page_host": host_of(F.col("url")), "__page_salt": F.pmod(F.xxhash64("html"), F.lit(salts)).cast("int")})
-    found = keyed.hint("merge").join(salted.hint("merge"), (F.col("__page_host") == F.col("__host")) & (F.col("__page_salt") == F.col("__salt")), "left")
+    found = with_host_path(pages.drop("text", "n_chars", "path"), broadcast_hosts)
 
-    def run(frames):
-        import pandas as pd
+    def run(batches):
+        import pyarrow as pa
 
-        for frame in frames:
-            texts = [text_under(blocks_of(h), p if isinstance(p, str) else None) for h, p in zip(strings(frame["html"]), frame["__path"], strict=True)]
-            own = {f.name: strings(frame[f.name]) if f.dataType.simpleString() == "string" else frame[f.name] for f in fields}
-            yield pd.DataFrame(own | {"text": [t for t, _ in texts], "n_chars": [len(t) for t, _ in texts], "path": [p for _, p in texts]}, index=frame.index)
+        for batch in batches:
+            texts = [Page(h).text(p) for h, p in zip(batch["html"].to_pylist(), batch["__path"].to_pylist(), strict=True)]
+            made = [pa.array([t for t, _ in texts], pa.string()), pa.array([len(t) for t, _ in texts], pa.int64()), pa.array([p for _, p in texts], pa.string())]
+            yield pa.RecordBatch.from_arrays([*(batch[f.name] for f in fields), *made], [*(f.name for f in fields), "text", "n_chars", "path"])
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields)
-    return found.select(*kept, "html", "__path").mapInPandas(run, schema + "text string, n_chars long, path string")
+    return found.select(*(f"`{f.name}`" for f in fields), "html", "__path").mapInArrow(run, schema + "text string, n_chars long, path string")
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
