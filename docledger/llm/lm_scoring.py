@@ -6,14 +6,18 @@ last 0 to ``depth`` bytes, how often 0 and 1 followed in the training texts. Eac
 context-tree weighting mixes the estimates of all depths by the weights P_e / (2 P_w) that the training counts give. A path stops
 at the deepest context that training has seen. The code length per byte is the sum of -log2 over the decisions.
 
-Spark counts (context, byte) grams and words of all training texts; context subtrees are built where their last two context bytes
-hash to, and only the two uppermost levels (at most 65,536 nodes) meet in the driver. The scored grams are broadcast in tables of
-at most ``table_rows`` rows each; where the corpus has more, the texts are read once for each table and the parts are added, so
-nothing is capped. Tables reach the driver as packed columns, one row per task, not as rows of grams. Words: counts of the 65,536 most frequent are broadcast, all others are joined by their hash. Words are told
-apart by a 64-bit hash.
+Neither counts nor scores pass through the driver or a table that every task holds. Tasks cut the texts into blocks and write, for
+each block, its text and its distinct grams (context, byte) and words with their training counts, dealt into parts by a hash of the
+three nearest context bytes or of the word; all are sorted and packed, a few bytes a gram, and checkpointed, so later steps read the
+same blocks whatever is run again. A part meets the grams of all blocks in one group: it sums their counts, builds the context trees
+from three bytes down and answers every block with the scores of its own grams; the block's text then meets its answers. Only the
+tree above three context bytes, at most 65,536 contexts of 255 decisions whatever the corpus, and two sums pass through the driver.
+A part holds about ``part_bytes`` of text's share of the distinct grams; a frequent context of three bytes is one part's.
 
 Defined results: null text counts as empty (one end token); null training flag counts as not training; repeated rows are scored
-each; without training texts every decision has probability 1/2; columns other than doc_id, text and the flag are not read.
+each; without training texts every decision has probability 1/2; columns other than doc_id, text and the flag are not read, so
+others may clash. An empty table gives no rows. Texts of any length are cut at words into blocks; ties do not occur. Words are told
+apart by a 64-bit hash; scores of single grams are kept to 2^-21 of a decimal digit.
 """
 
 from __future__ import annotations
@@ -22,56 +26,71 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, find, mixed, partitions, strings, summed_by, table
+from .common import durable, mixed, strings, table
 
-END, CHUNK, HOT_WORDS = 10, 2 << 20, 65_536
+END, CHUNK = 10, 2 << 20
 END_HASH, BASE = np.uint64(0x1234567), np.uint64(0x9E3779B97F4A7C15)
+GRAMS, WORDS, TEXTS = 0, 1, 2
+LOCAL = 3  # context bytes whose trees are built inside a part
+STEP = 1 << 20  # a score's unit is 1 / STEP of a decimal digit
+MAX_PARTS = 1 << 17
+PIECE = "kind int, place long, block long, size long, a binary, b binary, doc_ids array<long>, train array<boolean>"
 _powers: dict[str, np.ndarray] = {}
+_tables: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def normalised(text) -> bytes:
     return b" ".join((text or "").encode("utf-8", "replace").lower().split())
 
 
-def segments(texts, depth: int):
-    """Chunks of texts as (bytes, document of each byte or -1 for context): each document, or part of it, after ``depth`` bytes of context."""
-    parts, owners, size = [], [], 0
-    for i, text in enumerate(texts):
-        body = normalised(text) + b"\n"
-        start = 0
-        while start < len(body):
-            cut = len(body) if len(body) - start <= CHUNK else (body.find(b" ", start + CHUNK) + 1 or len(body))
-            context = body[max(0, start - depth) : start].rjust(depth, b"\n")
-            parts += [context, body[start:cut]]
-            owners += [(-1, depth), (i, cut - start)]
-            size += cut - start + depth
-            start = cut
-            if size >= CHUNK:
-                yield b"".join(parts), np.repeat(*np.array(owners).T)
-                parts, owners, size = [], [], 0
-    if parts:
-        yield b"".join(parts), np.repeat(*np.array(owners).T)
-
-
-def gram_codes(x: np.ndarray, owner: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte that is not context: its code (byte, then the bytes before it from the nearest on), and its document."""
-    wide = x.astype(np.uint64)
-    codes = wide[depth:].copy()
-    for d in range(1, depth + 1):
-        codes |= wide[depth - d : len(x) - d] << np.uint64(8 * d)
-    own = owner[depth:]
-    return codes[own >= 0], own[own >= 0]
+def packed(x: np.ndarray) -> bytes:
+    """An array as compressed planes of its bytes: sorted or small values shrink to a few bits."""
+    import pyarrow as pa
+
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes(), codec="zstd", asbytes=True) if len(x) else b""
+
+
+def unpacked(blob: bytes, size: int, kind) -> np.ndarray:
+    import pyarrow as pa
+
+    width = np.dtype(kind).itemsize
+    if not size:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(pa.decompress(blob, decompressed_size=size * width, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, size).T).reshape(-1).view(kind)
+
+
+def pieces_of(body: bytes, most: int):
+    """A text's body in pieces of about ``most`` bytes that end after a space."""
+    start = 0
+    while start < len(body):
+        cut = len(body) if len(body) - start <= most else (body.find(b" ", start + most) + 1 or len(body))
+        yield start, cut
+        start = cut
+
+
+def gram_codes(x: np.ndarray, owner: np.ndarray, depth: int):
+    """(codes, documents) of the bytes that are not context, a chunk at a time. A code has the nearest byte before on top, then the
+    others, then the byte itself."""
+    for start in range(depth, len(x), CHUNK):
+        stop = min(len(x), start + CHUNK)
+        wide = x[start - depth : stop].astype(np.uint64)
+        codes = wide[depth:].copy()
+        for d in range(1, depth + 1):
+            codes |= wide[depth - d : len(wide) - d] << np.uint64(8 * (depth + 1 - d))
+        own = owner[start:stop]
+        real = own >= 0
+        yield codes[real], own[real]
 
 
 def word_codes(x: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and document of each token. A word's hash is that of its bytes; the end has its own."""
     if len(_powers.get("up", ())) < len(x) + 1:
-        n = 2 * len(x) + 1
         inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
         with np.errstate(over="ignore"):
-            _powers["up"] = np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, BASE)])
-            _powers["down"] = np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, inverse)])
-    own = np.where(owner >= 0, x, END)  # a part begins after a space, so no word lies across the context
+            _powers["up"] = np.multiply.accumulate(np.r_[np.uint64(1), np.full(len(x), BASE)])
+            _powers["down"] = np.multiply.accumulate(np.r_[np.uint64(1), np.full(len(x), inverse)])
+    own = np.where(owner >= 0, x, END)  # a piece begins after a space, so no word lies across the context
     gap = np.flatnonzero((own == 32) | (own == END))
     start, stop = np.r_[0, gap[:-1] + 1], gap
     real = stop > start
@@ -84,42 +103,81 @@ def word_codes(x: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.r_[code, np.full(len(ends), END_HASH)], np.r_[owner[start], owner[ends]]
 
 
-def signed(x: np.ndarray) -> np.ndarray:
-    return x.astype(np.uint64).view(np.int64)
-
-
-def counted(depth: int):
-    """Per task: grams (kind 0) with their count in training texts, 0 for those of other texts only, and training words (kind 1)."""
+def owners(lengths: np.ndarray, depth: int) -> np.ndarray:
+    """The document of each byte of a block, -1 for the ``depth`` bytes of context before each piece."""
+    marks = np.stack([np.full(len(lengths), -1), np.arange(len(lengths))], axis=1).ravel()
+    return np.repeat(marks, np.stack([np.full(len(lengths), depth), lengths], axis=1).ravel())
+
+
+def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, with the sum of the counts of each."""
+    key, n = np.concatenate([np.zeros(0, np.uint64), *keys]), np.concatenate([np.zeros(0, np.int64), *counts])
+    if len(keys) < 2 or not len(key):
+        return key, n
+    order = np.argsort(key)
+    key, n = key[order], n[order]
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    return key[starts], np.add.reduceat(n, starts)
+
+
+def training_counts(batches) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes with their number in training; ``batches`` are (codes, whether each is training)."""
+    keys, counts = [], []
+    for codes, train in batches:
+        key, n = np.unique(codes[train], return_counts=True)
+        other = np.unique(codes[~train])
+        keys += [key, other]
+        counts += [n, np.zeros(len(other), np.int64)]
+    return summed(keys, counts)
+
+
+def part_of(kind: int, keys: np.ndarray, parts: int, depth: int) -> np.ndarray:
+    near = keys >> np.uint64(8 * (depth + 1 - LOCAL)) if kind == GRAMS else keys
+    return (mixed(near) % np.uint64(parts)).astype(np.int64)
+
+
+def block_pieces(depth: int, parts: dict[int, int], block_bytes: int):
+    """Per task: blocks of documents, each as a row of its text and rows of its grams and words by part."""
+
+    def finish(block: int, entries: list[tuple]):
+        body, lengths = b"".join(e[0] for e in entries), np.array([len(e[0]) - depth for e in entries], np.int64)
+        train = np.array([e[3] for e in entries], bool)
+        uids = np.array([e[1] for e in entries], np.int64)
+        x, owner = np.frombuffer(body, np.uint8), owners(lengths, depth)
+        yield (TEXTS, block, block, len(body), packed(x), np.stack([lengths, uids]).tobytes(), [e[2] for e in entries], train.tolist())
+        words, own = word_codes(x, owner)
+        for kind, batches in ((GRAMS, ((c, train[o]) for c, o in gram_codes(x, owner, depth))), (WORDS, [(words, train[own])])):
+            keys, n = training_counts(batches)
+            at = part_of(kind, keys, parts[kind], depth)
+            order = np.argsort(at, kind="stable")
+            keys, n, at = keys[order], n[order].astype(np.uint32), at[order]
+            cuts = np.r_[np.flatnonzero(np.r_[True, at[1:] != at[:-1]]), len(at)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                yield (kind, int(at[a]), block, int(b - a), packed(keys[a:b]), packed(n[a:b]), None, None)
 
     def run(frames):
         import pandas as pd
+        from pyspark import TaskContext
 
-        held: dict[int, list] = {0: [], 1: []}
+        first = TaskContext.get().partitionId() << 40
+        block = made = first
+        entries, size = [], 0
 
-        def merge(kind):
-            keys, n = summed_by(np.concatenate([k for k, _ in held[kind]] or [np.zeros(0, np.uint64)]), np.concatenate([v for _, v in held[kind]] or [np.zeros(0, np.int64)]))
-            held[kind] = [(keys, n)]
-            return keys, n
+        def closed():
+            return pd.DataFrame(list(finish(block, entries)), columns=["kind", "place", "block", "size", "a", "b", "doc_ids", "train"])
 
         for frame in frames:
-            train = frame["train"].to_numpy(dtype=bool)
-            for blob, owner in segments(strings(frame["text"]), depth):
-                x = np.frombuffer(blob, np.uint8)
-                codes, own = gram_codes(x, owner, depth)
-                at, keys = pd.factorize(codes)
-                held[0].append((keys, np.bincount(at, train[own], len(keys)).astype(np.int64)))
-                words, own = word_codes(x, owner)
-                at, keys = pd.factorize(words[train[own]])
-                held[1].append((keys, np.bincount(at, minlength=len(keys)).astype(np.int64)))
-                for kind in (0, 1):
-                    if len(held[kind]) > 1 and sum(len(k) for k, _ in held[kind][1:]) > max(1 << 20, len(held[kind][0][0])):
-                        if len(merge(kind)[0]) > 3 << 20:
-                            keys, n = held[kind].pop()
-                            yield pd.DataFrame({"kind": kind, "key": signed(keys), "n": n})
-        for kind in (0, 1):
-            keys, n = merge(kind)
-            for i in range(0, len(keys), 1 << 18):
-                yield pd.DataFrame({"kind": kind, "key": signed(keys[i : i + (1 << 18)]), "n": n[i : i + (1 << 18)]})
+            for text, doc_id, train in zip(strings(frame["text"]), frame["doc_id"].astype("Int64"), frame["train"], strict=True):
+                body = normalised(text) + b"\n"
+                for start, cut in pieces_of(body, block_bytes):
+                    entries.append((body[max(0, start - depth) : start].rjust(depth, b"\n") + body[start:cut], made, None if doc_id is pd.NA else int(doc_id), bool(train)))
+                    size += cut - start + depth
+                    if size >= block_bytes:
+                        yield closed()
+                        entries, size, block = [], 0, block + 1
+                made += 1
+        if entries:
+            yield closed()
 
     return run
 
@@ -134,7 +192,19 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
 
 def kt_log(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Natural log of the Krichevsky-Trofimov probability of a zeros and b ones."""
-    return log_gamma(a + 0.5) + log_gamma(b + 0.5) - log_gamma(a + b + 1.0) - 1.1447298858494002
+    if not _tables:
+        n = np.arange(1 << 16, dtype=float)
+        _tables.append((log_gamma(n + 0.5), log_gamma(n + 1.0)))
+    half, whole = _tables[0]
+    few = a + b < len(half)
+    if few.all():
+        a, b = a.astype(np.int64), b.astype(np.int64)
+        return half[a] + half[b] - whole[a + b] - 1.1447298858494002
+    out = np.empty(len(a))
+    out[few] = kt_log(a[few], b[few])
+    a, b = a[~few].astype(float), b[~few].astype(float)
+    out[~few] = log_gamma(a + 0.5) + log_gamma(b + 0.5) - log_gamma(a + b + 1.0) - 1.1447298858494002
+    return out
 
 
 def weighted(estimate: np.ndarray, children: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,196 +213,203 @@ def weighted(estimate: np.ndarray, children: np.ndarray) -> tuple[np.ndarray, np
     return total, np.exp(estimate - np.log(2) - total)
 
 
-def decisions(codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    byte = codes & np.uint64(255)
-    return (np.uint64(1) << np.uint64(k)) | (byte >> np.uint64(8 - k)), ((byte >> np.uint64(7 - k)) & np.uint64(1)).astype(bool)
-
-
-def node_keys(codes: np.ndarray, node: np.ndarray, d: int) -> np.ndarray:
-    return (((codes >> np.uint64(8)) & np.uint64((1 << 8 * d) - 1)) << np.uint64(8)) | node
-
-
-def subtrees(codes: np.ndarray, n: np.ndarray, k: int, depth: int, least: int):
-    """Levels least..depth of decision k: sorted node keys, zeros, ones, stopping weights; and the log P_w of the level ``least``."""
-    node, bit = decisions(codes, k)
-    levels, below, n = {}, None, n.astype(float)
-    keys, zeros, ones = node_keys(codes, node, depth), np.where(bit, 0, n), np.where(bit, n, 0)
-    for d in range(depth, least - 1, -1):
-        up = keys if below is None else (((keys >> np.uint64(8)) & np.uint64((1 << 8 * d) - 1)) << np.uint64(8)) | (keys & np.uint64(255))
-        level, at = np.unique(up, return_inverse=True)
-        zeros, ones = np.bincount(at, zeros, len(level)), np.bincount(at, ones, len(level))
-        estimate = kt_log(zeros, ones)
-        below, stop = (estimate, np.ones(len(level))) if below is None else weighted(estimate, np.bincount(at, below, len(level)))
-        levels[d], keys = (level, zeros, ones, stop), level
-    return levels, below
+class Trees:
+    """The context trees of one part's grams, from LOCAL context bytes down to ``depth``, one decision at a time."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray, depth: int):
+        self.keys, self.n, self.depth = keys, n, depth
+        self.byte = (keys & np.uint64(255)).astype(np.int64)
+        self.orders: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for d in range(LOCAL, depth + 1):  # grams by context of d bytes, then by byte: the decisions below a context are neighbours
+            context = keys >> np.uint64(8 * (depth + 1 - d))
+            code = (np.cumsum(np.r_[False, context[1:] != context[:-1]]) << 8) | self.byte
+            order = np.argsort(code) if d < depth else np.arange(len(keys))
+            self.orders[d] = order, code[order]
+
+    def decision(self, k: int):
+        """Levels LOCAL to depth of decision k as (node of each gram, zeros, ones, stopping weight); the grams that stand for the
+        uppermost level's nodes, and the log P_w of these."""
+        levels, below, stand = {}, None, None
+        for d in range(self.depth, LOCAL - 1, -1):
+            order, code = self.orders[d]
+            node = code >> (8 - k)
+            new = np.r_[True, node[1:] != node[:-1]]
+            starts, n = np.flatnonzero(new), self.n[order]
+            ones = np.add.reduceat(n * ((code >> (7 - k)) & 1), starts)
+            zeros = np.add.reduceat(n, starts) - ones
+            of = np.empty(len(order), np.int64)
+            of[order] = np.cumsum(new) - 1
+            estimate = kt_log(zeros, ones)
+            if below is None:
+                below, stop = estimate, np.ones(len(starts))
+            else:
+                below, stop = weighted(estimate, np.bincount(of[stand], below, len(starts)))
+            stand = order[starts]
+            levels[d] = of, zeros, ones, stop
+        return levels, stand, below
+
+    def above(self, k: int, d: int) -> np.ndarray:
+        """Keys of the nodes of decision k at level d < LOCAL: context and decision node."""
+        context = (self.keys >> np.uint64(8 * (self.depth + 1 - d))).astype(np.int64) if d else np.zeros(len(self.keys), np.int64)
+        return (context << 8) | (1 << k) | (self.byte >> (8 - k))
+
+
+def gathered(frame) -> tuple[np.ndarray, np.ndarray]:
+    rows = list(zip(frame["a"], frame["b"], frame["size"], strict=True))
+    return summed([unpacked(a, s, np.uint64) for a, _, s in rows], [unpacked(b, s, np.uint32).astype(np.int64) for _, b, s in rows])
 
 
 def upper_sums(depth: int):
-    """Per task: zeros, ones and summed log P_w of the children, for the nodes with one context byte."""
+    """Of a part of grams: zeros, ones and summed log P_w of the children, for the nodes with LOCAL - 1 context bytes. Of a part of
+    words (node -1): how many are in training texts, and how often."""
 
-    def run(frames):
+    def run(frame):
         import pandas as pd
 
-        frames = [f for f in frames if len(f)]
-        if not frames:
-            return
-        codes, n = np.concatenate([f["key"].to_numpy() for f in frames]).view(np.uint64), np.concatenate([f["n"].to_numpy() for f in frames])
-        codes, n = codes[n > 0], n[n > 0]
-        for k in range(8):
-            levels, logs = subtrees(codes, n, k, depth, 2)
-            keys, zeros, ones, _ = levels[2]
-            up = (((keys >> np.uint64(8)) & np.uint64(255)) << np.uint64(8)) | (keys & np.uint64(255))
-            level, at = np.unique(up, return_inverse=True)
-            yield pd.DataFrame({"node": level.astype(np.int64), "zeros": np.bincount(at, zeros, len(level)), "ones": np.bincount(at, ones, len(level)), "logs": np.bincount(at, logs, len(level))})
+        keys, n = gathered(frame)
+        if frame["kind"].iloc[0] == WORDS:
+            return pd.DataFrame({"node": [-1], "zeros": [int((n > 0).sum())], "ones": [int(n.sum())], "logs": [0.0]})
+        seen = n > 0
+        trees, out = Trees(keys[seen], n[seen], depth), []
+        for k in range(8 if seen.any() else 0):
+            levels, stand, logs = trees.decision(k)
+            _, zeros, ones, _ = levels[LOCAL]
+            node, at = np.unique(trees.above(k, LOCAL - 1)[stand], return_inverse=True)
+            out.append(pd.DataFrame({"node": node, "zeros": np.bincount(at, zeros).astype(np.int64), "ones": np.bincount(at, ones).astype(np.int64), "logs": np.bincount(at, logs)}))
+        return pd.concat(out) if out else pd.DataFrame({"node": np.zeros(0, np.int64), "zeros": np.zeros(0, np.int64), "ones": np.zeros(0, np.int64), "logs": np.zeros(0)})
 
     return run
 
 
 def top_levels(rows) -> list[tuple[np.ndarray, ...]]:
-    """Levels 0 and 1 as arrays over (context byte, decision node): zeros, ones, stopping weights."""
-    zeros, ones, logs = np.zeros(65_536), np.zeros(65_536), np.zeros(65_536)
-    node = rows["node"].to_numpy()
-    zeros[node], ones[node], logs[node] = rows["zeros"], rows["ones"], rows["logs"]
-    total, stop = weighted(kt_log(zeros, ones), logs)
-    total[zeros + ones == 0] = 0
-    fold = lambda x: x.reshape(256, 256).sum(0)
-    return [(fold(zeros), fold(ones), weighted(kt_log(fold(zeros), fold(ones)), fold(total))[1]), (zeros, ones, stop)]
+    """Levels 0 to LOCAL - 1 as (sorted node keys, zeros, ones, stopping weights)."""
+    order = np.argsort(rows["node"].to_numpy())
+    node, zeros, ones, logs = (rows[c].to_numpy()[order] for c in ("node", "zeros", "ones", "logs"))
+    found = []
+    for d in range(LOCAL - 1, -1, -1):
+        total, stop = weighted(kt_log(zeros, ones), logs)
+        found.append((node, zeros, ones, stop))
+        context = (node >> 16) if d > 1 else np.zeros(len(node), np.int64)  # the farthest byte is the lowest of a context
+        node, at = np.unique((context << 8) | (node & 255), return_inverse=True)
+        zeros, ones, logs = (np.bincount(at, v, len(node)) for v in (zeros, ones, total))
+        zeros, ones = zeros.astype(np.int64), ones.astype(np.int64)
+    return found[::-1]
+
+
+class Path:
+    """Mixing weights along the contexts of many decisions at once, from the empty context down."""
+
+    def __init__(self, bit: np.ndarray):
+        self.bit, self.alive = bit, np.ones(len(bit), bool)
+        self.last, self.mass, self.p = np.full(len(bit), 0.5), np.ones(len(bit)), np.zeros(len(bit))
+
+    def down(self, zeros, ones, stop, there=True):
+        n = zeros + ones
+        self.alive = self.alive & there & (n > 0)
+        here = (np.where(self.bit, ones, zeros) + 0.5) / (n + 1)
+        self.p += np.where(self.alive, self.mass * stop * here, 0.0)
+        self.mass = np.where(self.alive, self.mass * (1 - stop), self.mass)
+        self.last = np.where(self.alive, here, self.last)
+
+    def log10(self) -> np.ndarray:
+        return np.log10(self.p + self.mass * self.last)
+
+
+def gram_scores(keys: np.ndarray, n: np.ndarray, depth: int, top) -> np.ndarray:
+    """-log10 of each gram's byte after its context, in units of 1 / STEP."""
+    trees, total = Trees(keys, n, depth), np.zeros(len(keys))
+    for k in range(8):
+        path = Path(((trees.byte >> (7 - k)) & 1).astype(bool))
+        for d in range(LOCAL):
+            node, zeros, ones, stop = top[d]
+            if not len(node):
+                break
+            want, at = np.unique(trees.above(k, d), return_inverse=True)
+            place = np.minimum(np.searchsorted(node, want), len(node) - 1)
+            path.down(zeros[place][at], ones[place][at], stop[place][at], (node[place] == want)[at])
+        levels, _, _ = trees.decision(k)
+        for d in range(LOCAL, depth + 1):
+            of, zeros, ones, stop = levels[d]
+            path.down(zeros[of], ones[of], stop[of])
+        total -= path.log10()
+    return np.rint(total * STEP).astype(np.uint32)
+
+
+def answers(depth: int, top):
+    """Of a part: for each of its blocks the keys again, with their scores (grams) or counts (words)."""
+
+    def run(frame):
+        import pandas as pd
 
+        keys, n = gathered(frame)
+        value = gram_scores(keys, n, depth, top.value) if frame["kind"].iloc[0] == GRAMS else n
+        made = [packed(value[np.searchsorted(keys, unpacked(a, s, np.uint64))]) for a, s in zip(frame["a"], frame["size"], strict=True)]
+        return pd.DataFrame({"kind": frame["kind"], "block": frame["block"], "size": frame["size"], "a": frame["a"], "b": made})
 
-def gram_scores(depth: int, top, tables: int):
-    """Per task: log10 probability of each gram's byte after its context, as packed columns for each of the tables."""
+    return run
 
-    def run(frames):
-        import pandas as pd
 
-        frames = [f for f in frames if len(f)]
-        if not frames:
-            return
-        codes, n = np.concatenate([f["key"].to_numpy() for f in frames]).view(np.uint64), np.concatenate([f["n"].to_numpy() for f in frames])
-        seen, (root, first), total = n > 0, top.value, np.zeros(len(codes))
-        for k in range(8):
-            levels, _ = subtrees(codes[seen], n[seen], k, depth, 2) if seen.any() else ({}, None)
-            node, bit = decisions(codes, k)
-            last, mass, p, alive = np.full(len(codes), 0.5), np.ones(len(codes)), np.zeros(len(codes)), np.ones(len(codes), bool)
-            for d in range(depth + 1):
-                keys = node_keys(codes, node, d)
-                if d < 2:
-                    zeros, ones, stop = (root, first)[d]
-                    at = keys.astype(np.int64)
-                    there = zeros[at] + ones[at] > 0
-                elif levels:
-                    level, zeros, ones, stop = levels[d]
-                    at, there = find(level, keys)
-                else:
-                    break
-                alive = alive & there
-                at = at[alive]
-                a, b = zeros[at], ones[at]
-                last[alive] = (np.where(bit[alive], b, a) + 0.5) / (a + b + 1)
-                p[alive] += mass[alive] * stop[at] * last[alive]
-                mass[alive] *= 1 - stop[at]
-            total += np.log10(p + mass * last)
-        part = mixed(codes) % np.uint64(tables)
-        for i in range(tables):
-            mine = part == i
-            yield pd.DataFrame({"part": [i], "keys": [codes[mine].tobytes()], "p": [total[mine].astype(np.float32).tobytes()]})
+def looked_up(rows, kind: int, values):
+    """A function from codes to their answers in a block."""
+    import pandas as pd
 
-    return run
+    mine = rows[rows["kind"] == kind]
+    keys = np.concatenate([np.zeros(0, np.uint64), *(unpacked(a, s, np.uint64) for a, s in zip(mine["a"], mine["size"], strict=True))])
+    value = np.concatenate([np.zeros(0, values), *(unpacked(b, s, values) for b, s in zip(mine["b"], mine["size"], strict=True))])
+    index = pd.Index(keys)
+    return lambda codes: value[index.get_indexer(codes)]
 
 
-def scored(depth: int, model, hot, denominator: float, first: bool):
-    """Per document: a row of what the broadcast tables tell; in the first pass also a row for each of its words that is not hot."""
+def document_scores(depth: int, denominator: float):
+    """Of a block and its answers: one row for each document, or piece of one."""
 
-    def run(frames):
+    def run(texts, rows):
         import pandas as pd
 
-        keys, p = model.value
-        hot_keys, hot_n = hot.value
-        for frame in frames:
-            docs = len(frame)
-            out = {c: np.zeros(docs) for c in ("score", "base", "known", "tokens", "bytes")}
-            rare_rows = []
-            for blob, owner in segments(strings(frame["text"]), depth):
-                x = np.frombuffer(blob, np.uint8)
-                codes, own = gram_codes(x, owner, depth)
-                at, distinct = pd.factorize(codes)
-                place, there = find(keys, distinct)
-                value = np.where(there, p[place], 0.0) if len(p) else np.zeros(len(distinct))
-                out["score"] += np.bincount(own, value[at], docs)
-                if not first:
-                    continue
-                out["bytes"] += np.bincount(own, minlength=docs)
-                words, own = word_codes(x, owner)
-                out["tokens"] += np.bincount(own, minlength=docs)
-                at, distinct = pd.factorize(words)
-                place, there = find(hot_keys, distinct)
-                n = np.where(there, hot_n[place], 0) if len(hot_n) else np.zeros(len(distinct))
-                out["base"] += np.bincount(own, np.where(there, np.log10((n + 1) / denominator), 0)[at], docs)
-                out["known"] += np.bincount(own, there[at], docs)
-                rare = ~there[at]
-                if rare.any():
-                    pair, tf = np.unique(own[rare].astype(np.int64) * len(distinct) + at[rare], return_counts=True)
-                    rare_rows.append((pair // len(distinct), signed(distinct[pair % len(distinct)]), tf))
-            uid = frame["uid"].to_numpy()
-            yield pd.DataFrame({"uid": uid, "word": uid, "tf": 0, "doc_id": frame["doc_id"].astype("Int64"), "train": frame["train"]} | {c: v for c, v in out.items()})
-            for own, word, tf in rare_rows:
-                yield pd.DataFrame({"uid": uid[own], "word": word, "tf": tf, "doc_id": None, "train": None} | {c: 0.0 for c in out})
+        if not len(texts):
+            return pd.DataFrame({c: [] for c in ("uid", "doc_id", "train", "tokens", "known", "base", "score", "bytes")})
+        block = texts.iloc[0]
+        lengths, uids = np.frombuffer(block["b"], np.int64).reshape(2, -1)
+        x, owner, docs = unpacked(block["a"], block["size"], np.uint8), owners(lengths, depth), len(lengths)
+        score, scores, counts = np.zeros(docs), looked_up(rows, GRAMS, np.uint32), looked_up(rows, WORDS, np.int64)
+        for codes, own in gram_codes(x, owner, depth):
+            score -= np.bincount(own, scores(codes), docs)
+        words, own = word_codes(x, owner)
+        n = counts(words)
+        base = np.bincount(own, np.log10((n + 1) / denominator), docs)
+        return pd.DataFrame({"uid": uids, "doc_id": pd.array(list(block["doc_ids"]), "Int64"), "train": list(block["train"]), "tokens": np.bincount(own, minlength=docs), "known": np.bincount(own, n > 0, docs).astype(np.int64), "base": base, "score": score / STEP, "bytes": lengths})
 
     return run
 
 
-def score_documents(docs: DataFrame, train: Column, depth: int = 5, table_rows: int = 4_000_000) -> DataFrame:
+def score_documents(docs: DataFrame, train: Column, depth: int = 7, block_bytes: int = 16 << 20, part_bytes: int = 8 << 20) -> DataFrame:
     """One row per document: doc_id, train, n_tokens, n_known, train_tokens, base_score, score (log10), n_bytes, bits_per_byte.
 
-    ``train`` tells the rows to learn from. depth: context bytes, 2 to 7. table_rows: rows of one broadcast table (12 bytes each).
+    ``train`` tells the rows to learn from. depth: context bytes, 3 to 7. block_bytes, part_bytes: text of a block, and for each part.
     """
-    if not 2 <= depth <= 7:
-        raise ValueError("depth is 2 to 7")
-    spark = docs.sparkSession
-    sc = spark.sparkContext
-    # rows get a number in file order, which a task that is run again gives alike; two passes read the same plan
-    texts = docs.select("doc_id", "text", F.coalesce(train, F.lit(False)).alias("train")).withColumn("uid", F.monotonically_increasing_id())
-    counts = texts.select("text", "train").mapInPandas(counted(depth), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    counts = durable(counts)
-    grams, words = counts.where("kind = 0").select("key", "n"), counts.where("kind = 1").select("key", "n")
-    seen = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    denominator = float(seen["n"] + seen["v"] + 1)
-    hot = words.orderBy(F.desc("n"), "key").limit(HOT_WORDS).toArrow()
-    hot_keys, hot_n = hot["key"].to_numpy().view(np.uint64), hot["n"].to_numpy().astype(float)
-    order = np.argsort(hot_keys)
-    hot_table = sc.broadcast((hot_keys[order], hot_n[order]))
-
-    rows = grams.count()
-    suffix = F.expr("shiftright(key, 8) & 65535")
-    spread = grams.repartition(max(partitions(spark), -(-rows // 400_000)), suffix)
-    sums = spread.mapInPandas(upper_sums(depth), "node int, zeros double, ones double, logs double")
-    top = sc.broadcast(top_levels(sums.groupBy("node").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "logs"))).toArrow().to_pandas()))
-    tables = max(1, -(-rows // table_rows))
-    scores = spread.mapInPandas(gram_scores(depth, top, tables), "part int, keys binary, p binary")
-    scores = durable(scores) if tables > 1 else scores
-
-    columns = ("score", "base", "known", "tokens", "bytes")
-    passes = None
-    for i in range(tables):
-        packed = scores.where(F.col("part") == i).collect()
-        keys, p = (np.concatenate([np.zeros(0, kind), *(np.frombuffer(r[c], kind) for r in packed)]) for c, kind in (("keys", np.uint64), ("p", np.float32)))
-        order = np.argsort(keys)
-        model = sc.broadcast((keys[order], p[order]))
-        one = texts.mapInPandas(scored(depth, model, hot_table, denominator, i == 0), "uid long, word long, tf long, doc_id long, train boolean, " + ", ".join(f"{c} double" for c in columns))
-        passes = one if passes is None else passes.unionByName(one)
-    known = words.select(F.col("key").alias("word"), F.col("n").alias("c"))
-    joined = passes.hint("merge").join(known, "word", "left").withColumn("c", F.when(F.col("tf") > 0, F.coalesce("c", F.lit(0))))
-    totals = joined.groupBy("uid").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.max("train").alias("train"),
-        F.sum("tokens").cast("long").alias("n_tokens"),
-        (F.sum("known") + F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0))).cast("long").alias("n_known"),
-        F.lit(seen["n"]).cast("long").alias("train_tokens"),
-        (F.sum("base") + F.sum(F.when(F.col("tf") > 0, F.col("tf") * F.log10((F.col("c") + 1) / F.lit(denominator))).otherwise(0.0))).alias("base_score"),
-        F.sum("score").alias("score"),
-        F.sum("bytes").cast("long").alias("n_bytes"),
-    ).withColumn("bits_per_byte", -F.col("score") / F.lit(np.log10(2)) / F.col("n_bytes"))
-    return totals.drop("uid")
+    if not LOCAL <= depth <= 7:
+        raise ValueError(f"depth is {LOCAL} to 7")
+    texts = docs.select("doc_id", "text", F.coalesce(train, F.lit(False)).alias("train"))
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    grams = min(MAX_PARTS, 1 + size // part_bytes)
+    parts = {GRAMS: grams, WORDS: 1 + grams // 8}
+    made = durable(texts.mapInPandas(block_pieces(depth, parts, block_bytes), PIECE))
+    dealt = made.where(F.col("kind") != TEXTS).select("kind", "place", "block", "size", "a", "b").repartition(sum(parts.values()), "kind", "place")
+    found = dealt.groupBy("kind", "place").applyInPandas(upper_sums(depth), "node long, zeros long, ones long, logs double")
+    sums = found.groupBy("node").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "logs"))).toArrow().to_pandas()
+    words = sums[sums["node"] == -1]
+    distinct, train_tokens = int(words["zeros"].sum()), int(words["ones"].sum())
+    top = docs.sparkSession.sparkContext.broadcast(top_levels(sums[sums["node"] >= 0]))
+    replies = dealt.groupBy("kind", "place").applyInPandas(answers(depth, top), "kind int, block long, size long, a binary, b binary")
+
+    bodies = made.where(F.col("kind") == TEXTS).select("block", "size", "a", "b", "doc_ids", "train")
+    schema = "uid long, doc_id long, train boolean, tokens long, known long, base double, score double, bytes long"
+    scored = bodies.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(document_scores(depth, float(train_tokens + distinct + 1)), schema)
+    totals = scored.groupBy("uid").agg(
+        F.first("doc_id").alias("doc_id"), F.first("train").alias("train"), F.sum("tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"),
+        F.sum("base").alias("base_score"), F.sum("score").alias("score"), F.sum("bytes").alias("n_bytes"),
+    )
+    return totals.withColumn("bits_per_byte", -F.col("score") / F.lit(np.log10(2)) / F.col("n_bytes")).drop("uid")
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -209,18 +209,18 @@ def plain_ctw(train, text, depth):
     return total
 
 
-@pytest.mark.parametrize("table_rows", [4_000_000, 40])
-def test_op8_against_plain_weighting(spark, table_rows):
+@pytest.mark.parametrize(("depth", "block_bytes", "part_bytes"), [(3, 16 << 20, 8 << 20), (3, 20, 10), (7, 16 << 20, 8 << 20), (5, 7, 30)])
+def test_op8_against_plain_weighting(spark, depth, block_bytes, part_bytes):
     texts = ["the cat", "The dog sat", None, "a cat sat on the dog", "zebra ☃", "the the the"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: r for r in lm_scoring.score_documents(docs, F.col("doc_id") < 4, depth=3, table_rows=table_rows).collect()}
+    got = {r["doc_id"]: r for r in lm_scoring.score_documents(docs, F.col("doc_id") < 4, depth=depth, block_bytes=block_bytes, part_bytes=part_bytes).collect()}
     train = collections.Counter(w for t in texts[:4] for w in [*(t or "").lower().split(), "\n"])
     n, v = sum(train.values()), len(train)
     for i, t in enumerate(texts):
         words = [*(t or "").lower().split(), "\n"]
         assert got[i]["base_score"] == pytest.approx(sum(math.log10((train[w] + 1) / (n + v + 1)) for w in words))
         assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == (len(words), sum(train[w] > 0 for w in words), n)
-        assert got[i]["score"] == pytest.approx(plain_ctw(texts[:4], t, 3), rel=1e-4)
+        assert got[i]["score"] == pytest.approx(plain_ctw(texts[:4], t, depth), rel=1e-4)
     assert lm_scoring.score_documents(docs.limit(0), F.lit(True)).count() == 0
     assert lm_scoring.score_documents(docs.limit(1), F.lit(False)).first()["score"] == pytest.approx(8 * 8 * math.log10(0.5))
 
