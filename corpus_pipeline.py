@@ -13,7 +13,7 @@ from docledger.llm.language_id import drop_rejected, teaches
 from docledger.llm.line_dedup import dedup_lines
 from docledger.llm.mixing import mix
 from docledger.llm.packing import pack
-from docledger.llm.shingle_dedup import keep_one_similar
+from docledger.llm.simhash_dedup import keep_one
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: a similarity of 0.8 or more of the shingles of five words."""
-    return keep_one_similar(docs, words=5, similarity=0.8)
+    return keep_one(docs, words=5, similarity=0.8)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

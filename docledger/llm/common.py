@@ -120,6 +120,19 @@ def join_counted(rows: DataFrame, facts: DataFrame, key: str, most: int = 1024)
     return rows.join(F.broadcast(few), key).unionByName(others.hint("merge").join(rest.hint("merge"), key))
 
 
+def within(rows: DataFrame, keys: DataFrame, on: list[str], keep: bool = True, most: int = 1_000_000) -> DataFrame:
+    """The rows whose ``on`` is among the distinct ``keys`` (``keep``), or is not; nulls are equal to each other.
+
+    Up to ``most`` keys are broadcast, so that wide rows stay where they are; beyond, both sides are shuffled."""
+    held = keys.select(*(F.col(c).alias(f"__k_{i}") for i, c in enumerate(on)))
+    same = [rows[c].eqNullSafe(held[f"__k_{i}"]) for i, c in enumerate(on)]
+    side = F.broadcast(held) if held.limit(most + 1).count() <= most else held.hint("merge")
+    condition = same[0]
+    for c in same[1:]:
+        condition = condition & c
+    return rows.join(side, condition, "left_semi" if keep else "left_anti")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of links (a, b), as rows (node, root): every node that has a link, root the smallest node reachable.
 

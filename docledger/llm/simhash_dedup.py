@@ -1,16 +1,23 @@
 """SimHash near-duplicates by meet-in-the-middle ball hashing.
 
-Every text gives a 64-bit majority fingerprint of its word shingles' XXH64. Two fingerprints with at most three differing bits
-differ in at most one bit (half the radius, rounded down) of one of their two 32-bit halves. So every distinct fingerprint emits,
-for each half, all variants within that half radius; the shuffle brings a variant to the fingerprints that have it for their half,
-and colliding pairs are deduplicated and verified on all 64 bits. Exact copies collapse before anything is emitted: 66 rows for a
-distinct fingerprint, whatever the number of its documents. A distinct fingerprint has a bounded number of others within three
-bits, so verified pairs do not grow with the square of a group of copies. Fingerprints and components that hold more than one in
-1,024 rows get their component by a broadcast of at most as many rows, so a large group of copies is no single task.
+Every text gives a 64-bit majority fingerprint of its word shingles' XXH64. Cut into three blocks, two fingerprints with at most three
+differing bits have one in some block, or none at all, so that on the other two blocks (42 or 43 bits) they differ in at most two bits.
+There they meet in the middle: every distinct fingerprint emits, without each block in turn, all variants within one bit, half of those
+two, 132 or 133 keys in all; the keys are shuffled, and fingerprints under one key are verified on all 64 bits and deduplicated. (Balls
+round all 64 bits would be of radius two and one: 2,081 and 65 keys, over 30 KB for a fingerprint, or fifteen times a text of 2 KB.
+Halves with balls of one bit would be 68 keys, but of 32 bits only, under which unlike fingerprints meet a hundred times as often as
+under these.) Exact copies collapse before anything is emitted, so keys do not grow with their number; a distinct fingerprint has a
+bounded number of others within three bits. Fingerprints and components that hold more than one in 1,024 rows get their component by
+a broadcast of at most as many rows, so a large group of copies is no single task.
+
+``keep_one`` is the form for a pipeline: one row of each group of texts with a Jaccard similarity of shingles of at least ``similarity``.
+Fingerprints within three bits are candidates, and so are texts that share a MinHash band (``shingle_dedup``), because at a similarity
+of 0.8 texts differ in about ten of 64 bits, where balls meet nearly everything; all are verified on their whole shingle sets.
 
 Defined results: null or empty texts, and texts without words, have fingerprint zero and link like any other; a text with fewer
 words than a shingle is one shingle; repeated rows link with each other; a null doc_id is never a component's id unless no member
-has one. Columns other than doc_id and text are kept by ``keep_one`` and ignored elsewhere.
+has one; ties do not occur. Columns other than doc_id and text are kept by ``keep_one`` and ignored elsewhere, so they may clash
+unless they begin with two underscores. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import components, durable, join_counted, strings, table
 
-RADIUS = 3
+RADIUS, BLOCKS = 3, ((0, 21), (21, 42), (42, 64))
 
 
 def shingle_hashes(text, words: int) -> np.ndarray:
@@ -41,9 +48,8 @@ def shingle_hashes(text, words: int) -> np.ndarray:
     return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, ends[words - 1 :].tolist(), strict=True)), np.uint64, len(starts))
 
 
-def fingerprint(text, words: int) -> int:
-    """The fingerprint as a signed 64-bit integer."""
-    hashes = shingle_hashes(text, words)
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The majority fingerprint of shingle hashes as a signed 64-bit integer."""
     if not len(hashes):
         return 0
     ones = np.zeros(64, np.int64)
@@ -59,19 +65,56 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
         import pandas as pd
 
         for frame in frames:
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "fp": [fingerprint(t, words) for t in strings(frame["text"])]})
+            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "fp": [fingerprint_of(shingle_hashes(t, words)) for t in strings(frame["text"])]})
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, fp long")
 
 
+def bits(low: int, high: int) -> int:
+    """Bits low to high - 1 as a signed 64-bit mask."""
+    mask = (1 << high) - (1 << low)
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def met(frames):
+    """Rows sorted by key: pairs of fingerprints under one key with at most RADIUS differing bits. Only a key's rows are held."""
+    import pandas as pd
+
+    key, fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def pairs(key, fp):
+        found, gap = [], 1
+        at = np.flatnonzero(key[1:] == key[:-1]) if len(key) else key
+        while len(at):
+            a, b = fp[at], fp[at + gap]
+            near = (np.bitwise_count((a ^ b).view(np.uint64)) <= RADIUS) & (a != b)
+            found.append(pd.DataFrame({"a": np.minimum(a, b)[near], "b": np.maximum(a, b)[near]}))
+            gap += 1
+            at = at[at + gap < len(key)]
+            at = at[key[at + gap] == key[at]]
+        return pd.concat(found).drop_duplicates() if found else None
+
+    for frame in frames:
+        key, fp = np.r_[key, frame["key"].to_numpy(np.int64)], np.r_[fp, frame["fp"].to_numpy(np.int64)]
+        whole = np.searchsorted(key, key[-1]) if len(key) else 0
+        out = pairs(key[:whole], fp[:whole])
+        key, fp = key[whole:], fp[whole:]
+        if out is not None:
+            yield out
+    out = pairs(key, fp)
+    if out is not None:
+        yield out
+
+
 def linked(distinct: DataFrame) -> DataFrame:
     """Pairs a < b of fingerprints (column fp, distinct) with at most three differing bits."""
-    half = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.shiftrightunsigned("fp", 32).alias("half")), F.struct(F.lit(1).alias("side"), F.col("fp").bitwiseAND(0xFFFFFFFF).alias("half")))).alias("h")
-    halves = distinct.select("fp", half).select("fp", "h.side", "h.half")
-    flips = F.array(F.lit(0), *(F.lit(1 << i) for i in range(32))).cast("array<long>")
-    balls = halves.select(F.col("fp").alias("a"), "side", F.explode(F.transform(flips, lambda m: F.col("half").bitwiseXOR(m))).alias("half"))
-    met = balls.hint("merge").join(halves.withColumnRenamed("fp", "b"), ["side", "half"])
-    return met.where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)).select("a", "b").distinct()
+    balls = []
+    for low, high in BLOCKS:
+        rest = F.col("fp").bitwiseAND(F.lit(bits(0, 64) ^ bits(low, high)).cast("long"))
+        flips = [0, *(bits(i, i + 1) for i in range(64) if not low <= i < high)]
+        balls.append(F.transform(F.array(*map(F.lit, flips)).cast("array<long>"), lambda m, rest=rest: rest.bitwiseXOR(m)))
+    keys = distinct.select("fp", F.explode(F.concat(*balls)).alias("key"))
+    return keys.repartition("key").sortWithinPartitions("key").mapInPandas(met, "a long, b long").distinct()
 
 
 def grouped(prints: DataFrame) -> DataFrame:
@@ -90,12 +133,11 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     return join_counted(prints, groups, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 3) -> DataFrame:
-    """``docs`` with one document of each group: the smallest doc_id; of repeated rows with that doc_id, one."""
-    found = near_duplicates(docs, words)
-    ids = found.where("doc_id <=> component_id").select("doc_id").distinct()
-    kept = docs.hint("merge").join(ids.withColumnRenamed("doc_id", "__kept"), F.col("doc_id").eqNullSafe(F.col("__kept"))).drop("__kept")
-    return kept.dropDuplicates(["doc_id"])
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each component of texts that are at least so similar: the smallest doc_id, null last."""
+    from .shingle_dedup import keep_one_similar
+
+    return keep_one_similar(docs, words, similarity, linked)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

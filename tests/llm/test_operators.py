@@ -97,7 +97,22 @@ def test_op3_against_all_pairs(spark):
             seen |= new
             todo += new
         assert got[i]["component_id"] == min(seen)
-    assert simhash_dedup.keep_one(docs_of(spark, texts)).count() == len({r["component_id"] for r in got.values()})
+    assert simhash_dedup.near_duplicates(docs_of(spark).limit(0)).count() == 0
+
+
+def test_op3_links_against_all_pairs(spark):
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+    prints = list(base)
+    for x in base:
+        for _ in range(12):
+            for b in rng.choice(64, rng.integers(1, 5), replace=False):
+                x = x ^ (np.uint64(1) << np.uint64(b))
+            prints.append(x)
+    prints = np.unique(np.array(prints, np.uint64).view(np.int64))
+    got = {(r["a"], r["b"]) for r in simhash_dedup.linked(spark.createDataFrame([(int(p),) for p in prints], "fp long")).collect()}
+    far = np.bitwise_count((prints[:, None] ^ prints[None, :]).view(np.uint64))
+    assert got == {(int(prints[i]), int(prints[j])) for i, j in zip(*np.nonzero(far <= 3), strict=True) if i < j} and len(got) > 500
 
 
 PAGE = '<html><head><title>t</title><style>p{}</style></head><body><nav><a href=x>menu</a></nav><div class="ad">buy, now, please</div><article><h1>A &amp; B</h1><p>First, with   <b>bold</b> text<br>here.<p>Second &eacute; &lt;tag&gt; &am<script>var x="</p>"</script></article><div class="comments"><p>nice, very, nice</p></div><aside>side</aside><footer>&copy; f</footer>'
