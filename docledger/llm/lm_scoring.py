@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import durable, mixed, strings, table
 
-END, CHUNK = 10, 2 << 20
+END, CHUNK = 10, 4 << 20
 END_HASH, BASE = np.uint64(0x1234567), np.uint64(0x9E3779B97F4A7C15)
 GRAMS, WORDS, TEXTS = 0, 1, 2
 LOCAL = 3  # context bytes whose trees are built inside a part
@@ -83,21 +83,32 @@ def gram_codes(x: np.ndarray, owner: np.ndarray, depth: int):
         yield codes[real], own[real]
 
 
-def word_codes(x: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and document of each token. A word's hash is that of its bytes; the end has its own."""
+def word_codes(x: np.ndarray, owner: np.ndarray):
+    """(hashes, documents) of the tokens, a chunk at a time. A word's hash is that of its bytes; the end has its own."""
+    own = np.where(owner >= 0, x, np.uint8(END))  # a piece begins after a space, so no word lies across the context
+    gaps = np.flatnonzero((own == 32) | (own == END))
+    start = 0
+    while start < len(x):
+        stop = int(gaps[min(np.searchsorted(gaps, start + CHUNK // 4), len(gaps) - 1)]) + 1
+        yield chunk_words(x[start:stop], own[start:stop], owner[start:stop])
+        start = stop
+
+
+def chunk_words(x: np.ndarray, own: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers.get("up", ())) < len(x) + 1:
+        n = max(len(x), CHUNK // 2)
         inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
         with np.errstate(over="ignore"):
-            _powers["up"] = np.multiply.accumulate(np.r_[np.uint64(1), np.full(len(x), BASE)])
-            _powers["down"] = np.multiply.accumulate(np.r_[np.uint64(1), np.full(len(x), inverse)])
-    own = np.where(owner >= 0, x, END)  # a piece begins after a space, so no word lies across the context
+            _powers["up"] = np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, BASE)])
+            _powers["down"] = np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, inverse)])
     gap = np.flatnonzero((own == 32) | (own == END))
     start, stop = np.r_[0, gap[:-1] + 1], gap
     real = stop > start
     start, stop = start[real], stop[real]
     with np.errstate(over="ignore"):
-        sums = np.cumsum(np.where(own == END, 0, own.astype(np.uint64) + np.uint64(1)) * _powers["up"][: len(x)], dtype=np.uint64)
-        sums = np.r_[np.uint64(0), sums]
+        sums = np.where(own == END, np.uint64(0), own.astype(np.uint64) + np.uint64(1))
+        sums *= _powers["up"][: len(x)]
+        sums = np.r_[np.uint64(0), np.cumsum(sums, dtype=np.uint64)]
         code = mixed((sums[stop] - sums[start]) * _powers["down"][start] + (stop - start).astype(np.uint64))
     ends = np.flatnonzero((x == END) & (owner >= 0))
     return np.r_[code, np.full(len(ends), END_HASH)], np.r_[owner[start], owner[ends]]
@@ -133,7 +144,7 @@ def training_counts(batches) -> tuple[np.ndarray, np.ndarray]:
 
 def part_of(kind: int, keys: np.ndarray, parts: int, depth: int) -> np.ndarray:
     near = keys >> np.uint64(8 * (depth + 1 - LOCAL)) if kind == GRAMS else keys
-    return (mixed(near) % np.uint64(parts)).astype(np.int64)
+    return (mixed(near) % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int32)
 
 
 def block_pieces(depth: int, parts: dict[int, int], block_bytes: int):
@@ -145,9 +156,8 @@ def block_pieces(depth: int, parts: dict[int, int], block_bytes: int):
         uids = np.array([e[1] for e in entries], np.int64)
         x, owner = np.frombuffer(body, np.uint8), owners(lengths, depth)
         yield (TEXTS, block, block, len(body), packed(x), np.stack([lengths, uids]).tobytes(), [e[2] for e in entries], train.tolist())
-        words, own = word_codes(x, owner)
-        for kind, batches in ((GRAMS, ((c, train[o]) for c, o in gram_codes(x, owner, depth))), (WORDS, [(words, train[own])])):
-            keys, n = training_counts(batches)
+        for kind, batches in ((GRAMS, gram_codes(x, owner, depth)), (WORDS, word_codes(x, owner))):
+            keys, n = training_counts((codes, train[own]) for codes, own in batches)
             at = part_of(kind, keys, parts[kind], depth)
             order = np.argsort(at, kind="stable")
             keys, n, at = keys[order], n[order].astype(np.uint32), at[order]
@@ -248,10 +258,15 @@ class Trees:
             levels[d] = of, zeros, ones, stop
         return levels, stand, below
 
-    def above(self, k: int, d: int) -> np.ndarray:
-        """Keys of the nodes of decision k at level d < LOCAL: context and decision node."""
-        context = (self.keys >> np.uint64(8 * (self.depth + 1 - d))).astype(np.int64) if d else np.zeros(len(self.keys), np.int64)
-        return (context << 8) | (1 << k) | (self.byte >> (8 - k))
+    def above(self) -> np.ndarray:
+        """Of each gram, the LOCAL - 1 nearest bytes and the byte itself."""
+        return ((self.keys >> np.uint64(8 * (self.depth + 2 - LOCAL))).astype(np.int64) << 8) | self.byte
+
+
+def node_keys(above: np.ndarray, k: int, d: int) -> np.ndarray:
+    """Keys of the nodes of decision k at level d < LOCAL: context and decision node."""
+    context = above >> (8 * (LOCAL - d)) if d else np.zeros(len(above), np.int64)
+    return (context << 8) | (1 << k) | ((above & 255) >> (8 - k))
 
 
 def gathered(frame) -> tuple[np.ndarray, np.ndarray]:
@@ -271,10 +286,11 @@ def upper_sums(depth: int):
             return pd.DataFrame({"node": [-1], "zeros": [int((n > 0).sum())], "ones": [int(n.sum())], "logs": [0.0]})
         seen = n > 0
         trees, out = Trees(keys[seen], n[seen], depth), []
+        above = trees.above()
         for k in range(8 if seen.any() else 0):
             levels, stand, logs = trees.decision(k)
             _, zeros, ones, _ = levels[LOCAL]
-            node, at = np.unique(trees.above(k, LOCAL - 1)[stand], return_inverse=True)
+            node, at = np.unique(node_keys(above[stand], k, LOCAL - 1), return_inverse=True)
             out.append(pd.DataFrame({"node": node, "zeros": np.bincount(at, zeros).astype(np.int64), "ones": np.bincount(at, ones).astype(np.int64), "logs": np.bincount(at, logs)}))
         return pd.concat(out) if out else pd.DataFrame({"node": np.zeros(0, np.int64), "zeros": np.zeros(0, np.int64), "ones": np.zeros(0, np.int64), "logs": np.zeros(0)})
 
@@ -303,12 +319,18 @@ class Path:
         self.bit, self.alive = bit, np.ones(len(bit), bool)
         self.last, self.mass, self.p = np.full(len(bit), 0.5), np.ones(len(bit)), np.zeros(len(bit))
 
+    def at(self, which: np.ndarray) -> Path:
+        found = Path.__new__(Path)
+        found.bit, found.alive, found.last, found.mass, found.p = (x[which] for x in (self.bit, self.alive, self.last, self.mass, self.p))
+        return found
+
     def down(self, zeros, ones, stop, there=True):
         n = zeros + ones
-        self.alive = self.alive & there & (n > 0)
+        self.alive &= there & (n > 0)
         here = (np.where(self.bit, ones, zeros) + 0.5) / (n + 1)
-        self.p += np.where(self.alive, self.mass * stop * here, 0.0)
-        self.mass = np.where(self.alive, self.mass * (1 - stop), self.mass)
+        mass = np.where(self.alive, self.mass, 0.0)
+        self.p += mass * stop * here
+        self.mass -= mass * stop
         self.last = np.where(self.alive, here, self.last)
 
     def log10(self) -> np.ndarray:
@@ -318,15 +340,17 @@ class Path:
 def gram_scores(keys: np.ndarray, n: np.ndarray, depth: int, top) -> np.ndarray:
     """-log10 of each gram's byte after its context, in units of 1 / STEP."""
     trees, total = Trees(keys, n, depth), np.zeros(len(keys))
+    above, which = np.unique(trees.above(), return_inverse=True)
     for k in range(8):
-        path = Path(((trees.byte >> (7 - k)) & 1).astype(bool))
+        path = Path(((above >> (7 - k)) & 1).astype(bool))
         for d in range(LOCAL):
             node, zeros, ones, stop = top[d]
             if not len(node):
                 break
-            want, at = np.unique(trees.above(k, d), return_inverse=True)
+            want = node_keys(above, k, d)
             place = np.minimum(np.searchsorted(node, want), len(node) - 1)
-            path.down(zeros[place][at], ones[place][at], stop[place][at], (node[place] == want)[at])
+            path.down(zeros[place], ones[place], stop[place], node[place] == want)
+        path = path.at(which)
         levels, _, _ = trees.decision(k)
         for d in range(LOCAL, depth + 1):
             of, zeros, ones, stop = levels[d]
@@ -374,15 +398,18 @@ def document_scores(depth: int, denominator: float):
         score, scores, counts = np.zeros(docs), looked_up(rows, GRAMS, np.uint32), looked_up(rows, WORDS, np.int64)
         for codes, own in gram_codes(x, owner, depth):
             score -= np.bincount(own, scores(codes), docs)
-        words, own = word_codes(x, owner)
-        n = counts(words)
-        base = np.bincount(own, np.log10((n + 1) / denominator), docs)
-        return pd.DataFrame({"uid": uids, "doc_id": pd.array(list(block["doc_ids"]), "Int64"), "train": list(block["train"]), "tokens": np.bincount(own, minlength=docs), "known": np.bincount(own, n > 0, docs).astype(np.int64), "base": base, "score": score / STEP, "bytes": lengths})
+        base, known, tokens = np.zeros(docs), np.zeros(docs), np.zeros(docs, np.int64)
+        for words, own in word_codes(x, owner):
+            n = counts(words)
+            base += np.bincount(own, np.log10((n + 1) / denominator), docs)
+            known += np.bincount(own, n > 0, docs)
+            tokens += np.bincount(own, minlength=docs)
+        return pd.DataFrame({"uid": uids, "doc_id": pd.array(list(block["doc_ids"]), "Int64"), "train": list(block["train"]), "tokens": tokens, "known": known.astype(np.int64), "base": base, "score": score / STEP, "bytes": lengths})
 
     return run
 
 
-def score_documents(docs: DataFrame, train: Column, depth: int = 7, block_bytes: int = 16 << 20, part_bytes: int = 8 << 20) -> DataFrame:
+def score_documents(docs: DataFrame, train: Column, depth: int = 6, block_bytes: int = 16 << 20, part_bytes: int = 8 << 20) -> DataFrame:
     """One row per document: doc_id, train, n_tokens, n_known, train_tokens, base_score, score (log10), n_bytes, bits_per_byte.
 
     ``train`` tells the rows to learn from. depth: context bytes, 3 to 7. block_bytes, part_bytes: text of a block, and for each part.
