@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import durable, mixed, strings, table
 
-END, CHUNK = 10, 4 << 20
+END, CHUNK = 10, 1 << 20
 END_HASH, BASE = np.uint64(0x1234567), np.uint64(0x9E3779B97F4A7C15)
 GRAMS, WORDS, TEXTS = 0, 1, 2
 LOCAL = 3  # context bytes whose trees are built inside a part
@@ -89,14 +89,14 @@ def word_codes(x: np.ndarray, owner: np.ndarray):
     gaps = np.flatnonzero((own == 32) | (own == END))
     start = 0
     while start < len(x):
-        stop = int(gaps[min(np.searchsorted(gaps, start + CHUNK // 4), len(gaps) - 1)]) + 1
+        stop = int(gaps[min(np.searchsorted(gaps, start + CHUNK), len(gaps) - 1)]) + 1
         yield chunk_words(x[start:stop], own[start:stop], owner[start:stop])
         start = stop
 
 
 def chunk_words(x: np.ndarray, own: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers.get("up", ())) < len(x) + 1:
-        n = max(len(x), CHUNK // 2)
+        n = max(len(x), 2 * CHUNK)
         inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
         with np.errstate(over="ignore"):
             _powers["up"] = np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, BASE)])
@@ -139,6 +139,9 @@ def training_counts(batches) -> tuple[np.ndarray, np.ndarray]:
         other = np.unique(codes[~train])
         keys += [key, other]
         counts += [n, np.zeros(len(other), np.int64)]
+        if sum(map(len, keys[1:])) > max(CHUNK, len(keys[0])):
+            key, n = summed(keys, counts)
+            keys, counts = [key], [n]
     return summed(keys, counts)
 
 
@@ -374,14 +377,18 @@ def answers(depth: int, top):
 
 
 def looked_up(rows, kind: int, values):
-    """A function from codes to their answers in a block."""
-    import pandas as pd
-
+    """A function from codes and what belongs to each to the codes' answers in a block, and the latter in their order."""
     mine = rows[rows["kind"] == kind]
     keys = np.concatenate([np.zeros(0, np.uint64), *(unpacked(a, s, np.uint64) for a, s in zip(mine["a"], mine["size"], strict=True))])
     value = np.concatenate([np.zeros(0, values), *(unpacked(b, s, values) for b, s in zip(mine["b"], mine["size"], strict=True))])
-    index = pd.Index(keys)
-    return lambda codes: value[index.get_indexer(codes)]
+    order = np.argsort(keys)
+    keys, value = keys[order], value[order]
+
+    def find(codes, own):
+        order = np.argsort(codes)
+        return value[np.searchsorted(keys, codes[order])], own[order]
+
+    return find
 
 
 def document_scores(depth: int, denominator: float):
@@ -397,10 +404,11 @@ def document_scores(depth: int, denominator: float):
         x, owner, docs = unpacked(block["a"], block["size"], np.uint8), owners(lengths, depth), len(lengths)
         score, scores, counts = np.zeros(docs), looked_up(rows, GRAMS, np.uint32), looked_up(rows, WORDS, np.int64)
         for codes, own in gram_codes(x, owner, depth):
-            score -= np.bincount(own, scores(codes), docs)
+            value, own = scores(codes, own)
+            score -= np.bincount(own, value, docs)
         base, known, tokens = np.zeros(docs), np.zeros(docs), np.zeros(docs, np.int64)
         for words, own in word_codes(x, owner):
-            n = counts(words)
+            n, own = counts(words, own)
             base += np.bincount(own, np.log10((n + 1) / denominator), docs)
             known += np.bincount(own, n > 0, docs)
             tokens += np.bincount(own, minlength=docs)
