@@ -1,30 +1,29 @@
 """Line deduplication with two Bloom filters.
 
 A line's key is the line stripped and lower-cased (A-Z). Keys of at least ``least_chars`` code points that at least ``least_docs``
-documents hold lose all their lines except in the largest doc_id that holds them. A first pass over the key hashes, distinct inside
-a document, fills two Bloom filters in every task: hashes seen once, and hashes seen again. Filters of tasks merge bit by bit: what
-two "once" filters share counts as seen again, so no repeated key is ever missed. Only lines that the "again" filter suspects are
-shuffled, for an exact count on the key itself and the choice of the document that keeps it. The choice goes back to the lines by
-the key's SHA-256; keys of more than one in 1,024 repeated lines (so fewer than 1,024 keys) get it by a broadcast, without a shuffle.
-
-The filters have 64 bits for a document, at most ``max_bits`` (2^27: 16 MB), which bounds what is merged and broadcast; beyond the
-bound more lines are suspected and shuffled, with the same results.
-
-Defined results: null or empty text is one empty line; repeated rows count as documents each and keep or lose lines alike; a null
-doc_id never keeps a line unless all holders are null; documents that lose all lines keep an empty text.
+documents hold lose all their lines except in the largest doc_id that holds them. A first pass sends the 64-bit hashes of the keys,
+distinct inside a task, to the partition that they hash to. There two Bloom filters, of hashes seen once and of hashes seen again,
+tell the suspected repeats: a hash that the first filter knows is reported, and not again once the second knows it. Each partition has
+filters of its own of ``filter_bits``, and there are as many partitions as documents need at ``doc_bits`` each, so filters never fill
+up, are never merged and never leave their task. A filter errs only towards suspicion, so no repeated key is missed.
+
+Only suspected lines are shuffled, for an exact count of their documents under the key's SHA-256 and the choice of the document that
+keeps them. Suspects are told by a broadcast of at most ``most_suspects`` hashes, beyond that by a shuffle on the hash. Keys of more
+than one in 1,024 repeated lines (so fewer than 1,024 keys) get their keeper by a broadcast, without a shuffle.
+
+Defined results: null or empty text is one empty line; rows of one doc_id are one document, so repeated rows count once and keep or
+lose lines alike; rows of null doc_id do not count and never keep a repeated line; ties do not occur; documents that lose all lines
+keep an empty text. Columns named n_lines and n_dropped are replaced, other columns kept; names with two leading underscores are not
+allowed. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, durable, join_counted, lower_ascii, table
-
-CHUNK_BITS = 1 << 19
+from .common import SPACE_CHARS, durable, join_counted, lower_ascii, partitions, table
 
 
 def line_key(line: Column) -> Column:
@@ -49,90 +48,62 @@ def positions(hashes: np.ndarray, bits: int) -> np.ndarray:
     return np.stack([h & np.uint64(bits - 1), (h >> np.uint64(33)) & np.uint64(bits - 1)]).astype(np.int64)
 
 
-def filters(bits: int):
-    """Per task: the filters of hashes seen once and again, in chunks."""
+def task_hashes(frames):
+    """Per task: its hashes, each once or a few times."""
+    import pandas as pd
+
+    for frame in frames:
+        arrays = [a for a in frame["hashes"] if a is not None and len(a)]
+        if arrays:
+            hashes, n = np.unique(np.concatenate(arrays), return_counts=True)
+            yield pd.DataFrame({"hash": np.r_[hashes, hashes[n > 1]]})
+
+
+def repeated(bits: int):
+    """Per partition: the hashes that its filters suspect to be there more than once."""
 
     def run(frames):
         import pandas as pd
 
         once, again = np.zeros(bits, bool), np.zeros(bits, bool)
         for frame in frames:
-            arrays = [a for a in frame["hashes"] if a is not None and len(a)]
-            if not arrays:
-                continue
-            hashes, n = np.unique(np.concatenate(arrays), return_counts=True)
+            hashes, n = np.unique(frame["hash"].to_numpy(np.int64), return_counts=True)
             at = positions(hashes, bits)
-            repeated = (n > 1) | once[at].all(axis=0)
-            again[at[:, repeated].ravel()] = True
+            seen = (n > 1) | once[at].all(axis=0)
+            new = seen & ~again[at].all(axis=0)
             once[at.ravel()] = True
-        size = min(bits, CHUNK_BITS)
-        for k in range(bits // size):
-            a, b = once[k * size : (k + 1) * size], again[k * size : (k + 1) * size]
-            if a.any():
-                yield pd.DataFrame({"chunk": [k], "once": [zlib.compress(np.packbits(a), 1)], "again": [zlib.compress(np.packbits(b), 1)]})
+            again[at[:, seen].ravel()] = True
+            if new.any():
+                yield pd.DataFrame({"hash": hashes[new]})
 
     return run
 
 
-def merged(frames):
-    """Chunks of all tasks, in runs of one chunk, as the chunk of hashes seen again."""
-    import pandas as pd
+def suspects(docs: DataFrame, least_chars: int, doc_bits: int, filter_bits: int, most_suspects: int) -> DataFrame:
+    """(doc_id, key) of the lines, distinct in a row, that may be in more than one document."""
+    spark = docs.sparkSession
+    keyed = docs.select("doc_id", keys_of(F.col("text"), least_chars).alias("keys")).where(F.size("keys") > 0)
+    hashes = keyed.select(F.transform("keys", lambda k: F.xxhash64(k)).alias("hashes")).mapInPandas(task_hashes, "hash long")
+    tasks = max(partitions(spark), -(-docs.count() * doc_bits // filter_bits))
+    found = durable(hashes.repartition(tasks, "hash").mapInPandas(repeated(filter_bits), "hash long").distinct())
+    few = found.limit(most_suspects + 1).count() <= most_suspects
+    lines = keyed.select("doc_id", F.explode("keys").alias("key")).withColumn("hash", F.xxhash64("key"))
+    return lines.join(F.broadcast(found) if few else found.hint("merge"), "hash", "left_semi").select("doc_id", "key")
 
-    state: tuple | None = None
-    for frame in frames:
-        for k, a, b in zip(frame["chunk"], frame["once"], frame["again"], strict=True):
-            a, b = (np.frombuffer(zlib.decompress(x), np.uint8) for x in (a, b))
-            if state and state[0] != k:
-                yield pd.DataFrame({"chunk": [state[0]], "again": [zlib.compress(state[2].tobytes(), 1)]})
-                state = None
-            state = (k, state[1] | a, state[2] | b | (state[1] & a)) if state else (k, a, b)
-    if state:
-        yield pd.DataFrame({"chunk": [state[0]], "again": [zlib.compress(state[2].tobytes(), 1)]})
-
-
-def suspects(docs: DataFrame, least_chars: int, max_bits: int) -> DataFrame:
-    """(doc_id, key) of the lines, distinct in a document, that may be in more than one document."""
-    bits = 1 << 20
-    while bits < min(max_bits, 64 * docs.count()):
-        bits *= 2
-    keyed = docs.select("doc_id", keys_of(F.col("text"), least_chars).alias("keys"))
-    hashed = keyed.withColumn("hashes", F.transform("keys", lambda k: F.xxhash64(k)))
-    chunks = hashed.select("hashes").mapInPandas(filters(bits), "chunk int, once binary, again binary")
-    whole = chunks.repartition("chunk").sortWithinPartitions("chunk").mapInPandas(merged, "chunk int, again binary").collect()
-    again = np.zeros(bits // 8, np.uint8)
-    size = min(bits, CHUNK_BITS) // 8
-    for row in whole:
-        again[row["chunk"] * size : (row["chunk"] + 1) * size] = np.frombuffer(zlib.decompress(row["again"]), np.uint8)
-    seen = docs.sparkSession.sparkContext.broadcast(again)
-
-    @F.pandas_udf("array<boolean>")
-    def suspected(hashes):
-        import pandas as pd
 
-        table = seen.value
-        out = []
-        for h in hashes:
-            at = positions(np.asarray(h, np.int64), bits)
-            out.append((table[at >> 3] >> (7 - (at & 7)) & 1).all(axis=0))
-        return pd.Series(out, index=hashes.index)
-
-    marked = hashed.where(F.size("keys") > 0).withColumn("marks", suspected("hashes"))
-    return marked.select("doc_id", F.explode(F.filter("keys", lambda k, i: F.get("marks", i))).alias("key"))
-
-
-def drop_lists(docs: DataFrame, least_chars: int, least_docs: int, max_bits: int) -> DataFrame:
+def drop_lists(docs: DataFrame, least_chars: int, least_docs: int, **filters: int) -> DataFrame:
     """(doc_id, drop): the keys whose lines a document loses."""
-    found = durable(suspects(docs, least_chars, max_bits))
-    known = found.groupBy("key").agg(F.count("*").alias("__rows"), F.max("doc_id").alias("keeper")).where(F.col("__rows") >= least_docs)
-    lines = found.withColumn("digest", digest("key"))
-    lost = join_counted(lines, durable(known.select(digest("key").alias("digest"), "keeper", "__rows")), "digest").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    lines = durable(suspects(docs, least_chars, **filters).withColumn("digest", digest("key")))
+    holders = lines.groupBy("digest", "doc_id").agg(F.count("*").alias("rows"))
+    known = holders.groupBy("digest").agg(F.count("doc_id").alias("docs"), F.max("doc_id").alias("keeper"), F.sum("rows").alias("__rows")).where(F.col("docs") >= least_docs)
+    lost = join_counted(lines, durable(known.select("digest", "keeper", "__rows")), "digest").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     return lost.groupBy("doc_id").agg(F.collect_set("key").alias("drop"))
 
 
-def dedup_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5, max_bits: int = 1 << 27) -> DataFrame:
+def dedup_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5, doc_bits: int = 64, filter_bits: int = 1 << 24, most_suspects: int = 1_000_000) -> DataFrame:
     """Rows of ``docs`` with the kept text in place of text, n_lines (before) and n_dropped."""
     docs = docs.drop("n_lines", "n_dropped")
-    lists = drop_lists(docs, least_chars, least_docs, max_bits).select(F.col("doc_id").alias("__doc"), F.col("drop").alias("__drop"))
+    lists = drop_lists(docs, least_chars, least_docs, doc_bits=doc_bits, filter_bits=filter_bits, most_suspects=most_suspects).select(F.col("doc_id").alias("__doc"), F.col("drop").alias("__drop"))
     joined = docs.hint("merge").join(lists.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__doc")), "left")
     lines = lines_of(F.col("text"))
     kept = F.when(F.col("__drop").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col("__drop"), line_key(x))))
@@ -146,22 +117,19 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-def line_sql(relation: str) -> str:
-    """DuckDB SQL: rows of ``relation`` with kept (text), n_lines and n_dropped."""
-    key = "translate(trim({}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    return f"""
-  SELECT d.*, k.kept, k.n_lines, k.n_dropped FROM {relation} d JOIN (
-    WITH l AS (
-      SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM {relation}
-    ), k AS (
-      SELECT doc_id, i, line, {key.format("line")} AS key FROM l
-    ), r AS (
-      SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
-    )
-    SELECT k.doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (r.key IS NULL OR k.doc_id = r.keeper), '') AS kept,
-      count(*) AS n_lines, count(*) FILTER (r.key IS NOT NULL AND k.doc_id <> r.keeper) AS n_dropped
-    FROM k LEFT JOIN r USING (key) GROUP BY k.doc_id
-  ) k USING (doc_id)"""
-
-
-OP6_SQL = f"SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM ({line_sql('documents')})"
+OP6_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), l AS (
+  SELECT r, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM d
+), k AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
+), c AS (
+  SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+), m AS (
+  SELECT k.r, k.doc_id, k.i, k.line, c.key IS NOT NULL AND k.doc_id IS DISTINCT FROM c.keeper AS lost FROM k LEFT JOIN c USING (key)
+)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT lost), '')) AS kept_sha256
+FROM m GROUP BY r
+"""

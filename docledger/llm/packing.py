@@ -5,12 +5,13 @@ piece that may be shorter. A sequence (bin) has three capacities: tokens, docume
 lengths). Pieces are placed in decreasing order; of the open bins that have room for a piece under every constraint, the one with
 the smallest weighted residual norm, or the largest weighted dot product of piece and residual, takes it; none: a new bin.
 
-Spark deals the pieces by hash into groups of about ``group_rows``, each of which a task packs on its own, which costs a fraction
-of a percent in sequences; a long document's pieces spread over groups. Placement depends on the group's rows only, not on their
-order.
+Pieces as long as a sequence are one each and go no further. The others, at most one for each document, are counted and dealt by hash
+into groups of about ``group_rows``, each of which a task packs on its own, which costs a fraction of a percent in sequences.
+Placement depends on the group's rows only, not on their order.
 
 Defined results: null text counts as empty, so every document has at least its end id; repeated rows are packed each; a null doc_id
-stays null; columns other than doc_id and text are not read.
+stays null; of equal bins the first opened takes a piece, and pieces of one length go by checksum, doc_id and piece; columns other
+than doc_id and text are not read, so they may clash; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import strings, table
+from .common import durable, strings, table
 from .tokens import encoder, in_parts
 
 
@@ -88,8 +89,12 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, tokens: int = 1024, docume
     documents and attention: a sequence's capacities besides ``tokens``; by default as many as its tokens allow. rule: "norm" or "dot".
     """
     documents, attention = documents or tokens, attention or float(tokens) ** 2
-    parts = pieces(docs, path, end_id, tokens, with_ids)
-    groups = max(1, round(docs.count() / group_rows))
+    if float(tokens) ** 2 > attention:
+        raise ValueError("a whole sequence costs more attention than a sequence may")
+    parts = durable(pieces(docs, path, end_id, tokens, with_ids))
+    alone = F.col("length") == tokens
+    rest = parts.where(~alone)
+    groups = max(1, round(rest.count() / group_rows))
 
     def run(frame):
         frame = frame.sort_values(["length", "ids_crc32", "doc_id", "piece"], ascending=[False, True, True, True], kind="stable")
@@ -97,9 +102,11 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, tokens: int = 1024, docume
         return frame.assign(sequence_id=(frame["part"].to_numpy(dtype=np.int64) << 32) + bins, offset=offsets).drop(columns="part")
 
     # hashed twice: partitions and groups shall not fall together
-    dealt = parts.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    dealt = rest.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parts.schema.fields)
-    return dealt.groupBy("part").applyInPandas(run, schema + ", sequence_id long, offset long")
+    packed = dealt.groupBy("part").applyInPandas(run, schema + ", sequence_id long, offset long")
+    whole = parts.where(alone).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})  # of a checkpoint, so numbered alike by every run
+    return packed.unionByName(whole)
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,11 +4,13 @@ The state is a folder in shared storage with one folder of Parquet per committed
 and version: documents, tokens and characters, positive or negative. An insert adds a document's counts, a delete takes them off,
 a revision takes the old counts off and adds the new. A batch is summed before it is written. Committing writes a batch's own
 folder in full and its success mark last, and only marked folders are read: a batch that failed half-way is written anew, one that
-is already there is left as it is, so a batch counts once however often it is sent. ``compact`` sums the batches up to one into a
-base folder that names them; totals read the newest base and the batches after it.
+is already there is left as it is, so a batch counts once however often it is sent. ``compact`` sums all batches so far into a base
+folder that first lists their numbers; totals read the newest base and the batches that it does not list. So batches may come in any
+order, before and after a base. One writer at a time is assumed.
 
 Defined results: null text has no tokens; null source or language is a group of its own; groups whose three totals are all zero are
-left out; repeated rows of a batch each count, as the signed log says; an empty batch commits and changes nothing.
+left out; repeated rows of a batch each count, as the signed log says; an empty batch commits and changes nothing; ties do not occur.
+Texts of any length are counted whole. Columns other than those named are not read, so they may clash.
 """
 
 from __future__ import annotations
@@ -62,44 +64,51 @@ class TokenRollup:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _entries(self, kind: str) -> dict[int, str]:
-        """Committed folders by batch number."""
+    def _entries(self, kind: str, mark: str = "_SUCCESS") -> dict[int, str]:
+        """Committed folders by number."""
         jvm = self.spark.sparkContext._jvm
         root = jvm.org.apache.hadoop.fs.Path(self.path)
         fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         if not fs.exists(root):
             return {}
         names = [s.getPath().getName() for s in fs.listStatus(root)]
-        marked = [n for n in names if n.startswith(f"{kind}=") and fs.exists(jvm.org.apache.hadoop.fs.Path(root, f"{n}/_SUCCESS"))]
+        marked = [n for n in names if n.startswith(f"{kind}=") and fs.exists(jvm.org.apache.hadoop.fs.Path(root, f"{n}/{mark}"))]
         return {int(n.split("=")[1]): f"{self.path}/{n}" for n in marked}
 
+    def _base(self) -> tuple[int, str | None, set[int]]:
+        """Number and folder of the newest base, and the batches that it lists."""
+        bases = self._entries("base", "totals/_SUCCESS")
+        if not bases:
+            return -1, None, set()
+        newest = max(bases)
+        return newest, bases[newest], {r["batch"] for r in self.spark.read.schema("batch long").parquet(f"{bases[newest]}/batches").collect()}
+
     def commit(self, batch: int, deltas: DataFrame) -> bool:
         """Write the batch; False if it was committed before."""
-        if batch in self._entries("batch") or batch <= max(self._entries("base"), default=-1):
+        if batch in self._entries("batch") or batch in self._base()[2]:
             return False
         summed = deltas.groupBy(*GROUP).agg(*(F.sum(c).alias(c) for c in TOTALS))
         summed.write.mode("overwrite").parquet(f"{self.path}/batch={batch:012d}")
         return True
 
     def totals(self) -> DataFrame:
-        base = self._entries("base")
-        since = max(base, default=-1)
-        paths = ([base[since]] if base else []) + [p for b, p in sorted(self._entries("batch").items()) if b > since]
+        _, base, listed = self._base()
+        paths = [f"{base}/totals"] * (base is not None) + [p for b, p in sorted(self._entries("batch").items()) if b not in listed]
         if not paths:
             return self.spark.createDataFrame([], SCHEMA)
         rows = self.spark.read.schema(SCHEMA).parquet(*paths)
         live = F.greatest(*(F.abs(c) for c in TOTALS)) > 0
         return rows.groupBy(*GROUP).agg(*(F.sum(c).alias(c) for c in TOTALS)).where(live)
 
-    def compact(self) -> int | None:
-        """Sum all batches into one base; later batches must have higher numbers. Returns the base's number."""
-        batches = self._entries("batch")
-        if not batches:
-            return None
-        last = max(batches)
-        if last not in self._entries("base"):
-            self.totals().write.mode("overwrite").parquet(f"{self.path}/base={last:012d}")
-        return last
+    def compact(self) -> set[int]:
+        """Sum all batches so far into a new base, unless the newest lists them all. Returns the batches that the base lists."""
+        number, _, listed = self._base()
+        batches = set(self._entries("batch")) | listed
+        if batches != listed:
+            target = f"{self.path}/base={number + 1:012d}"
+            self.spark.createDataFrame([(b,) for b in sorted(batches)], "batch long").coalesce(1).write.mode("overwrite").parquet(f"{target}/batches")
+            self.totals().write.mode("overwrite").parquet(f"{target}/totals")
+        return batches
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -275,13 +275,24 @@ def test_op10_batches(spark, tmp_path):
         assert sum(r["tokens"] for r in got if r["version"] == "v1") == sum(n) - n[9] - n[10] and [r["tokens"] for r in got if r["version"] == "v2"] == [5]
 
     check()
-    assert roll.compact() == 3
+    assert roll.compact() == {1, 2, 3}
     check()
     assert not roll.commit(2, token_counts.inserts(counts))
     roll.commit(4, token_counts.inserts(counts.limit(0)))
     check()
 
 
+def test_op10_batches_in_any_order(spark, tmp_path):
+    counts = token_counts.counted(docs_of(spark), BPE, "v1")
+    roll = token_counts.TokenRollup(spark, str(tmp_path / "roll"))
+    documents = lambda: sum(r["documents"] for r in roll.totals().collect())
+    assert roll.commit(1, token_counts.inserts(counts)) and roll.commit(3, token_counts.inserts(counts)) and roll.compact() == {1, 3}
+    assert roll.commit(2, token_counts.inserts(counts)) and documents() == 3 * len(TEXTS)
+    assert not roll.commit(2, token_counts.inserts(counts)) and not roll.commit(3, token_counts.inserts(counts))
+    assert roll.compact() == {1, 2, 3} == roll.compact() and documents() == 3 * len(TEXTS)
+    assert roll.commit(0, token_counts.deletes(counts)) and documents() == 2 * len(TEXTS)
+
+
 def test_pieces_give_the_tokenizer_s_ids():
     enc = tokens.PieceEncoder(BPE)
     texts = ["", "a  b", " x", " \nfoo", "x\n\n y", "don't  go", "it's a b", "a <|endoftext|> b", "é 日本\t z ", "\n", "tab\t x", *[t for t in TEXTS if t]]
