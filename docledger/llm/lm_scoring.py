@@ -17,7 +17,7 @@ A part holds about ``part_bytes`` of text's share of the distinct grams; a frequ
 Defined results: null text counts as empty (one end token); null training flag counts as not training; repeated rows are scored
 each; without training texts every decision has probability 1/2; columns other than doc_id, text and the flag are not read, so
 others may clash. An empty table gives no rows. Texts of any length are cut at words into blocks; ties do not occur. Words are told
-apart by a 64-bit hash; scores of single grams are kept to 2^-21 of a decimal digit.
+apart by a 64-bit hash; scores of single grams are kept to 2^-19 of a decimal digit.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ END, CHUNK = 10, 1 << 20
 END_HASH, BASE = np.uint64(0x1234567), np.uint64(0x9E3779B97F4A7C15)
 GRAMS, WORDS, TEXTS = 0, 1, 2
 LOCAL = 3  # context bytes whose trees are built inside a part
-STEP = 1 << 20  # a score's unit is 1 / STEP of a decimal digit
+STEP = 1 << 18  # a score's unit is 1 / STEP of a decimal digit
 MAX_PARTS = 1 << 17
 PIECE = "kind int, place long, block long, size long, a binary, b binary, doc_ids array<long>, train array<boolean>"
 _powers: dict[str, np.ndarray] = {}
@@ -47,7 +47,8 @@ def packed(x: np.ndarray) -> bytes:
     """An array as compressed planes of its bytes: sorted or small values shrink to a few bits."""
     import pyarrow as pa
 
-    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes(), codec="zstd", asbytes=True) if len(x) else b""
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
+    return pa.Codec("zstd", compression_level=6).compress(planes, asbytes=True) if len(x) else b""
 
 
 def unpacked(blob: bytes, size: int, kind) -> np.ndarray:
@@ -116,7 +117,7 @@ def chunk_words(x: np.ndarray, own: np.ndarray, owner: np.ndarray) -> tuple[np.n
 
 def owners(lengths: np.ndarray, depth: int) -> np.ndarray:
     """The document of each byte of a block, -1 for the ``depth`` bytes of context before each piece."""
-    marks = np.stack([np.full(len(lengths), -1), np.arange(len(lengths))], axis=1).ravel()
+    marks = np.stack([np.full(len(lengths), -1, np.int32), np.arange(len(lengths), dtype=np.int32)], axis=1).ravel()
     return np.repeat(marks, np.stack([np.full(len(lengths), depth), lengths], axis=1).ravel())
 
 
