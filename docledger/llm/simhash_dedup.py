@@ -106,15 +106,20 @@ def met(frames):
         yield out
 
 
-def linked(distinct: DataFrame) -> DataFrame:
-    """Pairs a < b of fingerprints (column fp, distinct) with at most three differing bits."""
-    balls = []
-    for low, high in BLOCKS:
+def keys_of(distinct: DataFrame) -> DataFrame:
+    """(fp, key): without each block in turn, the variants of a fingerprint within one bit."""
+
+    def ball(low: int, high: int):
         rest = F.col("fp").bitwiseAND(F.lit(bits(0, 64) ^ bits(low, high)).cast("long"))
         flips = [0, *(bits(i, i + 1) for i in range(64) if not low <= i < high)]
-        balls.append(F.transform(F.array(*map(F.lit, flips)).cast("array<long>"), lambda m, rest=rest: rest.bitwiseXOR(m)))
-    keys = distinct.select("fp", F.explode(F.concat(*balls)).alias("key"))
-    return keys.repartition("key").sortWithinPartitions("key").mapInPandas(met, "a long, b long").distinct()
+        return F.transform(F.array(*map(F.lit, flips)).cast("array<long>"), lambda m: rest.bitwiseXOR(m))
+
+    return distinct.select("fp", F.explode(F.concat(*(ball(*block) for block in BLOCKS))).alias("key"))
+
+
+def linked(distinct: DataFrame) -> DataFrame:
+    """Pairs a < b of fingerprints (column fp, distinct) with at most three differing bits."""
+    return keys_of(distinct).repartition("key").sortWithinPartitions("key").mapInPandas(met, "a long, b long").distinct()
 
 
 def grouped(prints: DataFrame) -> DataFrame:

@@ -111,6 +111,8 @@ def test_op3_links_against_all_pairs(spark):
             prints.append(x)
     prints = np.unique(np.array(prints, np.uint64).view(np.int64))
     got = {(r["a"], r["b"]) for r in simhash_dedup.linked(spark.createDataFrame([(int(p),) for p in prints], "fp long")).collect()}
+    # few other pairs meet: keys are the fingerprints' own
+    assert simhash_dedup.keys_of(spark.createDataFrame([(int(p),) for p in prints], "fp long")).groupBy("key").count().where("count > 20").count() == 0
     far = np.bitwise_count((prints[:, None] ^ prints[None, :]).view(np.uint64))
     assert got == {(int(prints[i]), int(prints[j])) for i, j in zip(*np.nonzero(far <= 3), strict=True) if i < j} and len(got) > 500
 
