@@ -43,15 +43,15 @@ FROM ({LEDGER_RAW})
 """
 
 INVOICES = f"""
-SELECT b.job_id, b.doc_id, b.file_index, b.k, b.amt, b.yyyy, b.mm, b.dd, b.k7, b.vendor_tax, b.client_tax, l.n_lines,
+SELECT b.job_id, b.doc_id, b.file_index, b.k, b.amt, b.yyyy, b.mm, b.dd, b.k7, b.vendor_tax, b.client_tax, coalesce(l.n_lines, 0) AS n_lines,
   CASE b.k % 5 WHEN 0 THEN 'SHOPEE' WHEN 1 THEN 'LAZADA' WHEN 2 THEN 'TIKTOK' WHEN 3 THEN 'META' ELSE 'THAI_TAX' END AS platform,
   CASE b.k % 5 WHEN 0 THEN 'TRSPEMKP00-00000-' || substr(b.yyyy, 3, 2) || b.mm || b.dd || '-' || b.k7 WHEN 1 THEN 'THMPTI' || b.k16 WHEN 2 THEN 'TTSTH' || lpad(CAST(b.k AS STRING), 14, '1') WHEN 3 THEN 'RCMETA-' || b.k7 ELSE 'INV-' || b.k7 END AS doc_no,
   'file_' || CAST(b.k AS STRING) || '.pdf' AS filename,
   CASE b.k % 5 WHEN 0 THEN 'Shopee (Thailand) Co., Ltd.' WHEN 1 THEN 'Lazada Ltd.' WHEN 2 THEN 'TikTok Shop' WHEN 3 THEN 'Meta Platforms Ireland Limited' ELSE 'Acme Trading' END || chr(10) || 'Tax ID ' || b.vendor_tax || ' Branch No. ' || CAST(b.k % 100 AS STRING)
   || chr(10) || 'Tax Invoice No: ' || CASE b.k % 5 WHEN 0 THEN 'TRSPEMKP00-00000-' || substr(b.yyyy, 3, 2) || b.mm || b.dd || '-' || b.k7 WHEN 1 THEN 'THMPTI' || b.k16 WHEN 2 THEN 'TTSTH' || lpad(CAST(b.k AS STRING), 14, '1') WHEN 3 THEN 'RCMETA-' || b.k7 ELSE 'INV-' || b.k7 END
   || chr(10) || 'Invoice Date: ' || b.d1 || '/' || b.m1 || '/' || b.yyyy || chr(10) || 'Seller ID: ' || CAST(b.cust + 100000 AS STRING) || chr(10) || 'Username: user_' || CAST(b.cust AS STRING) || chr(10) || 'Customer: Client ' || b.client_tax || ' (Head Office' || ')' || chr(10)
-  || l.fees || chr(10) || 'Total (Including VAT) ' || b.amt_s || chr(10) || CASE WHEN b.k % 3 = 0 THEN 'Withholding Tax at the rate of 3% amounting to ' || CAST(CAST(b.amt * 0.03 AS DECIMAL(18,2)) AS STRING) ELSE 'Thank you' END AS text
-FROM ({BASE}) b JOIN (
+  || coalesce(l.fees, '') || chr(10) || 'Total (Including VAT) ' || b.amt_s || chr(10) || CASE WHEN b.k % 3 = 0 THEN 'Withholding Tax at the rate of 3% amounting to ' || CAST(CAST(b.amt * 0.03 AS DECIMAL(18,2)) AS STRING) ELSE 'Thank you' END AS text
+FROM ({BASE}) b LEFT JOIN (
   SELECT l_orderkey, count(*) AS n_lines, {{list}} AS fees FROM (
     SELECT l_orderkey, l_linenumber, l_partkey, '- Commission fee ' || CAST(l_partkey AS STRING) || ' THB ' || CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS STRING) AS fee FROM {{lineitem}}
   ) GROUP BY l_orderkey
@@ -65,17 +65,55 @@ SELECT conv_id AS doc_id, CAST(turn AS INT) AS page_index, 'scan_' || CAST(conv_
 FROM {conversations}
 """
 
+#: What each platform's documents look like; q tells the variants of one platform apart. Documents of k % 7 = 6 have no platform.
+RECEIPTS = f"""
+SELECT *, 'file_' || CAST(k AS STRING) || '.pdf' AS filename, 'Customer Tax ID: ' || client_tax || chr(10) || CASE platform
+  WHEN 'SHOPEE' THEN 'Shopee (Thailand) Co., Ltd.' || chr(10) || CASE WHEN q % 5 = 0 THEN '' ELSE 'Tax ID ' || vendor_tax || chr(10) END
+    || 'Branch No. ' || CAST(k % 100 AS STRING) || chr(10) || 'Tax Invoice No: ' || doc_no || chr(10) || 'Issue date: ' || d1 || '/' || m1 || '/' || yyyy || chr(10) || seller
+    || 'Total Value of Services (Excluded VAT) ' || ex || chr(10) || 'VAT 7% ' || vat || chr(10) || CASE WHEN q % 2 = 0 THEN 'Total Value of Services (Included VAT) ' || amt_s || chr(10) ELSE '' END
+    || CASE WHEN q % 3 = 0 THEN 'Withholding tax 3% at ' || wht || ' THB' ELSE 'Thank you' END
+  WHEN 'LAZADA' THEN 'Lazada Limited' || chr(10) || 'Tax ID ' || vendor_tax || ' Head Office' || chr(10) || 'Invoice No. ' || doc_no || chr(10) || 'Invoice Date: ' || yyyy || '-' || mm || '-' || dd || chr(10) || seller
+    || 'Total ' || ex || chr(10) || '7% (VAT) ' || vat || chr(10) || CASE WHEN q % 2 = 0 THEN 'Total (Including Tax) ' || amt_s || chr(10) ELSE '' END
+    || CASE WHEN q % 3 = 0 THEN 'Withholding tax 3% amounting to ' || wht ELSE 'Thank you' END
+  WHEN 'TIKTOK' THEN 'TikTok Shop (Thailand)' || chr(10) || 'Tax Registration Number: ' || vendor_tax || chr(10) || 'Branch: 7' || chr(10) || 'Invoice number: ' || doc_no || chr(10) || 'Invoice date: ' || mon || ' ' || d1 || ', ' || yyyy || chr(10) || seller
+    || CASE WHEN q % 2 = 0 THEN 'Advertising service' || chr(10) ELSE '' END || 'Subtotal (excluding VAT) ' || ex || chr(10) || 'Total VAT ' || vat || chr(10) || 'Total amount (including VAT) THB ' || amt_s || chr(10)
+    || CASE WHEN q % 3 = 0 THEN 'Withholding tax at the rate of 3% amounting to ' || wht ELSE 'Thank you' END
+  WHEN 'SPX' THEN 'SPX Express (Thailand) Co., Ltd.' || chr(10) || 'Tax ID ' || vendor_tax || chr(10) || 'No. ' || doc_no || chr(10) || 'Date ' || d1 || '/' || m1 || '/' || yyyy || chr(10)
+    || CASE WHEN q % 3 = 0 THEN 'Withholding tax 3% at ' || wht || ' THB' || chr(10) ELSE '' END || seller || 'Parcels of the month, as agreed with the customer of the courier service' || chr(10)
+    || 'Subtotal (excluding VAT) ' || ex || chr(10) || 'VAT 7% ' || vat || chr(10) || CASE WHEN q % 2 = 0 THEN 'Total amount (including VAT) ' || amt_s ELSE '' END
+  WHEN 'GOOGLE' THEN 'Google Asia Pacific Pte. Ltd.' || chr(10) || 'Payment receipt' || chr(10) || 'Payment date: ' || mon || ' ' || d1 || ', ' || yyyy || chr(10) || 'Billing ID: ' || billing || chr(10)
+    || CASE WHEN q % 2 = 0 THEN 'Payment number: ' || doc_no || chr(10) ELSE '' END || CASE WHEN q % 5 = 0 THEN '' ELSE 'Account name: Brand ' || CAST(k % 9 AS STRING) || chr(10) END || 'Payment method: Visa 1234' || chr(10)
+    || CASE WHEN q % 3 = 0 THEN 'Charge THB 1.00' || chr(10) || 'Balance THB ' || amt_s ELSE 'Payment amount: THB ' || amt_s END
+  WHEN 'META' THEN 'Meta Platforms Ireland Limited' || chr(10) || 'Receipt for Shop ' || CAST(k % 9 AS STRING) || chr(10) || 'Account ID: 1234567' || chr(10) || 'Invoice/Payment Date' || chr(10) || mon || ' ' || d1 || ', ' || yyyy || ', 11:42 AM' || chr(10)
+    || 'Payment method: Visa 1234' || chr(10) || CASE WHEN q % 2 = 0 THEN 'Reference Number: ' || doc_no || chr(10) ELSE '' END || 'Transaction ID: ' || billing || chr(10)
+    || CASE WHEN q % 3 = 0 THEN 'Total ฿1.00 THB' || chr(10) || '฿' || amt_s || ' THB' ELSE 'Paid ฿' || amt_s || ' THB' END
+  ELSE 'Acme Trading' || chr(10) || 'Tax Invoice No: ' || doc_no || chr(10) || 'Date: ' || d1 || '/' || m1 || '/' || yyyy || chr(10) || 'Tax ID ' || vendor_tax || chr(10) || 'Grand Total ' || amt_s END AS text
+FROM (
+  SELECT *, CASE k % 7 WHEN 0 THEN 'SHOPEE' WHEN 1 THEN 'LAZADA' WHEN 2 THEN 'TIKTOK' WHEN 3 THEN 'SPX' WHEN 4 THEN 'GOOGLE' WHEN 5 THEN 'META' ELSE 'THAI_TAX' END AS platform, CAST(floor(k / 7) AS BIGINT) AS q,
+    CASE k % 7 WHEN 0 THEN 'TRSPEMKP00-00000-' || substr(yyyy, 3, 2) || mm || dd || '-' || k7 WHEN 1 THEN 'THMPTI' || lpad(CAST(k AS STRING), 16, '8') WHEN 2 THEN 'TTSTH' || lpad(CAST(k AS STRING), 14, '8')
+      WHEN 3 THEN 'RCSPXSPR00-00000-' || substr(yyyy, 3, 2) || mm || dd || '-' || k7 WHEN 4 THEN 'V' || lpad(CAST(k AS STRING), 16, '8') WHEN 5 THEN 'REF' || k7 ELSE 'INV-' || k7 END AS doc_no,
+    '1234-' || lpad(CAST(k % 10000 AS STRING), 4, '8') || '-5678' AS billing, 'Seller ID: ' || CAST(cust + 100000 AS STRING) || chr(10) || 'Username: user_' || CAST(cust AS STRING) || chr(10) AS seller,
+    CAST(CAST(amt * 0.07 AS DECIMAL(18,2)) AS STRING) AS vat, CAST(CAST(amt - CAST(amt * 0.07 AS DECIMAL(18,2)) AS DECIMAL(18,2)) AS STRING) AS ex, CAST(CAST(amt * 0.03 AS DECIMAL(18,2)) AS STRING) AS wht
+  FROM ({BASE})
+)
+"""
+
 VENDORS = """
-SELECT lpad(CAST(n_nationkey AS STRING), 13, '0') AS client_tax_id, '0' || lpad(CAST(s_suppkey % 97 + 1000 AS STRING), 12, '9') AS vendor_tax_id,
-  CASE WHEN min(s_suppkey) % 10 = 9 THEN 'bad' ELSE 'C' || lpad(CAST(min(s_suppkey) * 25 + n_nationkey AS STRING), 5, '0') END AS vendor_code
-FROM {supplier} CROSS JOIN {nation} WHERE n_nationkey < 20 AND s_suppkey < 60 GROUP BY n_nationkey, s_suppkey % 97
+SELECT lpad(CAST(s_nationkey AS STRING), 13, '0') AS client_tax_id, '0' || lpad(CAST(s_suppkey % 97 + 1000 AS STRING), 12, '9') AS vendor_tax_id,
+  CASE WHEN min(s_suppkey) % 10 = 9 THEN 'bad' ELSE 'C' || lpad(CAST(min(s_suppkey) % 100000 AS STRING), 5, '0') END AS vendor_code
+FROM {supplier} GROUP BY s_nationkey, s_suppkey % 97
 """
 
+#: A product of 25 nations and three rules: code tables of this kind have a row for each client and rule.
 ACCOUNTS = """
 SELECT k.rule_key, lpad(CAST(n_nationkey AS STRING), 13, '0') AS client_tax_id, CASE WHEN n_nationkey % 7 = 0 THEN 'na' ELSE '5' || lpad(CAST(n_nationkey * 10 + length(k.rule_key) AS STRING), 5, '0') END AS account
 FROM {nation} CROSS JOIN (SELECT 'marketplace_shopee' AS rule_key UNION ALL SELECT 'ads_meta' UNION ALL SELECT 'marketplace_lazada') k
 """
 
+WALLETS = """
+SELECT lpad(CAST(c_custkey % 25 AS STRING), 13, '0') AS client_tax_id, CAST(c_custkey + 100000 AS STRING) AS seller_id, 'EWL' || lpad(CAST(c_custkey % 1000 AS STRING), 3, '0') AS wallet_code FROM {customer}
+"""
+
 EDITS = "SELECT CAST(user_id AS BIGINT) AS doc_id, CASE event_type WHEN 'click' THEN 'L_description' WHEN 'view' THEN 'T_note' WHEN 'error' THEN 'A_seq' ELSE 'K_account' END AS `column`, CAST(value AS STRING) AS value, ts AS saved_at, event_id FROM {events}"
 
 LIST = {"spark": "array_join(transform(array_sort(collect_list(struct(l_linenumber, l_partkey, fee))), x -> x.fee), chr(10))", "duckdb": "string_agg(fee, chr(10) ORDER BY l_linenumber, l_partkey, fee)"}

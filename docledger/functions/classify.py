@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import basename, normalize_token, text
+from .text import basename, norm_name, normalize_token, text
 
 # Platforms in order of decision, the rules (platform, where, kind, pattern, weight) and thresholds.
 PLATFORMS = ("META", "GOOGLE", "SHOPEE", "LAZADA", "TIKTOK", "SPX", "THAI_TAX")
@@ -33,7 +33,8 @@ THAI_RULES = (("ใบกำกับภาษี|ใบเสร็จรับ
 THRESHOLDS = (("META", 55), ("GOOGLE", 55), ("SPX", 45), ("LAZADA", 42), ("TIKTOK", 34), ("SHOPEE", 34), ("THAI_TAX", 70))
 INVOICE_WORDS = "ใบกำกับภาษี|tax invoice|receipt|ใบเสร็จ|invoice"
 KINDS = (("credit_note", "credit\\s*note|ใบลดหนี้"), ("tax_invoice", "tax\\s*invoice|ใบกำกับภาษี"), ("receipt", "receipt|ใบเสร็จ"), ("statement", "statement"), ("invoice", "invoice|ใบแจ้งหนี้"), ("payment", "payment"), ("waybill", "waybill|ใบส่งของ"), ("quotation", "quotation"))
-CATEGORIES = (("Shipping Expense", "shipping|delivery|logistic|ขนส่ง"), ("Selling Expense", "commission|service fee|transaction fee|ค่าธรรมเนียม"), ("Advertising Expense", "advert|\\bads?\\b|โฆษณา"), ("COGS", "goods|product|สินค้า"))
+CATEGORIES = (("Shipping Expense", ("shipping", "delivery", "ขนส่ง", "จัดส่ง", "spx")), ("Selling Expense", ("commission", "คอมมิชชั่น", "ค่าคอม")), ("Advertising Expense", ("advertising", "โฆษณา", "ads", "sponsored")), ("Inventory / COGS", ("goods", "สินค้า", "inventory", "cogs", "cost of goods")))
+SHIPPERS = ("spx", "spx express")
 VENDORS = (("SPX", "(?i)SPX\\s*Express|Shopee\\s*Express|Standard\\s*Express"), ("Shopee", "(?i)Shopee|ช็อปปี้|ช้อปปี้"), ("Lazada", "(?i)Lazada|ลาซาด้า"), ("TikTok", "(?i)TikTok|ติ๊กต๊อก"), ("Meta", "(?i)Meta\\s*Platforms|Facebook"), ("Google", "(?i)Google"))
 LEGACY = {"ADS": "UNKNOWN", "OTHER": "UNKNOWN"}
 
@@ -165,12 +166,16 @@ def rule_key(platform: Column, grp: Column | str = "") -> Column:
     return F.when(p.isin("SHOPEE", "LAZADA", "TIKTOK", "SPX"), F.concat(F.lit("marketplace_"), F.lower(p))).when(p.isin("META", "GOOGLE"), F.concat(F.lit("ads_"), F.lower(p))).otherwise("online_other")
 
 
-def expense_category(description: Column | str) -> Column:
-    return F.coalesce(*(F.when(text(description).rlike(f"(?i){p}"), c) for c, p in CATEGORIES), F.lit("Marketplace Expense"))
+def expense_category(description: Column | str, platform: Column | str = "") -> Column:
+    """Shipping, selling, advertising or goods by words of the description, shipping also by the platform; else marketplace."""
+    d, p = norm_name(description), norm_name(F.lit("") if isinstance(platform, str) and not platform else platform)
+    hit = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.instr(d, w) > 0)
+    cases = [F.when(hit(words) | p.isin(*SHIPPERS) if name == "Shipping Expense" else hit(words), name) for name, words in CATEGORIES]
+    return F.coalesce(*cases, F.lit("Marketplace Expense"))
 
 
 def ads_hint(body: Column | str) -> Column:
-    return text(body).rlike("(?i)\\bads?\\b|advertis|โฆษณา")
+    return text(body).rlike("(?i)\\b(?:ads|advertising|promotion)\\b|โฆษณา")
 
 
 def valid_platform(c: Column | str) -> Column:

@@ -60,12 +60,12 @@ def total_amount(c: Column | str) -> Column:
     return F.coalesce(*(positive(group(x, p)) for p in (TOTAL_INC, TOTAL_EX, ANY_TOTAL, ANY_AMOUNT)))
 
 
-def amount_near_keyword(c: Column | str, word: str, before: int = 80, after: int = 240) -> Column:
-    """The last amount in the window round the first keyword, which a withholding hint cuts."""
+def amount_near_keyword(c: Column | str, pattern: str, before: int = 80, after: int = 240) -> Column:
+    """The last amount in the window round the first keyword (a pattern), which a withholding hint cuts."""
     x = text(c)
-    at = F.instr(F.lower(x), word.lower())
-    window = F.substring(x, F.greatest(at - before, F.lit(1)), F.lit(before + after))
-    window = F.element_at(F.split(window, WHT_HINT, 2), 1)
+    at, found = F.regexp_instr(x, F.lit(pattern)), F.regexp_substr(x, F.lit(pattern))
+    start = F.greatest(at - before, F.lit(1))
+    window = F.element_at(F.split(F.substring(x, start, at - start + F.length(found) + after), WHT_HINT, 2), 1)
     return F.when(at > 0, parse_money(F.try_element_at(F.regexp_extract_all(window, F.lit("([0-9,]+\\.[0-9]{2})"), F.lit(1)), F.lit(-1))))
 
 
@@ -157,6 +157,15 @@ def seller_info(c: Column | str) -> Column:
     )
 
 
+def loose_seller_id(c: Column | str, filename: Column | str) -> Column:
+    """A labelled seller number, else the first run of 6 to 20 digits that is no tax id in the text, else in the file name; null if none."""
+    x = text(c)
+    labelled = group(x, "(?i)\\b(?:seller_id|seller\\s*id|shop_id|shop\\s*id|merchant_id|merchant\\s*id)\\b\\D{0,20}(\\d{5,20})")
+    thai = group(x, "(?:รหัสร้าน|ไอดีร้าน|รหัสผู้ขาย|ร้านค้า)\\D{0,20}(\\d{5,20})")
+    loose = F.get(F.filter(F.regexp_extract_all(x, F.lit("\\b(\\d{6,20})\\b"), F.lit(1)), lambda v: F.length(v) != 13), 0)
+    return F.coalesce(labelled, thai, loose, group(text(filename), "(\\d{6,20})"))
+
+
 def payment_method(c: Column | str, platform: Column | str) -> Column:
     x, p = text(c), text(platform)
     marketplace = p.isin("SHOPEE", "LAZADA", "TIKTOK") & (x.contains("หักจาก") | F.lower(x).contains("deduct"))

@@ -42,17 +42,16 @@ def platform_dim(spark) -> DataFrame:
 
 
 def platform_defaults(df: DataFrame, platform: str = "_platform") -> DataFrame:
-    """Group, description, VAT and price type where blank; marketplaces force their group; an account equal to the group is cleared.
-    The platform table has eight rows, so it is broadcast."""
-    dim = F.broadcast(platform_dim(df.sparkSession).withColumnRenamed("platform", "__platform"))
-    joined = df.join(dim, F.col(platform) == F.col("__platform"), "left")
-    market = F.col("grp") == "Marketplace Expense"
-    grp = F.when(market, F.col("grp")).otherwise(F.coalesce(filled("U_group"), "grp", F.lit("")))
-    out = joined.withColumns({
-        "U_group": grp, "L_description": F.coalesce(filled("L_description"), "grp", F.lit("")), "O_vat_rate": F.coalesce(filled("O_vat_rate"), "vat_rate", F.lit("")),
-        "J_price_type": F.coalesce(filled("J_price_type"), "price_type", F.lit("")),
+    """Group, description, VAT and price type where blank; marketplaces force their group (but for TikTok's advertising); an account
+    equal to the group is cleared. The eight platforms' values are a literal map: a join here would make the optimizer slow."""
+    p = F.col(platform)
+    grp, known, ads = F.create_map(*(F.lit(v) for kv in GROUPS.items() for v in kv))[p], p.isin(*GROUPS), p.isin("META", "GOOGLE")
+    market = (grp == "Marketplace Expense") & ~((p == "TIKTOK") & (text("U_group") == "Advertising Expense"))
+    vat, price = F.when(ads, "NO").when(known, "7%"), F.when(ads, "3").when(known, "1")
+    return df.withColumns({
+        "U_group": F.when(market, grp).otherwise(F.coalesce(filled("U_group"), grp, F.lit(""))), "L_description": F.coalesce(filled("L_description"), grp, F.lit("")),
+        "O_vat_rate": F.coalesce(filled("O_vat_rate"), vat, F.lit("")), "J_price_type": F.coalesce(filled("J_price_type"), price, F.lit("")),
     }).withColumn("K_account", F.when(text("K_account") == F.col("U_group"), "").otherwise(text("K_account")))
-    return out.drop("__platform", "grp", "vendor_label", "price_type", "vat_rate", "ord")
 
 
 def clamp_choice(c: Column | str, allowed: tuple[str, ...], fallback: str) -> Column:

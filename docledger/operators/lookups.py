@@ -34,24 +34,51 @@ def vendor_code(df: DataFrame, vendors: DataFrame, client: str = "_client_tax_id
     return joined.withColumn("D_vendor_code", F.coalesce("__code", F.nullif(F.trim(text("D_vendor_code")), F.lit("")), F.lit("Unknown"))).drop("__c", "__v", "__code")
 
 
+FEW_KEYS = 256
+
+
 def contains_longest_first(df: DataFrame, haystack: Column, dim: DataFrame, key: str, value: str, out: str) -> DataFrame:
-    """The value whose key is inside the text, longest key first, then table order (column ord). The keys are a bounded code table,
-    sent along as one array, so that no pair of rows is joined."""
-    keys = dim.where(F.length(key) > 0).orderBy(F.length(key).desc(), "ord").limit(10_001).select(key, value).collect()
-    if len(keys) > 10_000:
-        raise ValueError("more than 10,000 keys: split the table by first word")
-    if not keys:
+    """The value whose key is inside the text, longest key first, then table order (column ord).
+
+    Up to 256 keys go along as one array. More are found by their first three characters (all, if a key is shorter): the distinct
+    texts give their grams of these lengths, which are joined with the keys' and verified, so no text meets all keys."""
+    keys = dim.where(F.length(key) > 0).select(F.lower(key).alias("__key"), F.col(value).alias("__value"), "ord")
+    few = keys.orderBy(F.length("__key").desc(), "ord").limit(FEW_KEYS + 1).collect()
+    if not few:
         return df.withColumn(out, F.lit(None).cast("string"))
-    listed = F.array(*(F.struct(F.lit(r[0].lower()).alias("k"), F.lit(r[1]).alias("v")) for r in keys))
-    return df.withColumn(out, F.get(F.filter(listed, lambda r: F.instr(norm_name(haystack), r["k"]) > 0), 0)["v"])
+    if len(few) <= FEW_KEYS:
+        listed = F.array(*(F.struct(F.lit(r[0]).alias("k"), F.lit(r[1]).alias("v")) for r in few))
+        named = df.withColumn("__hay", norm_name(haystack))
+        return named.withColumn(out, F.get(F.filter(listed, lambda r: F.instr(F.col("__hay"), r["k"]) > 0), 0)["v"]).drop("__hay")
+    keyed = df.withColumn("__hay", norm_name(haystack))
+
+    def grams_of(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length("__hay") - (n - 1), F.lit(1))), lambda i: F.substring(F.col("__hay"), i, F.lit(n)))
+
+    grams = F.concat(*map(grams_of, (1, 2, 3)))
+    met = keyed.select("__hay").distinct().select("__hay", F.explode(F.array_distinct(grams)).alias("__gram")).hint("merge").join(keys.withColumn("__gram", F.substring("__key", 1, 3)).hint("merge"), "__gram").where(F.instr(F.col("__hay"), F.col("__key")) > 0)
+    best = met.groupBy("__hay").agg(F.min_by("__value", F.struct(-F.length("__key"), "ord")).alias(out))
+    return keyed.drop(out).join(best.hint("merge"), "__hay", "left").drop("__hay")
+
+
+def vendor_tax_from_name(df: DataFrame, names: DataFrame, vendor: str = "D_vendor_code", tax: str = "E_tax_id_13") -> DataFrame:
+    """E_tax_id_13, where blank, by a known name (column name, longest first) inside the vendor's."""
+    found = contains_longest_first(df, F.col(vendor), names, "name", "vendor_tax_id", "__tax")
+    return found.withColumn(tax, F.coalesce(F.nullif(F.trim(text(tax)), F.lit("")), "__tax", F.lit(""))).drop("__tax")
+
 
+def wallet_code(df: DataFrame, wallets: DataFrame, shops: DataFrame, client: str = "_client_tax_id", seller: str = "_seller_id", shop: str = "_username", body: str | None = None) -> DataFrame:
+    """Q_payment_method: by (client, seller id), the id looked for in the text where none is given; else by a shop word in the shop's
+    name, then in the text; else it stays."""
+    from ..functions.fields import loose_seller_id
 
-def wallet_code(df: DataFrame, wallets: DataFrame, shops: DataFrame, client: str = "_client_tax_id", seller: str = "_seller_id", shop: str = "_username") -> DataFrame:
-    """Q_payment_method: by (client, seller id); else by a shop word in the shop's name; else it stays."""
+    number = F.nullif(digits_only(seller), F.lit(""))
+    number = F.coalesce(number, loose_seller_id(body, F.lit(""))) if body else number
     dim = wallets.where(code_format("wallet_code", "wallet")).select(F.col("client_tax_id").alias("__c"), F.col("seller_id").alias("__s"), F.col("wallet_code").alias("__w"))
-    joined = df.join(small(dim), (F.col(client) == F.col("__c")) & (digits_only(seller) == F.col("__s")), "left")
-    named = contains_longest_first(joined, F.col(shop), shops, "keyword", "wallet_code", "__named")
-    return named.withColumn("Q_payment_method", F.coalesce("__w", "__named", text("Q_payment_method"))).drop("__c", "__s", "__w", "__named")
+    joined = df.withColumn("__number", number).join(small(dim), (F.col(client) == F.col("__c")) & (F.col("__number") == F.col("__s")), "left")
+    found = contains_longest_first(joined, F.col(shop), shops, "keyword", "wallet_code", "__named")
+    found = contains_longest_first(found, F.col(body), shops, "keyword", "wallet_code", "__inside") if body else found.withColumn("__inside", F.lit(None).cast("string"))
+    return found.withColumn("Q_payment_method", F.coalesce("__w", "__named", "__inside", text("Q_payment_method"))).drop("__c", "__s", "__w", "__named", "__inside", "__number")
 
 
 def last4(c: Column | str) -> Column:

@@ -21,6 +21,7 @@ from .operators import validate as E
 from .plans.extract import JobConfig, extract
 from .plans.jobs import apply_enrichment, enrichment_requests, prepare_export, route_segments, run_job
 from .sources.documents import admit, choose_text, to_pages, with_names
+from .sources.shared import work_folder
 from .sources.sinks import typed_export
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,10 +90,10 @@ def s_references(spark, d):
 
 # --- values ---------------------------------------------------------------------------------------------------------
 @query(f"""
-SELECT doc_id, CASE WHEN k % 7 < 4 THEN yyyy || mm || dd WHEN k % 7 = 6 THEN CAST(CAST(yyyy AS INT) + 543 AS VARCHAR) || mm || dd ELSE '' END AS strict_date, CASE WHEN k % 7 < 4 OR k % 7 = 6 THEN yyyy || mm || dd ELSE '' END AS lenient, CASE WHEN k % 7 = 4 THEN yyyy || mm || dd ELSE '' END AS english,
-  CASE WHEN k % 6 < 2 AND yyyy >= '2000' THEN '' ELSE yyyy || mm || dd END AS guarded, yyyy || mm || dd AS first_day, yyyy || mm || '28' AS last_day FROM {RAW} WHERE NOT (k % 7 = 6 AND mm || dd = '0229')""")
+SELECT doc_id, CASE WHEN k % 7 < 4 THEN yyyy || mm || dd WHEN k % 7 = 6 AND mm || dd <> '0229' THEN CAST(CAST(yyyy AS INT) + 543 AS VARCHAR) || mm || dd ELSE '' END AS strict_date, CASE WHEN k % 7 < 4 OR k % 7 = 6 THEN yyyy || mm || dd ELSE '' END AS lenient, CASE WHEN k % 7 = 4 THEN yyyy || mm || dd ELSE '' END AS english,
+  CASE WHEN k % 6 < 2 AND yyyy >= '2000' THEN '' ELSE yyyy || mm || dd END AS guarded, yyyy || mm || dd AS first_day, yyyy || mm || '28' AS last_day FROM {RAW}""")
 def v_dates(spark, d):
-    r = fx.load(spark, d, fx.LEDGER_RAW).where("not (k % 7 = 6 and mm || dd = '0229')")
+    r = fx.load(spark, d, fx.LEDGER_RAW)
     true_date = F.to_date(F.concat("yyyy", "mm", "dd"), "yyyyMMdd")
     period = V.service_period(F.concat(F.lit("Service period: "), "dd", F.lit("/"), "mm", F.lit("/"), "yyyy", F.lit(" - 28/"), "mm", F.lit("/"), "yyyy"))
     return r.select("doc_id", day(V.parse_date("date_text")).alias("strict_date"), day(V.parse_date_lenient("date_text")).alias("lenient"), day(V.parse_en_date("date_text")).alias("english"), day(V.guard_filename_date(true_date, "filename", F.lit("no date"))).alias("guarded"), day(period["start"]).alias("first_day"), day(period["end"]).alias("last_day"))
@@ -267,15 +268,15 @@ def j_contains(spark, d):
 
 @query(f"""
 WITH s AS (SELECT DISTINCT lpad(CAST(s_suppkey AS VARCHAR), 13, '0') AS id, s_suppkey FROM supplier)
-SELECT r.doc_id, CASE WHEN r.k % 3 = 0 THEN r.client_tax ELSE '' END AS own_inside, n.n_nationkey IS NULL AS foreign_id, coalesce('ADV' || lpad(CAST(r.k % 25 AS VARCHAR), 3, '0'), '') AS card FROM {RAW} r LEFT JOIN nation n ON n.n_nationkey = r.k % 30 WHERE r.k % 30 < 28""")
+SELECT r.doc_id, CASE WHEN r.k % 3 = 0 THEN r.client_tax ELSE '' END AS own_inside, n.n_nationkey IS NULL AS foreign_id, coalesce('ADV' || lpad(CAST(r.k % 25 AS VARCHAR), 3, '0'), '') AS card FROM {RAW} r LEFT JOIN nation n ON n.n_nationkey = r.k % 30 """)
 def j_sets(spark, d):
     r = fx.load(spark, d, fx.LEDGER_RAW).withColumn("nk", (F.col("k") % 30).cast("int"))
     nations = spark.read.parquet(f"{d}/nation.parquet")
     ids = [f"{i:013d}" for i in range(25)]
     keyed = r.withColumn("_client_tax_id", F.lit("c")).withColumn("l4", F.lpad((F.col("k") % 25).cast("string"), 4, "0"))
     cards = nations.select(F.lit("c").alias("client_tax_id"), F.lpad(F.col("n_nationkey").cast("string"), 4, "0").alias("last4"), F.concat(F.lit("ADV"), F.lpad(F.col("n_nationkey").cast("string"), 3, "0")).alias("card_id"))
-    known = J.only_listed(keyed.where("nk < 28"), nations.select("n_nationkey"), "nk", "n_nationkey").withColumn("foreign_id", F.lit(False))
-    foreign = J.exclude_own(keyed.where("nk < 28"), nations.select("n_nationkey"), "nk", "n_nationkey").withColumn("foreign_id", F.lit(True))
+    known = J.only_listed(keyed, nations.select("n_nationkey"), "nk", "n_nationkey").withColumn("foreign_id", F.lit(False))
+    foreign = J.exclude_own(keyed, nations.select("n_nationkey"), "nk", "n_nationkey").withColumn("foreign_id", F.lit(True))
     both = J.card_id(A.union_routes(known, foreign), cards, F.col("l4"))
     body = F.when(F.col("k") % 3 == 0, F.concat(F.lit("our id "), "client_tax")).otherwise("none")
     return both.select("doc_id", J.detect_client(body, F.lit("x.pdf"), ids, {}, []).alias("own_inside"), "foreign_id", F.col("_card_id").alias("card"))
@@ -359,10 +360,10 @@ def e_warnings(spark, d):
 
 
 @query(f"""
-SELECT doc_id, CASE WHEN doc_id % 7 < 4 THEN split_part(k, '|', 1) WHEN doc_id % 7 = 6 THEN split_part(k, '|', 2) ELSE '' END AS B_doc_date, CASE WHEN doc_id % 6 < 4 THEN split_part(k, '|', 3) ELSE '0' END AS N_unit_price, CASE doc_id % 4 WHEN 3 THEN '5%' WHEN 2 THEN '0' ELSE '3%' END AS P_wht, CASE WHEN doc_id % 4 = 2 THEN '' ELSE '53' END AS S_pnd, lpad(F_branch_5, 5, '0') AS F_branch_5, C_reference AS G_invoice_no
-FROM (SELECT r.*, q.yyyy || q.mm || q.dd || '|' || CAST(CAST(q.yyyy AS INT) + 543 AS VARCHAR) || q.mm || q.dd || '|' || CAST(q.amt AS VARCHAR) AS k FROM {ROWS} r JOIN {RAW} q USING (doc_id) WHERE NOT (q.mm = '02' AND q.dd = '29'))""")
+SELECT doc_id, CASE WHEN doc_id % 7 < 4 THEN split_part(k, '|', 1) WHEN doc_id % 7 = 6 AND NOT leap THEN split_part(k, '|', 2) ELSE '' END AS B_doc_date, CASE WHEN doc_id % 6 < 4 THEN split_part(k, '|', 3) ELSE '0' END AS N_unit_price, CASE doc_id % 4 WHEN 3 THEN '5%' WHEN 2 THEN '0' ELSE '3%' END AS P_wht, CASE WHEN doc_id % 4 = 2 THEN '' ELSE '53' END AS S_pnd, lpad(F_branch_5, 5, '0') AS F_branch_5, C_reference AS G_invoice_no
+FROM (SELECT r.*, q.yyyy || q.mm || q.dd || '|' || CAST(CAST(q.yyyy AS INT) + 543 AS VARCHAR) || q.mm || q.dd || '|' || CAST(q.amt AS VARCHAR) AS k, q.mm || q.dd = '0229' AS leap FROM {ROWS} r JOIN {RAW} q USING (doc_id))""")
 def e_format(spark, d):
-    rows = fx.load(spark, d, fx.LEDGER).join(fx.load(spark, d, fx.LEDGER_RAW).where("not (mm = '02' and dd = '29')").select("doc_id"), "doc_id", "left_semi").withColumn("S_pnd", F.lit("")).withColumn("H_invoice_date", F.lit("")).withColumn("I_tax_purchase_date", F.lit(""))
+    rows = fx.load(spark, d, fx.LEDGER).withColumn("S_pnd", F.lit("")).withColumn("H_invoice_date", F.lit("")).withColumn("I_tax_purchase_date", F.lit(""))
     return E.format_row(rows).select("doc_id", "B_doc_date", "N_unit_price", "P_wht", "S_pnd", "F_branch_5", "G_invoice_no")
 
 
@@ -377,15 +378,15 @@ def e_export_set(spark, d):
 
 # --- summaries and windows ------------------------------------------------------------------------------------------
 def summary_sql() -> str:
-    base = f"""SELECT *, CASE WHEN doc_id % 6 < 4 AND doc_id % 2 = 0 THEN amt END AS paid, CASE WHEN doc_id % 7 < 4 THEN strptime(q, '%Y%m%d')::DATE END AS d, CASE doc_id % 9 WHEN 0 THEN 'Unknown' ELSE D_vendor_code END AS vendor, coalesce(nullif(A_company_name, ''), 'Unknown') AS client
-      FROM (SELECT r.*, s.amt, s.yyyy || s.mm || s.dd AS q FROM {ROWS} r JOIN {RAW} s USING (doc_id) WHERE doc_id % 7 <> 6)"""
+    base = f"""SELECT *, CASE WHEN doc_id % 6 < 4 AND doc_id % 2 = 0 THEN amt END AS paid, CASE WHEN doc_id % 7 < 4 THEN strptime(q, '%Y%m%d')::DATE WHEN doc_id % 7 = 6 AND right(q, 4) <> '0229' THEN strptime(CAST(CAST(left(q, 4) AS INT) + 543 AS VARCHAR) || right(q, 4), '%Y%m%d')::DATE END AS d, CASE doc_id % 9 WHEN 0 THEN 'Unknown' ELSE D_vendor_code END AS vendor, coalesce(nullif(A_company_name, ''), 'Unknown') AS client
+      FROM (SELECT r.*, s.amt, s.yyyy || s.mm || s.dd AS q FROM {ROWS} r JOIN {RAW} s USING (doc_id))"""
     one = lambda dim, value: f"SELECT '{dim}' AS dimension, {value} AS value, count(*) AS rows, count(*) FILTER (vendor <> 'Unknown') AS with_vendor, strftime(min(d), '%Y%m%d') AS first_date, strftime(max(d), '%Y%m%d') AS last_date, CAST(coalesce(sum(paid), 0) AS VARCHAR) AS paid FROM b GROUP BY ALL"
     return f"WITH b AS ({base}) " + " UNION ALL ".join([one("platform", "_platform"), one("grp", "'Unknown'"), one("vendor", "vendor"), one("client", "client"), one("method", "_extraction_method"), one("all", "''")])
 
 
 @query(summary_sql().replace("CAST(coalesce(sum(paid), 0) AS VARCHAR)", "CAST(CAST(coalesce(sum(paid), 0) AS DECIMAL(28,2)) AS VARCHAR)"))
 def a_export_summary(spark, d):
-    return A.export_summary(fx.load(spark, d, fx.LEDGER).where("doc_id % 7 <> 6")).withColumns({"paid": F.col("paid").cast("string"), "first_date": F.date_format("first_date", "yyyyMMdd"), "last_date": F.date_format("last_date", "yyyyMMdd")})
+    return A.export_summary(fx.load(spark, d, fx.LEDGER)).withColumns({"paid": F.col("paid").cast("string"), "first_date": F.date_format("first_date", "yyyyMMdd"), "last_date": F.date_format("last_date", "yyyyMMdd")})
 
 
 @query(f"""
@@ -471,9 +472,14 @@ def g_summary(spark, d):
     return G.segment_summary(G.segment_documents(fx.load(spark, d, fx.PAGES))).select("doc_id", "pages", "segments")
 
 
-@query(SEG + " SELECT doc_id, segment_index, 'generic' AS route, 'enrichment' AS queue FROM s GROUP BY doc_id, segment_index")
+@query(SEG + """ SELECT doc_id, segment_index, CASE WHEN NOT bool_or(NOT blank) OR doc_id % 4 = 0 THEN 'generic' WHEN doc_id % 4 = 1 THEN 'meta_ads' WHEN doc_id % 4 = 2 THEN 'google_ads' ELSE 'marketplace' END AS route,
+  CASE WHEN NOT bool_or(NOT blank) OR doc_id % 4 = 0 THEN 'enrichment' ELSE 'none' END AS queue FROM s GROUP BY doc_id, segment_index""")
 def g_routes(spark, d):
-    out = route_segments(G.segment_documents(fx.load(spark, d, fx.PAGES)), JobConfig())
+    """Pages of a quarter of the documents name no platform, the others Meta, Google or Lazada."""
+    k = F.col("doc_id") % 4
+    named = F.when(k == 1, "\nMeta Platforms Ireland").when(k == 2, "\nGoogle Asia Pacific").when(k == 3, "\nTHMPTI1234567890").otherwise("")
+    pages = fx.load(spark, d, fx.PAGES).withColumn("text", F.when(F.col("blank"), F.col("text")).otherwise(F.concat("text", named)))
+    out = route_segments(G.segment_documents(pages), JobConfig())
     return out.select("doc_id", "segment_index", "route", F.col("_queue").alias("queue"))
 
 
@@ -500,9 +506,9 @@ def src_assemble(spark, d):
     return G.assemble_text(to_pages(docs, 1 << 30), ["doc_id"], "\n").select("doc_id", F.md5(F.col("text").cast("binary")).alias("whole"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND length(trim(text)) >= 120 THEN 'scan' WHEN length(trim(text)) >= 120 THEN 'layer' ELSE CASE WHEN doc_id % 2 = 0 THEN 'scan' ELSE 'layer' END END AS method, CAST(length(text) AS INT) AS text_length FROM documents WHERE trim(text) <> ''")
+@query("SELECT doc_id, CASE WHEN trim(coalesce(text, '')) = '' THEN 'ocr_empty' WHEN doc_id % 2 = 0 AND length(trim(text)) >= 120 THEN 'scan' WHEN length(trim(text)) >= 120 THEN 'layer' ELSE CASE WHEN doc_id % 2 = 0 THEN 'scan' ELSE 'layer' END END AS method, CAST(coalesce(length(text), 0) AS INT) AS text_length FROM documents")
 def src_choose_text(spark, d):
-    docs = spark.read.parquet(f"{d}/documents.parquet").where("trim(text) <> ''")
+    docs = spark.read.parquet(f"{d}/documents.parquet")
     even = F.col("doc_id") % 2 == 0
     return choose_text(docs.select("doc_id", F.when(~even, F.col("text")).alias("layer"), F.when(even, F.col("text")).alias("scan")), "layer", ["scan"]).select("doc_id", "method", "text_length")
 
@@ -513,16 +519,16 @@ def src_intake(spark, d):
     return A.intake_report(docs.select(F.when(F.col("doc_id") % 8 == 7, "type").when(F.col("doc_id") % 8 == 6, "empty").alias("reject_reason"), F.col("n_chars").alias("n_bytes")))
 
 
-@query(f"SELECT doc_id, CASE WHEN k % 7 < 4 THEN yyyy || mm || dd ELSE '' END AS day, CASE WHEN k % 6 < 4 THEN CAST(amt AS VARCHAR) ELSE '' END AS price, CASE WHEN k % 6 < 4 THEN '' ELSE amount_text END AS raw_price FROM {RAW} WHERE k % 7 <> 6")
+@query(f"SELECT doc_id, CASE WHEN k % 7 < 4 THEN yyyy || mm || dd WHEN k % 7 = 6 AND mm || dd <> '0229' THEN CAST(CAST(yyyy AS INT) + 543 AS VARCHAR) || mm || dd ELSE '' END AS day, CASE WHEN k % 6 < 4 THEN CAST(amt AS VARCHAR) ELSE '' END AS price, CASE WHEN k % 6 < 4 THEN '' ELSE amount_text END AS raw_price FROM {RAW}")
 def snk_typed(spark, d):
-    rows = fx.load(spark, d, fx.LEDGER).where("doc_id % 7 <> 6").withColumns({"H_invoice_date": F.lit(""), "I_tax_purchase_date": F.lit("")})
+    rows = fx.load(spark, d, fx.LEDGER).withColumns({"H_invoice_date": F.lit(""), "I_tax_purchase_date": F.lit("")})
     accounting = rows.withColumn("N_unit_price", F.when(F.col("N_unit_price").startswith("("), F.col("N_unit_price")).otherwise(F.col("N_unit_price")))
     return typed_export(accounting).select("doc_id", day(F.col("B_doc_date")).alias("day"), cash(F.col("N_unit_price")).alias("price"), F.coalesce("N_unit_price_raw", F.lit("")).alias("raw_price"))
 
 
 # --- whole jobs -----------------------------------------------------------------------------------------------------
 @query(f"""
-SELECT doc_id, platform, upper(doc_no) AS reference, yyyy || mm || dd AS day, CAST(amt AS VARCHAR) AS paid, CASE WHEN platform = 'META' THEN '' ELSE vendor_tax END AS tax_id, CASE WHEN platform = 'META' THEN 'NO' ELSE '7%' END AS vat, CASE WHEN platform = 'META' THEN '3' ELSE '1' END AS price_type, CASE WHEN platform IN ('THAI_TAX') THEN 'generic' ELSE 'rule_based_' || lower(platform) END AS method FROM {INV}""")
+SELECT doc_id, platform, upper(doc_no) AS reference, yyyy || mm || dd AS day, CAST(amt AS VARCHAR) AS paid, CASE WHEN platform = 'META' THEN '0993000454995' ELSE vendor_tax END AS tax_id, CASE WHEN platform = 'META' THEN 'NO' ELSE '7%' END AS vat, CASE WHEN platform = 'META' THEN '3' ELSE '1' END AS price_type, CASE WHEN platform IN ('THAI_TAX') THEN 'generic' ELSE 'rule_based_' || lower(platform) END AS method FROM {INV}""")
 def job_extract(spark, d):
     rows = extract(fx.load(spark, d, fx.INVOICES), JobConfig())
     return rows.select("doc_id", F.col("_platform").alias("platform"), F.upper("C_reference").alias("reference"), F.col("B_doc_date").alias("day"), F.col("R_paid_amount").alias("paid"), F.col("E_tax_id_13").alias("tax_id"), F.col("O_vat_rate").alias("vat"), F.col("J_price_type").alias("price_type"), F.col("_extraction_method").alias("method"))
@@ -535,9 +541,9 @@ def job_run(spark, d):
 
 
 @query(f"""
-SELECT file_index, job_id, CAST(row_number() OVER (PARTITION BY job_id ORDER BY file_index) AS VARCHAR) AS A_seq, CASE WHEN doc_id % 6 < 4 THEN CAST(amt AS VARCHAR) ELSE '0.00' END AS R_paid_amount, CASE doc_id % 4 WHEN 1 THEN '2' WHEN 3 THEN '1.50' ELSE '1' END AS M_qty, {GRP} AS U_group FROM (SELECT r.* EXCLUDE R_paid_amount, q.amt FROM {ROWS} r JOIN {RAW} q USING (doc_id))""")
+SELECT file_index, job_id, CAST(row_number() OVER (PARTITION BY job_id ORDER BY file_index) AS VARCHAR) AS A_seq, CASE WHEN doc_id % 6 < 4 THEN CAST(amt AS VARCHAR) ELSE '0.00' END AS R_paid_amount, CASE doc_id % 4 WHEN 1 THEN '2' WHEN 3 THEN '1.50' ELSE '1' END AS M_qty, {GRP} AS U_group FROM (SELECT r.*, q.amt FROM {ROWS} r JOIN {RAW} q USING (doc_id))""")
 def job_export(spark, d):
-    rows = fx.load(spark, d, fx.LEDGER).withColumn("R_paid_amount", F.lit("")).withColumn("_file_index", F.col("file_index"))
+    rows = fx.load(spark, d, fx.LEDGER).withColumn("_file_index", F.col("file_index"))
     return prepare_export(rows).select(F.col("_file_index").alias("file_index"), F.col("_job_id").alias("job_id"), "A_seq", "R_paid_amount", "M_qty", "U_group")
 
 
@@ -556,15 +562,6 @@ def job_enrich(spark, d):
 
 
 # --- streaming and sinks --------------------------------------------------------------------------------------------
-def work_folder(spark) -> str:
-    """A new folder in the shared checkpoint folder; a local one only where none is set, as in tests."""
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="docledger-")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def st_windows(spark, d):
     """A stream over the events' files appended to a table, then counted by window as a batch."""
@@ -577,13 +574,6 @@ def st_windows(spark, d):
     return windowed_counts(spark.read.parquet(f"{to}/out"))
 
 
-@query(f"SELECT job_id, 'UNKNOWN' AS platform, 'unknown' AS method, count(*) AS rows FROM {RAW} GROUP BY job_id")
-def st_progress(spark, d):
-    from .streaming.jobs import progress_counts
-
-    return progress_counts(fx.load(spark, d, fx.LEDGER_RAW).select("job_id", F.lit("").alias("_platform"), F.lit("").alias("_extraction_method")))
-
-
 @query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-05 00:00:00'")
 def st_expire(spark, d):
     from .streaming.jobs import expire_jobs
@@ -592,11 +582,4 @@ def st_expire(spark, d):
     return expire_jobs(e, "2024-01-06 00:00:00", 86_400).select("event_id")
 
 
-@query(f"SELECT 'desc ' || CAST(doc_id % 10 AS VARCHAR) AS description, count(*) AS rows FROM {ROWS} WHERE doc_id % 2 = 0 GROUP BY ALL")
-def snk_csv(spark, d):
-    """The import file written and read back."""
-    from .sources.sinks import write_ledger_csv
-
-    to = work_folder(spark)
-    write_ledger_csv(fx.load(spark, d, fx.LEDGER).where("doc_id % 2 = 0"), to)
-    return spark.read.option("header", True).option("escape", '"').csv(to).groupBy(F.col("Description").alias("description")).agg(F.count("*").alias("rows"))
+from . import platform_queries  # noqa: E402, F401  its queries register themselves

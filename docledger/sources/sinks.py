@@ -10,6 +10,7 @@ from ..functions.values import MONEY, normalize_qty, parse_date, parse_money
 from ..schema import LABELS, LEDGER
 
 BOM, CELL = "﻿", 32_767
+AS_IS = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def csv_rows(df: DataFrame, review: bool = False) -> DataFrame:
@@ -21,11 +22,11 @@ def csv_rows(df: DataFrame, review: bool = False) -> DataFrame:
 
 
 def write_ledger_csv(df: DataFrame, path: str) -> None:
-    csv_rows(df).write.mode("overwrite").option("header", True).option("emptyValue", "").option("quoteAll", False).option("escape", '"').csv(path)
+    csv_rows(df).write.mode("overwrite").option("header", True).option("emptyValue", "").option("quoteAll", False).option("escape", '"').options(**AS_IS).csv(path)
 
 
 def write_review_csv(df: DataFrame, path: str) -> None:
-    csv_rows(df, True).write.mode("overwrite").option("header", True).option("emptyValue", "").option("lineSep", "\r\n").option("escape", '"').csv(path)
+    csv_rows(df, True).write.mode("overwrite").option("header", True).option("emptyValue", "").option("lineSep", "\r\n").option("escape", '"').options(**AS_IS).csv(path)
 
 
 def typed_export(df: DataFrame) -> DataFrame:

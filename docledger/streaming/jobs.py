@@ -25,8 +25,9 @@ def progress_counts(rows: DataFrame) -> DataFrame:
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Counts by window and type with a watermark, so the state stays bounded."""
-    held = events.withWatermark("ts", late) if events.isStreaming else events
-    return held.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    held = timed.withWatermark("ts", late) if events.isStreaming else timed
+    return held.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
 def expire_jobs(jobs: DataFrame, now, ttl_seconds: int) -> DataFrame:
