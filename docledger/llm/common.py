@@ -19,11 +19,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir or was given; a temporary one only where all runs in one process."""
+    given = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if given.isEmpty():
+        folder = spark.conf.get("spark.checkpoint.dir", "")
+        if not folder:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="docledger-checkpoint-")
+        spark.sparkContext.setCheckpointDir(folder)
+        given = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return given.get()
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder that the cluster names in spark.checkpoint.dir."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", "") and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="docledger-checkpoint-"))
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 

@@ -22,6 +22,7 @@ from .common import durable, find, mixed, strings, table
 from .tokens import in_parts
 
 ORDER, BASE = 4, np.uint64(0x9E3779B97F4A7C15)
+PART_CHARS = 1 << 18  # characters in work at once
 _letters: list[np.ndarray] = []
 
 
@@ -80,7 +81,7 @@ def gram_counts(frames):
     for frame in frames:
         for lang, part in frame.groupby("lang"):
             texts = strings(part["text"])
-            for a, b in in_parts(texts):
+            for a, b in in_parts(texts, PART_CHARS):
                 x, owner = symbols(texts[a:b])
                 at = np.flatnonzero(owner >= 0)
                 if len(at):
@@ -157,9 +158,6 @@ def entropies(model: dict, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return -total / np.maximum(n, 1)[:, None], n, letters
 
 
-PART_CHARS = 1 << 20
-
-
 def predictor(model, names: list[str], limits, spread: float):
     """Vectorised: a text's (lang_pred, score, rejected, entropy). Only texts reach Python, a bounded part of a batch at a time."""
     import pandas as pd
@@ -205,7 +203,7 @@ def fit_models(docs: DataFrame, learn: Column, sample_chars: int, spread: float)
 
         for frame in frames:
             texts = strings(frame["text"])
-            for a, b in in_parts(texts):
+            for a, b in in_parts(texts, PART_CHARS):
                 h, n, letters = entropies(model.value, texts[a:b])
                 lang = frame["lang"].iloc[a:b].map(at).to_numpy()
                 yield pd.DataFrame({"lang": lang[letters], "h": h[np.arange(b - a), lang][letters], "n": n[letters]})

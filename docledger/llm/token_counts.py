@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, strings, table, word_count
+from .common import checkpoint_dir, strings, table, word_count
 from .tokens import encoder, in_parts
 
 GROUP = ("source", "lang", "version")
@@ -113,8 +113,7 @@ class TokenRollup:
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder beside the checkpoints."""
-    durable(spark.range(0).toDF("x"))  # sets the folder where it is unset
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/rollup-{uuid.uuid4().hex}"
+    return f"{checkpoint_dir(spark)}/rollup-{uuid.uuid4().hex}"
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
