@@ -2,19 +2,20 @@
 
 Inner products become distances: with M the largest squared norm, each vector x gets one more coordinate sqrt(M - |x|^2) and each
 query a zero, so that the squared Euclidean distance is |q|^2 + M - 2 q.x, least where the product is greatest. In that metric space
-Spark builds an M-tree: routing pivots (a bounded sample, by hash order, of at most 256 rows) split all rows; the rows of a pivot
-are dealt into shards of about ``shard_rows`` rows, so that a dense pivot is no task of its own; each shard is cut into leaf pages
-round local pivots. A page keeps its pivot, covering radius, distance to the shard's pivot (the parent) and, of each entry, the
-distance to the page's pivot. Every row is indexed.
+Spark builds an M-tree: routing pivots (a bounded sample, by hash order, of at most 256 rows) split all rows; a pivot's rows are cut
+by their distance from it into at most 16 rings of about equal size, and a ring by hash into shards of about ``shard_rows`` rows, so
+that a dense pivot is no task of its own; each shard is cut into leaf pages round local pivots. A page keeps its pivot, covering
+radius, distance to the shard's pivot (the parent) and, of each entry, the distance to the page's pivot. Every row is indexed.
 
-A query first searches the shard that would hold it, which bounds its k-th distance. Then it goes to the shards whose ball
-can hold something nearer. Inside a shard pages are taken best first; a page's distance is computed only if the stored parent
-distances can't rule it out, and an entry's only if its stored distance can't. Bounds carry a slack for rounding; scores are exact
-integers. Queries are dealt in blocks, so no task holds them all.
+A query first searches the shard that would hold it, which bounds its k-th distance. Then it goes to the rings that can hold something
+nearer. Inside a shard pages are taken best first; a page's distance is computed only if the stored parent distances can't rule it out,
+and an entry's only if its stored distance can't. Bounds carry a slack for rounding; scores are exact integers. Queries are dealt in
+blocks, so no task holds them all, and a page moves only to the blocks with a query that goes there.
 
 Defined results: rows whose vector is null or empty or holds null or non-finite components, or whose vec_id is null, take no part; vectors of
 another length than the most frequent one are compared as if padded by zeros; a query repeated as rows is one query; repeated
-candidate rows each count; all rows with the query's vec_id are its own. Ties go to the smaller vec_id.
+candidate rows each count; all rows with the query's vec_id are its own. Ties go to the smaller vec_id. Columns other than vec_id,
+embedding and what ``is_query`` names are not read, so they may clash. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,9 +26,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, partitions, table
+from .common import durable, table
 
-MAX_PIVOTS, SLACK = 256, 1e-6
+MAX_PIVOTS, RINGS, SLACK, MAX_ROUTES = 256, 16, 1e-6, 1_000_000
 
 
 def unpacked(blobs, width: int) -> np.ndarray:
@@ -45,13 +46,14 @@ def gaps(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def nearest(pivots, top: int, width: int):
-    """Per row: its nearest pivot."""
+    """Per row: its nearest pivot and the distance to it."""
 
     def run(frames):
         centre = pivots.value
         for frame in frames:
-            at = gaps(lifted(unpacked(frame["x"], width), top), centre).argmin(axis=1) if len(centre) else np.zeros(len(frame), int)
-            yield frame.assign(pivot=at.astype(np.int32))
+            far = gaps(lifted(unpacked(frame["x"], width), top), centre) if len(frame) else np.zeros((0, 1))
+            at = far.argmin(axis=1)
+            yield frame.assign(pivot=at.astype(np.int32), gap=far[np.arange(len(at)), at])
 
     return run
 
@@ -74,7 +76,7 @@ def pages_of(pivots, top: int, width: int, page_rows: int):
                 far = gaps(points[part], local[k : k + 1])[:, 0]
                 order = np.argsort(far, kind="stable")
                 part, far = part[order], far[order]
-                out.append({"pivot": frame["pivot"].iloc[0], "sub": frame["sub"].iloc[0], "centre": local[k].tobytes(), "radius": float(far[-1]), "from_parent": float(gaps(local[k : k + 1], parent)[0, 0]), "far": float(gaps(points[part], parent).max()), "ids": frame["vec_id"].to_numpy(dtype=np.int64)[part].tobytes(), "xs": x[part].tobytes(), "gaps": far.tobytes()})
+                out.append({"pivot": frame["pivot"].iloc[0], "ring": frame["ring"].iloc[0], "sub": frame["sub"].iloc[0], "centre": local[k].tobytes(), "radius": float(far[-1]), "from_parent": float(gaps(local[k : k + 1], parent)[0, 0]), "ids": frame["vec_id"].to_numpy(dtype=np.int64)[part].tobytes(), "xs": x[part].tobytes(), "gaps": far.tobytes()})
         return pd.DataFrame(out)
 
     return run
@@ -131,24 +133,28 @@ def searched(pivots, top: int, width: int, k: int):
     return run
 
 
-def routed(pivots, reach, top: int, width: int):
-    """Per query: its home pivot (kth is null), or the pivots whose ball may hold something within its k-th distance."""
+def routed(pivots, rings, top: int, width: int):
+    """Per query: the ring that would hold it (kth is null), or the rings that may hold something within its k-th distance.
+
+    rings: pivot, ring, least and greatest distance from the pivot, of each ring."""
+    pivot, ring, low, high = rings
 
     def run(frames):
         import pandas as pd
 
-        centre, radius = pivots.value, np.array(reach)
         for frame in frames:
             q = unpacked(frame["x"], width)
-            gap = gaps(np.c_[q.astype(float), np.zeros(len(q))], centre)
-            bound = np.sqrt(np.maximum((q * q).sum(1) + top - 2 * frame["kth"].to_numpy(dtype=float), 0)) if "kth" in frame else None
-            if bound is None:
-                row, col = np.arange(len(q)), gaps(lifted(q, top), centre).argmin(axis=1)
-                limit = np.full(len(q), np.nan)
-            else:
+            if "kth" in frame:
+                gap = gaps(np.c_[q.astype(float), np.zeros(len(q))], pivots.value)[:, pivot]
+                bound = np.sqrt(np.maximum((q * q).sum(1) + top - 2 * frame["kth"].to_numpy(dtype=float), 0))
                 limit = np.where(np.isnan(bound), np.inf, bound)
-                row, col = np.nonzero(gap - radius[None, :] <= limit[:, None] + SLACK)
-            yield pd.DataFrame({"query_id": frame["query_id"].to_numpy()[row], "x": frame["x"].to_numpy()[row], "pivot": col.astype(np.int32), "bound": limit[row]})
+                row, col = np.nonzero(np.maximum(gap - high, low - gap) <= limit[:, None] + SLACK)
+            else:
+                own = gaps(lifted(q, top), pivots.value)
+                home = own.argmin(axis=1)
+                off = np.where(pivot[None, :] == home[:, None], np.maximum(own[:, pivot] - high, low - own[:, pivot]), np.inf)
+                row, col, limit = np.arange(len(q)), off.argmin(axis=1), np.full(len(q), np.nan)
+            yield pd.DataFrame({"query_id": frame["query_id"].to_numpy()[row], "x": frame["x"].to_numpy()[row], "pivot": pivot[col].astype(np.int32), "ring": ring[col].astype(np.int32), "bound": limit[row]})
 
     return run
 
@@ -173,35 +179,43 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 5, scale: int =
     count = int(min(MAX_PIVOTS, max(1, n // shard_rows)))
     sample = rows.orderBy(F.xxhash64("vec_id"), "x").limit(count).select("x").collect()
     pivots = sc.broadcast(lifted(unpacked([r["x"] for r in sample], width), top) if sample else np.zeros((1, width + 1)))
-    placed = durable(rows.mapInPandas(nearest(pivots, top, width), "vec_id long, asks boolean, x binary, pivot int"))
-    shards = {r["pivot"]: max(1, -(-r["count"] // shard_rows)) for r in placed.groupBy("pivot").count().collect()}
-    subs = F.array(*(F.lit(shards.get(i, 1)) for i in range(max(1, len(sample)))))
-    dealt = placed.withColumn("sub", F.pmod(F.xxhash64("vec_id", "x"), F.element_at(subs, F.col("pivot") + 1)).cast("int"))
-    pages = dealt.select("vec_id", "x", "pivot", "sub").groupBy("pivot", "sub").applyInPandas(pages_of(pivots, top, width, page_rows), "pivot int, sub int, centre binary, radius double, from_parent double, far double, ids binary, xs binary, gaps binary")
-    pages = durable(pages)
-    radii = {r["pivot"]: r["far"] for r in pages.groupBy("pivot").agg(F.max("far").alias("far")).collect()}
-    reach = [radii.get(i, -np.inf) for i in range(max(1, len(sample)))]
+    placed = durable(rows.mapInPandas(nearest(pivots, top, width), "vec_id long, asks boolean, x binary, pivot int, gap double"))
+    sizes = {r["pivot"]: r for r in placed.groupBy("pivot").agg(F.count("*").alias("n"), F.percentile_approx("gap", [i / RINGS for i in range(1, RINGS)], 1000).alias("cuts")).collect()}
+    cuts, subs = [], []
+    for i in range(max(1, len(sample))):
+        shards = max(1, -(-(sizes[i]["n"] if i in sizes else 0) // shard_rows))
+        step = -(-RINGS // min(RINGS, shards))
+        cuts.append(sorted(sizes[i]["cuts"][step - 1 :: step]) if i in sizes else [])
+        subs.append(max(1, -(-shards // (len(cuts[-1]) + 1))))
+    per_pivot = lambda values: F.element_at(F.array(*values), F.col("pivot") + 1)
+    bounds = per_pivot([F.array(*map(F.lit, c)).cast("array<double>") for c in cuts])
+    sub_count = per_pivot([F.lit(n) for n in subs])
+    dealt = placed.withColumn("ring", F.size(F.filter(bounds, lambda c: c < F.col("gap")))).withColumn("sub", F.pmod(F.xxhash64("vec_id", "x"), sub_count).cast("int"))
+    shard = ["pivot", "ring", "sub"]
+    pages = durable(dealt.select("vec_id", "x", *shard).groupBy(*shard).applyInPandas(pages_of(pivots, top, width, page_rows), "pivot int, ring int, sub int, centre binary, radius double, from_parent double, ids binary, xs binary, gaps binary"))
+    found = dealt.groupBy("pivot", "ring").agg(F.min("gap").alias("low"), F.max("gap").alias("high")).collect()
+    rings = tuple(np.array([r[c] for r in found], kind) for c, kind in (("pivot", np.int64), ("ring", np.int64), ("low", float), ("high", float)))
 
     asked = placed.where("asks").dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("query_id"), "x")
     blocks = max(1, -(-facts["asks"] // query_block))
 
     def visit(routes: DataFrame, every: bool) -> DataFrame:
-        """every: all shards of a route's pivot, or one of them."""
-        sizes = F.element_at(subs, F.col("pivot") + 1)
-        routes = routes.withColumn("sub", F.explode(F.sequence(F.lit(0), sizes - 1)) if every else F.pmod(F.xxhash64("query_id"), sizes).cast("int"))
-        routes = routes.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-        copies = pages.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        keys = ["pivot", "sub", "part"]
-        return copies.groupBy(*keys).cogroup(routes.groupBy(*keys)).applyInPandas(searched(pivots, top, width, k), "query_id long, vec_id long, score long")
+        """every: all shards of a route's ring, or one of them."""
+        routes = routes.withColumn("sub", F.explode(F.sequence(F.lit(0), sub_count - 1)) if every else F.pmod(F.xxhash64("query_id"), sub_count).cast("int"))
+        routes = durable(routes.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")))
+        keys = [*shard, "part"]
+        wanted = routes.select(*shard, F.col("part").alias("to_part")).distinct()
+        copies = pages.join(F.broadcast(wanted) if wanted.limit(MAX_ROUTES + 1).count() <= MAX_ROUTES else wanted.hint("merge"), shard)
+        return copies.groupBy(*shard, "to_part").cogroup(routes.groupBy(*keys)).applyInPandas(searched(pivots, top, width, k), "query_id long, vec_id long, score long")
 
     from pyspark.sql import Window
 
-    route = "query_id long, x binary, pivot int, bound double"
+    route = "query_id long, x binary, pivot int, ring int, bound double"
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    home = asked.mapInPandas(routed(pivots, reach, top, width), route)
+    home = asked.mapInPandas(routed(pivots, rings, top, width), route)
     first = visit(home, False).withColumn("rank", F.row_number().over(order)).where(f"rank = {k}").select("query_id", F.col("score").alias("kth"))
     known = asked.hint("merge").join(first.hint("merge"), "query_id", "left")
-    rest = visit(known.mapInPandas(routed(pivots, reach, top, width), route), True)
+    rest = visit(known.mapInPandas(routed(pivots, rings, top, width), route), True)
     return rest.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -59,7 +59,7 @@ def test_op1_against_all_pairs(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("shard_rows", [4096, 20])
+@pytest.mark.parametrize("shard_rows", [4096, 20, 3])
 def test_op2_against_all_products(spark, shard_rows):
     rng = np.random.default_rng(1)
     x = (rng.normal(size=(150, 16)) * rng.uniform(0.1, 2, size=(150, 1))).astype(np.float32)
