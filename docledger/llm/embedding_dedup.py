@@ -12,7 +12,8 @@ tell), and a task returns one row per vector, a count and one forest link, never
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and rows with null label or vec_id, link with
 nothing and are their own component; vectors of different length do not link; repeated rows are copies of each other and share the
-component id. An empty table gives no rows.
+component id; ties do not occur. Columns other than vec_id, embedding and label are not read, so they may clash. An empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -151,3 +152,21 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tables: int = 5
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "embeddings"))
     return found.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+OP1_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.93
+), r AS (
+  SELECT vec_id AS n, vec_id AS root FROM v UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.n
+), c AS (
+  SELECT n, min(root) AS root FROM r GROUP BY n
+), k AS (
+  SELECT a, count(*) AS n FROM l GROUP BY a
+)
+SELECT e.vec_id, CAST(coalesce(k.n, 0) AS BIGINT) AS n_links, coalesce(c.root, e.vec_id) AS component_id, coalesce(e.vec_id = coalesce(c.root, e.vec_id), false) AS kept
+FROM embeddings e LEFT JOIN c ON c.n = e.vec_id LEFT JOIN k ON k.a = e.vec_id
+"""

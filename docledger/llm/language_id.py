@@ -9,7 +9,9 @@ is rejected if its cross-entropy lies more than ``spread`` calibrated deviations
 text's length) above what the calibration documents of that language have.
 
 Defined results: null text and text without letters give ``und``, score 0, rejected; without any labelled document all are ``und``;
-rows with null lang or text teach nothing; repeated rows are predicted each; score is the chosen language's share, 0 to 1.
+rows with null lang or text teach nothing; repeated rows are predicted each; of equal entropies the first language by name wins;
+score is the chosen language's share, 0 to 1. Columns named lang_pred, score, rejected and entropy are replaced by ``identify``, other
+columns kept. Texts of any length are read whole. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ The level of the water is found from sums per source, one pair of scalars a roun
 steps, over 4,096 hash buckets of a source and inside each bucket, so that a source with a third of all rows is no single task.
 
 Defined results: size is the number of words, 0 for null text; null sources are one source, last in order; documents without words
-take nothing; repeated rows are taken each; an empty table gives no rows.
+take nothing; repeated rows are taken each; documents of equal hash go by doc_id, then size; columns named size, source_size, target
+and taken are replaced, other columns kept, and names with two leading underscores are not allowed; an empty table gives no rows.
 """
 
 from __future__ import annotations
