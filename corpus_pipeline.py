@@ -1,11 +1,19 @@
 """Training-corpus pipeline: language, repeated lines, near-duplicates, source mix and packing, over the whole documents table.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next one's docs.
-All but the last return the columns of documents.
+All but the last return the columns of documents, and others that the table has, as they are.
+
+Defined results, stage by stage: null texts and texts without letters go with the rejected languages; rows of null lang teach nothing
+and are judged like others. Rows of one doc_id are one document for repeated lines; those of null doc_id neither count nor keep such a
+line. Of near-duplicates the smallest doc_id stays, null last, and of equal rows one. Documents without words are taken zero times by
+the mix; null source is a source. Every row that is left is packed, whatever its length. An empty table gives no rows at every stage.
+Columns whose names begin with two underscores are not allowed.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,9 +29,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_rejected(docs, teaches())
 
 
+def keeping(docs: DataFrame, results: tuple[str, ...], step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``step`` on documents whose own columns named like its results are put aside; the columns of ``docs`` come back."""
+    aside = {c: f"__own_{c}" for c in results if c in docs.columns}
+    done = step(docs.withColumnsRenamed(aside)).drop(*results)
+    return done.withColumnsRenamed({v: k for k, v in aside.items()}).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated long lines stay in one document only; n_chars follows the text."""
-    return dedup_lines(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    return keeping(docs, ("n_lines", "n_dropped"), dedup_lines).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +49,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it, a fraction of a repetition rounded."""
     copies = F.round(F.col("taken") / F.greatest("size", F.lit(1))).cast("int")
-    return mix(docs).withColumn("__copies", copies).where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+
+    def taken(rows: DataFrame) -> DataFrame:
+        repeated = mix(rows).withColumn("__copies", copies).where("__copies > 0")
+        return repeated.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__copies", "__copy")
+
+    return keeping(docs, ("size", "source_size", "target", "taken"), taken)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
