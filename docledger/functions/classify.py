@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,13 @@ FILENAME_RULES = (
     ("SPX", 55, ("spx", "rcspx", "shopee express", "standard express", "waybill", "awb")), ("META", 40, ("meta", "facebook", "fb", "instagram", "ig")), ("GOOGLE", 40, ("google", "adwords", "googleads", "gads")),
     ("LAZADA", 30, ("lazada", "lzd", "laz", "thmpti")), ("TIKTOK", 26, ("tiktok", "ttsth", "tt shop", "tiktokshop")), ("SHOPEE", 24, ("shopee", "tiv", "tir")),
 )
+#: Words of which a text must hold one for a pattern above, or for the ones below, to be tried.
+GATES = {
+    "\\bRC\\s*META\\s*[A-Z0-9\\-/]{6,}\\b": ("meta",), "meta\\s*platforms?\\s*ireland": ("ireland",), "\\b(?:facebook|fb\\s*ads|instagram\\s*ads)\\b": ("facebook", "fb", "instagram"),
+    "google\\s*asia\\s*pacific": ("google",), "\\b(?:google\\s*ad(?:s|words)?|google\\s*advertising)\\b": ("google",), "\\bRCS\\s*PX\\s*[A-Z0-9\\-/]{6,}\\b": ("rcs",), "rcspx": ("rcspx",),
+    "\\bTHMPTI\\s*\\d{10,20}\\b": ("thmpti",), "\\bTTSTH[0-9A-Z\\-/]*\\b": ("ttsth",), "\\btiktok\\b": ("tiktok",), "\\bTIV\\s*-\\s*[A-Z0-9]{3,}\\b": ("tiv",), "\\bTIR\\s*-\\s*[A-Z0-9]{3,}\\b": ("tir",), "\\bshopee\\b": ("shopee",),
+    "ใบกำกับภาษี|ใบเสร็จรับเงิน|tax\\s*invoice": ("ใบกำกับภาษี", "ใบเสร็จรับเงิน", "invoice"), "(?:branch|สาขา)\\s*[:#]?\\s*\\d{5}": ("branch", "สาขา"),
+}
 THAI_RULES = (("ใบกำกับภาษี|ใบเสร็จรับเงิน|tax\\s*invoice", 55), ("(?:branch|สาขา)\\s*[:#]?\\s*\\d{5}", 35))
 THRESHOLDS = (("META", 55), ("GOOGLE", 55), ("SPX", 45), ("LAZADA", 42), ("TIKTOK", 34), ("SHOPEE", 34), ("THAI_TAX", 70))
 INVOICE_WORDS = "ใบกำกับภาษี|tax invoice|receipt|ใบเสร็จ|invoice"
@@ -44,13 +53,19 @@ def has_word(tokens: Column, word: str) -> Column:
     return F.instr(F.concat(F.lit(" "), tokens, F.lit(" ")), f" {word} ") > 0
 
 
+def matches(low: Column, pattern: str) -> Column:
+    """Whether a lower-cased text matches, case ignored; the pattern is tried only where one of its words is there."""
+    words = [low.contains(w) for w in GATES.get(pattern, ())]
+    return reduce(lambda a, b: a | b, words) & low.rlike(f"(?i){pattern}") if words else low.rlike(f"(?i){pattern}")
+
+
 def has_foreign_tax_id(x: Column, own: Column) -> Column:
-    return F.size(F.array_except(F.regexp_extract_all(x, F.lit("\\b(\\d{13})\\b"), F.lit(1)), own)) > 0
+    return x.rlike("\\d{13}") & (F.size(F.array_except(F.regexp_extract_all(x, F.lit("\\b(\\d{13})\\b"), F.lit(1)), own)) > 0)
 
 
-def raw_scores(body: Column | str, filename: Column | str, own: Column) -> dict[str, Column]:
-    """Sum of the weights of the rules that hit, by platform. own: array of our own tax ids."""
-    x, f = F.lower(text(body)), F.lower(text(filename))
+def raw_scores(low: Column, filename: Column | str, own: Column) -> dict[str, Column]:
+    """Sum of the weights of the rules that hit, by platform. low: the text, lower-cased; own: array of our own tax ids."""
+    x, f = low, F.lower(text(filename))
     tokens = normalize_token(F.regexp_replace(basename(filename), "\\.[A-Za-z]{2,4}$", ""))
     total = {p: F.lit(0) for p in PLATFORMS}
     add = lambda p, hit, w: total.__setitem__(p, total[p] + F.when(hit, w).otherwise(0))
@@ -60,14 +75,14 @@ def raw_scores(body: Column | str, filename: Column | str, own: Column) -> dict[
             hit = hit | has_word(tokens, word)
         add(p, hit | (f.contains("rcspx") if p == "SPX" else F.lit(False)), w)
     for p, pattern, w in REGEX_RULES:
-        add(p, x.rlike(f"(?i){pattern}") | f.rlike(f"(?i){pattern}"), w)
+        add(p, matches(x, pattern) | matches(f, pattern), w)
     for p, w, words in WORD_RULES:
         for word in words:
             add(p, x.contains(word), w)
     context = x.contains("shopee") | x.contains("tiv") | x.contains("tir") | f.contains("shopee")
     add("SHOPEE", x.contains("trs") & context, 18)
     for pattern, w in THAI_RULES:
-        add("THAI_TAX", x.rlike(f"(?i){pattern}"), w)
+        add("THAI_TAX", matches(x, pattern), w)
     add("THAI_TAX", has_foreign_tax_id(x, own), 70)
     return total
 
@@ -81,10 +96,13 @@ def weighed(total: dict[str, Column]) -> Column:
 
 
 def with_scores(df: DataFrame, body: str, filename: Column | str, own: Column, out: str, unless: Column | None = None) -> DataFrame:
-    """The scores as a struct column. Each platform's sum is a column of its own first, so that none is computed twice; they are
-    left null where ``unless`` holds."""
-    raw = {f"__s_{p}": (v if unless is None else F.when(~unless, v)) for p, v in raw_scores(body, filename, own).items()}
-    return df.withColumns(raw).withColumn(out, weighed({p: F.col(f"__s_{p}") for p in PLATFORMS})).drop(*raw)
+    """The scores as a struct column. The lower-cased text and each platform's sum are columns of their own first, so that none is
+    computed twice; they are left null where ``unless`` holds."""
+    low = F.lower(text(body))
+    df = df.withColumn("__low", low if unless is None else F.when(~unless, low))
+    raw = {f"__s_{p}": v for p, v in raw_scores(F.col("__low"), filename, own).items()}
+    raw = raw if unless is None else {name: F.when(~unless, v) for name, v in raw.items()}
+    return df.withColumns(raw).withColumn(out, weighed({p: F.col(f"__s_{p}") for p in PLATFORMS})).drop(*raw, "__low")
 
 
 def argmax_label(score: Column) -> Column:
@@ -93,19 +111,22 @@ def argmax_label(score: Column) -> Column:
     return F.struct(best["label"].alias("label"), best["score"].alias("score"))
 
 
-def fast_path(body: Column | str, filename: Column | str) -> Column:
-    x, f = text(body), text(filename)
-    return F.coalesce(*(F.when(x.rlike(f"(?i){p}") | f.rlike(f"(?i){p}"), label) for label, p in FAST))
+def fast_path(low: Column, filename: Column | str) -> Column:
+    """The platform of a strong id in the lower-cased text or the file name."""
+    f = F.lower(text(filename))
+    each = lambda p: [matches(low, one) | matches(f, one) for one in p.split("|")]
+    return F.coalesce(*(F.when(reduce(lambda a, b: a | b, each(p)), label) for label, p in FAST))
 
 
 def with_platform(df: DataFrame, body: str, filename: Column | str, own: Column, out: str = "_platform") -> DataFrame:
     """The platform of every document: a strong id decides, else the scores, which are built for the rest only."""
-    x = F.lower(text(body))
-    df = with_scores(df.withColumn("__fast", fast_path(body, filename)), body, filename, own, "__scores", F.col("__fast").isNotNull())
+    x = F.col("__lower")
+    df = df.withColumn("__lower", F.lower(text(body)))
+    df = with_scores(df.withColumn("__fast", fast_path(x, filename)), "__lower", filename, own, "__scores", F.col("__fast").isNotNull())
     score = F.col("__scores")
     df = df.withColumn("__best", argmax_label(score))
     by_score = F.coalesce(*(F.when(score[p] >= t, p) for p, t in THRESHOLDS), F.when(F.col("__best.score") >= 28, F.col("__best.label")), F.when(x.rlike(INVOICE_WORDS) & has_foreign_tax_id(x, own), "THAI_TAX"), F.lit("UNKNOWN"))
-    return df.withColumn(out, F.coalesce("__fast", by_score)).drop("__fast", "__scores", "__best")
+    return df.withColumn(out, F.coalesce("__fast", by_score)).drop("__fast", "__scores", "__best", "__lower")
 
 
 def detect_vendor(body: Column | str) -> Column:
@@ -144,7 +165,7 @@ def platform_hint(body: Column | str, filename: Column | str) -> Column:
 
 def refine_hint(body: Column | str, hint: Column) -> Column:
     """An UNKNOWN hint gives way to the best text score; a known one only to a clear winner (40 or more) of another platform."""
-    best = argmax_label(weighed(raw_scores(body, F.lit(""), F.array().cast("array<string>"))))
+    best = argmax_label(weighed(raw_scores(F.lower(text(body)), F.lit(""), F.array().cast("array<string>"))))
     return F.when((hint == "UNKNOWN") & (best["score"] > 0), best["label"]).when((hint != "UNKNOWN") & (best["score"] >= 40), best["label"]).otherwise(hint)
 
 

@@ -15,15 +15,18 @@ def try_date(x: Column, shape: str, formats: tuple[str, ...]) -> Column:
     return F.when(x.rlike(shape), F.coalesce(*(F.try_to_timestamp(x, F.lit(f)).cast("date") for f in formats)))
 
 
+DATE_SHAPES = "^(?:\\d{8}|\\d{4}([-/.])\\d{1,2}\\1\\d{1,2}|\\d{1,2}([-/.])\\d{1,2}\\2(?:\\d{4}|\\d{2}))$"
+
+
 def parse_date(c: Column | str) -> Column:
-    """The first format that reads: year first or day first, two or four digits for the year. A real calendar date or null."""
+    """Eight digits, or year first or day first between like signs, two or four digits for the year. A real calendar date or null."""
     x = filled(arabic_digits(c))
-    return F.coalesce(
-        try_date(x, "^\\d{8}$", ("yyyyMMdd",)),
-        try_date(x, "^\\d{1,2}/\\d{1,2}/\\d{4}$", ("d/M/yyyy",)), try_date(x, "^\\d{1,2}-\\d{1,2}-\\d{4}$", ("d-M-yyyy",)), try_date(x, "^\\d{1,2}[.]\\d{1,2}[.]\\d{4}$", ("d.M.yyyy",)),
-        try_date(x, "^\\d{4}-\\d{1,2}-\\d{1,2}$", ("yyyy-M-d",)), try_date(x, "^\\d{4}/\\d{1,2}/\\d{1,2}$", ("yyyy/M/d",)), try_date(x, "^\\d{4}[.]\\d{1,2}[.]\\d{1,2}$", ("yyyy.M.d",)),
-        try_date(x, "^\\d{1,2}[/.-]\\d{1,2}[/.-]\\d{2}$", ("d/M/yy", "d-M-yy", "d.M.yy")),
-    )
+    parts = F.split(F.translate(x, "/.", "--"), "-")
+    first, last = F.get(parts, 0), F.get(parts, 2)
+    turned = F.concat_ws("-", F.when(F.length(last) == 2, F.concat(F.lit("20"), last)).otherwise(last), F.get(parts, 1), first)
+    whole = F.concat_ws("-", F.substring(x, 1, 4), F.substring(x, 5, 2), F.substring(x, 7, 2))
+    iso = F.when(last.isNull(), whole).when(F.length(first) == 4, F.array_join(parts, "-")).otherwise(turned)
+    return F.when(x.rlike(DATE_SHAPES), iso.try_cast("date"))
 
 
 def parse_date_lenient(c: Column | str) -> Column:

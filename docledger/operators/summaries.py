@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..functions.text import filled, text
 from ..functions.values import parse_date, parse_money
 from ..schema import GROUPS
+from .lookups import small
 
 
 def export_summary(df: DataFrame) -> DataFrame:
@@ -66,9 +68,21 @@ def progress(summary: DataFrame) -> DataFrame:
     return summary.select("job_id", F.greatest(F.lit(0), F.least(F.lit(100), F.round(done * 100 / F.greatest("files", F.lit(1))).cast("int"))).alias("percent"), F.col("processing_files").alias("in_work"), F.col("done_files").alias("ok"), F.col("needs_review_files").alias("review"))
 
 
+SPAN = 65_536
+
+
 def sequence(df: DataFrame, job: str = "job_id", order: tuple[str, ...] = ("file_index", "doc_id")) -> DataFrame:
-    """A_seq: 1 to n in file order inside each job. Jobs are the unit of parallelism."""
-    return df.withColumn("A_seq", F.row_number().over(Window.partitionBy(job).orderBy(*order)).cast("string"))
+    """A_seq: 1 to n in file order inside each job. Where the first order column is a number, rows are counted by spans of 65,536 of
+    its values and numbered inside each span, so that a large job is many tasks; the spans' counts are summed in a small table."""
+    if not isinstance(df.schema[order[0]].dataType, NumericType):
+        return df.withColumn("A_seq", F.row_number().over(Window.partitionBy(job).orderBy(*order)).cast("string"))
+    span = F.coalesce(F.floor(F.col(order[0]) / SPAN), F.lit(-(1 << 62))).cast("long")
+    counts = df.groupBy(F.col(job).alias("__job"), span.alias("__at")).agg(F.count("*").alias("__n"))
+    before = counts.withColumn("__before", F.sum("__n").over(Window.partitionBy("__job").orderBy("__at")) - F.col("__n")).drop("__n")
+    spanned = df.withColumn("__span", span)
+    joined = spanned.join(small(before), spanned[job].eqNullSafe(before["__job"]) & (F.col("__span") == F.col("__at")))
+    inside = F.row_number().over(Window.partitionBy(job, "__span").orderBy(*order))
+    return joined.withColumn("A_seq", (inside + F.col("__before")).cast("string")).drop("__job", "__at", "__before", "__span")
 
 
 def top_n_per(df: DataFrame, keys: list[str], order: list, n: int, rank: str = "rank") -> DataFrame:
