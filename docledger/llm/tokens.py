@@ -14,7 +14,7 @@ import json
 import os
 from array import array
 
-CACHE_ROWS, CACHE_PIECE = 600_000, 64
+CACHE_ROWS, CACHE_PIECE = 200_000, 64
 #: Fixed value: the pre-token pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -50,10 +50,7 @@ class PieceEncoder:
     """Little-endian unsigned 32-bit ids of texts by a tokenizers file."""
 
     def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path, self.tokenizer = path, None
         self.cache: dict[str, bytes] = {}
         self.ranks = ranked(path)
 
@@ -66,6 +63,11 @@ class PieceEncoder:
     def whole(self, texts: list[str]) -> list[bytes]:
         import numpy as np
 
+        if self.tokenizer is None:
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.path)
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def encode(self, texts) -> list[bytes]:
@@ -104,7 +106,7 @@ def encoder(path: str) -> PieceEncoder:
     return _encoders[path]
 
 
-def in_parts(values: list, weight: int = 4 << 20):
+def in_parts(values: list, weight: int = 1 << 20):
     """Runs of indices whose texts have about ``weight`` characters together."""
     start, size = 0, 0
     for i, v in enumerate(values):
