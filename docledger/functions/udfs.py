@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 
 def nfkc():
     """Vectorised NFKC with a split SARA AM composed again."""
-    import pandas as pd
 
     @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
+    def run(s):
         return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).replace("ํา", "ำ"))
 
     return run

@@ -52,3 +52,61 @@ def test_no_row_is_lost_and_the_schema_is_locked(spark):
     locked = lock_schema(out)
     assert tuple(c for c in locked.columns if not c.startswith("_")) == LEDGER
     assert {r["_status"] for r in locked.collect()} == {"OK", "NEEDS_REVIEW"} and locked.count() == 3
+
+
+# Scores added up by hand from the rules: (text, file name, own ids, platform, score).
+SCORES = [
+    ("Meta Platforms Ireland invoice", "x.pdf", [], "META", 165 + 16 + 10),
+    ("shopee tiv-abc trs", "x.pdf", [], "SHOPEE", 110 + 22 + 10 + 10 + 18),
+    ("shopee tiv-abc trs", "Shopee 1.pdf", [], "SHOPEE", 110 + 22 + 10 + 10 + 18 + 24),
+    ("Tax Invoice 1234567890123 branch 00001", "x.pdf", [], "THAI_TAX", 10 + 55 + 35 + 70),
+    ("Tax Invoice 1234567890123 branch 00001", "x.pdf", ["1234567890123"], "THAI_TAX", 10 + 55 + 35),
+    ("rcspx awb", "SPX-waybill.pdf", [], "SPX", 145 + 10 + 10 + 10 + 55),
+    ("Meta Platforms Ireland tax invoice 1234567890123", "", [], "THAI_TAX", 33),
+    ("Lazada seller center", "lzd_1.pdf", [], "LAZADA", 10 + 10 + 30),
+    ("a plain text", "scan.pdf", [], "META", 0),
+]
+
+
+def test_scores_added_by_hand(spark):
+    for body, name, own, platform, score in SCORES:
+        df = spark.createDataFrame([(body, name)], "t string, f string")
+        got = C.with_scores(df, "t", "f", F.array(*map(F.lit, own)).cast("array<string>"), "s").first()["s"]
+        assert got[platform] == score, (body, name)
+
+
+def test_an_extractor_of_a_further_platform(spark):
+    from docledger.plans import extract as X
+
+    docs = spark.createDataFrame([(1, "a.pdf", "Shopee (Thailand) tiv-abcd trs1234 Grand Total 12.00"), (2, "b.pdf", "nothing here")], "doc_id long, filename string, text string")
+    X.register_extractor("SHOPEE", lambda df: df.withColumn("K_account", F.when(F.col("_platform") == "SHOPEE", "610000").otherwise(F.lit(""))))
+    try:
+        got = {r["doc_id"]: r["K_account"] for r in X.extract(docs, X.JobConfig()).collect()}
+    finally:
+        X.EXTRACTORS.clear()
+    assert got == {1: "610000", 2: ""}
+
+
+def test_full_unicode_folding(spark):
+    from docledger.functions.udfs import nfkc
+
+    df = spark.createDataFrame([("ﬁ １ สํานัก",), (None,)], "t string")
+    assert [r["x"] for r in df.select(nfkc()("t").alias("x")).collect()] == ["fi 1 สำนัก", None]
+
+
+def test_large_jobs_are_numbered_in_spans(spark):
+    from docledger.operators import summaries as A
+
+    rows = [(f"j{i % 2}", (i * 7919) % 300_000, i) for i in range(500)] + [("j0", None, 900), (None, 5, 901), (None, 4, 902)]
+    df = spark.createDataFrame(rows, "job_id string, file_index long, doc_id long")
+    got = {r["doc_id"]: int(r["A_seq"]) for r in A.sequence(df).collect()}
+    for job in ("j0", "j1", None):
+        mine = sorted((r for r in rows if r[0] == job), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        assert [got[r[2]] for r in mine] == list(range(1, len(mine) + 1))
+
+
+def test_the_first_amount_of_a_text_of_another_platform_s_labels(spark):
+    from docledger.plans.extract import JobConfig, extract
+
+    docs = spark.createDataFrame([(1, "a.pdf", "Google Asia Pacific Grand Total 12.50"), (2, "b.pdf", "TTSTH12345678901234 Amount Due: 1,234.50 wht 99.00"), (3, None, None)], "doc_id long, filename string, text string")
+    assert {r["doc_id"]: r["R_paid_amount"] for r in extract(docs, JobConfig()).collect()} == {1: "12.50", 2: "1234.50", 3: "0.00"}
