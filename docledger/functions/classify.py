@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .candidates import let
 from .text import basename, norm_name, normalize_token, text
 
 # Platforms in order of decision, the rules (platform, where, kind, pattern, weight) and thresholds.
@@ -165,8 +166,10 @@ def platform_hint(body: Column | str, filename: Column | str) -> Column:
 
 def refine_hint(body: Column | str, hint: Column) -> Column:
     """An UNKNOWN hint gives way to the best text score; a known one only to a clear winner (40 or more) of another platform."""
-    best = argmax_label(weighed(raw_scores(F.lower(text(body)), F.lit(""), F.array().cast("array<string>"))))
-    return F.when((hint == "UNKNOWN") & (best["score"] > 0), best["label"]).when((hint != "UNKNOWN") & (best["score"] >= 40), best["label"]).otherwise(hint)
+    none = F.array().cast("array<string>")
+    raw = let(F.lower(text(body)), lambda low: F.struct(*(v.alias(p) for p, v in raw_scores(low, F.lit(""), none).items())))
+    best = let(let(raw, lambda r: weighed({p: r[p] for p in PLATFORMS})), argmax_label)
+    return let(best, lambda b: F.when((hint == "UNKNOWN") & (b["score"] > 0), b["label"]).when((hint != "UNKNOWN") & (b["score"] >= 40), b["label"]).otherwise(hint))
 
 
 def platform_of_row(route: Column, grp: Column, vendor: Column, tax: Column) -> Column:
