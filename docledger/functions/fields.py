@@ -99,17 +99,22 @@ def reference_code_near(c: Column | str, number: Column, distance: int = 140) ->
 
 
 def invoice_no(c: Column | str, platform: Column | str | None = None) -> Column:
-    """The platform's number with a glued reference code, the number with a code nearby, or a labelled number of six or more."""
+    """The platform's number glued with the reference code that follows it, else a number with a code nearby or alone: the platform's
+    own, another platform's, or a labelled one of six or more characters."""
     x = text(c)
     kind = text(platform) if platform is not None else F.lit("")
 
-    def of(pattern: str) -> Column:
-        glued = F.concat(group(x, pattern + "\\s+(\\d{4})\\s*-\\s*(\\d{7})\\b", 1), F.lit("-"), group(x, pattern + "\\s+(\\d{4})\\s*-\\s*(\\d{7})\\b", 2), F.lit("-"), group(x, pattern + "\\s+(\\d{4})\\s*-\\s*(\\d{7})\\b", 3))
-        return F.coalesce(glued, group(x, pattern))
+    def glued(pattern: str) -> Column:
+        number, day, code = (group(x, pattern + "\\s+(\\d{4})\\s*-\\s*(\\d{7})\\b", i) for i in (1, 2, 3))
+        return F.concat(number, day, F.lit("-"), code)
 
-    own = F.coalesce(*(F.when(kind == name, of(p)) for name, p in DOCUMENT_NUMBERS.items()))
-    generic = group(x, GENERIC_NUMBER)
-    return normalize_reference(F.coalesce(own, *(group(x, p) for p in DOCUMENT_NUMBERS.values()), F.when(F.length(generic) >= 6, generic), F.lit("")))
+    def any_of(read) -> list[Column]:
+        return [*(F.when(kind == name, read(p)) for name, p in DOCUMENT_NUMBERS.items()), *(read(p) for p in DOCUMENT_NUMBERS.values())]
+
+    labelled = group(x, GENERIC_NUMBER)
+    number = F.coalesce(*any_of(lambda p: group(x, p)), F.when(F.length(labelled) >= 6, labelled))
+    with_code = let(number, lambda n: F.concat(n, F.coalesce(reference_code_near(x, n), F.lit(""))))
+    return normalize_reference(F.coalesce(*any_of(glued), with_code, F.lit("")))
 
 
 def full_reference(c: Column | str, filename: Column | str) -> Column:

@@ -22,10 +22,6 @@ def filled(c: Column | str) -> Column:
     return F.nullif(F.trim(text(c)), F.lit(""))
 
 
-def first_filled(*columns: Column | str) -> Column:
-    return F.coalesce(*(filled(c) for c in columns), F.lit(""))
-
-
 def group(c: Column, pattern: str, index: int = 1) -> Column:
     """A group of the first match, null where there is none."""
     return F.nullif(F.regexp_extract(c, pattern, index), F.lit(""))

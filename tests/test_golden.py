@@ -34,6 +34,8 @@ CASES = [
     (lambda: C.valid_platform(F.lit("invalid")), ""),
     (lambda: S.digits_only(F.lit(" 628,286,975 ")), "628286975"),
     (lambda: X.full_reference(F.lit("No. TRSPEMKP00-00000-25\n1203-0012589"), F.lit("x.pdf")), "TRSPEMKP00-00000-251203-0012589"),
+    (lambda: X.invoice_no(F.lit("No. TRSPEMKP00-00000-25 of the month, ref 1203-0012589"), F.lit("SHOPEE")), "TRSPEMKP00-00000-251203-0012589"),
+    (lambda: X.invoice_no(F.lit("No. RCSPXSPR00-00000-25 1220-0001652"), F.lit("SPX")), "RCSPXSPR00-00000-251220-0001652"),
     (lambda: S.normalize_text(F.lit("a​  ๑\n\n\n\nb – ฿5")), "a 1\n\nb - ฿5"),
     (lambda: S.escape_formula(F.lit("=1+1")), "'=1+1"),
     (lambda: V.branch5(F.lit("")), "00000"),
