@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: The white space of every word and line rule here: U+0020 and U+0009 to U+000D.
 SPACE_CLASS = "[\\x20\\x09-\\x0D]"
@@ -128,7 +129,13 @@ def join_counted(rows: DataFrame, facts: DataFrame, key: str, most: int = 1024)
     total = facts.agg(F.coalesce(F.sum("__rows"), F.lit(0))).first()[0]
     hot = F.col("__rows") * most > total
     few, rest = facts.where(hot).drop("__rows"), facts.where(~hot).drop("__rows")
-    others = rows.join(F.broadcast(few.select(key)), key, "left_anti")
+    if isinstance(rows.schema[key].dataType, StructType):
+        others = rows.join(F.broadcast(few.select(key)), key, "left_anti")
+    else:
+        frequent = [r[0] for r in few.select(key).collect()]
+        if not frequent:
+            return rows.hint("merge").join(rest.hint("merge"), key)
+        others = rows.where(~F.col(key).isin(frequent))
     return rows.join(F.broadcast(few), key).unionByName(others.hint("merge").join(rest.hint("merge"), key))
 
 

@@ -91,6 +91,14 @@ def gram_counts(frames):
                     yield pd.DataFrame({"lang": lang, "gram": [g.tobytes() for g in windows(x, first)], "n": np.bincount(places)})
 
 
+def columns_of(counts, at: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Grams, numbers of the languages and counts of an Arrow table, without an object for each row."""
+    gram, lang = counts["gram"].combine_chunks(), counts["lang"].combine_chunks().dictionary_encode()
+    grams = np.frombuffer(gram.buffers()[2] or b"", np.uint32, ORDER * len(gram), 4 * ORDER * gram.offset).reshape(-1, ORDER)
+    known = np.array([at[k] for k in lang.dictionary.to_pylist()], np.int64)
+    return grams, known[lang.indices.to_numpy()] if len(gram) else np.zeros(0, np.int64), counts["n"].to_numpy()
+
+
 def fit(grams: np.ndarray, lang: np.ndarray, n: np.ndarray, languages: int) -> dict:
     """Tables of every order: sorted gram hashes with log-probabilities, and sorted context hashes with log backoff weights."""
     alphabet = max(1, len(np.unique(grams)))
@@ -195,10 +203,10 @@ def fit_models(docs: DataFrame, learn: Column, sample_chars: int, spread: float)
     drawn = durable(labelled.where(place < share * (1 << 20)).withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(5))))
     held = [r["lang"] for r in drawn.where("fold > 0").select("lang").distinct().collect()]
     counted = drawn.where(F.col("fold") > 0) if len(held) == len(names) else drawn
-    counts = counted.select("lang", "text").mapInPandas(gram_counts, "lang string, gram binary, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow().to_pandas()
-    grams = np.stack([np.frombuffer(g, np.uint32) for g in counts["gram"]]) if len(counts) else np.zeros((0, ORDER), np.uint32)
+    counts = counted.select("lang", "text").mapInPandas(gram_counts, "lang string, gram binary, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     at = {k: i for i, k in enumerate(names)}
-    model = sc.broadcast(fit(grams, counts["lang"].map(at).to_numpy(dtype=np.int64), counts["n"].to_numpy(), len(names)))
+    model = sc.broadcast(fit(*columns_of(counts, at), len(names)))
+    del counts
 
     def own(frames):
         import pandas as pd
