@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
@@ -71,18 +71,24 @@ def progress(summary: DataFrame) -> DataFrame:
 SPAN = 65_536
 
 
-def sequence(df: DataFrame, job: str = "job_id", order: tuple[str, ...] = ("file_index", "doc_id")) -> DataFrame:
-    """A_seq: 1 to n in file order inside each job. Where the first order column is a number, rows are counted by spans of 65,536 of
-    its values and numbered inside each span, so that a large job is many tasks; the spans' counts are summed in a small table."""
+def running_count(df: DataFrame, counted: Column, job: str, order: tuple[str, ...], out: str) -> DataFrame:
+    """How many rows of the job up to this one, in order, satisfy ``counted``. Where the first order column is a number, rows are counted
+    by spans of 65,536 of its values and then inside each span, so that a large job is many tasks; the spans' counts are summed in a
+    small table. The rows are read twice."""
+    upto = lambda *keys: F.count_if(counted).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     if not isinstance(df.schema[order[0]].dataType, NumericType):
-        return df.withColumn("A_seq", F.row_number().over(Window.partitionBy(job).orderBy(*order)).cast("string"))
+        return df.withColumn(out, upto(job))
     span = F.coalesce(F.floor(F.col(order[0]) / SPAN), F.lit(-(1 << 62))).cast("long")
-    counts = df.groupBy(F.col(job).alias("__job"), span.alias("__at")).agg(F.count("*").alias("__n"))
+    counts = df.groupBy(F.col(job).alias("__job"), span.alias("__at")).agg(F.count_if(counted).alias("__n"))
     before = counts.withColumn("__before", F.sum("__n").over(Window.partitionBy("__job").orderBy("__at")) - F.col("__n")).drop("__n")
     spanned = df.withColumn("__span", span)
     joined = spanned.join(small(before), spanned[job].eqNullSafe(before["__job"]) & (F.col("__span") == F.col("__at")))
-    inside = F.row_number().over(Window.partitionBy(job, "__span").orderBy(*order))
-    return joined.withColumn("A_seq", (inside + F.col("__before")).cast("string")).drop("__job", "__at", "__before", "__span")
+    return joined.withColumn(out, upto(job, "__span") + F.col("__before")).drop("__job", "__at", "__before", "__span")
+
+
+def sequence(df: DataFrame, job: str = "job_id", order: tuple[str, ...] = ("file_index", "doc_id")) -> DataFrame:
+    """A_seq: 1 to n in file order inside each job."""
+    return running_count(df, F.lit(True), job, order, "__nth").withColumn("A_seq", F.col("__nth").cast("string")).drop("__nth")
 
 
 def top_n_per(df: DataFrame, keys: list[str], order: list, n: int, rank: str = "rank") -> DataFrame:
