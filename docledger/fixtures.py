@@ -124,5 +124,7 @@ def duck(sql: str) -> str:
 
 
 def load(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """The rows of one of the texts above. Documents cost far more work than their tables have bytes, so they are spread over the cores."""
     frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if "{" + t + "}" in sql}
-    return spark.sql(sql.replace("{list}", LIST["spark"]), **frames)
+    rows = spark.sql(sql.replace("{list}", LIST["spark"]), **frames)
+    return rows.repartition(spark.sparkContext.defaultParallelism, "doc_id") if sql in (INVOICES, RECEIPTS) else rows
