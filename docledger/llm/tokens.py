@@ -47,10 +47,10 @@ def ranked(path: str):
 
 
 class PieceEncoder:
-    """Little-endian unsigned 32-bit ids of texts by a tokenizers file."""
+    """Little-endian unsigned 32-bit ids of texts by a tokenizers file; plain: strings of special tokens are ordinary text."""
 
-    def __init__(self, path: str):
-        self.path, self.tokenizer = path, None
+    def __init__(self, path: str, plain: bool = False):
+        self.path, self.tokenizer, self.plain = path, None, plain
         self.cache: dict[str, bytes] = {}
         self.ranks = ranked(path)
 
@@ -68,6 +68,7 @@ class PieceEncoder:
             from tokenizers import Tokenizer
 
             self.tokenizer = Tokenizer.from_file(self.path)
+            self.tokenizer.encode_special_tokens = self.plain
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def encode(self, texts) -> list[bytes]:
@@ -96,14 +97,14 @@ class PieceEncoder:
         return [o if p is None else b"".join([get(x) or found[x] for x in p]) for o, p in zip(out, split, strict=True)]
 
 
-_encoders: dict[str, PieceEncoder] = {}
+_encoders: dict[tuple[str, bool], PieceEncoder] = {}
 
 
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, plain: bool = False) -> PieceEncoder:
     """The worker's encoder of this file."""
-    if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
+    if (path, plain) not in _encoders:
+        _encoders[path, plain] = PieceEncoder(path, plain)
+    return _encoders[path, plain]
 
 
 def in_parts(values: list, weight: int = 1 << 20):
