@@ -56,9 +56,10 @@ def merges(symbols: str, scores: dict[str, float]) -> tuple[list[str], list[tupl
 
 
 class PieceCodec:
-    """Ids of texts and texts of ids by a SentencePiece file of the merge type with byte pieces."""
+    """Ids of texts and texts of ids by a SentencePiece file of the merge type with byte pieces. library: words that the cache does not
+    hold are encoded by the sentencepiece library, for callers that only want ids."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, library: bool = False):
         import ahocorasick
         import sentencepiece
 
@@ -66,7 +67,7 @@ class PieceCodec:
         probe = " a  Åﬁ　b "
         if model.normalize(probe) != MARK + probe.replace(" ", MARK):
             raise ValueError("only models that keep texts as they are and put a space before them are supported")
-        size = model.vocab_size()
+        self.model, size = model if library else None, model.vocab_size()
         names = [model.id_to_piece(i) for i in range(size)]
         odd = [model.is_control(i) or model.is_unknown(i) for i in range(size)]
         self.bytes_of = {i: int(names[i][1:-1], 16) for i in range(size) if model.is_byte(i)}
@@ -81,7 +82,7 @@ class PieceCodec:
         self.spaced = {i for p, i in self.ids.items() if p[0] == MARK}
         self.first, self.last = {}, {}  # of a piece, its merges in order: (score, first piece so far), (score, last piece so far)
         self.automaton = ahocorasick.Automaton()
-        for p in self.ids:
+        for p in self.ids if self.model is None else ():
             parts, steps = merges(p, self.scores)
             if len(parts) == 1:
                 self.first[p], self.last[p] = [(s, a) for s, a, _ in steps], [(s, b) for s, _, b in steps]
@@ -155,6 +156,9 @@ class PieceCodec:
 
     def fresh(self, words: list[str]) -> list[bytes]:
         """Ids of words, which stand for texts with their marks, as little-endian unsigned 32-bit numbers."""
+        if self.model is not None:  # the library puts the mark before a text itself, but for an empty one
+            alone = array("I", [self.ids[MARK]]).tobytes()
+            return [array("I", x).tobytes() if len(w) > 1 else alone for w, x in zip(words, self.model.encode([w[1:] for w in words], num_threads=1), strict=True)]
         if self.n_pairs > CACHE_PAIRS:
             self.pairs, self.n_pairs = {}, 0
         # a character that no piece has stands between the words, so that no match crosses them
@@ -235,14 +239,14 @@ def characters(held: bytes) -> str:
         return held[: wrong.start].decode() + "�" + characters(held[wrong.start + 1 :])
 
 
-_codecs: dict[str, PieceCodec] = {}
+_codecs: dict[tuple[str, bool], PieceCodec] = {}
 
 
-def codec(path: str) -> PieceCodec:
+def codec(path: str, library: bool = False) -> PieceCodec:
     """The worker's codec of this file."""
-    if path not in _codecs:
-        _codecs[path] = PieceCodec(path)
-    return _codecs[path]
+    if (path, library) not in _codecs:
+        _codecs[path, library] = PieceCodec(path, library)
+    return _codecs[path, library]
 
 
 def encode(docs: DataFrame, path: str, begin: bool = True, end: bool = True) -> DataFrame:

@@ -23,7 +23,6 @@ import hashlib
 import json
 import zlib
 from array import array
-from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -50,34 +49,23 @@ def byte_tokens(path: str) -> list[bytes]:
 
 def piece_tokens(path: str) -> list[bytes]:
     """The bytes of each id of a SentencePiece file: a piece's text, or the byte that it stands for."""
-    c = codec(path)
+    c = codec(path, library=True)
     return [bytes([c.bytes_of[i]]) if i in c.bytes_of else name.encode() for i, name in enumerate(c.names)]
 
 
-def aligned(a: list[int], b: list[int], bytes_a: list[bytes], bytes_b: list[bytes]) -> list[tuple[list[int], list[int]]]:
-    """Groups of ids between the places where tokens of both sides end; both sides have the same bytes."""
-    groups, i, j, end_a, end_b = [], 0, 0, 0, 0
-    while i < len(a):
-        from_a, from_b = i, j
-        end_a += len(bytes_a[a[i]])
-        end_b += len(bytes_b[b[j]])
-        i, j = i + 1, j + 1
-        while end_a != end_b:
-            if end_a < end_b:
-                end_a += len(bytes_a[a[i]])
-                i += 1
-            else:
-                end_b += len(bytes_b[b[j]])
-                j += 1
-        groups.append((a[from_a:i], b[from_b:j]))
-    return groups
+def spread(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The numbers from each ``first`` on, ``many`` of each."""
+    return np.repeat(first - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
 
 
 class Windows:
-    """A worker's memory of windows, each under a number: whether its bytes agree, its groups and its links as pairs of ids."""
+    """A worker's memory of windows, each under a number: its bytes (None where both sides differ), its groups as text and how many they
+    are, and its links as pairs (id of A times B's size, plus id of B) with how often each is held."""
 
     def __init__(self, bytes_a: list[bytes], bytes_b: list[bytes]):
         self.bytes_a, self.bytes_b = bytes_a, bytes_b
+        self.size_a, self.size_b = (np.array([len(x) for x in s], np.int64) for s in (bytes_a, bytes_b))
+        self.names = [[f"{i}{end}" for i in range(len(s))] for s, ends in ((bytes_a, ",|"), (bytes_b, ",;")) for end in ends]
         self.clear()
 
     def clear(self) -> None:
@@ -85,43 +73,63 @@ class Windows:
         self.raw: list[bytes | None] = []
         self.text: list[str] = []
         self.groups, self.links, self.first = array("q"), array("q"), array("q", [0])
-        self.pair, self.times = array("Q"), array("q")
+        self.pair, self.times = array("q"), array("q")
         self.ids = 0
 
-    def add(self, key: tuple[bytes, bytes]) -> int:
-        a, b = array("I", key[0]).tolist(), array("I", key[1]).tolist()
-        raw = b"".join([self.bytes_a[x] for x in a])
-        same = raw == b"".join([self.bytes_b[x] for x in b])
-        groups = aligned(a, b, self.bytes_a, self.bytes_b) if same else []
-        links: Counter[int] = Counter()
-        for x, y in groups:
-            if len(x) == 1 == len(y):
-                links[x[0] << 32 | y[0]] += 1
-                continue
-            for p, n in Counter(x).items():
-                for q, m in Counter(y).items():
-                    links[p << 32 | q] += n * m
-        number = len(self.raw)
-        self.raw.append(raw if same else None)
-        self.text.append(";".join([f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups]))
-        self.groups.append(len(groups))
-        self.links.append(sum(links.values()))
-        self.pair.extend(links)
-        self.times.extend(links.values())
-        self.first.append(len(self.pair))
+    def add(self, keys: list[tuple[bytes, bytes]]) -> None:
+        """Work out new windows, all at once."""
+        base = len(self.raw)
+        self.number.update(zip(keys, range(base, base + len(keys)), strict=True))
+        a, b = (np.frombuffer(b"".join([k[side] for k in keys]), "<u4").astype(np.int64) for side in (0, 1))
+        n_a, n_b = (np.array([len(k[side]) for k in keys], np.int64) // 4 for side in (0, 1))
         self.ids += len(a) + len(b)
-        self.number[key] = number
-        return number
+        ends_a, ends_b = np.cumsum(n_a), np.cumsum(n_b)
+        raw = []
+        for ids, n, ends, table, size in ((a, n_a, ends_a, self.bytes_a, self.size_a), (b, n_b, ends_b, self.bytes_b, self.size_b)):
+            whole = b"".join(map(table.__getitem__, ids.tolist()))
+            cut = np.r_[0, np.cumsum(size[ids])][np.r_[0, ends]].tolist()
+            raw.append([whole[x:y] for x, y in zip(cut, cut[1:], strict=False)])
+        same = np.array([x == y for x, y in zip(*raw, strict=True)])
+        self.raw += [x if ok else None for x, ok in zip(raw[0], same.tolist(), strict=True)]
+        # places where tokens of both sides end, over the bytes of all windows that agree
+        in_a, in_b = np.repeat(np.arange(len(keys)), n_a), np.repeat(np.arange(len(keys)), n_b)
+        a, b, in_a, in_b = a[same[in_a]], b[same[in_b]], in_a[same[in_a]], in_b[same[in_b]]
+        end_a, end_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        at = np.zeros((2, int(end_a[-1]) + 1 if len(end_a) else 1), bool)
+        at[0, end_a], at[1, end_b] = True, True
+        shared = at[0] & at[1]
+        last_a, last_b = shared[end_a], shared[end_b]
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        many = int(last_a.sum())
+        size_a, size_b = np.bincount(group_a, minlength=many), np.bincount(group_b, minlength=many)
+        of_group = in_a[last_a]
+        # the ids of a group's A, then of its B, each with the sign that follows it
+        order = np.argsort(np.r_[2 * group_a, 2 * group_b + 1], kind="stable").tolist()
+        names_a, mid, names_b, stop = self.names
+        said = [mid[i] if last else names_a[i] for i, last in zip(a.tolist(), last_a.tolist(), strict=True)]
+        said += [stop[i] if last else names_b[i] for i, last in zip(b.tolist(), last_b.tolist(), strict=True)]
+        said = [said[i] for i in order]
+        cut = np.r_[0, np.cumsum(np.where(same, n_a + n_b, 0))].tolist()
+        self.text += ["".join(said[x:y])[:-1] for x, y in zip(cut, cut[1:], strict=False)]
+        self.groups.frombytes(np.bincount(of_group, minlength=len(keys)).astype(np.int64).tobytes())
+        self.links.frombytes(np.bincount(of_group, size_a * size_b, minlength=len(keys)).astype(np.int64).tobytes())
+        # every A of a group with every B of it
+        width = size_b[group_a]
+        other = spread((np.cumsum(size_b) - size_b)[group_a], width)
+        held = np.repeat(in_a, width) * (len(self.bytes_a) * len(self.bytes_b)) + np.repeat(a, width) * len(self.bytes_b) + b[other]
+        held, times = np.unique(held, return_counts=True)
+        owner, pair = np.divmod(held, len(self.bytes_a) * len(self.bytes_b))
+        self.first.frombytes((self.first[-1] + np.cumsum(np.bincount(owner, minlength=len(keys)))).astype(np.int64).tobytes())
+        self.pair.frombytes(pair.tobytes())
+        self.times.frombytes(times.astype(np.int64).tobytes())
 
     def numbers(self, keys: list[tuple[bytes, bytes]]) -> list[int]:
         found = list(map(self.number.get, keys))
         if None in found:
-            get = self.number.get
-            for i, x in enumerate(found):
-                if x is None:
-                    key = keys[i]
-                    known = get(key)
-                    found[i] = self.add(key) if known is None else known
+            gap = [i for i, x in enumerate(found) if x is None]
+            self.add(list(dict.fromkeys(keys[i] for i in gap)))
+            for i in gap:
+                found[i] = self.number[keys[i]]
         return found
 
 
@@ -129,11 +137,11 @@ class Aligner:
     """Aligns texts by two files; see ``documents``."""
 
     def __init__(self, path_a: str, path_b: str):
-        self.a, self.b = encoder(path_a, plain=True), codec(path_b)
+        self.a, self.b = encoder(path_a, plain=True), codec(path_b, library=True)
         bytes_a, bytes_b = byte_tokens(path_a), piece_tokens(path_b)
-        self.size_a, self.size_b = (np.array([len(x) for x in s], np.int64) for s in (bytes_a, bytes_b))
         self.space_a, self.space_b = (np.array([x[:1] == b" " for x in s]) for s in (bytes_a, bytes_b))
         self.windows = Windows(bytes_a, bytes_b)
+        self.size_a, self.size_b = self.windows.size_a, self.windows.size_b
 
     def documents(self, texts: list[str | None]):
         """Of each text (n_a, n_b, n_groups, n_links, groups), and of all links (text's place, pair, times), by text and pair."""
@@ -145,7 +153,7 @@ class Aligner:
         size = np.array([len(x) for x in raw], np.int64)
         total = lambda blobs, sizes: np.array([int(sizes[np.frombuffer(x, "<u4")].sum()) for x in blobs], np.int64)
         fit = np.flatnonzero((total(a, self.size_a) == size) & (total(b, self.size_b) == size)).tolist()
-        none = (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        none = (np.zeros(0, np.int64),) * 3
         if not fit:
             return rows, none
         windows = self.windows
@@ -167,19 +175,20 @@ class Aligner:
         keys = [(blob_a[i:j], blob_b[k:m]) for i, j, k, m in zip(cut_a, cut_a[1:], cut_b, cut_b[1:], strict=False)]
         numbers = windows.numbers(keys)
         known, texts_of, raws = [], windows.text, windows.raw
+        parts = [raws[k] for k in numbers]
+        all_same = None not in parts and b"".join(parts) == b"".join([raw[i] for i in fit])
         for n, i in enumerate(fit):
             x, y = int(of_text[n]), int(of_text[n + 1])
             mine = numbers[x:y]
-            parts = [raws[k] for k in mine]
-            if None in parts or b"".join(parts) != raw[i]:
+            if not all_same and (None in parts[x:y] or b"".join(parts[x:y]) != raw[i]):
                 continue
             rows[asked[i]] = (len(a[i]) // 4, len(b[i]) // 4, x, y, ";".join([texts_of[k] for k in mine]))
             known.append((asked[i], x, y))
         if not known:
             return rows, none
         number = np.array(numbers, np.int64)
-        groups, links, first = (np.array(x) for x in (windows.groups, windows.links, windows.first))
-        pair, times = np.frombuffer(windows.pair, np.uint64), np.frombuffer(windows.times, np.int64)
+        groups, links, first = (np.frombuffer(x, np.int64) for x in (windows.groups, windows.links, windows.first))
+        pair, times = np.frombuffer(windows.pair, np.int64), np.frombuffer(windows.times, np.int64)
         whole_groups, whole_links = (np.r_[0, np.cumsum(x[number])] for x in (groups, links))
         owner = np.full(len(number), -1, np.int64)
         for i, x, y in known:
@@ -188,7 +197,7 @@ class Aligner:
             owner[x:y] = i
         number, owner = number[owner >= 0], owner[owner >= 0]
         many = first[number + 1] - first[number]
-        place = np.repeat(first[number] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        place = spread(first[number], many)
         distinct, inverse = np.unique(pair[place], return_inverse=True)
         both = np.repeat(owner, many) * len(distinct) + inverse
         order = np.argsort(both, kind="stable")
@@ -229,7 +238,7 @@ def blocks(docs: DataFrame, path_a: str, path_b: str, block_chars: int, with_gro
             digest = hashlib.sha256(groups.encode()).hexdigest() if n_a else ""
             yield (block, doc_id, n_a, n_b, n_groups, n_links, digest, groups if with_groups else None, packed(place[x:y], times[x:y]), None, None)
         if len(distinct):
-            yield (block, None, None, None, None, None, None, None, None, distinct.astype("<u8").tobytes(), documents.astype("<u8").tobytes())
+            yield (block, None, None, None, None, None, None, None, None, distinct.astype("<i8").tobytes(), documents.astype("<i8").tobytes())
 
     def run(batches):
         import pyarrow as pa
@@ -262,15 +271,15 @@ def align(docs: DataFrame, path_a: str, path_b: str, block_chars: int = 1 << 23,
     side A), count_sum (those numbers over all links), groups_sha256[, groups as ``a1,a2|b1;a3|b2,b3``].
 
     path_a: a byte-level tokenizers file, which reads a space and the text. path_b: a SentencePiece file, which puts the space itself."""
-    made = durable(blocks(docs, path_a, path_b, block_chars, with_groups))
+    made, width = durable(blocks(docs, path_a, path_b, block_chars, with_groups)), len(piece_tokens(path_b))
 
     def listed(batches):
         import pyarrow as pa
 
         for batch in batches:
             for block, pairs, documents in zip(*(batch.column(c).to_pylist() for c in ("block", "pairs", "documents")), strict=True):
-                pair = np.frombuffer(pairs, "<u8")
-                columns = (np.full(len(pair), block), np.arange(len(pair)), (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64), np.frombuffer(documents, "<u8").astype(np.int64))
+                pair = np.frombuffer(pairs, "<i8")
+                columns = (np.full(len(pair), block), np.arange(len(pair)), *np.divmod(pair, width), np.frombuffer(documents, "<i8"))
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["block", "place", "a", "b", "documents"])
 
     each = made.where("pairs is not null").select("block", "pairs", "documents").mapInArrow(listed, "block long, place long, a long, b long, documents long")
