@@ -28,12 +28,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, table
-from .piece_codec import codec
+from .common import durable, mixed, table
+from .piece_codec import MARK, codec
 from .tokens import encoder, in_parts, printable_bytes
 
-#: Bounds of a worker's memory of windows: entries, and ids in all of them.
-MEMO_ROWS, MEMO_IDS = 250_000, 4_000_000
+#: Bounds of a worker's memory: windows, ids in all of them, words with the ids of both sides, and characters of such a word.
+MEMO_ROWS, MEMO_IDS = 400_000, 6_000_000
+WORD_ROWS, WORD_CHARS = 400_000, 48
 BLOCK = "block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, groups string, held binary, pairs binary, documents binary"
 
 
@@ -123,14 +124,47 @@ class Windows:
         self.pair.frombytes(pair.tobytes())
         self.times.frombytes(times.astype(np.int64).tobytes())
 
-    def numbers(self, keys: list[tuple[bytes, bytes]]) -> list[int]:
+    def numbers(self, a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray) -> np.ndarray:
+        """The number of each window; cut_a, cut_b: where each begins among the ids, and the end.
+
+        Windows that recur in these texts are told by a hash of their ids, which is verified, so each is looked up once."""
+        first, back = alike(((a, cut_a), (b, cut_b)))
+        whole_a, whole_b = a.tobytes(), b.tobytes()
+        at, to = (4 * cut_a[first]).tolist(), (4 * cut_a[first + 1]).tolist()
+        from_b, to_b = (4 * cut_b[first]).tolist(), (4 * cut_b[first + 1]).tolist()
+        keys = [(whole_a[i:j], whole_b[k:m]) for i, j, k, m in zip(at, to, from_b, to_b, strict=True)]
         found = list(map(self.number.get, keys))
         if None in found:
             gap = [i for i, x in enumerate(found) if x is None]
-            self.add(list(dict.fromkeys(keys[i] for i in gap)))
+            self.add(list(dict.fromkeys([keys[i] for i in gap])))
             for i in gap:
                 found[i] = self.number[keys[i]]
-        return found
+        return np.array(found, np.int64)[back]
+
+
+def alike(sides: tuple[tuple[np.ndarray, np.ndarray], ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Of windows over several arrays of ids: one window of each kind, and the kind of each window. Windows are of a kind if their ids are
+    equal; those that a 64-bit hash takes for equal and that are not are kinds of their own."""
+    n = len(sides[0][1]) - 1
+    code = np.zeros(n, np.uint64)
+    with np.errstate(over="ignore"):
+        for ids, cut in sides:
+            width = np.diff(cut)
+            place = np.arange(len(ids)) - np.repeat(cut[:-1], width)
+            salted = mixed(ids.astype(np.uint64) + np.uint64(1) + (place.astype(np.uint64) << np.uint64(32)))
+            total = np.r_[np.zeros(1, np.uint64), np.cumsum(salted, dtype=np.uint64)]
+            code = mixed(code * np.uint64(0x9E3779B97F4A7C15) + (total[cut[1:]] - total[cut[:-1]]) + width.astype(np.uint64))
+    _, first, back = np.unique(code, return_index=True, return_inverse=True)
+    wrong = np.zeros(n, bool)
+    for ids, cut in sides:
+        width, own = np.diff(cut), first[back]
+        wrong |= width != width[own]
+        same = np.flatnonzero(~wrong)
+        unlike = ids[spread(cut[same], width[same])] != ids[spread(cut[own[same]], width[same])]
+        wrong[np.repeat(same, width[same])[unlike]] = True
+    odd = np.flatnonzero(wrong)
+    back[odd] = len(first) + np.arange(len(odd))
+    return np.r_[first, odd], back
 
 
 class Aligner:
@@ -142,14 +176,42 @@ class Aligner:
         self.space_a, self.space_b = (np.array([x[:1] == b" " for x in s]) for s in (bytes_a, bytes_b))
         self.windows = Windows(bytes_a, bytes_b)
         self.size_a, self.size_b = self.windows.size_a, self.windows.size_b
+        self.words: dict[str, tuple[bytes, bytes]] = {}
+
+    def encoded(self, texts: list[str]) -> tuple[list[bytes], list[bytes]]:
+        """The ids of a space and each text by both sides. Where neither has more than a word to look at, words are looked up for both."""
+        a: list[bytes] = [b""] * len(texts)
+        b: list[bytes] = [b""] * len(texts)
+        if len(self.words) > WORD_ROWS:
+            self.words = {}
+        get, held, other, new = self.words.get, [], [], {}
+        for i, text in enumerate(texts):
+            if text[0] == " " or "  " in text or "<|" in text or MARK in text or not self.b.by_word or self.a.ranks is None:
+                other.append(i)
+                continue
+            words = text.split(" ")
+            found = list(map(get, words))
+            gap = [(k, words[k]) for k, x in enumerate(found) if x is None] if None in found else []
+            new.update((w, None) for _, w in gap)
+            held.append((i, found, gap))
+        if new:
+            fresh = list(new)
+            new = dict(zip(fresh, zip(self.a.fresh([" " + w for w in fresh]), self.b.fresh([MARK + w for w in fresh]), strict=True), strict=True))
+            self.words.update((w, v) for w, v in new.items() if len(w) <= WORD_CHARS)
+        for i, found, gap in held:
+            for k, w in gap:
+                found[k] = new[w]
+            a[i], b[i] = b"".join([x[0] for x in found]), b"".join([x[1] for x in found])
+        for i, x, y in zip(other, self.a.encode([" " + texts[i] for i in other]), self.b.encode([texts[i] for i in other]), strict=True):
+            a[i], b[i] = x, y
+        return a, b
 
     def documents(self, texts: list[str | None]):
         """Of each text (n_a, n_b, n_groups, n_links, groups), and of all links (text's place, pair, times), by text and pair."""
         rows: list[tuple] = [(0, 0, 0, 0, "")] * len(texts)
         asked = [i for i, t in enumerate(texts) if t]
-        spaced = [" " + texts[i] for i in asked]
-        a, b = self.a.encode(spaced), self.b.encode([t[1:] for t in spaced])
-        raw = [t.encode() for t in spaced]
+        a, b = self.encoded([texts[i] for i in asked])
+        raw = [(" " + texts[i]).encode() for i in asked]
         size = np.array([len(x) for x in raw], np.int64)
         total = lambda blobs, sizes: np.array([int(sizes[np.frombuffer(x, "<u4")].sum()) for x in blobs], np.int64)
         fit = np.flatnonzero((total(a, self.size_a) == size) & (total(b, self.size_b) == size)).tolist()
@@ -169,11 +231,10 @@ class Aligner:
         at_b[start_b[self.space_b[ids_b]]] = True
         anchor = at_a & at_b
         anchor[begins] = True
-        cut_a, cut_b = (4 * np.r_[np.flatnonzero(anchor[s] & (size_of[x] > 0)), len(x)] for s, size_of, x in ((start_a, self.size_a, ids_a), (start_b, self.size_b, ids_b)))
+        cut_a, cut_b = (np.r_[np.flatnonzero(anchor[s] & (size_of[x] > 0)), len(x)] for s, size_of, x in ((start_a, self.size_a, ids_a), (start_b, self.size_b, ids_b)))
         of_text = np.searchsorted(np.flatnonzero(anchor), np.r_[begins, length])  # a text's windows
-        cut_a, cut_b = cut_a.tolist(), cut_b.tolist()
-        keys = [(blob_a[i:j], blob_b[k:m]) for i, j, k, m in zip(cut_a, cut_a[1:], cut_b, cut_b[1:], strict=False)]
-        numbers = windows.numbers(keys)
+        number = windows.numbers(ids_a, ids_b, cut_a, cut_b)
+        numbers = number.tolist()
         known, texts_of, raws = [], windows.text, windows.raw
         parts = [raws[k] for k in numbers]
         all_same = None not in parts and b"".join(parts) == b"".join([raw[i] for i in fit])
@@ -186,7 +247,6 @@ class Aligner:
             known.append((asked[i], x, y))
         if not known:
             return rows, none
-        number = np.array(numbers, np.int64)
         groups, links, first = (np.frombuffer(x, np.int64) for x in (windows.groups, windows.links, windows.first))
         pair, times = np.frombuffer(windows.pair, np.int64), np.frombuffer(windows.times, np.int64)
         whole_groups, whole_links = (np.r_[0, np.cumsum(x[number])] for x in (groups, links))

@@ -98,3 +98,15 @@ def test_places_pack():
     places, times = np.array([0, 5, 6, 900_000]), np.array([1, 2, 3, 70_000])
     assert [x.tolist() for x in A.unpacked(A.packed(places, times))] == [places.tolist(), times.tolist()]
     assert [x.tolist() for x in A.unpacked(A.packed(places[:0], times[:0]))] == [[], []]
+
+
+def test_windows_are_told_apart_by_their_ids(monkeypatch):
+    import numpy as np
+
+    rng = random.Random(7)
+    windows = [tuple(tuple(rng.randrange(3) for _ in range(rng.randint(1, 3))) for _ in "ab") for _ in range(500)]
+    sides = [(np.array([x for w in windows for x in w[s]], np.uint32), np.r_[0, np.cumsum([len(w[s]) for w in windows])]) for s in (0, 1)]
+    for mix in (A.mixed, lambda x: x & np.uint64(3)):  # the second hashes badly
+        monkeypatch.setattr(A, "mixed", mix)
+        first, back = A.alike(tuple(sides))
+        assert [windows[first[k]] for k in back] == windows
