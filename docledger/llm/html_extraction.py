@@ -8,9 +8,11 @@ of each host; the winning path of the host, if the page has it, else the page's
 text, with the headline and the prose that stand before them in their parent.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out wherever they stand: by
-element, role and hiding for certain, by class and id on evidence. A class counts as a whole: one of the furniture words itself, or a
-compound of furniture words and neutral ones (``comment-list``, ``site-footer``), so ``has-sidebar`` and ``post-header`` are no
-furniture. What is so marked stays if an article or main element is inside, and if nothing else on the page has text.
+element, role and hiding for certain, by class and id on evidence. A class marks as a whole: one of the furniture words itself, or a
+compound of furniture words and neutral ones (``comment-list``, ``site-footer``), so ``has-sidebar`` and ``post-header`` mark nothing;
+or by its last word, if that tells comments or adverts (``post-comments``, ``google-ad``). The evidence is in ``Page.furniture``: what is
+marked is never furniture if it holds half of the page's prose, an article or, being comments, the only prose; a form only if it has a
+control to fill in. A headline in a marked header stays if the page's title begins with it, and so does all if nothing else has text.
 
 The votes are small rows and are summed before they shuffle; the winners are broadcast if they are at most ``broadcast_hosts``.
 Beyond that, hosts with more than one in 1,024 pages are broadcast and only the pages of the others move, to be joined by host. Pages
@@ -45,6 +47,9 @@ ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form
 FURNITURE = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "banner", "banners", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "consent", "cookie", "cookies", "disqus", "footer", "gdpr", "header", "login", "masthead", "menu", "menus", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pager", "pagination", "popup", "promo", "promos", "promotion", "recommended", "related", "replies", "respond", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget", "widgets"}
 NEUTRAL = {"area", "articles", "bar", "block", "bottom", "box", "button", "buttons", "container", "form", "global", "group", "icons", "inner", "item", "items", "left", "links", "list", "main", "outer", "page", "panel", "posts", "primary", "right", "secondary", "section", "site", "slot", "stories", "thread", "top", "unit", "wrap", "wrapper"}
 HEADERS = {"header", "masthead", "banner"}
+TALK = {"comment", "comments", "commentlist", "disqus", "replies", "respond"}
+ADVERTS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored"}
+STATES = {"has", "hide", "is", "no", "show", "with", "without"}
 BLOCKS = {"address", "article", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "legend", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"} | SKIPPED | FORMS
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "datalist", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "meter", "output", "option", "optgroup", "picture", "progress", "q", "rp", "rt", "ruby", "s", "samp", "slot", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
 ELEMENTS = BLOCKS | INLINE | VOID
@@ -97,25 +102,29 @@ def skipped(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
     return re.search(r"display\s*:\s*none", attributes.get("style", ""), re.I) is not None
 
 
-def marked(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
-    """Furniture by a whole class or id; headers only outside articles."""
+def marked(tag: str, attributes: dict[str, str], in_article: bool) -> str:
+    """What a class or id, or a form, says of an element: "talk" (reader comments), "header", "furniture", "form", or "" for nothing.
+
+    A class counts as a whole, or by its last word if that tells comments or adverts; headers only outside articles."""
     if tag in ("html", "body", "article", "main"):
-        return False
+        return ""
     for token in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split():
-        words = {w for w in re.split(r"[-_\d]+", token) if w}
-        kinds = words & FURNITURE
-        if kinds and words <= FURNITURE | NEUTRAL and not (in_article and kinds <= HEADERS):
-            return True
-    return tag in FORMS
+        words = [w for w in re.split(r"[-_\d]+", re.sub(r"\d+x\d+", "", token)) if w]
+        kinds = FURNITURE.intersection(words)
+        if not kinds or in_article and kinds <= HEADERS:
+            continue
+        if FURNITURE.union(NEUTRAL).issuperset(words) or words[-1] in TALK | ADVERTS and words[0] not in STATES:
+            return "talk" if kinds & TALK else "header" if kinds <= HEADERS else "furniture"
+    return "form" if tag in FORMS else ""
 
 
 class Node(NamedTuple):
-    """A container or marked element: its parent's number, tag, path step, and whether it is marked as furniture. Number 0 is the page."""
+    """A container or marked element: its parent's number, tag, path step, and what it is marked as ("": nothing). Number 0 is the page."""
 
     parent: int
     tag: str
     step: str
-    marked: bool
+    marked: str
 
 
 class Block(NamedTuple):
@@ -126,9 +135,12 @@ class Block(NamedTuple):
     headline: bool
 
 
-def read(html: str | None) -> tuple[list[Node], list[Block]]:
-    """The page's nodes, parents first, and its blocks in page order. Every character is looked at a bounded number of times."""
-    html, nodes, blocks, pieces = html or "", [Node(-1, "", "", False)], [], []
+def read(html: str | None) -> tuple[list[Node], list[Block], set[int], str]:
+    """The page's nodes, parents first, its blocks in page order, the nodes right round a control to fill in, and the title. Every character
+    is looked at a bounded number of times."""
+    html, nodes, blocks, pieces = html or "", [Node(-1, "", "", "")], [], []
+    controls: set[int] = set()
+    title = ""
     stack: list[tuple[str, bool, int]] = []  # tag, skipped, node
     places: dict[str, list[int]] = {}  # where in the stack each tag is open
     at = 0
@@ -197,6 +209,8 @@ def read(html: str | None) -> tuple[list[Node], list[Block]]:
                 close(same)
         if tag in BLOCKS:
             flush()
+        if tag in ("select", "textarea") or tag == "input" and attributes.get("type", "").lower() != "hidden":
+            controls.add(stack[-1][2] if stack else 0)
         if tag in VOID:
             if tag == "br":
                 add(" ")
@@ -211,20 +225,22 @@ def read(html: str | None) -> tuple[list[Node], list[Block]]:
                 node = len(nodes) - 1
         if tag in RAW:
             found = ENDING[tag].search(html, at)
+            if tag == "title" and not title:
+                title = entities.unescape(html[at : found.start() if found else len(html)])
             at = html.find(">", found.start()) + 1 or len(html) if found else len(html)
             continue
         if html[end - 2 : end] != "/>" or tag in BLOCKS or tag in INLINE:
             places.setdefault(tag, []).append(len(stack))
             stack.append((tag, inside, node))
     flush()
-    return nodes, blocks
+    return nodes, blocks, controls, " ".join(title.split())
 
 
 class Page:
     """A page's text by container, without furniture. Containers are numbered in page order, so each holds a range of numbers."""
 
     def __init__(self, html: str | None):
-        self.nodes, read_blocks = read(html)
+        self.nodes, read_blocks, controls, title = read(html)
         size = len(self.nodes)
         up = [n.parent for n in self.nodes]
         holds = [n.tag in ("article", "main") for n in self.nodes]
@@ -232,7 +248,8 @@ class Page:
         for i in range(size - 1, 0, -1):
             holds[up[i]] |= holds[i]
             self.last[up[i]] = max(self.last[up[i]], self.last[i])
-        self.blocks = self.without([n.marked and not h for n, h in zip(self.nodes, holds, strict=True)], read_blocks) or self.without([False] * size, read_blocks)
+        drop, spared = self.furniture(read_blocks, holds, controls, title)
+        self.blocks = self.without(drop, read_blocks, spared) or self.without([False] * size, read_blocks, set())
         self.keys, self.paths = [0] * size, {}
         for i in range(1, size):
             self.keys[i] = self.paths.setdefault((self.keys[up[i]], self.nodes[i].step), len(self.paths) + 1)
@@ -244,16 +261,57 @@ class Page:
         sums = [list(accumulate(x, initial=0)) for x in (own, prose, heads)]
         self.weights, self.prose, self.heads = ([x[self.last[i] + 1] - x[i] for i in range(size)] for x in sums)
 
-    def without(self, drop: list[bool], read_blocks: list[Block]) -> list[tuple[int, str, int, bool]]:
-        """(container, text, characters in links, headline) of the blocks that have text outside the dropped nodes."""
+    def furniture(self, read_blocks: list[Block], holds: list[bool], controls: set[int], title: str) -> tuple[list[bool], set[int]]:
+        """Which marked nodes are furniture by evidence, and the headlines that stay although they stand in one.
+
+        Comments are, if the page has prose elsewhere or they have none. A form is, if it has a control to fill in and holds less than half
+        of the page's prose outside comments (of its text, where there is no prose); what else is marked, if it holds less than half of that
+        prose and no article. The page's only h1, in a marked header and no link, stays if the title begins with it."""
+        size = len(self.nodes)
+        talk, asks = [n.marked == "talk" for n in self.nodes], [i in controls for i in range(size)]
+        for i in range(1, size):
+            talk[i] = talk[i] or talk[self.nodes[i].parent]
+        chars, prose, said = [0] * size, [0] * size, [0] * size
+        heads: list[tuple[int, int, str, int]] = []
+        for at, (node, text, links, headline) in enumerate(self.without([False] * size, read_blocks, set(), gaps=True)):
+            own = (len(text) - links) * is_prose(text, links)
+            if talk[node]:
+                said[node] += own
+            else:
+                prose[node] += own
+                chars[node] += len(text) - links
+            if headline:
+                heads.append((at, node, text, links))
+        sums = [list(accumulate(x, initial=0)) for x in (chars, prose, said, asks)]
+        all_chars, all_prose, all_said, all_asks = ([x[self.last[i] + 1] - x[i] for i in range(size)] for x in sums)
+        drop = []
+        for i, n in enumerate(self.nodes):
+            little = 2 * all_prose[i] < all_prose[0] or not all_prose[0]
+            if n.marked == "talk":
+                drop.append(bool(all_prose[0] or not all_said[i]))
+            elif n.marked == "form":
+                drop.append(not holds[i] and bool(all_asks[i]) and (little if all_prose[0] else 2 * all_chars[i] < all_chars[0]))
+            else:
+                drop.append(bool(n.marked) and not holds[i] and little)
+        spared = set()
+        if len(heads) == 1 and title.lower().startswith(heads[0][2].lower()) and not heads[0][3]:
+            node, over = heads[0][1], []
+            while node >= 0:
+                over += [self.nodes[node].marked] * drop[node]
+                node = self.nodes[node].parent
+            spared = {heads[0][0]} if set(over) <= {"header"} else spared
+        return drop, spared
+
+    def without(self, drop: list[bool], read_blocks: list[Block], spared: set[int], gaps: bool = False) -> list[tuple[int, str, int, bool]]:
+        """(container, text, characters in links, headline) of the blocks that have text outside the dropped nodes, or are spared."""
         for i in range(1, len(drop)):
             drop[i] = drop[i] or drop[self.nodes[i].parent]
         found = []
-        for node, pieces, headline in read_blocks:
-            kept = [(t, link) for n, t, link in pieces if not drop[n]]
+        for at, (node, pieces, headline) in enumerate(read_blocks):
+            kept = [(t, link) for n, t, link in pieces if at in spared or not drop[n]]
             text = " ".join("".join(t for t, _ in kept).split())
-            if text:
-                found.append((node, text, min(len(text), sum(len(t.strip()) for t, link in kept if link)), headline))
+            if text or gaps:
+                found.append((node, text, min(len(text), sum(len(t.strip()) for t, link in kept if link)), headline and bool(text)))
         return found
 
     def inside(self, node: int, root: int) -> bool:

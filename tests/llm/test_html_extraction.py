@@ -142,3 +142,30 @@ def test_columns_and_types_pass_through(spark):
 def test_a_very_long_page():
     page = "<body><nav>menu</nav><article>" + "".join(f"<p>{STORY} {i}</p>" for i in range(3000)) + "</article></body>"
     assert len(page) > 4_000_000 and text_of(page).count("\n\n") == 2999
+
+
+PROSE = "The river had risen in the night, and the people of the lower town carried what they could up the hill before morning came."
+LONG = "<p>".join([PROSE, PROSE.replace("river", "lake"), PROSE.replace("night", "week")])
+
+
+@pytest.mark.parametrize(
+    ("page", "has", "lacks"),
+    [
+        ("<body><form id=aspnetForm><div class=content>ARTICLE</div></form><p>Copyright 2020 Example</p></body>", ["ARTICLE"], []),
+        (f"<body><form id=aspnetForm><input type=hidden><div class=content><p>{LONG}</div><input name=q></form><p>Copyright 2020 Example</p></body>", ["river", "lake"], []),
+        (f"<body><div class=promo><p>{LONG}</div><p>One short line</p></body>", ["river", "week"], []),
+        (f"<body><div class=content><p>{LONG}<div class='post-comments'><p>I disagree</div></div></body>", ["lake"], ["disagree"]),
+        (f"<body><article><p>{LONG}<div class='article-comments'><p>{PROSE.replace('river', 'reader')}</div></article></body>", ["lake"], ["reader"]),
+        (f"<body><article><p>{LONG}<div id='user-comments'><article><p>I disagree</article></div></article></body>", ["lake"], ["disagree"]),
+        (f"<body><div class=content><p>{LONG}<div class='ad-300x250'>Buy now</div><div class='google-ad'>Buy more</div></div></body>", ["lake"], ["Buy"]),
+        (f"<body><div class=content><p>{LONG}<div class='related-articles'><a href=x>Another story</a></div></div></body>", ["lake"], ["Another"]),
+        (f"<head><title>Floods in town - The Paper</title></head><body><div class=header><h1>Floods in town</h1>Menu</div><div class=content><p>{LONG}</div></body>", ["Floods in town", "lake"], ["Menu"]),
+        (f"<head><title>Floods - The Paper</title></head><body><div class=header><h1>The Paper</h1></div><div class=content><p>{LONG}</div></body>", ["lake"], ["Paper"]),
+        (f"<body><div class='content has-comments'><p>{LONG}</div></body>", ["river", "week"], []),
+        (f"<body><div class=content><p>{LONG}</div><form><input name=mail>Subscribe to our letters</form></body>", ["lake"], ["letters"]),
+        (f"<body><div class=comments><p>{PROSE}</div></body>", ["river"], []),
+    ],
+)
+def test_furniture_is_told_by_evidence(page, has, lacks):
+    text = Page(page).text(None)[0]
+    assert all(x in text for x in has) and not any(x in text for x in lacks), text
