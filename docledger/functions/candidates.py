@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import text
 
 
+BUILT: dict[tuple, object] = {}
+#: Characters of the private use area.
+CUT, MID = "\ue000", "\ue001"
+
+
+def once(key: tuple, build):
+    """What ``build`` gives, built once for a JVM and key: Columns by name do not depend on the rows, and putting some thousands of their
+    nodes together is the driver's work of seconds. The key must tell everything that the Columns depend on."""
+    key = (id(SparkContext._active_spark_context._jvm), *key)
+    if key not in BUILT:
+        if len(BUILT) >= 256:  # keys hold job configurations, of which there may be many
+            BUILT.clear()
+        BUILT[key] = build()
+    return BUILT[key]
+
+
 def let(value: Column, body) -> Column:
     """body(value) with the value computed once for a row, however often the body uses it."""
     return F.get(F.transform(F.array(value), body), 0)
@@ -16,24 +33,48 @@ def let(value: Column, body) -> Column:
 def find_all(c: Column | str, pattern: str, index: int = 0) -> Column:
     """array<struct<pos, value>> of every match (positions from 0); value is the given group.
 
-    The text between matches and the matches themselves give exact positions without a UDF.
+    One pass of the pattern: every match is put between characters that the text does not hold, which tell it from the text between
+    matches, so the lengths of what stands before give exact positions without a UDF.
     """
-    x = text(c)
-    whole = F.regexp_extract_all(x, F.lit(pattern), F.lit(0))
-    value = whole if index == 0 else F.regexp_extract_all(x, F.lit(pattern), F.lit(index))
-    parts = F.struct(value.alias("v"), F.transform(F.split(x, pattern, -1), F.length).alias("between"), F.transform(whole, F.length).alias("own"))
+    x = F.replace(F.replace(text(c), F.lit(CUT), F.lit(" ")), F.lit(MID), F.lit(" "))
+    parts = F.split(F.regexp_replace(x, pattern, f"{CUT}$0{MID}${index}{CUT}"), CUT, -1)  # between, match, between, match, between
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<pos:int,value:string>>").alias("found"))
+
+    def step(s: Column, part: Column) -> Column:
+        own = F.instr(part, MID)
+        found = F.concat(s["found"], F.array(F.struct(s["at"].alias("pos"), F.substring(part, own + 1, F.length(part)).alias("value"))))
+        return F.struct((s["at"] + F.when(own > 0, own - 1).otherwise(F.length(part))).alias("at"), F.when(own > 0, found).otherwise(s["found"]).alias("found"))
 
-    def total(a: Column, n: Column) -> Column:
-        return F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda t, k: t + k)
+    return F.aggregate(parts, start, step, lambda s: s["found"])
 
-    return let(parts, lambda p: F.transform(p["v"], lambda v, i: F.struct((total(p["between"], i + 1) + total(p["own"], i)).alias("pos"), v.alias("value"))))
+
+def literal_positions(low: Column, word: str) -> Column:
+    """Positions of a word in a lower-cased text."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found"))
+
+    def step(s: Column, part: Column) -> Column:
+        at = s["at"] + F.length(part)
+        return F.struct((at + len(word)).alias("at"), F.concat(s["found"], F.array(at)).alias("found"))
+
+    ahead = F.split(F.replace(low, F.lit(word), F.lit(CUT)), CUT, -1)
+    return F.when(low.contains(word), F.aggregate(F.slice(ahead, 1, F.size(ahead) - 1), start, step, lambda s: s["found"])).otherwise(F.array().cast("array<int>"))
 
 
 def keyword_positions(c: Column | str, words: list[str]) -> Column:
-    """Positions (from 0) of every occurrence of every word, case ignored, overlaps included."""
-    quoted = ("".join("\\" + ch if not ch.isalnum() and ord(ch) < 128 else ch for ch in w.lower()) for w in words)
-    x = F.concat(F.lit("\u0001"), F.lower(text(c)))  # splitting leaves out an empty part before a match of no width at the start
-    return F.transform(find_all(x, f"(?={'|'.join(quoted)})"), lambda m: m["pos"] - 1)
+    """Positions (from 0) of every occurrence of every word, case ignored, overlaps included, in order.
+
+    Words are searched one by one as they stand; those that can overlap themselves by a pattern that looks ahead."""
+    low = [w.lower() for w in words]
+    itself = [w for w in low if any(w.startswith(w[i:]) for i in range(1, len(w)))]
+
+    def every(x: Column) -> Column:
+        found = [literal_positions(x, w) for w in low if w not in itself]
+        if itself:
+            quoted = "|".join("".join("\\" + ch if not ch.isalnum() and ord(ch) < 128 else ch for ch in w) for w in itself)
+            found.append(F.transform(find_all(x, f"(?={quoted})"), lambda m: m["pos"]))
+        return F.array_sort(F.array_distinct(F.concat(*found)))
+
+    return let(F.replace(F.lower(text(c)), F.lit(CUT), F.lit(" ")), every)
 
 
 def nearest(candidates: Column, anchors: Column, value) -> Column:
@@ -45,3 +86,19 @@ def nearest(candidates: Column, anchors: Column, value) -> Column:
         return F.array_min(F.transform(s["c"], lambda c: F.struct(gap(c).alias("gap"), (-value(c)).alias("less"), c["value"].alias("value"))))
 
     return let(F.struct(candidates.alias("c"), anchors.alias("a")), best)["value"]
+
+
+def candidate(kind: str, value: Column) -> Column:
+    """A typed candidate: struct<kind, value>; '' and null values count as none."""
+    return F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+
+
+def first_of_kind(found: Column, kind: str) -> Column:
+    """The value of the first filled candidate of a kind, null where there is none."""
+    return F.get(F.filter(found, lambda c: (c["kind"] == kind) & (c["value"] != "")), 0)["value"]
+
+
+def first_read(found: Column, kind: str, read) -> Column:
+    """read(value) of the first candidate of a kind that can be read."""
+    every = F.transform(F.filter(found, lambda c: (c["kind"] == kind) & (c["value"] != "")), lambda c: read(c["value"]))
+    return F.get(F.filter(every, lambda v: v.isNotNull()), 0)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .candidates import let
+from .candidates import let, once
 from .text import basename, norm_name, normalize_token, text
 
 # Platforms in order of decision, the rules (platform, where, kind, pattern, weight) and thresholds.
@@ -96,14 +96,22 @@ def weighed(total: dict[str, Column]) -> Column:
     return F.struct(*((thai if p == "THAI_TAX" else v).cast("int").alias(p) for p, v in total.items()))
 
 
-def with_scores(df: DataFrame, body: str, filename: Column | str, own: Column, out: str, unless: Column | None = None) -> DataFrame:
+def own_array(own: tuple[str, ...] | Column) -> Column:
+    return own if isinstance(own, Column) else F.array(*map(F.lit, own)).cast("array<string>")
+
+
+def keyed(key: tuple, own: tuple[str, ...] | Column, build):
+    """``build()``, once for a key where own ids are given as text."""
+    return build() if isinstance(own, Column) else once((*key, own), build)
+
+
+def with_scores(df: DataFrame, body: str, filename: str, own: tuple[str, ...] | Column, out: str, unless: str | None = None) -> DataFrame:
     """The scores as a struct column. The lower-cased text and each platform's sum are columns of their own first, so that none is
-    computed twice; they are left null where ``unless`` holds."""
-    low = F.lower(text(body))
-    df = df.withColumn("__low", low if unless is None else F.when(~unless, low))
-    raw = {f"__s_{p}": v for p, v in raw_scores(F.col("__low"), filename, own).items()}
-    raw = raw if unless is None else {name: F.when(~unless, v) for name, v in raw.items()}
-    return df.withColumns(raw).withColumn(out, weighed({p: F.col(f"__s_{p}") for p in PLATFORMS})).drop(*raw, "__low")
+    computed twice; they are left null where the column ``unless`` is filled."""
+    bound = lambda c: c if unless is None else F.when(F.col(unless).isNull(), c)
+    df = df.withColumn("__low", bound(F.lower(text(body))))
+    raw = keyed(("scores", filename, unless), own, lambda: {f"__s_{p}": bound(v) for p, v in raw_scores(F.col("__low"), filename, own_array(own)).items()})
+    return df.withColumns(raw).withColumn(out, once(("weighed",), lambda: weighed({p: F.col(f"__s_{p}") for p in PLATFORMS}))).drop(*raw, "__low")
 
 
 def argmax_label(score: Column) -> Column:
@@ -119,15 +127,18 @@ def fast_path(low: Column, filename: Column | str) -> Column:
     return F.coalesce(*(F.when(reduce(lambda a, b: a | b, each(p)), label) for label, p in FAST))
 
 
-def with_platform(df: DataFrame, body: str, filename: Column | str, own: Column, out: str = "_platform") -> DataFrame:
+def by_score(own: Column) -> Column:
+    """The label that the scores give: the first over its threshold, the best of at least 28, a tax invoice of another company."""
+    x, score = F.col("__lower"), F.col("__scores")
+    invoice = x.rlike(INVOICE_WORDS) & has_foreign_tax_id(x, own)
+    return F.coalesce(*(F.when(score[p] >= t, p) for p, t in THRESHOLDS), F.when(F.col("__best.score") >= 28, F.col("__best.label")), F.when(invoice, "THAI_TAX"), F.lit("UNKNOWN"))
+
+
+def with_platform(df: DataFrame, body: str, filename: str, own: tuple[str, ...] | Column, out: str = "_platform") -> DataFrame:
     """The platform of every document: a strong id decides, else the scores, which are built for the rest only."""
-    x = F.col("__lower")
-    df = df.withColumn("__lower", F.lower(text(body)))
-    df = with_scores(df.withColumn("__fast", fast_path(x, filename)), "__lower", filename, own, "__scores", F.col("__fast").isNotNull())
-    score = F.col("__scores")
-    df = df.withColumn("__best", argmax_label(score))
-    by_score = F.coalesce(*(F.when(score[p] >= t, p) for p, t in THRESHOLDS), F.when(F.col("__best.score") >= 28, F.col("__best.label")), F.when(x.rlike(INVOICE_WORDS) & has_foreign_tax_id(x, own), "THAI_TAX"), F.lit("UNKNOWN"))
-    return df.withColumn(out, F.coalesce("__fast", by_score)).drop("__fast", "__scores", "__best", "__lower")
+    df = df.withColumn("__lower", F.lower(text(body))).withColumn("__fast", once(("fast", filename), lambda: fast_path(F.col("__lower"), filename)))
+    df = with_scores(df, "__lower", filename, own, "__scores", "__fast").withColumn("__best", once(("best",), lambda: argmax_label(F.col("__scores"))))
+    return df.withColumn(out, F.coalesce("__fast", keyed(("by_score",), own, lambda: by_score(own_array(own))))).drop("__fast", "__scores", "__best", "__lower")
 
 
 def detect_vendor(body: Column | str) -> Column:

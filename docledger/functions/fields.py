@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .candidates import find_all, keyword_positions, let, nearest
-from .text import group, normalize_reference, reference_core, squash_ws, text
+from .text import first_group, group, normalize_reference, reference_core, squash_ws, text
 from .values import branch5, derive_amounts, parse_date, parse_en_date, parse_money
 
 # The label words of invoices and receipts, and the number formats that follow them.
@@ -17,16 +17,18 @@ VAT_AMOUNT = "(?i)(?:Total\\s*VAT|VAT|ภาษีมูลค่าเพิ่
 ANY_TOTAL = "(?i)(?:Total|รวม|จำนวนเงิน)" + AMOUNT
 ANY_AMOUNT = "(?:฿|THB)\\s*([0-9,]+\\.[0-9]{2})"
 WHT_HINT = "(?i)withholding\\s+tax|หักภาษี|ณ\\s*ที่จ่าย|\\bwht\\b"
-WHT = "(?is)(?:withholding\\s+tax|หักภาษี\\s*ณ\\s*ที่จ่าย|wht).{0,80}?(?:อัตรา|rate|ร้อยละ)(?:\\s+of)?\\s*([0-9]{1,2})\\s*%.{0,80}?(?:จำนวน(?:เงิน)?|amounting\\s*to|เป็นจำนวน)\\s*(?:฿|THB)?\\s*([0-9,]+(?:\\.[0-9]{1,2})?)"
+#: A withholding clause as the words that stand one after the other, at any distance: heads, then the rate, then the amount.
+WHT = ((("(?i)withholding\\s+tax|หักภาษี\\s*ณ\\s*ที่จ่าย|wht",), "(?i)(?:อัตรา|rate|ร้อยละ)(?:\\s+of)?\\s*([0-9]{1,2})\\s*%", "(?i)(?:จำนวน(?:เงิน)?|amounting\\s*to|เป็นจำนวน)\\s*(?:฿|THB)?\\s*([0-9,]+(?:\\.[0-9]{1,2})?)"),)
 DATE_ANCHORS = ["invoice date", "tax invoice", "invoice", "receipt", "issue date", "date", "วันที่", "วันที่ออก"]
 TOTAL_ANCHORS = ["total", "grand total", "amount due", "ยอดชำระ", "ยอดรวม", "including"]
-HEAD_OFFICE = "(?i)สำนักงานใหญ่|Head\\s*Office"
+HEAD_OFFICE = "(?i)สำนักงานใหญ่|Head\\s*Office|HeadOffice|本社"
 BRANCH = "(?i)(?:สาขา(?:ที่)?\\s*|Branch\\s*(?:No\\.?|Number)?\\s*:?\\s*)(\\d{1,5})"
-PAYMENT = "(?i)\\b(EWL\\d{2,6}|TRF\\d{2,6}|CSH\\d{2,6}|QR|CASH|BANK\\s*TRANSFER|CREDIT\\s*CARD|CARD|TRANSFER)\\b"
+PAYMENT = "(?iU)\\b(EWL\\d{2,6}|TRF\\d{2,6}|CSH\\d{2,6}|QR|CASH|CARD|TRANSFER|BANK\\s*TRANSFER|CREDIT\\s*CARD|หักจาก(?:ยอด)?ขาย|โอน|เงินสด)\\b"
+# An INV number needs a digit, or the word INVOICE itself would be one.
 DOCUMENT_NUMBERS = {
-    "SPX": "(?i)\\b(RCS[A-Z0-9/-]{10,})\\b",
-    "SHOPEE": "(?i)\\b((?:Shopee-)?TI[VR]-[A-Z0-9]+-\\d{5}-\\d{6}-\\d{7,}|TRS[A-Z0-9_/-]{8,})\\b",
-    "LAZADA": "(?i)\\b(THMPTI\\d{16}|(?:LAZ|LZD)[A-Z0-9_/.-]{6,})\\b",
+    "SPX": "(?i)\\b(RCS[A-Z0-9\\-/]{10,})\\b",
+    "SHOPEE": "(?i)\\b((?:Shopee-)?TI[VR]-[A-Z0-9]+-\\d{5}-\\d{6}-\\d{7,}|TRS[A-Z0-9\\-_/]{8,})\\b",
+    "LAZADA": "(?i)\\b(THMPTI\\d{16}|(?:LAZ|LZD)[A-Z0-9\\-_/.]{6,}|INV(?=[A-Z\\-_/.]*[0-9])[A-Z0-9\\-_/.]{6,})\\b",
     "TIKTOK": "(?i)\\b(TTSTH\\d{14,})\\b",
 }
 GENERIC_NUMBER = "(?i)(?:ใบกำกับ(?:ภาษี)?|Tax\\s*Invoice|Invoice|เลขที่(?:เอกสาร)?|Document\\s*(?:No\\.?|Number)|Receipt\\s*No\\.?)(?:\\s*No\\.?)?\\s*[:#：]?\\s*[\"']?([A-Za-z0-9/_.-]*[0-9][A-Za-z0-9/_.-]*)"
@@ -35,8 +37,7 @@ FEE_LINE = "(?m)^- (.{1,160}?) (?:฿|THB)\\s?([0-9,]+\\.[0-9]{2})(?: (?:฿|THB
 
 
 def positive(c: Column) -> Column:
-    x = parse_money(c)
-    return F.when(x > 0, x)
+    return let(parse_money(c), lambda v: F.when(v > 0, v))
 
 
 def amounts(c: Column | str) -> Column:
@@ -44,29 +45,38 @@ def amounts(c: Column | str) -> Column:
     x = text(c)
 
     def pick(pattern: str, anchors: list[str]) -> Column:
-        found = F.filter(find_all(x, pattern, 1), lambda m: ~F.substring(x, F.greatest(m["pos"] - 79, F.lit(1)), F.lit(80)).rlike(WHT_HINT) & (F.coalesce(parse_money(m["value"]), F.lit(0)) > 0))
-        return parse_money(nearest(found, keyword_positions(x, anchors), lambda m: parse_money(m["value"])))
+        read = F.transform(find_all(x, pattern, 1), lambda m: F.struct(m["pos"].alias("pos"), parse_money(m["value"]).alias("value")))
+        found = F.filter(read, lambda m: (m["value"] > 0) & ~F.substring(x, F.greatest(m["pos"] - 79, F.lit(1)), F.lit(80)).rlike(WHT_HINT))
+        return let(found, lambda f: F.when(F.size(f) > 0, nearest(f, keyword_positions(x, anchors), lambda m: m["value"])))
 
     picked = F.struct(
         pick(TOTAL_EX, ["subtotal", "excluding", "ก่อน", "ไม่รวม"]).alias("s"), pick(VAT_AMOUNT, ["vat", "ภาษีมูลค่าเพิ่ม", "total vat"]).alias("v"), pick(TOTAL_INC, TOTAL_ANCHORS).alias("t"),
-        group(x, WHT, 1).alias("r"), parse_money(group(x, WHT, 2)).alias("w"),
+        withheld(x, WHT).alias("h"),
     )
-    known = let(picked, lambda p: F.struct(derive_amounts(p["s"], p["v"], p["t"], p["w"]).alias("d"), p["r"].alias("r"), p["w"].alias("w")))
+    known = let(picked, lambda p: F.struct(p["s"].alias("s"), p["v"].alias("v"), p["t"].alias("t"), p["h"]["rate"].alias("r"), parse_money(p["h"]["amount"]).alias("w")))
+    known = let(known, lambda p: F.struct(derive_amounts(p["s"], p["v"], p["t"], p["w"]).alias("d"), p["r"].alias("r"), p["w"].alias("w")))
     return let(known, lambda p: F.struct(p["d"]["subtotal"].alias("subtotal"), p["d"]["vat"].alias("vat"), p["d"]["total"].alias("total"), F.concat(p["r"], F.lit("%")).alias("wht_rate"), p["w"].alias("wht_amount")))
 
 
 def total_amount(c: Column | str) -> Column:
     x = text(c)
-    return F.coalesce(*(positive(group(x, p)) for p in (TOTAL_INC, TOTAL_EX, ANY_TOTAL, ANY_AMOUNT)))
+    return F.coalesce(*(positive(F.regexp_extract(x, p, 1)) for p in (TOTAL_INC, TOTAL_EX, ANY_TOTAL, ANY_AMOUNT)))
 
 
-def amount_near_keyword(c: Column | str, pattern: str, before: int = 80, after: int = 240) -> Column:
-    """The last amount in the window round the first keyword (a pattern), which a withholding hint cuts."""
+def near_keyword(c: Column | str, pattern: str, before: int = 80, after: int = 240) -> Column:
+    """The last amount, as it is written, in the window round the first keyword (a pattern), which a withholding hint cuts."""
     x = text(c)
-    at, found = F.regexp_instr(x, F.lit(pattern)), F.regexp_substr(x, F.lit(pattern))
-    start = F.greatest(at - before, F.lit(1))
-    window = F.element_at(F.split(F.substring(x, start, at - start + F.length(found) + after), WHT_HINT, 2), 1)
-    return F.when(at > 0, parse_money(F.try_element_at(F.regexp_extract_all(window, F.lit("([0-9,]+\\.[0-9]{2})"), F.lit(1)), F.lit(-1))))
+
+    def seen(at: Column) -> Column:
+        start = F.greatest(at["at"] - before, F.lit(1))
+        window = F.regexp_replace(F.substring(x, start, at["at"] - start + at["size"] + after), f"(?s)(?:{WHT_HINT}).*", "")
+        return F.when(at["at"] > 0, F.try_element_at(F.regexp_extract_all(window, F.lit("([0-9,]+\\.[0-9]{2})"), F.lit(1)), F.lit(-1)))
+
+    return let(F.struct(F.regexp_instr(x, F.lit(pattern)).alias("at"), F.length(F.regexp_substr(x, F.lit(pattern))).alias("size")), seen)
+
+
+def amount_near_keyword(c: Column | str, pattern: str, before: int = 80, after: int = 240) -> Column:
+    return parse_money(near_keyword(c, pattern, before, after))
 
 
 def max_amount(c: Column | str, label: str) -> Column:
@@ -86,42 +96,62 @@ def totals_block(c: Column | str) -> Column:
     )
 
 
+def withheld(c: Column | str, forms: tuple) -> Column:
+    """struct(rate, amount), as written, of the first form whose words stand in the text one after the other, however far apart; nulls
+    where none does. Each word is searched once in what follows the one before it, so the work is linear in the text."""
+    after = lambda rest, pattern: let(rest, lambda r: F.when(r.rlike(pattern), F.regexp_replace(r, f"(?s)\\A.*?(?:{pattern})", "")))
+    nothing = F.struct(F.lit(None).cast("string").alias("rate"), F.lit(None).cast("string").alias("amount"))
+
+    def read(heads: tuple[str, ...], rate: str, amount: str) -> Column:
+        rest = text(c)
+        for head in heads:
+            rest = after(rest, head)
+        rated = let(rest, lambda r: F.struct(F.regexp_extract(r, rate, 1).alias("rate"), after(r, rate).alias("rest")))
+        paired = let(rated, lambda r: F.struct(r["rate"].alias("rate"), F.regexp_extract(r["rest"], amount, 1).alias("amount")))
+        return let(paired, lambda r: F.when(r["amount"] != "", r))
+
+    return F.coalesce(*(read(*form) for form in forms), nothing)
+
+
 def withholding(c: Column | str) -> Column:
     """struct(rate, amount)."""
-    return F.struct(F.concat(group(text(c), WHT, 1), F.lit("%")).alias("rate"), parse_money(group(text(c), WHT, 2)).alias("amount"))
+    return let(withheld(c, WHT), lambda h: F.struct(F.concat(h["rate"], F.lit("%")).alias("rate"), parse_money(h["amount"]).alias("amount")))
 
 
 def reference_code_near(c: Column | str, number: Column, distance: int = 140) -> Column:
     x = text(c)
-    place = F.position(number, x)
-    nearby = F.substring(x, F.greatest(place - distance, F.lit(1)), F.length(number) + 2 * distance)
-    return F.when(place > 0, F.nullif(F.concat_ws("-", group(nearby, REFERENCE_CODE, 1), group(nearby, REFERENCE_CODE, 2)), F.lit("")))
+
+    def code(place: Column) -> Column:
+        nearby = F.substring(x, F.greatest(place - distance, F.lit(1)), F.length(number) + 2 * distance)
+        return F.when(place > 0, F.regexp_extract(nearby, REFERENCE_CODE, 0))
+
+    return let(let(F.position(number, x), code), lambda v: F.when(v != "", F.regexp_replace(v, "\\s+", "")))
 
 
 def invoice_no(c: Column | str, platform: Column | str | None = None) -> Column:
     """The platform's number glued with the reference code that follows it, else a number with a code nearby or alone: the platform's
     own, another platform's, or a labelled one of six or more characters."""
     x = text(c)
-    kind = text(platform) if platform is not None else F.lit("")
-
-    def glued(pattern: str) -> Column:
-        number, day, code = (group(x, pattern + "\\s+(\\d{4})\\s*-\\s*(\\d{7})\\b", i) for i in (1, 2, 3))
-        return F.concat(number, day, F.lit("-"), code)
+    coded = {name: f"{p}\\s+(\\d{{4}})\\s*-\\s*(\\d{{7}})\\b" for name, p in DOCUMENT_NUMBERS.items()}
+    glue, one = (lambda p: F.regexp_extract(x, p, 0)), (lambda p: F.regexp_extract(x, p, 1))
 
-    def any_of(read) -> list[Column]:
-        return [*(F.when(kind == name, read(p)) for name, p in DOCUMENT_NUMBERS.items()), *(read(p) for p in DOCUMENT_NUMBERS.values())]
+    def any_of(patterns: dict[str, str], read) -> Column:
+        found = F.get(F.filter(F.array(*map(read, patterns.values())), lambda v: v != ""), 0)
+        if platform is None:
+            return found
+        own = F.filter(F.array(*(F.when(text(platform) == name, read(p)) for name, p in patterns.items())), lambda v: v != "")
+        return F.coalesce(F.get(own, 0), found)
 
-    labelled = group(x, GENERIC_NUMBER)
-    number = F.coalesce(*any_of(lambda p: group(x, p)), F.when(F.length(labelled) >= 6, labelled))
-    with_code = let(number, lambda n: F.concat(n, F.coalesce(reference_code_near(x, n), F.lit(""))))
-    return normalize_reference(F.coalesce(*any_of(glued), with_code, F.lit("")))
+    labelled = let(F.regexp_extract(x, GENERIC_NUMBER, 1), lambda v: F.when(F.length(v) >= 6, v))
+    with_code = let(F.coalesce(any_of(DOCUMENT_NUMBERS, one), labelled), lambda n: F.concat(n, F.coalesce(reference_code_near(x, n), F.lit(""))))
+    return normalize_reference(F.coalesce(any_of(coded, glue), with_code, F.lit("")))
 
 
 def full_reference(c: Column | str, filename: Column | str) -> Column:
     """The document number even across line breaks, else the file name's core."""
     joined = squash_ws(c)
-    split_number = group(joined, "(?i)((?:TRS|RCS)[A-Z0-9]{3,20}-\\d{5}-\\d{6}-\\d{7})")
-    return F.coalesce(split_number, F.nullif(invoice_no(c), F.lit("")), reference_core(filename))
+    split_number = first_group(joined, "(?i)((?:TRS|RCS)[A-Z0-9]{3,20}-\\d{5}-\\d{6}-\\d{7})")
+    return F.coalesce(split_number, let(invoice_no(c), lambda v: F.when(v != "", v)), reference_core(filename))
 
 
 def vendor_tax_id(c: Column | str, own: Column) -> Column:
@@ -132,9 +162,14 @@ def vendor_tax_id(c: Column | str, own: Column) -> Column:
     return F.coalesce(F.get(F.array_except(labelled, own), 0), F.get(F.array_except(every, own), 0), F.lit(""))
 
 
+def branch_found(c: Column | str) -> Column:
+    """Whether the text names a branch or the head office; without it ``branch`` is the head office by default."""
+    return text(c).rlike(HEAD_OFFICE) | text(c).rlike(BRANCH)
+
+
 def branch(c: Column | str) -> Column:
     x = text(c)
-    return F.when(x.rlike(HEAD_OFFICE), "00000").otherwise(branch5(group(x, BRANCH)))
+    return F.when(x.rlike(HEAD_OFFICE), "00000").otherwise(branch5(F.regexp_extract(x, BRANCH, 1)))
 
 
 def best_date(c: Column | str) -> Column:
@@ -152,14 +187,18 @@ def best_date(c: Column | str) -> Column:
     return nearest(F.filter(dated, lambda m: m["value"].isNotNull()), keyword_positions(x, DATE_ANCHORS), lambda m: F.unix_date(m["value"]))
 
 
+def seller_id(c: Column | str) -> Column:
+    return F.regexp_extract(text(c), "(?i)(?:Seller\\s*ID|Shop\\s*ID|Store\\s*ID|รหัสร้านค้า)\\s*[:#：]?\\s*([A-Z0-9_\\-]+)", 1)
+
+
+def username(c: Column | str) -> Column:
+    return F.regexp_extract(text(c), "(?i)(?:Username|User\\s*name|ชื่อผู้ใช้)\\s*[:#：]?\\s*([A-Za-z0-9_\\-]+)", 1)
+
+
 def seller_info(c: Column | str) -> Column:
     """struct(seller_id, username, seller_code): labelled ones; the code is a mixed run of letters and digits."""
-    x = text(c)
-    codes = F.filter(F.regexp_extract_all(x, F.lit("\\b([A-Z0-9]{8,15})\\b"), F.lit(1)), lambda v: ~v.rlike("^\\d+$"))
-    return F.struct(
-        F.coalesce(group(x, "(?i)(?:Seller\\s*ID|Shop\\s*ID|Store\\s*ID|รหัสร้านค้า)\\s*[:#：]?\\s*([A-Z0-9_-]+)"), F.lit("")).alias("seller_id"),
-        F.coalesce(group(x, "(?i)(?:Username|User\\s*name|ชื่อผู้ใช้)\\s*[:#：]?\\s*([A-Za-z0-9_-]+)"), F.lit("")).alias("username"), F.coalesce(F.get(codes, 0), F.lit("")).alias("seller_code"),
-    )
+    codes = F.filter(F.regexp_extract_all(text(c), F.lit("\\b([A-Z0-9]{8,15})\\b"), F.lit(1)), lambda v: ~v.rlike("^\\d+$"))
+    return F.struct(seller_id(c).alias("seller_id"), username(c).alias("username"), F.coalesce(F.get(codes, 0), F.lit("")).alias("seller_code"))
 
 
 def loose_seller_id(c: Column | str, filename: Column | str) -> Column:
@@ -174,7 +213,7 @@ def loose_seller_id(c: Column | str, filename: Column | str) -> Column:
 def payment_method(c: Column | str, platform: Column | str) -> Column:
     x, p = text(c), text(platform)
     marketplace = p.isin("SHOPEE", "LAZADA", "TIKTOK") & (x.contains("หักจาก") | F.lower(x).contains("deduct"))
-    return F.when(marketplace, "หักจากยอดขาย").when(p.isin("META", "GOOGLE"), "CARD").otherwise(F.coalesce(squash_ws(F.upper(group(x, PAYMENT))), F.lit("")))
+    return F.when(marketplace, "หักจากยอดขาย").when(p.isin("META", "GOOGLE"), "CARD").otherwise(squash_ws(F.upper(F.regexp_extract(x, PAYMENT, 1))))
 
 
 def segment_ids(c: Column | str) -> Column:
@@ -190,8 +229,10 @@ def segment_ids(c: Column | str) -> Column:
 def fee_lines(c: Column | str, most: int = 8) -> Column:
     """array<struct<name, ex_vat, vat, inc_vat>> of the first fee lines; totals and zero lines are left out, names cut at 60."""
     x = text(c)
-    every = F.arrays_zip(*(F.regexp_extract_all(x, F.lit(FEE_LINE), F.lit(i)).alias(f"g{i}") for i in range(1, 5)))
-    rows = F.transform(every, lambda r: F.struct(F.substring(F.trim(r["g1"]), 1, 60).alias("name"), parse_money(r["g2"]).alias("ex_vat"), parse_money(r["g3"]).alias("vat"), F.coalesce(parse_money(r["g4"]), parse_money(r["g2"])).alias("inc_vat")))
+    lines = F.regexp_extract_all(x, F.lit(FEE_LINE), F.lit(0))
+    read = lambda line, i: parse_money(F.regexp_extract(line, FEE_LINE, i))
+    names = F.transform(lines, lambda m: F.struct(F.substring(F.trim(F.regexp_extract(m, FEE_LINE, 1)), 1, 60).alias("name"), read(m, 2).alias("ex_vat"), read(m, 3).alias("vat"), read(m, 4).alias("last")))
+    rows = F.transform(names, lambda r: F.struct(r["name"].alias("name"), r["ex_vat"].alias("ex_vat"), r["vat"].alias("vat"), F.coalesce(r["last"], r["ex_vat"]).alias("inc_vat")))
     return F.slice(F.filter(rows, lambda r: ~r["name"].rlike("(?i)total") & (r["inc_vat"] > 0)), 1, most)
 
 

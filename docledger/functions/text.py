@@ -27,6 +27,11 @@ def group(c: Column, pattern: str, index: int = 1) -> Column:
     return F.nullif(F.regexp_extract(c, pattern, index), F.lit(""))
 
 
+def first_group(c: Column, *patterns: str) -> Column:
+    """The first group of the first of the patterns that has one, null where none has."""
+    return F.get(F.filter(F.array(*(F.regexp_extract(c, p, 1) for p in patterns)), lambda v: v != ""), 0)
+
+
 def arabic_digits(c: Column | str) -> Column:
     return F.translate(text(c), THAI_DIGITS, "0123456789")
 
@@ -105,12 +110,12 @@ def stem(c: Column | str) -> Column:
 
 def reference_core(c: Column | str) -> Column:
     """The document number inside a file name or reference, without blanks and noise; an INV number needs a digit."""
-    x = squash_ws(stem(c))
-    core = F.coalesce(
-        group(x, "(?i)(TRS[A-Z0-9]{3,}[A-Z0-9/_-]{5,})"), group(x, "(?i)(RCS[A-Z0-9]{3,}[A-Z0-9/_-]{5,})"), group(x, "(?i)(TTSTH[0-9]{6,})"),
-        group(x, "(?i)(THMPTI[0-9]{6,})"), group(x, "(?i)((?:LAZ|LZD)[A-Z0-9/_.-]{6,})"), group(x, "(?i)(INV[A-Z/_.-]*[0-9][A-Z0-9/_.-]{5,})"),
-        F.regexp_replace(x, "(?i)^(?:Shopee-TI[VR]-|ShopeeTI[VR]|SPXExpress-RCT-|Lazada-|TikTok-)", ""),
+    forms = (
+        "(?i)(TRS[A-Z0-9]{3,}[A-Z0-9/_-]{5,})", "(?i)(RCS[A-Z0-9]{3,}[A-Z0-9/_-]{5,})", "(?i)(TTSTH[0-9]{6,})",
+        "(?i)(THMPTI[0-9]{6,})", "(?i)((?:LAZ|LZD)[A-Z0-9/_.-]{6,})", "(?i)(INV[A-Z/_.-]*[0-9][A-Z0-9/_.-]{5,})",
     )
+    rest = lambda x: F.regexp_replace(x, "(?i)^(?:Shopee-TI[VR]-|ShopeeTI[VR]|SPXExpress-RCT-|Lazada-|TikTok-)", "")
+    core = F.get(F.transform(F.array(squash_ws(stem(c))), lambda x: F.coalesce(first_group(x, *forms), rest(x))), 0)
     return F.regexp_replace(core, "[,.;:]+$", "")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .candidates import let
 from .text import arabic_digits, digits_only, filled, group, squash_ws, text
 
 MONEY = "decimal(18,2)"
@@ -20,13 +21,16 @@ DATE_SHAPES = "^(?:\\d{8}|\\d{4}([-/.])\\d{1,2}\\1\\d{1,2}|\\d{1,2}([-/.])\\d{1,
 
 def parse_date(c: Column | str) -> Column:
     """Eight digits, or year first or day first between like signs, two or four digits for the year. A real calendar date or null."""
-    x = filled(arabic_digits(c))
-    parts = F.split(F.translate(x, "/.", "--"), "-")
-    first, last = F.get(parts, 0), F.get(parts, 2)
-    turned = F.concat_ws("-", F.when(F.length(last) == 2, F.concat(F.lit("20"), last)).otherwise(last), F.get(parts, 1), first)
-    whole = F.concat_ws("-", F.substring(x, 1, 4), F.substring(x, 5, 2), F.substring(x, 7, 2))
-    iso = F.when(last.isNull(), whole).when(F.length(first) == 4, F.array_join(parts, "-")).otherwise(turned)
-    return F.when(x.rlike(DATE_SHAPES), iso.try_cast("date"))
+
+    def built(x: Column) -> Column:
+        parts = F.split(F.translate(x, "/.", "--"), "-")
+        first, last = F.get(parts, 0), F.get(parts, 2)
+        turned = F.concat_ws("-", F.when(F.length(last) == 2, F.concat(F.lit("20"), last)).otherwise(last), F.get(parts, 1), first)
+        whole = F.concat_ws("-", F.substring(x, 1, 4), F.substring(x, 5, 2), F.substring(x, 7, 2))
+        iso = F.when(last.isNull(), whole).when(F.length(first) == 4, F.array_join(parts, "-")).otherwise(turned)
+        return F.when(x.rlike(DATE_SHAPES), iso.try_cast("date"))
+
+    return let(F.trim(arabic_digits(c)), built)
 
 
 def parse_date_lenient(c: Column | str) -> Column:
@@ -43,11 +47,14 @@ def parse_date_lenient(c: Column | str) -> Column:
 
 def parse_en_date(c: Column | str) -> Column:
     """Dec 9, 2025 or 9 December 2025."""
-    x = F.initcap(F.regexp_replace(F.regexp_replace(text(c), "[,.]", " "), "\\s+", " "))
     month = "(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*"
     a, b = f"\\b{month} (\\d{{1,2}}) (\\d{{4}})\\b", f"\\b(\\d{{1,2}}) {month} (\\d{{4}})\\b"
-    made = lambda p, m, d: F.try_to_timestamp(F.concat_ws(" ", F.regexp_extract(x, p, d), F.regexp_extract(x, p, m), F.regexp_extract(x, p, 3)), F.lit("d MMM yyyy")).cast("date")
-    return F.coalesce(F.when(x.rlike(a), made(a, 1, 2)), F.when(x.rlike(b), made(b, 2, 1)))
+
+    def built(x: Column) -> Column:
+        made = lambda p, m, d: F.try_to_timestamp(F.concat_ws(" ", F.regexp_extract(x, p, d), F.regexp_extract(x, p, m), F.regexp_extract(x, p, 3)), F.lit("d MMM yyyy")).cast("date")
+        return F.coalesce(F.when(x.rlike(a), made(a, 1, 2)), F.when(x.rlike(b), made(b, 2, 1)))
+
+    return let(F.initcap(F.regexp_replace(F.regexp_replace(text(c), "[,.]", " "), "\\s+", " ")), built)
 
 
 def date_from_reference(c: Column | str) -> Column:
@@ -73,9 +80,9 @@ def service_period(c: Column | str) -> Column:
 
 def parse_money(c: Column | str) -> Column:
     """Money of two decimals, half to even; negatives are null."""
-    x = F.regexp_replace(arabic_digits(c), "(?i)[,\\s$+]|฿|THB|บาท|Baht", "")
-    value = F.bround(F.when(x.rlike("^-?\\d{1,14}([.]\\d*)?$|^-?[.]\\d+$"), x.try_cast("decimal(20,6)")), 2).cast(MONEY)
-    return F.when(value >= 0, value)
+    digits = F.regexp_replace(arabic_digits(c), "(?i)[,\\s$+]|฿|THB|บาท|Baht", "")
+    value = let(digits, lambda x: F.bround(F.when(x.rlike("^-?\\d{1,14}([.]\\d*)?$|^-?[.]\\d+$"), x.try_cast("decimal(20,6)")), 2).cast(MONEY))
+    return let(value, lambda v: F.when(v >= 0, v))
 
 
 def parse_amount(c: Column | str) -> Column:
@@ -101,20 +108,23 @@ def normalize_qty(c: Column | str) -> Column:
 
 
 def parse_vat_rate(c: Column | str) -> Column:
-    x = F.upper(squash_ws(c))
-    number = F.regexp_replace(x, "%", "").try_cast("decimal(10,4)")
-    return F.when(x.isin("NO", "NONE", "0", "EXEMPT", "0%"), F.lit(0).cast("decimal(5,4)")).otherwise(F.when(number >= 1, number / 100).otherwise(number).try_cast("decimal(5,4)"))
+
+    def built(x: Column) -> Column:
+        number = F.regexp_replace(x, "%", "").try_cast("decimal(10,4)")
+        return F.when(x.isin("NO", "NONE", "0", "EXEMPT", "0%"), F.lit(0).cast("decimal(5,4)")).otherwise(F.when(number >= 1, number / 100).otherwise(number).try_cast("decimal(5,4)"))
+
+    return let(F.upper(squash_ws(c)), built)
 
 
 def parse_wht_rate(c: Column | str) -> Column:
     """Percent; values under one are shares."""
     number = F.regexp_replace(squash_ws(c), "%", "").try_cast("decimal(10,4)")
-    return F.when(number.between(0, 100), F.when((number > 0) & (number < 1), number * 100).otherwise(number)).cast("decimal(7,2)")
+    return let(number, lambda n: F.when(n.between(0, 100), F.when((n > 0) & (n < 1), n * 100).otherwise(n)).cast("decimal(7,2)"))
 
 
 def format_rate(rate: Column) -> Column:
-    short = F.regexp_replace(F.regexp_replace(rate.cast("string"), "(\\.\\d*?)0+$", "$1"), "\\.$", "")
-    return F.when(F.coalesce(rate, F.lit(0)) <= 0, "0").otherwise(F.concat(short, F.lit("%")))
+    short = lambda r: F.regexp_replace(F.regexp_replace(r.cast("string"), "(\\.\\d*?)0+$", "$1"), "\\.$", "")
+    return let(rate, lambda r: F.when(F.coalesce(r, F.lit(0)) <= 0, "0").otherwise(F.concat(short(r), F.lit("%"))))
 
 
 def compute_wht(paid: Column, vat_rate: Column, rate: Column, enabled: bool = True, on_net: bool = True) -> Column:
@@ -127,8 +137,6 @@ def compute_wht(paid: Column, vat_rate: Column, rate: Column, enabled: bool = Tr
 
 def derive_amounts(subtotal: Column, vat: Column, total: Column, wht: Column | None = None) -> Column:
     """struct(subtotal, vat, total): a total equal to the withheld amount is none; then what the others give; else VAT is 7 %."""
-    from .candidates import let
-
     none = F.lit(None).cast(MONEY)
     given = F.struct(subtotal.cast(MONEY).alias("s"), vat.cast(MONEY).alias("v"), total.cast(MONEY).alias("t"), (wht if wht is not None else none).cast(MONEY).alias("w"))
     given = let(given, lambda g: F.struct(g["s"].alias("s"), g["v"].alias("v"), F.coalesce(F.when(g["t"].eqNullSafe(g["w"]), none).otherwise(g["t"]), g["s"] + g["v"]).cast(MONEY).alias("t")))
@@ -143,6 +151,8 @@ def clamp_confidence(c: Column | str) -> Column:
 
 def tax13(c: Column | str, mode: str = "exact", alias: dict[str, str] | None = None) -> Column:
     """13 digits: exact (nothing else), first (the first 13 of all digits) or embedded (a run of 13); aliases stand for their id."""
+    if mode != "embedded" and not alias:
+        return let(digits_only(c), lambda d: F.when(F.length(d) == 13 if mode == "exact" else F.length(d) >= 13, F.substring(d, 1, 13)).otherwise(""))
     d = digits_only(c)
     found = {"exact": F.when(F.length(d) == 13, d), "first": F.when(F.length(d) >= 13, F.substring(d, 1, 13)), "embedded": group(arabic_digits(c), "(?<!\\d)(\\d{13})(?!\\d)")}[mode]
     found = F.coalesce(found, F.lit(""))
@@ -153,15 +163,13 @@ def tax13(c: Column | str, mode: str = "exact", alias: dict[str, str] | None = N
 
 def branch5(c: Column | str, mode: str = "pad") -> Column:
     """pad: digits padded to five, blank is the head office; strict: the last five, a short one that is not zero is ''."""
-    d = digits_only(c)
     if mode == "pad":
-        return F.when(d == "", "00000").otherwise(F.lpad(F.substring(d, 1, 5), 5, "0"))
-    return F.when(d == "", "").when(F.length(d) >= 5, F.right(d, F.lit(5))).when(d.rlike("^0+$"), "00000").otherwise("")
+        return let(digits_only(c), lambda d: F.when(d == "", "00000").otherwise(F.lpad(F.substring(d, 1, 5), 5, "0")))
+    return let(digits_only(c), lambda d: F.when(d == "", "").when(F.length(d) >= 5, F.right(d, F.lit(5))).when(d.rlike("^0+$"), "00000").otherwise(""))
 
 
 def vat_code(c: Column | str) -> Column:
-    x = F.upper(squash_ws(c))
-    return F.when(x.isin("NO", "NONE", "0", "0%", "EXEMPT", "NOVAT"), "NO").when(x.contains("7"), "7%").otherwise("")
+    return let(F.upper(squash_ws(c)), lambda x: F.when(x.isin("NO", "NONE", "0", "0%", "EXEMPT", "NOVAT"), "NO").when(x.contains("7"), "7%").otherwise(""))
 
 
 def price_type(c: Column | str) -> Column:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.candidates import let, once
 from ..functions.text import filled, squash_ws, text
 from ..functions.values import branch5, digits_only, parse_bool, vat_code
 from ..schema import DEFAULTS, GROUPS, LEDGER, VENDOR_LABELS
@@ -22,7 +23,8 @@ def lock_schema(df: DataFrame) -> DataFrame:
 
 def base_row(df: DataFrame) -> DataFrame:
     """Default values where a column is missing or blank."""
-    return df.withColumns({c: F.coalesce(filled(c), F.lit(DEFAULTS.get(c, ""))) if c in df.columns else F.lit(DEFAULTS.get(c, "")) for c in LEDGER})
+    have = tuple(c for c in LEDGER if c in df.columns)
+    return df.withColumns(once(("base", have), lambda: {c: F.coalesce(filled(c), F.lit(DEFAULTS.get(c, ""))) if c in have else F.lit(DEFAULTS.get(c, "")) for c in LEDGER}))
 
 
 def merge_patch(base: DataFrame, patch: DataFrame, key: str = "doc_id", fill_missing: bool = True, blocked: tuple[str, ...] = ("T_note", "U_group", "K_account", "P_wht")) -> DataFrame:
@@ -44,14 +46,18 @@ def platform_dim(spark) -> DataFrame:
 def platform_defaults(df: DataFrame, platform: str = "_platform") -> DataFrame:
     """Group, description, VAT and price type where blank; marketplaces force their group (but for TikTok's advertising); an account
     equal to the group is cleared. The eight platforms' values are a literal map: a join here would make the optimizer slow."""
-    p = F.col(platform)
+    df = df.withColumns(once(("defaults", platform), lambda: default_columns(F.col(platform))))
+    return df.withColumn("K_account", F.when(text("K_account") == F.col("U_group"), "").otherwise(text("K_account")))
+
+
+def default_columns(p: Column) -> dict[str, Column]:
     grp, known, ads = F.create_map(*(F.lit(v) for kv in GROUPS.items() for v in kv))[p], p.isin(*GROUPS), p.isin("META", "GOOGLE")
     market = (grp == "Marketplace Expense") & ~((p == "TIKTOK") & (text("U_group") == "Advertising Expense"))
     vat, price = F.when(ads, "NO").when(known, "7%"), F.when(ads, "3").when(known, "1")
-    return df.withColumns({
+    return {
         "U_group": F.when(market, grp).otherwise(F.coalesce(filled("U_group"), grp, F.lit(""))), "L_description": F.coalesce(filled("L_description"), grp, F.lit("")),
         "O_vat_rate": F.coalesce(filled("O_vat_rate"), vat, F.lit("")), "J_price_type": F.coalesce(filled("J_price_type"), price, F.lit("")),
-    }).withColumn("K_account", F.when(text("K_account") == F.col("U_group"), "").otherwise(text("K_account")))
+    }
 
 
 def clamp_choice(c: Column | str, allowed: tuple[str, ...], fallback: str) -> Column:
@@ -60,12 +66,21 @@ def clamp_choice(c: Column | str, allowed: tuple[str, ...], fallback: str) -> Co
 
 def normalize_row(df: DataFrame) -> DataFrame:
     """Dates to 8 digits, tax id to 13, branch to 5, VAT code, references without blanks, amounts and quantity with defaults."""
-    dates = {c: F.substring(digits_only(c), 1, 8) for c in ("B_doc_date", "H_invoice_date", "I_tax_purchase_date")}
-    refs = {c: squash_ws(c) for c in ("C_reference", "G_invoice_no")}
-    zero = {c: F.coalesce(filled(c), F.lit("0")) for c in ("N_unit_price", "R_paid_amount", "P_wht")}
-    rest = {"E_tax_id_13": F.substring(digits_only("E_tax_id_13"), 1, 13), "F_branch_5": branch5("F_branch_5"), "O_vat_rate": F.coalesce(F.nullif(vat_code(F.coalesce(filled("O_vat_rate"), F.lit("7%"))), F.lit("")), F.trim(text("O_vat_rate"))), "M_qty": F.coalesce(filled("M_qty"), F.lit("1")), "J_price_type": F.coalesce(filled("J_price_type"), F.lit("1"))}
-    done = dates | refs | zero | rest
-    return df.withColumns(done | {c: F.trim(text(c)) for c in LEDGER if c in df.columns and c not in done})
+    have = tuple(c for c in LEDGER if c in df.columns)
+
+    def columns() -> dict[str, Column]:
+        dates = {c: F.substring(digits_only(c), 1, 8) for c in ("B_doc_date", "H_invoice_date", "I_tax_purchase_date")}
+        refs = {c: squash_ws(c) for c in ("C_reference", "G_invoice_no")}
+        zero = {c: F.coalesce(filled(c), F.lit("0")) for c in ("N_unit_price", "R_paid_amount", "P_wht")}
+        vat = F.coalesce(filled("O_vat_rate"), F.lit("7%"))
+        rest = {
+            "E_tax_id_13": F.substring(digits_only("E_tax_id_13"), 1, 13), "F_branch_5": branch5("F_branch_5"), "O_vat_rate": F.coalesce(F.nullif(vat_code(vat), F.lit("")), F.trim(text("O_vat_rate"))),
+            "M_qty": F.coalesce(filled("M_qty"), F.lit("1")), "J_price_type": F.coalesce(filled("J_price_type"), F.lit("1")),
+        }
+        done = dates | refs | zero | rest
+        return done | {c: F.trim(text(c)) for c in have if c not in done}
+
+    return df.withColumns(once(("normalize", have), columns))
 
 
 def prefilter_files(df: DataFrame, clients: dict[str, tuple[str, ...]], wanted_clients: tuple[str, ...], wanted_platforms: tuple[str, ...], strict: bool, filename: str = "filename") -> DataFrame:
@@ -110,9 +125,11 @@ def lock_references(df: DataFrame, filename: str = "_source_file") -> DataFrame:
     """C and G are the same core: of the file name, else of C, else of G."""
     from ..functions.text import reference_core
 
-    named = F.when(reference_core(filename).rlike("(?i)^(TRS|RCS|TTSTH|THMPTI|LAZ|LZD|INV)"), reference_core(filename))
-    core = F.coalesce(named, F.nullif(reference_core("C_reference"), F.lit("")), reference_core("G_invoice_no"))
-    return df.withColumns({"C_reference": core, "G_invoice_no": core})
+    def core() -> Column:
+        own = lambda v: F.when(v.rlike("(?i)^(TRS|RCS|TTSTH|THMPTI|LAZ|LZD|INV)"), v)
+        return F.coalesce(let(reference_core(filename), own), F.nullif(reference_core("C_reference"), F.lit("")), reference_core("G_invoice_no"))
+
+    return df.withColumn("__core", once(("core", filename), core)).withColumns({"C_reference": F.col("__core"), "G_invoice_no": F.col("__core")}).drop("__core")
 
 
 __all__ = ["base_row", "clamp_choice", "filter_mismatch", "lock_references", "lock_schema", "merge_patch", "needs_enrichment", "normalize_list", "normalize_row", "parse_bool", "platform_defaults", "platform_dim", "prefilter_files", "search"]

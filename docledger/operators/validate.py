@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.candidates import let, once
 from ..functions.text import filled, text
 from ..functions.values import branch5, format_rate, money_text, parse_date, parse_money, parse_wht_rate, tax13
 from ..schema import DATES, LEDGER
@@ -17,13 +18,17 @@ def messages(*checks: tuple[Column, str]) -> Column:
 
 def validate(df: DataFrame) -> DataFrame:
     """_errors: dates, branch, tax id, price type and VAT; blanks are allowed."""
+    return df.withColumn("_errors", once(("errors",), errors))
+
+
+def errors() -> Column:
     bad_date = lambda c: (text(c) != "") & (~text(c).rlike("^\\d{8}$") | parse_date(c).isNull())
     checks = [(bad_date(c), f"{c}:invalid_date") for c in DATES]
     checks += [
         ((text("F_branch_5") != "") & ~text("F_branch_5").rlike("^\\d{5}$"), "F_branch_5:invalid_branch"), ((text("E_tax_id_13") != "") & ~text("E_tax_id_13").rlike("^\\d{13}$"), "E_tax_id_13:invalid_tax_id"),
         (~text("J_price_type").isin("", "1", "2", "3"), "J_price_type:invalid_price_type"), (~text("O_vat_rate").isin("", "7%", "NO"), "O_vat_rate:invalid_vat_rate"),
     ]
-    return df.withColumn("_errors", messages(*checks))
+    return messages(*checks)
 
 
 def warnings(df: DataFrame, platform: str = "_platform") -> DataFrame:
@@ -56,13 +61,18 @@ def validate_export(df: DataFrame, most: int | None = None) -> DataFrame:
 
 def format_row(df: DataFrame) -> DataFrame:
     """Final canonical form: money with two decimals or 0, the withholding as a rate, invalid dates and ids blanked, C and G alike, branch."""
+    return df.withColumns(once(("format",), format_columns))
+
+
+def format_columns() -> dict[str, Column]:
     wht = format_rate(parse_wht_rate("P_wht"))
     ref = F.coalesce(filled("C_reference"), filled("G_invoice_no"), F.lit(""))
     dates = {c: F.coalesce(F.date_format(parse_date(c), "yyyyMMdd"), F.lit("")) for c in DATES}
-    return df.withColumns(dates | {
-        "N_unit_price": money_text(parse_money("N_unit_price"), "0"), "R_paid_amount": money_text(parse_money("R_paid_amount"), "0"), "P_wht": wht, "S_pnd": F.when(wht != "0", F.coalesce(filled("S_pnd"), F.lit("53"))).otherwise(text("S_pnd")),
+    return dates | {
+        "N_unit_price": money_text(parse_money("N_unit_price"), "0"), "R_paid_amount": money_text(parse_money("R_paid_amount"), "0"),
+        "P_wht": wht, "S_pnd": let(wht, lambda w: F.when(w != "0", F.coalesce(filled("S_pnd"), F.lit("53"))).otherwise(text("S_pnd"))),
         "E_tax_id_13": tax13("E_tax_id_13"), "F_branch_5": branch5("F_branch_5"), "C_reference": ref, "G_invoice_no": ref,
-    })
+    }
 
 
 def quarantine(df: DataFrame, broken: Column, reason: str) -> DataFrame:
