@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import norm_name, text
 from ..functions.values import code_format, digits_only
+from ..sources.shared import staged
 
 BROADCAST_ROWS = 100_000
 
@@ -37,11 +38,57 @@ def vendor_code(df: DataFrame, vendors: DataFrame, client: str = "_client_tax_id
 FEW_KEYS = 256
 
 
+def rarest_grams(keys: DataFrame, width: int = 3) -> DataFrame:
+    """A postings index of keys (__key, ...): each key under its rarest gram of ``width`` characters (the whole key, if it is shorter), as
+    __gram and the gram's place in the key from 0, __off."""
+    size = F.least(F.length("__key"), F.lit(width))
+    places = F.transform(F.sequence(F.lit(1), F.length("__key") - size + 1), lambda i: F.struct(F.substring(F.col("__key"), i, size).alias("gram"), (i - 1).alias("off")))
+    each = keys.withColumn("__place", F.explode(places)).select("*", F.col("__place.gram").alias("__gram"), F.col("__place.off").alias("__off")).drop("__place")
+    held = each.groupBy("__gram").agg(F.count_distinct("__key").alias("__n"))
+    met = each.hint("merge").join(held.hint("merge"), "__gram")
+    columns = [c for c in keys.columns if c != "__key"]
+    best = F.min_by(F.struct("__gram", "__off"), F.struct("__n", "__gram", "__off")).alias("__at")
+    return met.groupBy("__key", *columns).agg(best).select("__key", *columns, F.col("__at.__gram").alias("__gram"), F.col("__at.__off").alias("__off"))
+
+
+def chunks(numbered: DataFrame, longest: int) -> DataFrame:
+    """(__row, __text, __lead, __own): the texts of __hay in pieces of some hundred characters, each with ``longest`` characters of what stands
+    before and after; how many stand before, and how many are the piece's own. A place deep in a long text is dear to reach, so places are
+    looked at in pieces."""
+    own = max(512, longest + 3)
+    cut = numbered.select("__row", F.regexp_extract_all("__hay", F.lit(f"(?s).{{1,{own}}}"), F.lit(0)).alias("__p"))
+    near = lambda i, take: F.coalesce(F.when((i >= 0) & (i < F.size("__p")), take(F.get("__p", i))), F.lit(""))
+
+    def piece(part: Column, i: Column) -> Column:
+        lead, tail = near(i - 1, lambda v: F.right(v, F.lit(longest))), near(i + 1, lambda v: F.left(v, F.lit(longest)))
+        return F.struct(F.concat(lead, part, tail).alias("__text"), F.length(lead).alias("__lead"), F.length(part).alias("__own"))
+
+    return cut.select("__row", F.explode(F.transform("__p", piece)).alias("__c")).select("__row", "__c.*")
+
+
+def gram_places(sizes: list[int], longest: int) -> Column:
+    """array<struct<gram, around, at>>: every gram of the given sizes that begins in a chunk's own part, with the text round it in which a
+    key of ``longest`` characters fits on either side, and the gram's place in that from 1."""
+    hay, lead = F.col("__text"), F.col("__lead")
+
+    def of(n: int) -> Column:
+        def one(i: Column) -> Column:
+            start = F.greatest(i - longest, F.lit(1))
+            return F.struct(F.substring(hay, i, F.lit(n)).alias("gram"), F.substring(hay, start, i - start + longest + n).alias("around"), (i - start + 1).alias("at"))
+
+        last = F.least(lead + F.col("__own"), F.length(hay) - (n - 1))
+        return F.when(last > lead, F.transform(F.sequence(lead + 1, last), one))
+
+    none = F.array().cast("array<struct<gram:string,around:string,at:int>>")
+    return F.concat(*(F.coalesce(of(n), none) for n in sizes))
+
+
 def contains_longest_first(df: DataFrame, haystack: Column, dim: DataFrame, key: str, value: str, out: str) -> DataFrame:
     """The value whose key is inside the text, longest key first, then table order (column ord).
 
-    Up to 256 keys go along as one array. More are found by their first three characters (all, if a key is shorter): the distinct
-    texts give their grams of these lengths, which are joined with the keys' and verified, so no text meets all keys."""
+    Up to 256 keys go along as one array. More are indexed by their rarest three characters. The rows get numbers and are written once;
+    each text gives its grams with the few characters round them, which meet the index and are compared there, so what is shuffled is
+    a number and a key for each true meeting. A text is neither a join key nor copied for its grams."""
     keys = dim.where(F.length(key) > 0).select(F.lower(key).alias("__key"), F.col(value).alias("__value"), "ord")
     few = keys.orderBy(F.length("__key").desc(), "ord").limit(FEW_KEYS + 1).collect()
     if not few:
@@ -50,15 +97,15 @@ def contains_longest_first(df: DataFrame, haystack: Column, dim: DataFrame, key:
         listed = F.array(*(F.struct(F.lit(r[0]).alias("k"), F.lit(r[1]).alias("v")) for r in few))
         named = df.withColumn("__hay", norm_name(haystack))
         return named.withColumn(out, F.get(F.filter(listed, lambda r: F.instr(F.col("__hay"), r["k"]) > 0), 0)["v"]).drop("__hay")
-    keyed = df.withColumn("__hay", norm_name(haystack))
-
-    def grams_of(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.length("__hay") - (n - 1), F.lit(1))), lambda i: F.substring(F.col("__hay"), i, F.lit(n)))
-
-    grams = F.concat(*map(grams_of, (1, 2, 3)))
-    met = keyed.select("__hay").distinct().select("__hay", F.explode(F.array_distinct(grams)).alias("__gram")).hint("merge").join(keys.withColumn("__gram", F.substring("__key", 1, 3)).hint("merge"), "__gram").where(F.instr(F.col("__hay"), F.col("__key")) > 0)
-    best = met.groupBy("__hay").agg(F.min_by("__value", F.struct(-F.length("__key"), "ord")).alias(out))
-    return keyed.drop(out).join(best.hint("merge"), "__hay", "left").drop("__hay")
+    numbered = staged(df.drop(out).withColumns({"__hay": norm_name(haystack), "__row": F.monotonically_increasing_id()}))
+    index = staged(rarest_grams(keys))
+    sizes = sorted(r[0] for r in index.select(F.length("__gram")).distinct().collect())  # 1, 2 and 3 at most
+    longest = len(few[0][0])
+    grams = chunks(numbered, longest).select("__row", F.explode(gram_places(sizes, longest)).alias("__m")).select("__row", "__m.*")
+    begin = F.col("at") - F.col("__off")
+    met = grams.join(small(index), F.col("gram") == F.col("__gram")).where((begin > 0) & (F.substring(F.col("around"), begin, F.length("__key")) == F.col("__key")))
+    best = met.groupBy("__row").agg(F.min_by("__value", F.struct(-F.length("__key"), "ord")).alias(out))
+    return numbered.hint("merge").join(best.hint("merge"), "__row", "left").drop("__hay", "__row")
 
 
 def vendor_tax_from_name(df: DataFrame, names: DataFrame, vendor: str = "D_vendor_code", tax: str = "E_tax_id_13") -> DataFrame:

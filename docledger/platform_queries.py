@@ -14,7 +14,7 @@ from .operators.ledger import clamp_choice
 from .plans.extract import JobConfig, extract, extract_platform
 from .plans.jobs import run_job
 from .queries import INV, RAW, ROWS, query
-from .schema import LEDGER
+from .schema import LABELS, LEDGER, TEMPLATE
 from .sources.documents import load_dims, read_documents
 from .sources.shared import work_folder
 
@@ -187,7 +187,7 @@ def snk_csv(spark, d):
     to = work_folder(spark)
     write_ledger_csv(fx.load(spark, d, fx.LEDGER), to)
     back = spark.read.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).csv(to)
-    return back.select(*(F.coalesce(F.col(f"`{label}`"), F.lit("")).alias(c) for c, label in zip(LEDGER, back.columns, strict=True)))
+    return back.select(*(F.coalesce(F.col(f"`{label}`"), F.lit("")).alias(c) for c, label in zip(LEDGER, TEMPLATE, strict=True)))
 
 
 @query(f"SELECT 'ref ' || CAST(doc_id AS VARCHAR) AS reference, CASE WHEN doc_id % 2 = 0 THEN '''=1+' || CAST(doc_id AS VARCHAR) ELSE 'a \"q\", b' END AS description, CASE WHEN doc_id % 3 = 0 THEN 'OK' ELSE 'NEEDS_REVIEW' END AS status, _source_file AS file FROM {ROWS}")
@@ -197,7 +197,7 @@ def snk_review(spark, d):
 
     to = work_folder(spark)
     described = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("=1+"), F.col("doc_id").cast("string"))).otherwise('a "q", b')
-    write_review_csv(fx.load(spark, d, fx.LEDGER).withColumns({"L_description": described, "_status": F.when(F.col("doc_id") % 3 == 0, "OK").otherwise("NEEDS_REVIEW")}), to)
+    write_review_csv(fx.load(spark, d, fx.LEDGER).withColumns({"L_description": described, "_status": F.when(F.col("doc_id") % 3 == 0, "OK").otherwise("NEEDS_REVIEW")}), to, LABELS)
     back = spark.read.option("header", True).option("escape", '"').option("lineSep", "\r\n").csv(to)
     return back.select(F.col("Reference").alias("reference"), F.col("Description").alias("description"), F.col("Status").alias("status"), F.col("Source file").alias("file"))
 
@@ -213,6 +213,24 @@ def snk_append(spark, d):
     return spark.read.parquet(to).groupBy("job_id").agg(F.count("*").alias("rows"), F.count_distinct("doc_id").alias("documents"))
 
 
+@query(f"SELECT job_id, count(*) FILTER (doc_id % 2 = 0) AS seen_before, count(*) AS rows, count(DISTINCT doc_id) AS documents, sum(doc_id) AS total FROM {ROWS} GROUP BY job_id")
+def snk_batches(spark, d):
+    """Two batches: the first is sent twice, the second breaks off after half of its rows, is read meanwhile, and is sent again."""
+    from .sources.batches import BatchTable
+
+    rows = fx.load(spark, d, fx.LEDGER).select("job_id", "doc_id")
+    table = BatchTable(spark, work_folder(spark), "job_id string, doc_id long")
+    even, odd = rows.where("doc_id % 2 = 0"), rows.where("doc_id % 2 = 1")
+    table.commit(even, "even")
+    odd.where("doc_id % 4 = 1").write.parquet(table.folder("odd"))  # no manifest: the writer was lost here
+    before = table.read().groupBy("job_id").agg(F.count("*").alias("seen_before"))
+    before.write.parquet(f"{table.path}/before")
+    table.commit(odd, "odd")
+    table.commit(even, "even")
+    after = table.read().groupBy("job_id").agg(F.count("*").alias("rows"), F.count_distinct("doc_id").alias("documents"), F.sum("doc_id").alias("total"))
+    return after.join(spark.read.parquet(f"{table.path}/before"), "job_id", "left").select("job_id", F.coalesce("seen_before", F.lit(0)).alias("seen_before"), "rows", "documents", "total")
+
+
 def landed(spark, d) -> tuple[str, str]:
     """The documents in two files, as they arrive one after the other, and the schema of both."""
     to, docs = work_folder(spark), fx.load(spark, d, fx.RECEIPTS).select("job_id", "doc_id", "file_index", "filename", "text")

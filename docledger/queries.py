@@ -547,7 +547,7 @@ def job_export(spark, d):
     return prepare_export(rows).select(F.col("_file_index").alias("file_index"), F.col("_job_id").alias("job_id"), "A_seq", "R_paid_amount", "M_qty", "U_group")
 
 
-@query(f"SELECT doc_id, _platform AS platform, CASE WHEN length(text) <= 22000 THEN length(text) ELSE 22005 END AS chars FROM (SELECT r.*, d.text FROM {ROWS} r JOIN documents d USING (doc_id)) WHERE NOT (doc_id % 7 = 0 AND regexp_matches(F_branch_5, '^[0-9]{{5}}$')) OR L_description = '' OR R_paid_amount = ''")
+@query(f"SELECT doc_id, _platform AS platform, CASE WHEN length(text) <= 22000 THEN length(text) ELSE 22005 END AS chars FROM (SELECT r.*, coalesce(d.text, '') AS text FROM {ROWS} r LEFT JOIN documents d USING (doc_id)) WHERE NOT (doc_id % 7 = 0 AND regexp_matches(F_branch_5, '^[0-9]{{5}}$')) OR L_description = '' OR R_paid_amount = ''")
 def job_requests(spark, d):
     rows = E.validate(L.base_row(fx.load(spark, d, fx.LEDGER)).withColumns({c: F.lit("") for c in ("H_invoice_date", "I_tax_purchase_date")}))
     docs = spark.read.parquet(f"{d}/documents.parquet")

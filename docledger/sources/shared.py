@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,7 +15,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if given.isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", "")
         if not folder:
-            if not spark.sparkContext.master.startswith("local"):
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="docledger-")
         spark.sparkContext.setCheckpointDir(folder)

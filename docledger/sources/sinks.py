@@ -7,26 +7,27 @@ from pyspark.sql import functions as F
 
 from ..functions.text import escape_formula, text
 from ..functions.values import MONEY, normalize_qty, parse_date, parse_money
-from ..schema import LABELS, LEDGER
+from ..schema import LEDGER, TEMPLATE
 
 BOM, CELL = "﻿", 32_767
 AS_IS = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
-def csv_rows(df: DataFrame, review: bool = False) -> DataFrame:
-    """Columns under their labels, cells escaped and cut at the spreadsheet's limit; the first label carries the byte order mark."""
+def csv_rows(df: DataFrame, review: bool = False, headings: tuple[str, ...] = TEMPLATE) -> DataFrame:
+    """Columns under the headings (the import template's, if none are given), cells escaped and cut at the spreadsheet's limit; the first
+    heading carries the byte order mark."""
     columns = [*LEDGER, *(("_status", "_source_file") if review else ())]
-    labels = [*LABELS, *(("Status", "Source file") if review else ())]
+    labels = [*headings, *(("Status", "Source file") if review else ())]
     cells = [F.substring(escape_formula(c) if c in df.columns else F.lit(""), 1, CELL).alias((BOM if i == 0 else "") + label) for i, (c, label) in enumerate(zip(columns, labels, strict=True))]
     return df.select(*cells)
 
 
-def write_ledger_csv(df: DataFrame, path: str) -> None:
-    csv_rows(df).write.mode("overwrite").option("header", True).option("emptyValue", "").option("quoteAll", False).option("escape", '"').options(**AS_IS).csv(path)
+def write_ledger_csv(df: DataFrame, path: str, headings: tuple[str, ...] = TEMPLATE) -> None:
+    csv_rows(df, headings=headings).write.mode("overwrite").option("header", True).option("emptyValue", "").option("quoteAll", False).option("escape", '"').options(**AS_IS).csv(path)
 
 
-def write_review_csv(df: DataFrame, path: str) -> None:
-    csv_rows(df, True).write.mode("overwrite").option("header", True).option("emptyValue", "").option("lineSep", "\r\n").option("escape", '"').options(**AS_IS).csv(path)
+def write_review_csv(df: DataFrame, path: str, headings: tuple[str, ...] = TEMPLATE) -> None:
+    csv_rows(df, True, headings).write.mode("overwrite").option("header", True).option("emptyValue", "").option("lineSep", "\r\n").option("escape", '"').options(**AS_IS).csv(path)
 
 
 def typed_export(df: DataFrame) -> DataFrame:
