@@ -12,7 +12,8 @@ of its own: links are counted inside the tasks (a pair only in the first bucket
 tell), and a task returns one row per vector, a count and one forest link, never the pairs.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and rows with null label or vec_id, link with
-nothing and are their own component; vectors of different length do not link; repeated rows are copies of each other and share the
+nothing and are their own component; vectors of different length do not link; rows of one vec_id with several
+vectors are vectors of their own, a component being named by the smallest vec_id in it; repeated rows are copies of each other and share the
 component id; ties do not occur. Columns other than vec_id, embedding and label are not read, so they may clash. An empty table gives
 no rows.
 """
@@ -129,6 +130,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tables: int = 5
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull() & ~F.exists("embedding", bad) & F.exists("embedding", lambda x: x != 0)
     classes = durable(base.where(usable).groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m")))
+    # a vec_id with several vectors stands for several classes, which then need numbers of their own
+    repeated = not classes.groupBy("rep").count().where("count > 1").isEmpty()
+    if repeated:
+        classes = durable(classes.withColumn("least", F.col("rep")).withColumn("rep", F.monotonically_increasing_id()))
     label = classes.schema["label"].dataType.simpleString()
     hashes = durable(classes.mapInPandas(hashed(tables, probes), f"rep long, label {label}, m long, unit binary, codes binary, buckets array<long>"))
 
@@ -145,6 +150,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tables: int = 5
     counts = links.groupBy("a").agg(F.sum("n").alias("links")).withColumnRenamed("a", "rep")
     roots = components(links.select("a", "b")).withColumnRenamed("node", "rep")
     found = classes.hint("merge").join(counts, "rep", "left").join(roots.hint("merge"), "rep", "left")
+    if repeated:
+        found = durable(found.withColumn("root", F.coalesce("root", "rep")))
+        found = join_counted(found.drop("n"), durable(found.groupBy("root").agg(F.min("least").alias("low"), F.count("*").alias("__rows"))), "root").withColumn("root", F.col("low"))
     same = F.struct("label", "embedding").alias("__same")
     facts = durable(found.select(same, (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"), F.col("m").alias("__rows")))
     told = F.coalesce(usable, F.lit(False))

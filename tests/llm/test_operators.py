@@ -299,3 +299,14 @@ def test_pieces_give_the_tokenizer_s_ids():
     enc = tokens.PieceEncoder(BPE)
     texts = ["", "a  b", " x", " \nfoo", "x\n\n y", "don't  go", "it's a b", "a <|endoftext|> b", "é 日本\t z ", "\n", "tab\t x", *[t for t in TEXTS if t]]
     assert enc.encode(texts) == enc.whole(texts)
+
+
+def test_op1_vec_ids_with_several_vectors(spark):
+    from docledger.llm.embedding_dedup import near_duplicates
+
+    a, b = [1.0] + [0.0] * 15, [0.0, 1.0] + [0.0] * 14
+    near = lambda v: [x + 0.01 for x in v]
+    rows = [(1, a), (1, b), (2, a), (5, b), (3, near(a)), (4, near(b)), (4, near(b)), (9, [0.0] * 15 + [1.0])]
+    frame = spark.createDataFrame([(i, [float(x) for x in v], 0) for i, v in rows], "vec_id long, embedding array<float>, label int")
+    got = [(r["vec_id"], r["n_links"], r["component_id"]) for r in near_duplicates(frame).collect()]
+    assert sorted(got) == sorted([(1, 2, 1), (2, 2, 1), (3, 2, 1), (1, 3, 1), (5, 3, 1), (4, 3, 1), (4, 3, 1), (9, 0, 9)])
