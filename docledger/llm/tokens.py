@@ -72,30 +72,29 @@ class PieceEncoder:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def encode(self, texts) -> list[bytes]:
+        out: list[bytes | None] = []
+        split: list[list[str] | None] = []
+        new: dict[str, None] = {}
         if len(self.cache) > CACHE_ROWS:
             self.cache = {}
-        get, out, gaps, new = self.cache.get, [], [], {}
         for text in texts:
             text = text or ""
             if "  " in text or "<|" in text or not text:
-                out.append(self.whole([text]) if text else [])
+                split.append(None)
+                out.append(self.whole([text])[0] if text else b"")
                 continue
-            words = text.split(" ")  # each but the first stands for itself with its space
-            found = list(map(get, words))
-            found[0] = self.fresh([words[0]])[0] if words[0] else b""
-            if None in found:
-                gap = [(i, words[i]) for i, x in enumerate(found) if x is None]
-                gaps.append((found, gap))
-                new.update((w, None) for _, w in gap)
-            out.append(found)
-        if new:
-            fresh = list(new)
-            new = dict(zip(fresh, self.fresh([" " + w for w in fresh]), strict=True))
-            self.cache.update((w, v) for w, v in new.items() if len(w) < CACHE_PIECE)
-        for found, gap in gaps:
-            for i, w in gap:
-                found[i] = new[w]
-        return [b"".join(found) for found in out]
+            first, *rest = text.split(" ")
+            pieces = [first, *[" " + p for p in rest]] if first else [" " + p for p in rest]
+            split.append(pieces)
+            out.append(None)
+            for p in pieces:
+                if p not in self.cache:
+                    new[p] = None
+        fresh = list(new)
+        found = dict(zip(fresh, self.fresh(fresh), strict=True)) if fresh else {}
+        self.cache.update((p, v) for p, v in found.items() if len(p) <= CACHE_PIECE)
+        get = self.cache.get
+        return [o if p is None else b"".join([get(x) or found[x] for x in p]) for o, p in zip(out, split, strict=True)]
 
 
 _encoders: dict[tuple[str, bool], PieceEncoder] = {}
