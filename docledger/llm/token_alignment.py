@@ -34,7 +34,7 @@ from .tokens import encoder, in_parts, printable_bytes
 
 #: Bounds of a worker's memory: windows, ids in all of them, words with the ids of both sides, and characters of such a word.
 MEMO_ROWS, MEMO_IDS = 400_000, 6_000_000
-WORD_ROWS, WORD_CHARS = 400_000, 48
+WORD_ROWS, WORD_CHARS = 300_000, 48
 BLOCK = "block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, groups string, held binary, pairs binary, documents binary"
 
 
@@ -326,7 +326,7 @@ def blocks(docs: DataFrame, path_a: str, path_b: str, block_chars: int, with_gro
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, BLOCK)
 
 
-def align(docs: DataFrame, path_a: str, path_b: str, block_chars: int = 1 << 23, with_groups: bool = False) -> DataFrame:
+def align(docs: DataFrame, path_a: str, path_b: str, block_chars: int = 1 << 22, with_groups: bool = False) -> DataFrame:
     """Every document's alignment: doc_id, n_a, n_b, n_groups, n_links, n_best (links whose pair is held by as many documents as any of its id of
     side A), count_sum (those numbers over all links), groups_sha256[, groups as ``a1,a2|b1;a3|b2,b3``].
 
