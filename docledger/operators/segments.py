@@ -6,6 +6,8 @@ One shuffle by document serves the windows and the grouping.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from ..functions.classify import WORD_RULES, doc_kind, keyword_hits, platform_hi
 from ..functions.fields import segment_ids, seller_info
 from ..functions.text import text
 from ..functions.values import tax13
+from .lookups import small
 
 HEADER_JACCARD, TITLE_JACCARD, TITLE_CHARS, MAX_SEGMENTS = 0.25, 0.60, 400, 60
 TITLE = "(?i)tax\\s*invoice|receipt|invoice|statement|ใบกำกับภาษี|ใบเสร็จ"
@@ -108,5 +111,8 @@ def segment_summary(segments: DataFrame) -> DataFrame:
 
 
 def first_filled_in_order(df: DataFrame, column: str, keys: list[str], order: str) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return df.withColumn(f"first_{column}", F.first(F.nullif(text(column), F.lit("")), ignorenulls=True).over(w))
+    """The first filled value of each group in its order, beside every row: a minimum that each task takes of its own rows first, joined back
+    by a broadcast where the groups are few. So a group may hold any share of the rows. Null keys are a group."""
+    first = df.groupBy(*(F.col(k).alias(f"__{k}") for k in keys)).agg(F.min_by(column, F.when(text(column) != "", F.col(order))).alias(f"first_{column}"))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys))
+    return df.join(small(first), same, "left").drop(*(f"__{k}" for k in keys))
