@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .text import text
 
 
-BUILT: dict[tuple, object] = {}
+BUILT: dict[tuple, tuple] = {}
 #: Characters of the private use area.
 CUT, MID = "\ue000", "\ue001"
 
@@ -17,12 +17,13 @@ CUT, MID = "\ue000", "\ue001"
 def once(key: tuple, build):
     """What ``build`` gives, built once for a JVM and key: Columns by name do not depend on the rows, and putting some thousands of their
     nodes together is the driver's work of seconds. The key must tell everything that the Columns depend on."""
-    key = (id(SparkContext._active_spark_context._jvm), *key)
+    jvm = SparkContext._active_spark_context._jvm
+    key = (id(jvm), *key)
     if key not in BUILT:
         if len(BUILT) >= 256:  # keys hold job configurations, of which there may be many
             BUILT.clear()
-        BUILT[key] = build()
-    return BUILT[key]
+        BUILT[key] = (jvm, build())  # the JVM is held, so that its id stays its own
+    return BUILT[key][1]
 
 
 def let(value: Column, body) -> Column:
