@@ -83,6 +83,18 @@ def gram_places(sizes: list[int], longest: int) -> Column:
     return F.concat(*(F.coalesce(of(n), none) for n in sizes))
 
 
+def key_hits(numbered: DataFrame, keys: DataFrame) -> DataFrame:
+    """(__row and the columns of keys): the keys (__key, ...) inside each row's text __hay, once for every place where one stands."""
+    index = staged(rarest_grams(keys))
+    sizes, longest = index.agg(F.sort_array(F.collect_set(F.length("__gram"))), F.max(F.length("__key"))).first()  # 1, 2 and 3 at most
+    if not sizes:
+        return keys.where("false").select(F.lit(0).cast("long").alias("__row"), *keys.columns)
+    grams = chunks(numbered, longest).select("__row", F.explode(gram_places(sizes, longest)).alias("__m")).select("__row", "__m.*")
+    begin = F.col("at") - F.col("__off")
+    met = grams.join(small(index), F.col("gram") == F.col("__gram")).where((begin > 0) & (F.substring(F.col("around"), begin, F.length("__key")) == F.col("__key")))
+    return met.select("__row", *keys.columns)
+
+
 def contains_longest_first(df: DataFrame, haystack: Column, dim: DataFrame, key: str, value: str, out: str) -> DataFrame:
     """The value whose key is inside the text, longest key first, then table order (column ord).
 
@@ -98,13 +110,7 @@ def contains_longest_first(df: DataFrame, haystack: Column, dim: DataFrame, key:
         named = df.withColumn("__hay", norm_name(haystack))
         return named.withColumn(out, F.get(F.filter(listed, lambda r: F.instr(F.col("__hay"), r["k"]) > 0), 0)["v"]).drop("__hay")
     numbered = staged(df.drop(out).withColumns({"__hay": norm_name(haystack), "__row": F.monotonically_increasing_id()}))
-    index = staged(rarest_grams(keys))
-    sizes = sorted(r[0] for r in index.select(F.length("__gram")).distinct().collect())  # 1, 2 and 3 at most
-    longest = len(few[0][0])
-    grams = chunks(numbered, longest).select("__row", F.explode(gram_places(sizes, longest)).alias("__m")).select("__row", "__m.*")
-    begin = F.col("at") - F.col("__off")
-    met = grams.join(small(index), F.col("gram") == F.col("__gram")).where((begin > 0) & (F.substring(F.col("around"), begin, F.length("__key")) == F.col("__key")))
-    best = met.groupBy("__row").agg(F.min_by("__value", F.struct(-F.length("__key"), "ord")).alias(out))
+    best = key_hits(numbered, keys).groupBy("__row").agg(F.min_by("__value", F.struct(-F.length("__key"), "ord")).alias(out))
     return numbered.hint("merge").join(best.hint("merge"), "__row", "left").drop("__hay", "__row")
 
 

@@ -12,20 +12,30 @@ from ..schema import GROUPS
 from .lookups import small
 
 
-def export_summary(df: DataFrame) -> DataFrame:
-    """One pass over the ledger: (dimension, value, rows, with_vendor, first_date, last_date, paid) by platform, group, vendor,
-    client, method and in all."""
-    named = df.select(
+SUMMARY_KEYS = ["platform", "grp", "vendor", "client", "method"]
+
+
+def summary_columns(df: DataFrame, *more: str) -> DataFrame:
+    """What a summary reads of the ledger: its keys, the day, the paid amount and whether there is a vendor."""
+    return df.select(
         F.coalesce(filled("_platform"), F.lit("Unknown")).alias("platform"), F.coalesce(filled("U_group"), F.lit("Unknown")).alias("grp"), F.coalesce(filled("D_vendor_code"), F.lit("Unknown")).alias("vendor"),
         F.coalesce(filled("A_company_name"), F.lit("Unknown")).alias("client"), F.coalesce(filled("_extraction_method"), F.lit("Unknown")).alias("method"),
-        parse_date("B_doc_date").alias("d"), parse_money("R_paid_amount").alias("paid"), (~text("D_vendor_code").isin("", "Unknown")).alias("v"),
+        parse_date("B_doc_date").alias("d"), parse_money("R_paid_amount").alias("paid"), (~text("D_vendor_code").isin("", "Unknown")).alias("v"), *more,
     )
-    keys = ["platform", "grp", "vendor", "client", "method"]
-    sets = named.groupingSets([[k] for k in keys] + [[]], *keys)
+
+
+def dimension_of(gid: str) -> Column:
+    """The key that a grouping id over the summary's keys leaves, or all."""
+    full = (1 << len(SUMMARY_KEYS)) - 1
+    return F.coalesce(*(F.when(F.col(gid) == full - (1 << (len(SUMMARY_KEYS) - 1 - i)), k) for i, k in enumerate(SUMMARY_KEYS)), F.lit("all"))
+
+
+def export_summary(df: DataFrame) -> DataFrame:
+    """One pass over the ledger: (dimension, value, rows, with_vendor, first_date, last_date, paid) by platform, group, vendor,
+    client, method and in all."""
+    sets = summary_columns(df).groupingSets([[k] for k in SUMMARY_KEYS] + [[]], *SUMMARY_KEYS)
     out = sets.agg(F.grouping_id().alias("gid"), F.count("*").alias("rows"), F.count_if("v").alias("with_vendor"), F.min("d").alias("first_date"), F.max("d").alias("last_date"), F.coalesce(F.sum("paid"), F.lit(0)).cast("decimal(28,2)").alias("paid"))
-    full = (1 << len(keys)) - 1
-    label = F.coalesce(*(F.when(F.col("gid") == full - (1 << (len(keys) - 1 - i)), k) for i, k in enumerate(keys)), F.lit("all"))
-    return out.select(label.alias("dimension"), F.coalesce(*keys, F.lit("")).alias("value"), "rows", "with_vendor", "first_date", "last_date", "paid")
+    return out.select(dimension_of("gid").alias("dimension"), F.coalesce(*SUMMARY_KEYS, F.lit("")).alias("value"), "rows", "with_vendor", "first_date", "last_date", "paid")
 
 
 def sample_warnings(df: DataFrame, per_row: int = 3, most: int = 10) -> DataFrame:

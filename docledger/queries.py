@@ -582,4 +582,4 @@ def st_expire(spark, d):
     return expire_jobs(e, "2024-01-06 00:00:00", 86_400).select("event_id")
 
 
-from . import platform_queries  # noqa: E402, F401  its queries register themselves
+from . import platform_queries, store_queries  # noqa: E402, F401  their queries register themselves

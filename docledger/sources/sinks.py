@@ -13,13 +13,13 @@ BOM, CELL = "﻿", 32_767
 AS_IS = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
-def csv_rows(df: DataFrame, review: bool = False, headings: tuple[str, ...] = TEMPLATE) -> DataFrame:
+def csv_rows(df: DataFrame, review: bool = False, headings: tuple[str, ...] = TEMPLATE, keep: tuple[str, ...] = ()) -> DataFrame:
     """Columns under the headings (the import template's, if none are given), cells escaped and cut at the spreadsheet's limit; the first
-    heading carries the byte order mark."""
+    heading carries the byte order mark. ``keep``: columns to add as they are."""
     columns = [*LEDGER, *(("_status", "_source_file") if review else ())]
     labels = [*headings, *(("Status", "Source file") if review else ())]
     cells = [F.substring(escape_formula(c) if c in df.columns else F.lit(""), 1, CELL).alias((BOM if i == 0 else "") + label) for i, (c, label) in enumerate(zip(columns, labels, strict=True))]
-    return df.select(*cells)
+    return df.select(*cells, *keep)
 
 
 def write_ledger_csv(df: DataFrame, path: str, headings: tuple[str, ...] = TEMPLATE) -> None:
