@@ -40,9 +40,13 @@ def write_ordered_csv(df: DataFrame, path: str, order: tuple[str, ...], job: str
     folder = path.rstrip("/")
     writer = ordered.write.mode("overwrite").partitionBy("job").option("header", False).option("emptyValue", "").option("escape", '"').option("lineSep", end)
     writer.option("maxRecordsPerFile", rows_per_part).options(**AS_IS).csv(f"{folder}/parts")
-    files = spark.read.schema(FILES).format("binaryFile").option("pathGlobFilter", "part-*").load(f"{folder}/parts").select(F.coalesce("job", F.lit("")).alias("job"), "path", F.col("length").alias("bytes"))
-    of_job = Window.partitionBy("job").orderBy("path")  # over files, each of up to a million rows
-    parts = files.select("job", (F.row_number().over(of_job) - 1).cast("int").alias("part"), "path", "bytes")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*")
+    if found.option("recursiveFileLookup", True).load(f"{folder}/parts").select("path").isEmpty():
+        parts = spark.createDataFrame([], MANIFEST)  # there is no folder of a job to read
+    else:
+        files = found.option("recursiveFileLookup", False).schema(FILES).load(f"{folder}/parts").select(F.coalesce("job", F.lit("")).alias("job"), "path", F.col("length").alias("bytes"))
+        of_job = Window.partitionBy("job").orderBy("path")  # over files, each of up to a million rows
+        parts = files.select("job", (F.row_number().over(of_job) - 1).cast("int").alias("part"), "path", "bytes")
     parts.write.mode("overwrite").parquet(f"{folder}/manifest")
     return ordered_parts(spark, folder)
 

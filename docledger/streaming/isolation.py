@@ -43,14 +43,13 @@ def failing(docs: DataFrame, rows_of: Callable[[DataFrame], DataFrame]) -> list[
     found = []
 
     def seek(within: DataFrame, depth: int, which: int) -> None:
-        mine = within.where(F.col("__part") % (1 << depth) == which)
+        mine = staged(within.where(F.col("__part") % (1 << depth) == which)) if depth else within  # a plan without the part's number is compiled once
         try:
             rows_of(mine.drop("__part", "reason")).write.format("noop").mode("overwrite").save()
         except PySparkException as broken:
             if depth == DEPTH or mine.select("__part").distinct().limit(2).count() < 2:
                 found.append((depth, which, broken.getCondition() or type(broken).__name__))
                 return
-            mine = staged(mine) if depth % 6 == 5 else mine  # so that the later tries read little
             seek(mine, depth + 1, which)
             seek(mine, depth + 1, which + (1 << depth))
 
@@ -64,8 +63,7 @@ def land(docs: DataFrame, number: str, rows_of: Callable[[DataFrame], DataFrame]
         return
     part = F.xxhash64("doc_id", "filename", "text").bitwiseAND(F.lit((1 << DEPTH) - 1))
     kept = staged(docs.withColumn("__part", part))
-    good = kept.where(F.col("reason").isNull())
-    bad = failing(good, rows_of)
+    bad = failing(kept.where(F.col("reason").isNull()), rows_of)
     reason = F.coalesce("reason", *(F.when(F.col("__part") % (1 << depth) == which, f"failed: {error}") for depth, which, error in bad))
     told = kept.withColumn("reason", reason) if bad else kept
     dead.commit(told.where(F.col("reason").isNotNull()).select("doc_id", "filename", "text", "received_at", "reason"), number)
