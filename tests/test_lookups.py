@@ -62,3 +62,17 @@ def test_batches(spark, tmp_path):
     assert {r["batch"]: r["rows"] for r in table.manifests().collect()} == {"a": 5, "b": 3, "c": 0}
     with pytest.raises(ValueError, match="batch's name"):
         table.commit(spark.range(1).selectExpr("id n"), "../x")
+
+
+def test_gated_patterns_find_what_the_bare_ones_do(spark):
+    """Look-ahead gates, one search before the work and lazy choices change no result."""
+    from docledger.functions.text import led, normalize_text, squash_ws
+
+    assert led("ab", "(?i)apple|bee") == "(?i)(?=[ab])(?:apple|bee)"
+    bare, gated = "(?i)รวม|Total", led("tร", "(?i)รวม|Total")
+    texts = ["a tOTAL", "xรวมx", "\u0130otal", "", "to tal", "T", "Total"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(F.regexp_instr("t", F.lit(bare)).alias("a"), F.regexp_instr("t", F.lit(gated)).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in got) and [r["a"] > 0 for r in got] == [True, True, False, False, False, False, True]
+    messy = {"plain text\nline": "plain text\nline", " a  b\t c \r\n\r\n\r\n d ": "a b c\n\nd", "๑２–x\u200b\u00a0y": "12-x y", "a \u0085 b": "a\u0085b", "a\x01b": "ab", "\n\n x": "x"}
+    assert [r[0] for r in spark.createDataFrame([(t,) for t in messy], "t string").select(normalize_text("t")).collect()] == list(messy.values())
+    assert spark.createDataFrame([("a\u2003b\u0085c\u200bd \u3000e",)], "t string").select(squash_ws("t")).first()[0] == "abc\u200bde"
