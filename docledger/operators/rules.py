@@ -5,8 +5,9 @@ Places: ``text``, the term is anywhere in the lower-cased text; ``file``, anywhe
 phrase among the words of the file name. A row with a pattern hits where the pattern is found too, case ignored, in the text or the
 file name of that place; it is tried only where the term is.
 
-The terms are postings by their rarest three characters (``lookups.key_hits``), so a further rule is a row and no further expression, and
-what is shuffled is a number and a term for each place where a term stands. A document's hits are at most as many as there are rules.
+The terms are postings by their rarest grams (``lookups.key_hits``), so a further rule is a row and no further expression. Documents are
+known by two hashes of what is searched, 128 bits, so they are neither numbered nor written: what is shuffled is a hash and a term for
+each place where a term stands, and the documents once, to meet their hits. A document's hits are at most as many as there are rules.
 
 Defined results: rows without a term or platform never hit, a null weight counts 0; a document without a hit, or null in text and file
 name, has an empty map; no rules give empty maps; repeated rules and documents are as one rule and as they come.
@@ -19,7 +20,6 @@ from pyspark.sql import functions as F
 
 from ..functions import classify as C
 from ..functions.text import basename, normalize_token, text
-from ..sources.shared import staged
 from .lookups import key_hits
 
 RULE = "rule string, platform string, weight int, place string, term string, pattern string"
@@ -38,27 +38,25 @@ def built_in_rules(spark: SparkSession) -> DataFrame:
 
 def rule_scores(df: DataFrame, rules: DataFrame, body: str, filename: str, out: str = "scores") -> DataFrame:
     """The rows with ``out``: map of platform to the sum of its rules' weights."""
+    low, file = F.lower(text(body)), F.lower(text(filename))
     tokens = normalize_token(F.regexp_replace(basename(filename), "\\.[A-Za-z]{2,4}$", ""))
     padded = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
-    own = {"__low": F.lower(text(body)), "__file": F.lower(text(filename)), "__words": padded(tokens), "__row": F.monotonically_increasing_id()}
-    numbered = staged(df.drop(out).withColumns(own))
+    place = lambda name, hay: F.struct(F.lit(name).alias("place"), hay.alias("__hay"))
+    content = {"__h1": F.xxhash64(low, text(filename)), "__h2": F.xxhash64(F.lit("rules"), text(filename), low)}
     usable = rules.where("length(term) > 0 AND platform IS NOT NULL").withColumn("weight", F.coalesce("weight", F.lit(0)))
-
-    def hits(place: str, hay: str) -> DataFrame:
-        term = padded(normalize_token("term")) if place == "name" else F.lower("term")
-        keys = usable.where(F.col("place") == place).select(term.alias("__key"), "rule", "platform", "weight", "place", "pattern").distinct()
-        return key_hits(numbered.select("__row", F.col(hay).alias("__hay")), keys)
-
-    found = hits("text", "__low").union(hits("file", "__file")).union(hits("name", "__words"))
-    of_row = found.groupBy("__row").agg(F.collect_set(F.struct("platform", "rule", "weight", "place", "pattern")).alias("__hits"))
-    joined = numbered.hint("merge").join(of_row.hint("merge"), "__row", "left")
+    term = F.when(F.col("place") == "name", padded(normalize_token("term"))).otherwise(F.lower("term"))
+    keys = usable.where(F.col("place").isin("text", "file", "name")).select(term.alias("__key"), "rule", "platform", "weight", "place", "pattern").distinct()
+    hays = df.select(*(v.alias(k) for k, v in content.items()), F.explode(F.array(place("text", low), place("file", file), place("name", padded(tokens)))).alias("__s")).select(*content, "__s.place", "__s.__hay")
+    found = key_hits(hays, keys, "place")
+    of_row = found.groupBy(*content).agg(F.collect_set(F.struct("platform", "rule", "weight", "place", "pattern")).alias("__hits"))
+    joined = df.drop(out).withColumns(content).hint("merge").join(of_row.hint("merge"), list(content), "left")
 
     def holds(h: Column) -> Column:
         pattern = F.concat(F.lit("(?i)"), h["pattern"])
-        return h["pattern"].isNull() | F.when(h["place"] == "text", F.rlike("__low", pattern)).otherwise(F.rlike("__file", pattern))
+        return h["pattern"].isNull() | F.when(h["place"] == "text", F.rlike(low, pattern)).otherwise(F.rlike(file, pattern))
 
     counted = F.array_distinct(F.transform(F.filter("__hits", holds), lambda h: F.struct(h["platform"].alias("platform"), h["rule"].alias("rule"), h["weight"].alias("weight"))))
     kept = joined.withColumn("__kept", F.coalesce(counted, F.array().cast("array<struct<platform:string,rule:string,weight:int>>")))
     named = kept.withColumn("__named", F.array_sort(F.array_distinct("__kept.platform")))
     total = lambda p: F.aggregate(F.filter("__kept", lambda h: h["platform"] == p), F.lit(0).cast("long"), lambda n, h: n + h["weight"])
-    return named.withColumn(out, F.map_from_arrays("__named", F.transform("__named", total))).drop(*own, "__hits", "__kept", "__named")
+    return named.withColumn(out, F.map_from_arrays("__named", F.transform("__named", total))).drop(*content, "__hits", "__kept", "__named")

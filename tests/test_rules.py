@@ -3,13 +3,17 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from docledger.functions import classify as C
+from docledger.operators import lookups as J
 from docledger.operators.rules import RULE, built_in_rules, rule_scores
 
 
-def test_many_rules_against_plain_sums(spark):
+@pytest.mark.parametrize("few", [J.BROADCAST_ROWS, 10])
+def test_many_rules_against_plain_sums(spark, monkeypatch, few):
+    monkeypatch.setattr(J, "BROADCAST_ROWS", few)  # an index beyond this is met by the hashes of its grams
     rng = random.Random(11)
     word = lambda a, b: "".join(rng.choice("abcde") for _ in range(rng.randint(a, b)))
     rules = [(f"r{i % 900}", f"P{i % 900 % 4}", i % 900 % 7, "text", word(3, 6), None) for i in range(1000)]
@@ -33,6 +37,17 @@ def test_many_rules_against_plain_sums(spark):
     assert sorted((r["id"], sorted(r["scores"].items())) for r in got) == sorted((i, sorted(plain(t, f).items())) for i, t, f in docs)
 
 
+def test_texts_are_not_written_and_few_of_their_grams_meet_the_rules(spark, monkeypatch):
+    """Rules that differ in their last characters only stand each under a gram of their own."""
+    keys = spark.range(200).selectExpr("concat('user_', 100000 + id * 4321) AS __key")
+    assert J.rarest_grams(keys).groupBy("__gram").count().agg(F.max("count")).first()[0] <= 2
+    staged = []
+    monkeypatch.setattr(J, "staged", lambda df: staged.append(df.columns) or df)
+    rules = spark.createDataFrame([("a", "A", 1, "text", "abc", None)], RULE)
+    assert rule_scores(spark.createDataFrame([("xabcx", "f")], "t string, f string"), rules, "t", "f").first()["scores"] == {"A": 1}
+    assert staged and not any("t" in columns or "__low" in columns for columns in staged)
+
+
 def test_no_rules_and_no_rows(spark):
     docs = spark.createDataFrame([(1, "a", "b.pdf")], "id long, t string, f string")
     assert rule_scores(docs, spark.createDataFrame([], RULE), "t", "f").first()["scores"] == {}
