@@ -113,3 +113,13 @@ def test_rows_of_expired_jobs_go(spark):
     assert sorted((r["job_id"], r["events"]) for r in got.collect()) == [("a", 1), ("a", 2), ("b", 1)]
     rows = spark.createDataFrame([("a", 200), ("a", 201), ("b", None), ("c", 1), (None, 1)], "job_id string, t long").select("job_id", "t", F.timestamp_seconds("t").alias("at"))
     assert sorted(((r["job_id"], r["t"]) for r in without_expired(rows, got, "at").collect()), key=str) == sorted([("a", 201), ("b", None), ("c", 1), (None, 1)], key=str)
+
+
+def test_micro_batches_of_one_file_are_dealt_to_all_cores(spark, tmp_path):
+    from docledger.plans.extract import JobConfig
+    from docledger.streaming.jobs import ingest_stream
+
+    spark.range(400).selectExpr("'j' job_id", "id doc_id", "id file_index", "concat(id, '.pdf') filename", "'Total 5.00' text").coalesce(1).write.parquet(f"{tmp_path}/in")
+    ingest_stream(spark, f"{tmp_path}/in", "job_id string, doc_id long, file_index long, filename string, text string", f"{tmp_path}/rows", f"{tmp_path}/state", JobConfig(), 1).awaitTermination()
+    back = spark.read.parquet(f"{tmp_path}/rows")
+    assert back.count() == 400 and back.select("_metadata.file_name").distinct().count() == spark.sparkContext.defaultParallelism
