@@ -40,14 +40,22 @@ class BatchTable:
 
     def commit(self, rows: DataFrame, batch: str) -> bool:
         """Write a batch, its manifest last; False if it is there already."""
-        if not batch.replace("-", "").replace("_", "").isalnum():
-            raise ValueError("a batch's name has letters, digits, - and _ only")
         if self.committed(batch):
             return False
+        self.write(rows, batch)
+        self.seal(batch)
+        return True
+
+    def write(self, rows: DataFrame, batch: str) -> None:
+        """The rows of a batch without its manifest, so no reader sees them yet."""
+        if not batch.replace("-", "").replace("_", "").isalnum():
+            raise ValueError("a batch's name has letters, digits, - and _ only")
         rows.drop("batch").write.mode("overwrite").parquet(self.folder(batch))
+
+    def seal(self, batch: str) -> None:
+        """The manifest of a batch that is written."""
         n = self.spark.read.schema(self.schema).parquet(self.folder(batch)).count()
         self.spark.range(1).select(F.lit(batch).alias("batch"), F.lit(n).cast("long").alias("rows")).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifests/{batch}")
-        return True
 
     def read(self) -> DataFrame:
         """The rows of committed batches, with their batch. The batches' names select the folders, so others are not read."""

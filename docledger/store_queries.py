@@ -111,16 +111,15 @@ def st_isolated(spark, d):
     body = F.when(k.isin(8, 1032), F.concat(F.lit("BROKEN "), "text")).otherwise(F.col("text"))
     docs = fx.load(spark, d, fx.RECEIPTS).select(F.when(k % 10 != 3, F.col("doc_id")).alias("doc_id"), F.concat(k.cast("string"), F.lit(".pdf")).alias("filename"), body.alias("text"), at.alias("received_at"))
     lost = docs.withColumn("text", F.when(F.expr("int(split_part(filename, '.', 1)) % 10 <> 5"), F.col("text")))
-    lost.coalesce(1).write.mode("append").parquet(f"{to}/in")
-    docs.coalesce(1).write.mode("append").parquet(f"{to}/in")
 
     def rows_of(batch):
         checked = batch.withColumn("text", F.when(F.col("text").startswith("BROKEN"), F.raise_error(F.lit("a broken document"))).otherwise(F.col("text")))
         return with_platform(checked, "text", "filename", (), "platform").select("doc_id", "platform")
 
     rows, dead = BatchTable(spark, f"{to}/rows", "doc_id long, platform string"), BatchTable(spark, f"{to}/dead", DEAD)
-    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(f"{to}/in")
-    ingest_isolated(stream, rows_of, rows, dead, f"{to}/state", late="1 day").awaitTermination()
+    for arrived in (lost, docs):  # the stream goes on from its checkpoint, with all files that came since as one micro-batch
+        arrived.write.mode("append").parquet(f"{to}/in")
+        ingest_isolated(spark.readStream.schema(docs.schema).parquet(f"{to}/in"), rows_of, rows, dead, f"{to}/state", late="1 day").awaitTermination()
     number = -F.expr("bigint(split_part(filename, '.', 1))")  # letters without an id are told by their file
     letters = dead.read().select(F.coalesce("doc_id", number).alias("doc_id"), F.col("reason").alias("outcome"))
     return rows.read().select("doc_id", F.col("platform").alias("outcome")).union(letters).groupBy("doc_id", "outcome").agg(F.count("*").cast("int").alias("n"))

@@ -123,3 +123,19 @@ def test_micro_batches_of_one_file_are_dealt_to_all_cores(spark, tmp_path):
     ingest_stream(spark, f"{tmp_path}/in", "job_id string, doc_id long, file_index long, filename string, text string", f"{tmp_path}/rows", f"{tmp_path}/state", JobConfig(), 1).awaitTermination()
     back = spark.read.parquet(f"{tmp_path}/rows")
     assert back.count() == 400 and back.select("_metadata.file_name").distinct().count() == spark.sparkContext.defaultParallelism
+
+
+def test_a_sound_batch_is_tried_once_and_a_broken_one_keeps_what_did_not_fail(spark, tmp_path):
+    rows, dead = BatchTable(spark, f"{tmp_path}/rows", "doc_id long"), BatchTable(spark, f"{tmp_path}/dead", DEAD)
+    frame = lambda bad: spark.range(64).selectExpr("id doc_id", "concat(id, '.pdf') filename", f"if(id = {bad}, 'bad', 'fine') text", "timestamp_seconds(0) received_at", "string(null) reason")
+    tries = []
+
+    def rows_of(d):
+        tries.append(1)
+        return d.select("doc_id", F.when(F.col("text") == "bad", F.raise_error(F.lit("x"))).alias("x")).where(F.col("x").isNull()).drop("x")
+
+    land(frame(-1), "sound", rows_of, rows, dead)
+    assert len(tries) == 1 and rows.read().count() == 64 and dead.read().count() == 0
+    land(frame(9), "broken", rows_of, rows, dead)
+    assert sorted(r["doc_id"] for r in rows.read().where("batch = 'broken'").collect()) == [i for i in range(64) if i != 9]
+    assert [r["doc_id"] for r in dead.read().collect()] == [9]
