@@ -138,8 +138,8 @@ def st_expiry(spark, d):
     middle = F.timestamp_micros(((F.unix_micros(F.min(F.col("updated_at").cast("timestamp"))) + F.unix_micros(F.max(F.col("updated_at").cast("timestamp")))) / 2).cast("long"))
     half = events.agg(middle.alias("m")).first()["m"]
     early = F.col("updated_at").cast("timestamp") <= F.lit(half)
-    events.where(early).coalesce(1).write.mode("append").parquet(f"{to}/in")
-    events.where(~early).coalesce(1).write.mode("append").parquet(f"{to}/in")
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{to}/in")
-    start_expiry(expired_jobs(stream, 12 * 3600, job="user_id"), f"{to}/expired", f"{to}/state").awaitTermination()
+    for arrived in (early, ~early):  # the stream goes on from its checkpoint, with all files that came since as one micro-batch
+        events.where(arrived).write.mode("append").parquet(f"{to}/in")
+        stream = spark.readStream.schema(events.schema).parquet(f"{to}/in")
+        start_expiry(expired_jobs(stream, 12 * 3600, job="user_id"), f"{to}/expired", f"{to}/state").awaitTermination()
     return spark.read.schema("user_id long, first_at timestamp, last_at timestamp, events long").parquet(f"{to}/expired").select("user_id", F.col("first_at").cast("timestamp_ntz").alias("first_at"), F.col("last_at").cast("timestamp_ntz").alias("last_at"), "events")

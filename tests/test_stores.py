@@ -139,3 +139,9 @@ def test_a_sound_batch_is_tried_once_and_a_broken_one_keeps_what_did_not_fail(sp
     land(frame(9), "broken", rows_of, rows, dead)
     assert sorted(r["doc_id"] for r in rows.read().where("batch = 'broken'").collect()) == [i for i in range(64) if i != 9]
     assert [r["doc_id"] for r in dead.read().collect()] == [9]
+
+
+def test_events_of_one_file_are_sorted_by_all_cores(spark, tmp_path):
+    spark.range(10).selectExpr("'a' job_id", "timestamp_seconds(id) updated_at").coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("job_id string, updated_at timestamp").parquet(f"{tmp_path}/in")
+    assert "RepartitionByExpression [job_id" in expired_jobs(stream, 60)._jdf.queryExecution().analyzed().toString()
