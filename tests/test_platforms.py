@@ -4,6 +4,7 @@ import itertools
 
 from pyspark.sql import functions as F
 
+from docledger import fixtures as fx
 from docledger.functions import classify as C
 from docledger.functions import text as T
 from docledger.plans.extract import JobConfig, extract, extract_platform
@@ -45,3 +46,15 @@ def test_rows_of_one_platform_are_those_of_the_whole_job(spark):
 def test_a_platform_s_plan_holds_only_its_own_patterns(spark):
     plan = extract_platform(documents(spark), "TIKTOK", JobConfig())._jdf.queryExecution().optimizedPlan().toString()
     assert "tax\\s*registration\\s*number" in plan and "Total\\s*Value\\s*of\\s*Services" not in plan
+
+
+def test_orders_are_dealt_before_their_texts_are_made(spark):
+    plan = fx.load(spark, "/root/testdata/sf0.001", fx.RECEIPTS).select("doc_id", "text")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Customer Tax ID") < plan.index("RepartitionByExpression [o_orderkey")
+
+
+def test_what_is_folded(spark):
+    """Texts with signs that nothing folds are left as they are, others are folded."""
+    texts = ["฿ 5", "ภาษี", "a ๑", "Ａ～", "a–b", "x y", "นํา", "é ﹣", "é　"]
+    got = [r["x"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.normalize_text("t").alias("x")).collect()]
+    assert got == ["฿ 5", "ภาษี", "a 1", "A~", "a-b", "x y", "นำ", "é -", "é"]
