@@ -5,9 +5,9 @@ Places: ``text``, the term is anywhere in the lower-cased text; ``file``, anywhe
 phrase among the words of the file name. A row with a pattern hits where the pattern is found too, case ignored, in the text or the
 file name of that place; it is tried only where the term is.
 
-The terms are postings by their rarest grams (``lookups.key_hits``), so a further rule is a row and no further expression. Documents are
-known by two hashes of what is searched, 128 bits, so they are neither numbered nor written: what is shuffled is a hash and a term for
-each place where a term stands, and the documents once, to meet their hits. A document's hits are at most as many as there are rules.
+The terms are looked up by one filter over all of them (``lookups.key_hits``), so a further rule is a row and no further expression.
+Documents are known by two hashes of text and file name, 128 bits, so they are neither numbered nor written: what is shuffled is a hash and a
+term for each term that a document holds, and the documents once, to meet their hits. A document's hits are at most as many as there are rules.
 
 Defined results: rows without a term or platform never hit, a null weight counts 0; a document without a hit, or null in text and file
 name, has an empty map; no rules give empty maps; repeated rules and documents are as one rule and as they come.
@@ -42,7 +42,7 @@ def rule_scores(df: DataFrame, rules: DataFrame, body: str, filename: str, out:
     tokens = normalize_token(F.regexp_replace(basename(filename), "\\.[A-Za-z]{2,4}$", ""))
     padded = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
     place = lambda name, hay: F.struct(F.lit(name).alias("place"), hay.alias("__hay"))
-    content = {"__h1": F.xxhash64(low, text(filename)), "__h2": F.xxhash64(F.lit("rules"), text(filename), low)}
+    content = {"__h1": F.xxhash64(text(body), text(filename)), "__h2": F.xxhash64(F.lit("rules"), text(filename), text(body))}
     usable = rules.where("length(term) > 0 AND platform IS NOT NULL").withColumn("weight", F.coalesce("weight", F.lit(0)))
     term = F.when(F.col("place") == "name", padded(normalize_token("term"))).otherwise(F.lower("term"))
     keys = usable.where(F.col("place").isin("text", "file", "name")).select(term.alias("__key"), "rule", "platform", "weight", "place", "pattern").distinct()

@@ -61,3 +61,28 @@ def test_built_in_rules_as_a_table(spark):
     got = {r["id"]: r["scores"] for r in rule_scores(docs, built_in_rules(spark), "t", "f").collect()}
     for row in want:
         assert got[row["id"]] == {p: row[p] for p in C.PLATFORMS if row[p]}, row
+
+
+def test_only_keys_leave_a_text(spark, monkeypatch):
+    """Texts of many bytes a character and across the stretches that are looked at; digits that are grams of keys, but no keys, stay."""
+    import numpy as np
+    import pyarrow as pa
+
+    from docledger.operators import key_search as K
+
+    rng = random.Random(3)
+    keys = [(f"user_{i}", "text") for i in (1, 12, 123, *range(100_000, 101_000))] + [("ใบกำกับภาษี", "text"), ("กำ", "text"), ("ab", "file"), ("x" * 40, "text")]
+    index = J.rarest_grams(spark.createDataFrame(keys, "__key string, place string"))
+    held, bits = K.bloom(index, len(keys), "place", ["file", "text"])
+    forms = [tuple(r) for r in index.selectExpr("octet_length(__gram)", "octet_length(left(__key, __off))", "octet_length(__key)").distinct().collect()]
+    digits = "".join(rng.choice("0123456789") for _ in range(3000))
+    hays = [("text", f"{digits} user_1234567 ใบกำกับภาษีab"), ("file", "ab user_1"), ("text", ""), ("text", "ก" * 50 + "x" * 41 + " user_100777 user_100777"), ("text", None)]
+    before = [("text", "user_1"), *hays]  # a batch may begin inside its columns
+    batch = pa.RecordBatch.from_arrays([pa.array(range(-1, len(hays))), pa.array([p for p, _ in before]), pa.array([t for _, t in before])], ["id", "place", "__hay"]).slice(1)
+    want = {(i, k) for i, (p, t) in enumerate(hays) for k, place in keys if place == p and k in (t or "")}
+    for step in (7, 64, K.STEP):
+        monkeypatch.setattr(K, "STEP", step)
+        find = K.finder(["id", "place"], "place", ["file", "text"], forms, type("Held", (), {"value": held}), bits)
+        got = [(r["id"], r["__found"].decode()) for b in find(iter([batch])) for r in b.to_pylist()]
+        assert len(got) == len(set(got)) and want <= set(got) and len(got) <= len(want) + 3
+    assert np.unpackbits(np.frombuffer(held, np.uint8)).sum() > len(keys)
