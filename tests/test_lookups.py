@@ -76,3 +76,35 @@ def test_gated_patterns_find_what_the_bare_ones_do(spark):
     messy = {"plain text\nline": "plain text\nline", " a  b\t c \r\n\r\n\r\n d ": "a b c\n\nd", "๑２–x\u200b\u00a0y": "12-x y", "a \u0085 b": "a\u0085b", "a\x01b": "ab", "\n\n x": "x"}
     assert [r[0] for r in spark.createDataFrame([(t,) for t in messy], "t string").select(normalize_text("t")).collect()] == list(messy.values())
     assert spark.createDataFrame([("a\u2003b\u0085c\u200bd \u3000e",)], "t string").select(squash_ws("t")).first()[0] == "abc\u200bde"
+
+
+def test_texts_stay_out_of_the_shuffle_for_wallets(spark, monkeypatch):
+    """A table of wallets that is too large to go along is met without the texts, and the rows are written as columns."""
+    from docledger.plans import jobs
+    from docledger.plans.extract import JobConfig
+    from docledger.sources.shared import written
+
+    seen = []
+    monkeypatch.setattr(jobs, "written", lambda df: seen.append(df) or written(df))
+    monkeypatch.setattr(J.small, "__defaults__", (1,))
+    docs = spark.createDataFrame([("j", 1, 1, "a.pdf", "Shopee (Thailand) 1234567"), ("j", 2, 2, "b.pdf", " "), ("j", 3, 3, "c.pdf", "the Corner account")], "job_id string, file_index long, doc_id long, filename string, text string")
+    wallets = spark.createDataFrame([("0000000000001", "1234567", "EWL001"), ("0000000000001", "9", "EWL002")], "client_tax_id string, seller_id string, wallet_code string")
+    shops = spark.createDataFrame([("corner", "EWL003", 1)], "keyword string, wallet_code string, ord int")
+    rows = jobs.run_job(docs, JobConfig(own={"a": "0000000000001"}, configured=("0000000000001",)), {"wallet_dim": wallets, "shop_keyword_dim": shops})[0]
+    got = {r["doc_id"]: (r["Q_payment_method"], r["_status_reason"]) for r in rows.collect()}
+    assert got[1][0] == "EWL001" and got[2] == ("", "no_text") and got[3][0] == "EWL003"
+    plan, met = seen[0]._jdf.queryExecution().optimizedPlan(), []
+    while plan.children().size() == 2 or not plan.nodeName().endswith("Relation") and plan.children().size():
+        if plan.nodeName() == "Join" and "__number" in plan.condition().toString():
+            met.append(plan.left().output().mkString(" "))
+        plan = plan.children().apply(0)
+    assert len(met) == 1 and "__inside#" in met[0] and " text#" not in " " + met[0]
+
+
+def test_written_rows_are_as_they_were(spark, tmp_path):
+    from docledger.sources.shared import written
+
+    df = spark.range(5).selectExpr("id", "cast(id as decimal(18,2)) m", "array(cast(id as string)) a", "map('k', id) o", "cast(null as string) s", "timestamp_seconds(id) t")
+    back = written(df)
+    assert back.inputFiles() and back.columns == df.columns and sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
+    assert written(df.selectExpr("id", "null AS nothing")).count() == 5
