@@ -145,3 +145,17 @@ def test_events_of_one_file_are_sorted_by_all_cores(spark, tmp_path):
     spark.range(10).selectExpr("'a' job_id", "timestamp_seconds(id) updated_at").coalesce(1).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema("job_id string, updated_at timestamp").parquet(f"{tmp_path}/in")
     assert "RepartitionByExpression [job_id" in expired_jobs(stream, 60)._jdf.queryExecution().analyzed().toString()
+
+
+def test_documents_land_in_lots_that_all_cores_write(spark, tmp_path):
+    """Two lots of several files each, which arrive as two micro-batches of one row a document."""
+    from docledger.plans.extract import JobConfig
+    from docledger.platform_queries import landed
+    from docledger.streaming.jobs import ingest_stream
+
+    source, schema, files = landed(spark, "/root/testdata/sf0.001")
+    assert files == spark.sparkContext.defaultParallelism and len(spark.read.parquet(source).inputFiles()) == 2 * files
+    stream = ingest_stream(spark, source, schema, f"{tmp_path}/rows", f"{tmp_path}/state", JobConfig(), files_per_batch=files)
+    stream.awaitTermination()
+    assert sum(p["numInputRows"] > 0 for p in stream.recentProgress) == 2
+    assert spark.read.parquet(f"{tmp_path}/rows").select("doc_id").distinct().count() == spark.read.schema(schema).parquet(source).count()
